@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from taskloom.llm.bpe import op6_bpe
+from taskloom.llm.decontamination import OP4_SQL, op4_decontamination
+from taskloom.llm.pii import op1_pii
 from taskloom.llm.sharding import op5_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_shards": op5_shards, "op6_bpe": op6_bpe}
+    return {"op1_pii": op1_pii, "op4_decontamination": op4_decontamination, "op5_shards": op5_shards, "op6_bpe": op6_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": OP4_SQL}
