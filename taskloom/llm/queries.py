@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from taskloom.llm.bpe import op6_bpe
 from taskloom.llm.decontamination import OP4_SQL, op4_decontamination
 from taskloom.llm.pii import op1_pii
+from taskloom.llm.substring import OP2_SQL, op2_substrings
+from taskloom.llm.topk import OP3_SQL, op3_topk
 from taskloom.llm.sharding import op5_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op4_decontamination": op4_decontamination, "op5_shards": op5_shards, "op6_bpe": op6_bpe}
+    return {"op1_pii": op1_pii, "op2_substrings": op2_substrings, "op3_topk": op3_topk, "op4_decontamination": op4_decontamination, "op5_shards": op5_shards, "op6_bpe": op6_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL}
+    return {"op2_substrings": OP2_SQL, "op3_topk": OP3_SQL, "op4_decontamination": OP4_SQL}
