@@ -11,12 +11,13 @@ from taskloom.llm.decontamination import OP4_SQL, op4_decontamination
 from taskloom.llm.jaccard import OP7_SQL, op7_jaccard
 from taskloom.llm.pii import op1_pii
 from taskloom.llm.substring import OP2_SQL, op2_substrings
+from taskloom.llm.toxicity import op8_toxicity
 from taskloom.llm.topk import OP3_SQL, op3_topk
 from taskloom.llm.sharding import op5_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_substrings": op2_substrings, "op3_topk": op3_topk, "op4_decontamination": op4_decontamination, "op5_shards": op5_shards, "op6_bpe": op6_bpe, "op7_jaccard": op7_jaccard}
+    return {"op1_pii": op1_pii, "op2_substrings": op2_substrings, "op3_topk": op3_topk, "op4_decontamination": op4_decontamination, "op5_shards": op5_shards, "op6_bpe": op6_bpe, "op7_jaccard": op7_jaccard, "op8_toxicity": op8_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
