@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from taskloom.llm.bpe import op6_bpe
 from taskloom.llm.decontamination import OP4_SQL, op4_decontamination
 from taskloom.llm.jaccard import OP7_SQL, op7_jaccard
+from taskloom.llm.lines import OP10_SQL, op10_lines
 from taskloom.llm.pii import op1_pii
 from taskloom.llm.substring import OP2_SQL, op2_substrings
 from taskloom.llm.toxicity import op8_toxicity
@@ -17,8 +18,8 @@ from taskloom.llm.sharding import op5_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_substrings": op2_substrings, "op3_topk": op3_topk, "op4_decontamination": op4_decontamination, "op5_shards": op5_shards, "op6_bpe": op6_bpe, "op7_jaccard": op7_jaccard, "op8_toxicity": op8_toxicity}
+    return {"op1_pii": op1_pii, "op2_substrings": op2_substrings, "op3_topk": op3_topk, "op4_decontamination": op4_decontamination, "op5_shards": op5_shards, "op6_bpe": op6_bpe, "op7_jaccard": op7_jaccard, "op8_toxicity": op8_toxicity, "op10_lines": op10_lines}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substrings": OP2_SQL, "op3_topk": OP3_SQL, "op4_decontamination": OP4_SQL, "op7_jaccard": OP7_SQL}
+    return {"op2_substrings": OP2_SQL, "op3_topk": OP3_SQL, "op4_decontamination": OP4_SQL, "op7_jaccard": OP7_SQL, "op10_lines": OP10_SQL}
