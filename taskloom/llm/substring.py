@@ -12,6 +12,7 @@ literal, and every word that a window found earlier covers is in a factor.
 3. Boundaries.  Where a repeat begins or ends within a block, the block is new but some of its
    windows are not.  So the windows of each entry's first block are indexed and looked up one by one.
    (The earliest place of any window lies in such a block: in a later one it would have been seen before.)
+   An anchor with one entry needs none of that: all places that hold one of its windows hold the whole block.
 4. The pieces found are parsed greedily, per document from left to right, into the longest factors.
 
 Equality is that of two 64-bit hashes over the words.  Everything is joined and grouped by hashes after partial
@@ -29,10 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskloom.llm.common import documents, raw, signed, span_hashes, steps, table, word_hashes, words
+from taskloom.llm.common import documents, raw, signed, span_hashes, steps, table, word_hashes, words, written
 
 SIZE, GRAM = 20, 4
 
@@ -72,74 +74,57 @@ class Blocks:
         self.row, self.a, self.h = own[new], windows[new], grams[anchor[new]]
         self.n = np.diff(np.r_[new, len(windows)])
 
-    def only(self, kept: np.ndarray) -> None:
-        self.row, self.a, self.n, self.h = self.row[kept], self.a[kept], self.n[kept], self.h[kept]
-
-
-def anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    """``doc_id, h`` of every block."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            b = Blocks(batch.column("text"), size, gram)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(b.row)), pa.array(signed(b.h))], names=["doc_id", "h"])
-
-    return docs.mapInArrow(find, "doc_id long, h long")
+    def words(self) -> np.ndarray:
+        """A hash of all the words of each block."""
+        return span_hashes(self.hashes, self.a, self.a + self.n + self.size - 1)
 
 
 def blocks(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    """``h, words, doc_id, start, n, windows`` of the blocks whose anchors are among the row's ``repeated``:
-    the hash of all their words, and those of their windows as 8 bytes each."""
+    """``h, words, doc_id, start, n`` of every block: anchor, hash of its words, and its windows' place and number."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             b = Blocks(batch.column("text"), size, gram)
-            b.only(np.isin(signed(b.h), np.unique(batch.column("repeated").flatten().to_numpy(zero_copy_only=False))))
-            each = np.arange(int(b.n.sum())) + np.repeat(b.a - np.r_[0, np.cumsum(b.n)[:-1]], b.n) if len(b.n) else np.zeros(0, np.int64)
-            windows = span_hashes(b.hashes, each, each + size)
-            cuts = np.r_[0, np.cumsum(b.n) * 8].astype(np.int32)
-            packed = pa.Array.from_buffers(pa.binary(), len(b.n), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(windows.tobytes())])
-            whole = span_hashes(b.hashes, b.a, b.a + b.n + size - 1)
-            start = (b.a - b.first[b.row]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(b.h)), pa.array(signed(whole)), batch.column("doc_id").take(pa.array(b.row)), pa.array(start), pa.array(b.n.astype(np.int32)), packed],
-                names=["h", "words", "doc_id", "start", "n", "windows"],
-            )
+            start, n = (b.a - b.first[b.row]).astype(np.int32), b.n.astype(np.int32)
+            columns = [pa.array(signed(b.h)), pa.array(signed(b.words())), batch.column("doc_id").take(pa.array(b.row)), pa.array(start), pa.array(n)]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "words", "doc_id", "start", "n"])
 
-    return docs.mapInArrow(find, "h long, words long, doc_id long, start int, n int, windows binary")
+    return docs.mapInArrow(find, "h long, words long, doc_id long, start int, n int")
 
 
-def window_list(entries: DataFrame) -> DataFrame:
-    """``h, window, doc_id, start`` of each window of the entries' first blocks."""
+def window_list(docs: DataFrame, size: int) -> DataFrame:
+    """``h, window, doc_id, start`` of each window of the blocks in ``wanted`` (h, start, n), a list in each row."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column("n").to_numpy(zero_copy_only=False)
-            if not len(n):
-                continue
-            each = np.repeat(np.arange(len(n)), n)
-            inner = (np.arange(len(each)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)).astype(np.int32)
-            hashes = np.frombuffer(b"".join(batch.column("windows").to_pylist()), np.int64)
-            pick = pa.array(each)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("h").take(pick), pa.array(hashes), batch.column("doc_id").take(pick), pa.array(batch.column("start").to_numpy(zero_copy_only=False)[each] + inner)],
-                names=["h", "window", "doc_id", "start"],
-            )
-
-    return entries.mapInArrow(unpack, "h long, window long, doc_id long, start int")
+        for batch in steps(batches):
+            data, offsets = raw(batch.column("text"))
+            start, end, row = words(data, offsets)
+            hashes = word_hashes(data, start, end)
+            first = np.searchsorted(row, np.arange(batch.num_rows))
+            wanted = batch.column("wanted")
+            h, at, n = (wanted.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("h", "start", "n"))
+            own = np.repeat(np.arange(batch.num_rows), pc.list_value_length(wanted).to_numpy(zero_copy_only=False))
+            own, h = np.repeat(own, n), np.repeat(h, n)
+            begin = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found = span_hashes(hashes, begin + first[own], begin + first[own] + size)
+            columns = [pa.array(h), pa.array(signed(found)), batch.column("doc_id").take(pa.array(own)), pa.array(begin.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "window", "doc_id", "start"])
+
+    return docs.mapInArrow(unpack, "h long, window long, doc_id long, start int")
 
 
 def pieces(docs: DataFrame, size: int, gram: int) -> DataFrame:
     """``doc_id, start, length, ref_doc, ref_start``: words that stand earlier at the reference."""
-    found = anchors(docs, size, gram)
-    repeated = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    held = found.join(repeated, "h").groupBy("doc_id").agg(F.collect_set("h").alias("repeated"))
-    block = blocks(docs.join(held, "doc_id"), size, gram)
-    entry = block.groupBy("h", "words").agg(F.min(F.struct("doc_id", "start", "n", "windows")).alias("e"), F.count(F.lit(1)).alias("c"))
-    first = entry.where("c > 1").select("h", "words", F.col("e.doc_id").alias("ref_doc"), F.col("e.start").alias("ref_start"))
+    every = blocks(docs, size, gram)
+    repeated = every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    block = written(every.join(repeated, "h"), "blocks")
+    entry = written(block.groupBy("h", "words").agg(F.min(F.struct("doc_id", "start", "n")).alias("e"), F.count(F.lit(1)).alias("c")), "entries")
+    first = entry.select("h", "words", F.col("e.doc_id").alias("ref_doc"), F.col("e.start").alias("ref_start"), "c").where("c > 1").drop("c")
     later = (F.col("doc_id") != F.col("ref_doc")) | (F.col("start") != F.col("ref_start"))
-    whole = block.drop("windows").join(first, ["h", "words"]).where(later).select("doc_id", "start", (F.col("n") + size - 1).alias("length"), "ref_doc", "ref_start")
-    window = window_list(entry.select("h", "e.doc_id", "e.start", "e.n", "e.windows"))
+    whole = block.join(first, ["h", "words"]).where(later).select("doc_id", "start", (F.col("n") + size - 1).alias("length"), "ref_doc", "ref_start")
+    varied = entry.groupBy("h").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1").select("h")
+    wanted = entry.join(varied, "h").groupBy("e.doc_id").agg(F.collect_list(F.struct("h", "e.start", "e.n")).alias("wanted"))
+    window = window_list(docs.join(wanted, "doc_id"), size)
     earliest = window.groupBy("h", "window").agg(F.min(F.struct("doc_id", "start")).alias("r"), F.count(F.lit(1)).alias("c")).where("c > 1")
     earliest = earliest.select("h", "window", F.col("r.doc_id").alias("ref_doc"), F.col("r.start").alias("ref_start"))
     part = window.join(earliest, ["h", "window"]).where(later).select("doc_id", "start", F.lit(size).alias("length"), "ref_doc", "ref_start")
