@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from taskloom.llm.common import documents, once_each, table, written
 
 PREFIXES = (4, 5, 6)
-TERMS, BLOCK, NEIGHBOURS = 4096, 64, 7
+TERMS, BLOCK, NEIGHBOURS = 4096, 512, 7
 #: Labelled rows of either label, at most about, for the vocabulary, the index and the calibration.
 SAMPLE, EXAMPLES, CALIBRATION = 16_384, 2_048, 8_192
 #: Of few rows so many go to the index, the others to the calibration.
@@ -257,7 +257,7 @@ def trained(docs: DataFrame, labelled: DataFrame) -> Model:
     chosen = rows.where("in_index")
     examples = chosen.select("doc_id", "text", "toxic").mapInPandas(vectorised, "doc_id long, toxic int, ids array<long>, weights array<double>").collect()  # bounded
     index = Index([(r.doc_id, r.toxic, np.array(r.ids, np.int64), np.array(r.weights)) for r in examples], len(terms))
-    apart = rows.where("in_calibration").join(chosen.select("text").distinct(), "text", "left_anti").select("text", "toxic")
+    apart = rows.where("in_calibration").select("text", "toxic").dropDuplicates(["text"]).join(chosen.select("text").distinct(), "text", "left_anti")
 
     def shares(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
