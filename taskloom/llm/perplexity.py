@@ -37,6 +37,8 @@ from taskloom.llm.common import compressed, expanded, mixed, once_each, raw, ste
 ORDER, BITS = 5, 12
 LOW, HIGH = 0.0, 0.998
 TABLE_ROWS, BLOCK_BYTES = 3_000_000, 16 << 20
+#: Ids of trusted documents up to which they are broadcast, some 20 MB; more are joined by a shuffle of compressed texts.
+TRUSTED_IDS = 500_000
 START = 1
 
 
@@ -171,8 +173,15 @@ def scores(doc_ids: pa.Array, n: np.ndarray, total: np.ndarray) -> pa.RecordBatc
 
 
 def by_broadcast(docs: DataFrame, logp: DataFrame) -> DataFrame:
-    rows = logp.toPandas()  # at most TABLE_ROWS, by the caller's check
-    held = docs.sparkSession.sparkContext.broadcast((rows.g.to_numpy(), rows.logp.to_numpy()))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [pa.array([batch.column(c).to_numpy().tobytes()], pa.binary()) for c in ("g", "logp")]
+            yield pa.RecordBatch.from_arrays(columns, names=["g", "logp"])
+
+    parts = logp.mapInArrow(pack, "g binary, logp binary").collect()  # at most TABLE_ROWS, by the caller's check
+    keys, values = (np.frombuffer(b"".join(bytes(x[i]) for x in parts), kind) for i, kind in ((0, np.int64), (1, np.float64)))
+    held = docs.sparkSession.sparkContext.broadcast((keys, values))
     built: dict[int, Lookup] = {}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +217,12 @@ def by_blocks(docs: DataFrame, logp: DataFrame) -> DataFrame:
 
 def perplexities(docs: DataFrame, trusted: DataFrame, table_rows: int = TABLE_ROWS) -> DataFrame:
     """``doc_id, n_chars, perplexity`` of ``docs`` (doc_id, text) under the model of those in ``trusted`` (doc_id)."""
-    counts = written(counted(compressed(docs).join(trusted, "doc_id", "left_semi")), "counts")
+    trusted = written(trusted, "trusted")
+    if trusted.count() <= TRUSTED_IDS:
+        texts = compressed(docs.join(F.broadcast(trusted), "doc_id", "left_semi"))  # leaves the texts where they are
+    else:
+        texts = compressed(docs).join(trusted, "doc_id", "left_semi")
+    counts = written(counted(texts), "counts")
     if not counts.take(1):
         return docs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.lit(None).cast("double").alias("perplexity"))
 
