@@ -47,7 +47,7 @@ NO_MODEL = 0.499
 LEAST_ROWS, LEAST_Z, LEAST_SHARE = 5, 4.5, 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose terms a task remembers.
-_REMEMBERED = 300_000
+_REMEMBERED = 100_000
 
 
 def held_out(doc_id: Column) -> Column:
