@@ -17,10 +17,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from taskloom.operators.objects import BOX, Tracker
 
+#: 1 January 2000, in seconds.
+EPOCH = 946_684_800
+
 
 def stamped(rows: DataFrame, seconds: str = "t", delay: str = "10 seconds") -> DataFrame:
-    """Adds an event time from seconds, with a watermark."""
-    return rows.withColumn("ts", F.timestamp_micros((F.col(seconds) * 1_000_000).cast("long"))).withWatermark("ts", delay)
+    """Adds an event time from seconds since the recording's start, with a watermark.  They are counted from ``EPOCH``: the first
+    watermark is 1970, and rows of that instant would come too late."""
+    return rows.withColumn("ts", F.timestamp_micros(((F.col(seconds) + EPOCH) * 1_000_000).cast("long"))).withWatermark("ts", delay)
 
 
 class Buffer:
