@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from taskloom.functions.lineage import kept
 from taskloom.functions.temporal import over
 from taskloom.operators.states import DIMENSIONS
 
@@ -92,15 +93,14 @@ def topological(nodes: DataFrame, edge: DataFrame) -> DataFrame:
     """``level`` of each node: the longest path to it; peeled off level by level, all videos at once.  Nodes on or behind a cycle have none."""
     level, left, open_, done = 0, nodes.select("video_id", "seg_id"), edge.select("video_id", "source", "target"), None
     while True:
-        free = left.join(open_.select("video_id", F.col("target").alias("seg_id")).distinct(), ["video_id", "seg_id"], "left_anti")
-        free = free.cache()
+        free = kept(left.join(open_.select("video_id", F.col("target").alias("seg_id")).distinct(), ["video_id", "seg_id"], "left_anti"))
         if not free.take(1):
             rest = left.withColumn("level", F.lit(None).cast("int"))
             return rest if done is None else done.unionByName(rest)
         now = free.withColumn("level", F.lit(level))
         done = now if done is None else done.unionByName(now)
-        left = left.join(free, ["video_id", "seg_id"], "left_anti")
-        open_ = open_.join(free.withColumnRenamed("seg_id", "source"), ["video_id", "source"], "left_anti")
+        left = kept(left.join(free, ["video_id", "seg_id"], "left_anti"))
+        open_ = kept(open_.join(free.withColumnRenamed("seg_id", "source"), ["video_id", "source"], "left_anti"))
         level += 1
 
 

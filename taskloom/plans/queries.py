@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskloom.functions.geometry import center
+from taskloom.functions.lineage import kept, shared_dir
 from taskloom.operators import actions, contacts, ego, graph, objects, pose, states, timeline
 from taskloom.plans.oracles import sql
 from taskloom.sources import adapter, files
@@ -41,7 +43,7 @@ class Tables:
     plans stay small."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.frames = adapter.frames(spark, sf_dir).persist()
+        self.frames = adapter.frames(spark, sf_dir)
         self.totals = timeline.summary(self.frames).select("video_id", "num_frames")
         self.tracks = adapter.object_frames(self.frames)
         self.joints = adapter.pose_joints(self.frames)
@@ -49,11 +51,11 @@ class Tables:
 
     @cached_property
     def moving(self) -> DataFrame:
-        return states.motion(self.tracks).persist()
+        return kept(states.motion(self.tracks))
 
     @cached_property
     def contact(self) -> DataFrame:
-        return contacts.contacts(contacts.distances(contacts.hand_positions(self.joints), self.moving)).persist()
+        return kept(contacts.contacts(contacts.distances(contacts.hand_positions(self.joints), self.moving)))
 
     @cached_property
     def features(self) -> DataFrame:
@@ -67,15 +69,15 @@ class Tables:
 
     @cached_property
     def events(self) -> DataFrame:
-        return contacts.events(self.interactions).persist()
+        return kept(contacts.events(self.interactions))
 
     @cached_property
     def states(self) -> DataFrame:
-        return states.refined(self.moving, contacts.contact_frames(self.contact), contacts.grasp_frames(self.events)).persist()
+        return kept(states.refined(self.moving, contacts.contact_frames(self.contact), contacts.grasp_frames(self.events)))
 
     @cached_property
     def boundaries(self) -> DataFrame:
-        return actions.merged_boundaries(actions.contact_boundaries(self.events), actions.state_boundaries(self.states)).persist()
+        return kept(actions.merged_boundaries(actions.contact_boundaries(self.events), actions.state_boundaries(self.states)))
 
     @cached_property
     def raw_segments(self) -> DataFrame:
@@ -83,7 +85,7 @@ class Tables:
 
     @cached_property
     def segments(self) -> DataFrame:
-        return actions.closed(self.raw_segments).persist()
+        return kept(actions.closed(self.raw_segments))
 
     @cached_property
     def labelled(self) -> DataFrame:
@@ -92,7 +94,7 @@ class Tables:
     @cached_property
     def causal(self) -> DataFrame:
         segment, state = self.segments, self.states
-        return graph.causal_edges(segment, graph.preconditions(segment, state), graph.postconditions(segment, state, self.totals)).persist()
+        return kept(graph.causal_edges(segment, graph.preconditions(segment, state), graph.postconditions(segment, state, self.totals)))
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -570,11 +572,7 @@ def export_contacts(spark, sf_dir):
 
 def stream(spark: SparkSession, rows: DataFrame, order: str) -> DataFrame:
     """The rows as a stream over files in the session's shared folder, one batch for each quarter of the times."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows.repartitionByRange(4, order).write.parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
 
