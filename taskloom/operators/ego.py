@@ -101,7 +101,7 @@ def anchored_hands(hands: DataFrame, joints: DataFrame, fit: DataFrame, least: f
 def hand_landmarks(hands: DataFrame, landmarks: DataFrame, width: int) -> DataFrame:
     """px, py, pz of the landmarks (det_idx, landmark, x, y, z) of anchored hands: offsets from the wrist, scaled, from the body's wrist."""
     base = landmarks.where("landmark = 0").select(*KEY, "det_idx", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("z").alias("z0"))
-    rows = landmarks.join(base, [*KEY, "det_idx"]).join(hands.select(*KEY, "det_idx", "side", "scale", "px", "py", "pz"), [*KEY, "det_idx"])
+    rows = landmarks.drop("side").join(base, [*KEY, "det_idx"]).join(hands.select(*KEY, "det_idx", "side", "scale", "px", "py", "pz"), [*KEY, "det_idx"])
     place = {"px": F.col("px") + (F.col("x") - F.col("x0")) * F.col("scale"), "py": F.col("py") + (F.col("y") - F.col("y0")) * F.col("scale"), "pz": F.col("pz") + (F.col("z") - F.col("z0")) * width * F.col("scale")}
     return rows.select(*KEY, "side", "landmark", *(e.alias(c) for c, e in place.items()))
 
