@@ -18,11 +18,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a single longer text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 19
+#: Rows of texts that are handed to Python at once.
+BATCH_ROWS = 1000
+#: Ids up to which a set of documents is broadcast, some 20 MB; larger sets are joined by a shuffle.
+FEW_IDS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,10 +73,16 @@ def once_each(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def documents(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``text`` by the rules above."""
+    """``doc_id`` and ``text`` by the rules above.  Texts are long, so batches for Python are set to hold fewer rows."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return once_each(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "text")
 
 
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids``, distinct and written; texts stay where they are if those are few."""
+    return docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_semi")
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that each holds about ``limit`` bytes of text, or one text."""
     for batch in batches:
@@ -93,6 +104,24 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def compressed(docs: DataFrame) -> DataFrame:
+    """``doc_id, z``: the texts as Zstandard frames, for shuffles that carry whole texts."""
+
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in steps(batches):
+            z = [press.compress(t.as_buffer()) for t in batch.column("text").cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(z, pa.binary())], names=["doc_id", "z"])
+
+    return docs.mapInArrow(press, "doc_id long, z binary")
+
+
+def expanded(column: pa.Array) -> pa.Array:
+    """The texts of Zstandard frames."""
+    press = zstandard.ZstdDecompressor()
+    return pa.array([press.decompress(z.as_buffer()) for z in column], pa.large_binary()).cast(pa.large_string())
+
+
 _U = np.uint64
 _R = _U(0x9E3779B97F4A7C15 | 1)
 _R_INV = _U(pow(int(_R), -1, 1 << 64))
@@ -106,7 +135,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
         have = np.full(max(n, 1 << 16), base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n <= STEP_BYTES * 2:
+        if n <= STEP_BYTES * 4:
             _POWERS[int(base)] = have
     return have[:n]
 

@@ -16,8 +16,8 @@ words, but not none, is one sequence.  The join is a count-vector R-tree over gr
    summed coordinate minima (of the leaves' upper corners) reach the overlap needed.  Surviving pairs are
    verified on the exact sets.  Pairs within one class need no comparison: they cannot change the classes.
 
-Large cells are dealt out in blocks of ``TILE`` points and pairs of blocks, so no task holds a whole cell, and since a
-cell of near copies is one class after step 3, it brings no pairs of blocks at all.
+Large cells are dealt out in blocks of ``TILE`` points, so no task holds a whole cell: blocks of the points outside the cell's
+largest class meet each other and the blocks of that class.  A cell of near copies is one class after step 3, or nearly.
 
 Cases: null and empty texts have no shingles and link with nothing; repeated and null ``doc_id`` as in ``common``; ties
 of equal sets go to the smallest doc_id; an empty table gives an empty result; other columns are ignored.
@@ -28,19 +28,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskloom.llm.common import documents, lower_ascii, mixed, raw, signed, span_hashes, steps, table, word_hashes, words, written
+from taskloom.llm.common import among, compressed, documents, expanded, lower_ascii, mixed, raw, signed, span_hashes, steps, table, word_hashes, words, written
 from taskloom.llm.components import components
 
 SIZE, PERCENT = 4, 85
 #: Sets below this are filed by single shingles.
 FEW = 64
 #: Coordinates of a point, points of a leaf, points of a block of a large cell.
-COORDINATES, LEAF, TILE = 64, 16, 256
+COORDINATES, LEAF, TILE = 256, 16, 1024
+#: Pairs that are verified at once.
+PAIRS = 256
 _U = np.uint64
 
 
@@ -66,24 +67,6 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, first) if len(first) else np.zeros(0, values.dtype)
 
 
-def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n, s1, s2``: the size of each set and a 128-bit digest of it."""
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            row, found = shingles(batch.column("text"), size)
-            rows = batch.num_rows
-            n, two = np.bincount(row, minlength=rows), []
-            for salt in (_U(0x51ED270B0A1F39C1), _U(0xB492B66FBE98F273)):
-                total = np.zeros(rows, np.uint64)
-                first = np.searchsorted(row, np.flatnonzero(n))
-                total[n > 0] = sums(mixed(found ^ salt), first)
-                two.append(pa.array(signed(total)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), *two], names=["doc_id", "n", "s1", "s2"])
-
-    return docs.mapInArrow(sign, "doc_id long, n long, s1 long, s2 long")
-
-
 def cells_of(row: np.ndarray, found: np.ndarray, rows: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and cell of every point: enough cells that linked sets share one.
 
@@ -131,64 +114,82 @@ def cells_of(row: np.ndarray, found: np.ndarray, rows: int, percent: int) -> tup
     return np.concatenate(out_row), np.concatenate(out_cell)
 
 
-def filed(points: DataFrame, size: int, percent: int) -> DataFrame:
-    """``cell, doc_id`` of every point."""
-
-    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            row, cell = cells_of(*shingles(batch.column("text"), size), batch.num_rows, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(cell)), batch.column("doc_id").take(pa.array(row))], names=["cell", "doc_id"])
-
-    return points.mapInArrow(file, "cell long, doc_id long")
+def digests(row: np.ndarray, found: np.ndarray, rows: int) -> list[np.ndarray]:
+    """Two 64-bit digests of each set."""
+    some = np.unique(row)
+    first, out = np.searchsorted(row, some), []
+    for salt in (_U(0x51ED270B0A1F39C1), _U(0xB492B66FBE98F273)):
+        total = np.zeros(rows, np.uint64)
+        total[some] = sums(mixed(found ^ salt), first)
+        out.append(total)
+    return out
 
 
-def sets(points: DataFrame, size: int) -> DataFrame:
-    """``doc_id, set, counts``: the sorted hashes, 8 bytes each, and the point's coordinates."""
+def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``doc_id, n, s1, s2, cells, counts``: the size of each set, digests of it, its cells, and its coordinates
+    as bytes, or as 4 bytes each if any needs more."""
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
+            rows = batch.num_rows
             row, found = shingles(batch.column("text"), size)
-            cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            held, counts = [], []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                held.append(found[a:b].tobytes())
-                counts.append(np.bincount((found[a:b] >> _U(17)).astype(np.int64) % COORDINATES, minlength=COORDINATES).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "set", "counts"])
+            n = np.bincount(row, minlength=rows).astype(np.int64)
+            own, cell = cells_of(row, found, rows, percent)
+            order = np.argsort(own, kind="stable")
+            cuts = pa.array(np.searchsorted(own[order], np.arange(rows + 1)).astype(np.int32))
+            cells = pa.ListArray.from_arrays(cuts, pa.array(signed(cell[order])))
+            place = row * COORDINATES + (found >> _U(17)).astype(np.int64) % COORDINATES
+            counts = np.bincount(place, minlength=rows * COORDINATES).astype(np.uint32).reshape(rows, COORDINATES)
+            packed = pa.array([(c.astype(np.uint8) if high < 256 else c).tobytes() for c, high in zip(counts, counts.max(1, initial=0), strict=True)], pa.binary())
+            two = [pa.array(signed(x)) for x in digests(row, found, rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *two, cells, packed], names=["doc_id", "n", "s1", "s2", "cells", "counts"])
 
-    return points.mapInArrow(make, "doc_id long, set binary, counts binary")
+    return docs.mapInArrow(describe, "doc_id long, n long, s1 long, s2 long, cells array<long>, counts binary")
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets are similar enough, by counting."""
-    if not len(a) or not len(b):
-        return False
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    both = int((b[at] == a).sum())
-    return 100 * both >= percent * (len(a) + len(b) - both)
+def unpacked(counts: list[bytes]) -> np.ndarray:
+    """The coordinates of points, a row each."""
+    wide = [np.frombuffer(c, np.uint8 if len(c) == COORDINATES else np.uint32) for c in counts]
+    return np.array(wide, np.int32).reshape(-1, COORDINATES)
 
 
-def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs ``a, b`` that are linked."""
-    left = held.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"), F.col("counts").alias("counts_a"))
-    right = held.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"), F.col("counts").alias("counts_b"))
+def possible(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs ``a, b`` whose summed coordinate minima allow a link."""
+    left, right = (points.select(F.col("doc_id").alias(x), F.col("counts").alias(f"counts_{x}")) for x in "ab")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            columns = [batch.column(c) for c in ("set_a", "set_b", "counts_a", "counts_b")]
-            for i in range(batch.num_rows):
-                sa, sb, ca, cb = (c[i].as_buffer() for c in columns)
-                na, nb = sa.size // 8, sb.size // 8
-                bound = int(np.minimum(np.frombuffer(ca, np.int32), np.frombuffer(cb, np.int32)).sum())
-                fits = 100 * bound >= percent * (na + nb - bound)  # more overlap than that bound is impossible
-                good.append(fits and linked(np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64), percent))
-            keep = pa.array(good, pa.bool_())
+            ca, cb = (unpacked(batch.column(c).to_pylist()) for c in ("counts_a", "counts_b"))
+            bound = np.minimum(ca, cb).sum(1)
+            keep = pa.array(100 * bound >= percent * (ca.sum(1) + cb.sum(1) - bound))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
     return pairs.join(left, "a").join(right, "b").mapInArrow(test, "a long, b long")
 
 
+def verified(pairs: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the pairs ``a, b`` whose sets are similar enough, by counting; ``held`` has compressed texts."""
+    left, right = (held.select(F.col("doc_id").alias(x), F.col("z").alias(f"z_{x}")) for x in "ab")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(at, PAIRS)
+                keep = pa.array(alike(expanded(part.column("z_a")), expanded(part.column("z_b"))))
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+
+    def alike(a: pa.Array, b: pa.Array) -> np.ndarray:
+        (row_a, a_found), (row_b, b_found) = shingles(a, size), shingles(b, size)
+        n = np.bincount(row_a, minlength=len(a)) + np.bincount(row_b, minlength=len(a))
+        row, found = np.r_[row_a, row_b], np.r_[a_found, b_found]
+        order = np.lexsort((found, row))
+        row, found = row[order], found[order]
+        both = np.bincount(row[1:][(row[1:] == row[:-1]) & (found[1:] == found[:-1])], minlength=len(a))
+        return (n > 0) & (100 * both >= percent * (n - both))
+
+    return pairs.join(left, "a").join(right, "b").mapInArrow(test, "a long, b long")
+
+
 def leaves(counts: np.ndarray, depth: int = 0) -> list[np.ndarray]:
     """Sort-tile packing: halves along the coordinate of the widest spread until a leaf is full."""
     stack, out = [np.arange(len(counts))], []
@@ -221,47 +222,66 @@ def tree_pairs(ids: np.ndarray, classes: np.ndarray, counts: np.ndarray, percent
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
 
-def remaining(cells: DataFrame, classes: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+def remaining(cells: DataFrame, classes: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """``a, b``: pairs in the cells that hold several classes, through their R-trees."""
-    mine = cells.join(classes, "doc_id").withColumn("class", F.coalesce("class", "doc_id"))
+    mine = cells.join(classes, "doc_id")
     several = mine.groupBy("cell").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y")
-    mine = mine.join(several.select("cell", "n"), "cell").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
-    mine = mine.withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    mine = written(mine.join(several.select("cell", "n"), "cell").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")), "several")
     small = mine.where("tiles = 1").groupBy("cell").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
     # cells with the same points are one
     small = small.groupBy("ids").agg(F.min("cell").alias("cell")).select("cell", F.lit(0).alias("i"), F.lit(0).alias("j"), F.explode("ids").alias("doc_id"))
-    # block t of a large cell meets each of its blocks: once in each pair (i, j) that has it
-    each = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    large = mine.where("tiles > 1").select("cell", "doc_id", "tile", each)
-    large = large.select("cell", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "doc_id")
-    rows = small.unionByName(large).join(classes, "doc_id").join(held.select("doc_id", "counts"), "doc_id")
-
-    def search(key, frame: pd.DataFrame) -> pd.DataFrame:
-        counts = np.stack([np.frombuffer(c, np.int32) for c in frame.counts])
-        pairs = tree_pairs(frame.doc_id.to_numpy(), frame["class"].to_numpy(), counts, percent)
-        return pd.DataFrame(pairs, columns=["a", "b"])
+    # of a large cell, each block of points outside its largest class meets all points, that class included
+    count = mine.where("tiles > 1").groupBy("cell", "class").agg(F.count(F.lit(1)).alias("k"))
+    major = count.groupBy("cell").agg(F.max_by("class", F.struct("k", "class")).alias("major"), (F.sum("k") - F.max("k")).alias("minor"))
+    large = mine.where("tiles > 1").drop("tiles").join(major, "cell")
+    large = large.withColumn("tiles", F.greatest(F.lit(1), F.ceil(F.col("minor") / TILE)).cast("int"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
+    spread = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.ceil(F.col("n") / TILE)).cast("int")
+    blocks = F.sequence(F.lit(0), F.col("tiles") - 1)
+    is_major = F.col("class") == F.col("major")
+    # key (i, j): block i of the others with block j of the others, or with block -1 - j of the largest class
+    keys = F.when(is_major, F.transform(blocks, lambda i: F.struct(i.alias("i"), (-1 - spread).alias("j"))))
+    with_others = F.transform(blocks, lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
+    with_major = F.transform(F.sequence(F.lit(0), F.ceil(F.col("n") / TILE).cast("int") - 1), lambda t: F.struct(own.alias("i"), (-1 - t).alias("j")))
+    large = large.select("cell", "doc_id", F.explode(keys.otherwise(F.concat(with_others, with_major))).alias("key")).select("cell", "key.i", "key.j", "doc_id")
+    rows = small.unionByName(large).join(classes, "doc_id").join(points.select("doc_id", "counts"), "doc_id")
+    trees = rows.groupBy("cell", "i", "j").agg(F.collect_list(F.struct("doc_id", "class", "counts")).alias("points"))  # at most 2 TILE points
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("points")
+            found = [np.zeros((0, 2), np.int64)]
+            for tree in held:
+                tree = tree.values
+                counts = unpacked(tree.field("counts").to_pylist())
+                found.append(tree_pairs(tree.field("doc_id").to_numpy(), tree.field("class").to_numpy(), counts, percent))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return rows.groupBy("cell", "i", "j").applyInPandas(search, "a long, b long").distinct()
+    return trees.mapInArrow(search, "a long, b long").distinct()
 
 
 def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every document."""
     docs = documents(docs)
-    signed_docs = written(signatures(docs, size), "signatures")
-    same = signed_docs.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("point"))
-    point_of = written(signed_docs.join(same, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("point", "doc_id").alias("point")), "points")
+    profile = written(profiles(docs, size, percent), "profiles")
+    same = profile.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("point"))
+    point_of = profile.select("doc_id", "n", "s1", "s2").join(same, ["n", "s1", "s2"], "left")
+    point_of = written(point_of.select("doc_id", "n", F.coalesce("point", "doc_id").alias("point")), "points")
     points = point_of.where("doc_id = point and n > 0").select("doc_id")
-    cells = filed(docs.join(points, "doc_id", "left_semi"), size, percent)
-    least = cells.groupBy("cell").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("cell", "least")
-    cells = written(cells.join(least, "cell"), "cells")
-    held = written(sets(docs.join(cells.select("doc_id").distinct(), "doc_id", "left_semi"), size), "sets")
-    star = cells.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = written(verified(star, held, percent), "links")
-    classes = held.select("doc_id").join(components(links), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("class"))
-    classes = written(classes, "classes")
-    more = verified(remaining(cells.drop("least"), classes, held, percent), held, percent)
-    links = written(links.unionByName(more), "links")
-    joined = components(links).withColumnRenamed("doc_id", "point")
+    # copies are filed, too: the least of a cell is a point, as a copy's point is less and in the same cells
+    filed = profile.select("doc_id", F.explode("cells").alias("cell"))
+    least = filed.groupBy("cell").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("cell", "least")
+    cells = written(filed.join(least, "cell"), "cells")
+    star = cells.where("doc_id <> least").select("least", "doc_id").distinct().join(points, "doc_id", "left_semi")
+    star = written(star.select(F.col("least").alias("a"), F.col("doc_id").alias("b")), "star")
+    ids = written(star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct(), "ids")
+    held = written(compressed(among(docs, ids)), "held")
+    # written in between, so that no task runs two Python workers
+    links = written(verified(written(possible(star, profile, percent), "possible"), held, size, percent), "links")
+    classes = written(ids.join(components(links), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("class")), "classes")
+    more = verified(written(remaining(cells.drop("least"), classes, profile, percent), "remaining"), held, size, percent)
+    joined = components(written(links.unionByName(more), "links")).withColumnRenamed("doc_id", "point")
     return point_of.join(joined, "point", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "point").alias("component_id"))
 
 

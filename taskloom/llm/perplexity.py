@@ -32,13 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskloom.llm.common import compressed, expanded, mixed, once_each, raw, steps, table, written
+from taskloom.llm.common import among, compressed, expanded, mixed, once_each, raw, steps, table, written
 
 ORDER, BITS = 5, 12
 LOW, HIGH = 0.0, 0.998
 TABLE_ROWS, BLOCK_BYTES = 3_000_000, 16 << 20
-#: Ids of trusted documents up to which they are broadcast, some 20 MB; more are joined by a shuffle of compressed texts.
-TRUSTED_IDS = 500_000
 START = 1
 
 
@@ -217,12 +215,7 @@ def by_blocks(docs: DataFrame, logp: DataFrame) -> DataFrame:
 
 def perplexities(docs: DataFrame, trusted: DataFrame, table_rows: int = TABLE_ROWS) -> DataFrame:
     """``doc_id, n_chars, perplexity`` of ``docs`` (doc_id, text) under the model of those in ``trusted`` (doc_id)."""
-    trusted = written(trusted, "trusted")
-    if trusted.count() <= TRUSTED_IDS:
-        texts = compressed(docs.join(F.broadcast(trusted), "doc_id", "left_semi"))  # leaves the texts where they are
-    else:
-        texts = compressed(docs).join(trusted, "doc_id", "left_semi")
-    counts = written(counted(texts), "counts")
+    counts = written(counted(compressed(among(docs, written(trusted, "trusted")))), "counts")
     if not counts.take(1):
         return docs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.lit(None).cast("double").alias("perplexity"))
 
