@@ -16,7 +16,7 @@ from taskloom.llm.bpe import decode, encode
 from taskloom.llm.common import once_each, table, written
 from taskloom.llm.decontamination import contamination
 from taskloom.llm.jaccard import similar
-from taskloom.llm.lines import without_repeats
+from taskloom.llm.lines import without_whole_runs
 from taskloom.llm.toxicity import scored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -36,9 +36,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of lines of 20 words or more are deleted but for their first copy."""
+    """Repeated runs of lines, from a few words on, are deleted whole but for their first copy."""
     docs = one_row_each(docs)
-    new = without_repeats(docs).select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"))
+    new = without_whole_runs(docs).select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"))
     return docs.select("doc_id", "lang", "source").join(new, "doc_id").select(COLUMNS)
 
 

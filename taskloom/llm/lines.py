@@ -18,6 +18,10 @@ while a long line, or short ones in the same order, are found wherever they recu
 Ranks are assigned to distinct values and joined back, so a line that a third of all documents share is one value, aggregated
 before the shuffle, and its places are spread by the skew join.
 
+``whole_runs`` finds maximal runs instead, as the pipeline and ``op10_runs`` delete them: every line that lies in any run of ``FEW_WORDS`` words
+or more that stands earlier.  A window's copies are told apart further by the lines that follow it, until those have enough words to be a window
+themselves.  Lines without words are no content there: they neither count nor break a run, and go if they stand between two deleted lines.
+
 Cases: null and empty texts are one empty line and stay; repeated and null ``doc_id`` as in ``common``; an empty table gives
 an empty result; other columns are ignored.
 """
@@ -36,10 +40,14 @@ from pyspark.sql import functions as F
 from taskloom.llm.common import _BYTE, documents, mixed, partitions, raw, signed, span_hashes, steps, table, words, written
 
 MIN_WORDS = 20
+#: Words of the shortest run that ``whole_runs`` finds: a single line of a few words is one.
+FEW_WORDS = 3
 
 
-def line_list(docs: DataFrame, min_words: int) -> DataFrame:
-    """``doc_id, line, x, y, need``: each line's hashes and the lines of its window, 0 if the text ends before."""
+def line_list(docs: DataFrame, min_words: int, blank: bool = True) -> DataFrame:
+    """``doc_id, line, x, y, need``: each line's hashes and the lines of its window, 0 if the text ends before.  Not ``blank``: only
+    lines with words, numbered without the others, and their words ``n``."""
+    more = [] if blank else ["n"]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -49,19 +57,23 @@ def line_list(docs: DataFrame, min_words: int) -> DataFrame:
             start = np.sort(np.r_[offsets[:-1], breaks + 1])
             own = np.sort(np.r_[np.arange(rows), np.searchsorted(offsets, breaks, "right") - 1])
             end = np.sort(np.r_[offsets[1:], breaks])
-            first = np.searchsorted(own, np.arange(rows))
-            line = np.arange(len(own)) - first[own]
             word_start, _, _ = words(data, offsets)
             before = np.searchsorted(word_start, np.r_[start, len(data)])  # words that begin before each line
+            if not blank:
+                full = np.diff(before) > 0
+                start, end, own, before = start[full], end[full], own[full], np.r_[before[:-1][full], before[-1]]
+            first = np.searchsorted(own, np.arange(rows))
+            line = np.arange(len(own)) - first[own]
             total = np.r_[before[first[1:]], before[-1]][own]  # by the text's end
             reach = before[:-1] + min_words
             last = np.searchsorted(before, reach) - 1  # the line in which the window's last word begins
             need = np.where(reach <= total, last - np.arange(len(own)) + 1, 0)
             x, y = (span_hashes(values, start, end) for values in (_BYTE[data], mixed(_BYTE)[data]))
-            columns = [batch.column("doc_id").take(pa.array(own)), pa.array(line.astype(np.int32)), pa.array(signed(x)), pa.array(signed(y)), pa.array(need.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "x", "y", "need"])
+            columns = [batch.column("doc_id").take(pa.array(own)), pa.array(line.astype(np.int32)), pa.array(signed(x)), pa.array(signed(y)), pa.array(need.astype(np.int32)), pa.array(np.diff(before).astype(np.int32))]
+            names = ["doc_id", "line", "x", "y", "need", *more]
+            yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
 
-    return docs.mapInArrow(split, "doc_id long, line int, x long, y long, need int")
+    return docs.mapInArrow(split, ", ".join(["doc_id long, line int, x long, y long, need int", *(f"{c} int" for c in more)]))
 
 
 def in_order(values: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -111,21 +123,50 @@ def doubled(lines: DataFrame) -> tuple[DataFrame, int]:
     return rows, k + 1
 
 
-def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, line, need, first_doc, first_line`` of every window that stands earlier, and where first."""
-    rows, levels = doubled(line_list(docs, min_words))
+def window_ranks(rows: DataFrame, levels: int) -> DataFrame:
+    """``doc_id, line, need, a, b`` of the windows that can be repeated; equal need, a and b mean equal contents."""
     level = F.coalesce(*(F.when(F.col("need") < 2 << k, k) for k in range(levels)))
     rank = F.coalesce(*(F.when(F.col("level") == k, F.col(f"r{k}")) for k in range(levels)))
     window = rows.where("need > 0").withColumn("level", level).select("doc_id", "line", "need", "level", rank.alias("a"))
     window = window.where("a is not null").withColumn("upto", F.expr("cast(line + need - shiftleft(1, level) as int)"))
     every = rows.select("doc_id", F.col("line").alias("upto"), *(f"r{k}" for k in range(levels)))
-    window = window.join(every, ["doc_id", "upto"]).select("doc_id", "line", "need", "a", rank.alias("b")).where("b is not null")
+    return window.join(every, ["doc_id", "upto"]).select("doc_id", "line", "need", "a", rank.alias("b")).where("b is not null")
+
+
+def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``doc_id, line, need, first_doc, first_line`` of every window that stands earlier, and where first."""
+    window = window_ranks(*doubled(line_list(docs, min_words)))
     first = window.groupBy("need", "a", "b").agg(F.min(F.struct("doc_id", "line")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = first.select("need", "a", "b", F.col("f.doc_id").alias("first_doc"), F.col("f.line").alias("first_line"))
     again = window.join(first, ["need", "a", "b"]).where((F.col("doc_id") != F.col("first_doc")) | (F.col("line") != F.col("first_line")))
     return again.select("doc_id", "line", "need", "first_doc", "first_line")
 
 
+def whole_runs(docs: DataFrame, min_words: int = FEW_WORDS) -> DataFrame:
+    """``doc_id, line, need``: from each window that stands earlier, the longest run of lines that stands earlier.
+
+    A run is cut into its window and a tail.  Tails need not be followed over ``min_words`` words: from there on a window begins that
+    stands earlier too.  All copies of a window, the first as well, list the beginnings of their tails; of equal ones all but the
+    first place are repeats.
+    """
+    rows, levels = doubled(line_list(docs, min_words, blank=False))
+    place, content = ["doc_id", "line"], ["need", "a", "b"]
+    window = window_ranks(rows, levels)
+    several = window.groupBy(*content).agg(F.min(F.struct(*place)).alias("f"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    window = written(window.join(several.drop("copies"), content).withColumn("again", F.struct(*place) != F.col("f")).drop("f"), "windows")
+    ahead = Window.partitionBy("doc_id", "run").orderBy("line").rowsBetween(0, max(0, min_words - 2))  # a line has a word at least
+    tails = rows.select("doc_id", F.col("line").alias("upto"), F.col("n").alias("n_"), F.collect_list(F.struct("r0", "n")).over(ahead).alias("next")).where(F.col("n_") < min_words)
+    window_end = window.withColumn("upto", F.col("line") + F.col("need"))
+    longer = window_end.join(tails, ["doc_id", "upto"]).withColumn("t", F.explode(F.sequence(F.lit(1), F.size("next"))))
+    longer = longer.withColumn("tail", F.slice("next", F.lit(1), F.col("t"))).where(F.aggregate("tail", F.lit(0), lambda s, x: s + x.n) < min_words)
+    longer = longer.select(*place, *content, "t", F.transform("tail", lambda x: x.r0).alias("tail"), "again")
+    equal = longer.groupBy(*content, "tail").agg(F.min(F.struct(*place)).alias("f"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    longer = longer.where("again").join(equal.drop("copies"), [*content, "tail"]).where(F.struct(*place) != F.col("f"))
+    longer = longer.groupBy(*place).agg(F.max("t").alias("t"))
+    found = window.where("again").select(*place, "need").join(longer, place, "left")
+    return found.select(*place, (F.col("need") + F.coalesce("t", F.lit(0))).alias("need"))
+
+
 def runs(windows: DataFrame) -> DataFrame:
     """``doc_id, start, upto``: the maximal runs that the windows cover."""
     in_order = Window.partitionBy("doc_id").orderBy("line")
@@ -136,9 +177,20 @@ def runs(windows: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, n_lines, n_removed, text`` of every document, its repeated runs deleted."""
+    """``doc_id, n_lines, n_removed, text`` of every document, its repeated runs of windows deleted."""
     docs = documents(docs)
-    gone = runs(repeated_windows(docs, min_words)).groupBy("doc_id").agg(F.collect_list(F.struct("start", "upto")).alias("gone"))
+    return deleted(docs, repeated_windows(docs, min_words))
+
+
+def without_whole_runs(docs: DataFrame, min_words: int = FEW_WORDS) -> DataFrame:
+    """``doc_id, n_lines, n_removed, text`` of every document, its maximal repeated runs deleted."""
+    docs = documents(docs)
+    return deleted(docs, whole_runs(docs, min_words), blank=False)
+
+
+def deleted(docs: DataFrame, found: DataFrame, blank: bool = True) -> DataFrame:
+    """The documents without the runs; not ``blank``: lines without words have no number."""
+    gone = runs(found).groupBy("doc_id").agg(F.collect_list(F.struct("start", "upto")).alias("gone"))
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -146,8 +198,9 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
                 own = text.split("\n")
                 lines.append(len(own))
+                at = range(len(own)) if blank or not spans else [i for i, x in enumerate(own) if x.strip(" \t\n\v\f\r")]
                 for span in sorted(spans or (), key=lambda x: -x["start"]):
-                    del own[span["start"] : span["upto"]]
+                    del own[at[span["start"]] : at[span["upto"] - 1] + 1]
                 removed.append(lines[-1] - len(own))
                 kept.append("\n".join(own))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_removed", "text"])
@@ -159,11 +212,16 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_whole_runs(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 OP10_SQL = r"""
 WITH l AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL
 ), x AS (
-  SELECT doc_id, ls, i, len(list_filter(string_split_regex(ls[i], '[ 	-]+'), lambda w: w <> '')) AS n FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l)
+  SELECT doc_id, ls, i, len(list_filter(string_split_regex(ls[i], '[ 	-
+]+'), lambda w: w <> '')) AS n FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l)
 ), c AS (
   SELECT doc_id, ls, i, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
     sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM x

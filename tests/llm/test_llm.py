@@ -226,6 +226,38 @@ def test_line_dedup(spark):
     assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in lines.without_repeats(table(spark, texts)).collect()} == want
 
 
+@pytest.mark.parametrize("seed,floor", [(1, 3), (2, 8), (3, 20)])
+def test_whole_runs_of_lines(spark, seed, floor):
+    rng = random.Random(seed)
+    pool = ["", " \t", *(" ".join(rng.choice(["aa", "bb", "cc"]) for _ in range(rng.choice([1, 1, 2, 3, 8, 25]))) for _ in range(12))]
+    texts = [None, "", "\n\n", *("\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for _ in range(80))]
+    texts += ["short head line\nv\nx1", "short head line\nw", "short head line\nv\n\nend"]
+    split, full, seen, want = {}, {}, set(), {}
+    for i, t in enumerate(texts):
+        split[i] = (t or "").split("\n")
+        full[i] = [k for k, x in enumerate(split[i]) if x.split()]
+    for i, at in full.items():
+        gone, n = set(), [len(split[i][k].split()) for k in at]
+        for s in range(len(at)):
+            for e in range(s + 1, len(at) + 1):
+                run = tuple(split[i][k] for k in at[s:e])
+                if sum(n[s:e]) >= floor:
+                    gone |= set(range(s, e)) if run in seen else set()
+                    seen.add(run)
+        lost = {at[k] for k in gone} | {x for k in gone if k + 1 in gone for x in range(at[k], at[k + 1])}
+        want[i] = (len(split[i]), len(lost), "\n".join(x for k, x in enumerate(split[i]) if k not in lost))
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in lines.without_whole_runs(table(spark, texts), floor).collect()}
+    assert got == want
+
+
+def test_the_pipeline_deletes_short_repeats_and_whole_runs(spark):
+    import corpus_pipeline
+
+    passage = "\n".join([" ".join(f"w{k}x{i}" for i in range(12)) for k in range(4)] + ["its last line"])
+    docs = spark.createDataFrame([(1, f"one\n{passage}", "en", "s", 0), (2, f"{passage}\ntwo", "en", "s", 0), (3, "its last line\nthree", "en", "s", 0)], DOCS)
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {1: f"one\n{passage}", 2: "two", 3: "three"}
+
+
 def test_toxicity_is_learnt(spark):
     rng = random.Random(2)
     plain = [f"w{i}x" for i in range(300)]
