@@ -117,3 +117,21 @@ def chains(nodes: DataFrame, causal: DataFrame, longest: int = 12) -> DataFrame:
         ended = paths.join(last, ["video_id", "at"], "left_semi").select("video_id", "path")
         out = ended if out is None else out.unionByName(ended)
     return out
+
+
+def chain_counts(causal: DataFrame) -> DataFrame:
+    """``video_id, path_length, num_paths``: how many causal paths from roots to leaves have so many nodes, for all lengths.  The paths to
+    each node are counted length by length, not listed.  Counts are exact up to 38 digits; beyond, Spark's ANSI mode fails."""
+    inner = kept(causal.select("video_id", "source", "target"))
+    ends = kept(inner.select("video_id", F.col("source").alias("seg_id")).union(inner.select("video_id", "target")).distinct())
+    last = leaves(ends, inner).withColumnRenamed("seg_id", "at")
+    most = ends.groupBy("video_id").count().agg(F.max("count")).first()[0] or 0
+    at = kept(roots(ends, inner).select("video_id", F.col("seg_id").alias("at"), F.lit(1).cast("decimal(38,0)").alias("n")))
+    out, length = at.withColumn("path_length", F.lit(1).cast("long")), 1
+    while at.take(1):
+        if length > most:
+            raise ValueError("the causal graph has a cycle")
+        ahead = at.join(inner.withColumnRenamed("source", "at"), ["video_id", "at"])
+        at, length = kept(ahead.groupBy("video_id", F.col("target").alias("at")).agg(F.sum("n").alias("n"))), length + 1
+        out = out.unionByName(at.withColumn("path_length", F.lit(length).cast("long")))
+    return out.join(last, ["video_id", "at"], "left_semi").groupBy("video_id", "path_length").agg(F.sum("n").alias("num_paths"))

@@ -428,6 +428,12 @@ def causal_chains(spark, sf_dir):
     return graph.chains(t.segments, near, 6).groupBy("video_id", F.size("path").cast("long").alias("path_length")).agg(F.count(F.lit(1)).alias("num_paths"))
 
 
+@query()
+def causal_paths(spark, sf_dir):
+    """Chains over all causal edges, of any length, counted by length."""
+    return graph.chain_counts(Tables(spark, sf_dir).causal)
+
+
 JOINT_GAP = """SELECT video_id, frame_idx, joint, round(CASE WHEN fill THEN px + (nx - px) * (frame_idx - pf) / (nf - pf) ELSE x END, 6) AS x, fill AS filled FROM (SELECT *, x IS NULL AND coalesce(nf - pf - 1 <= 5, false) AS fill FROM (SELECT *,
   last_value(x IGNORE NULLS) OVER p AS px, last_value(i IGNORE NULLS) OVER p AS pf, first_value(x IGNORE NULLS) OVER q AS nx, first_value(i IGNORE NULLS) OVER q AS nf FROM (SELECT *, CASE WHEN x IS NOT NULL THEN frame_idx END AS i FROM pj)
   WINDOW p AS (PARTITION BY video_id, joint ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), q AS (PARTITION BY video_id, joint ORDER BY frame_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)))"""

@@ -1,6 +1,9 @@
 """Closed-form cases of the operators on recordings, and the registered queries against SQL on the smallest tables."""
 
+import collections
+import functools
 import glob
+import math
 import os
 
 import duckdb
@@ -147,6 +150,36 @@ def test_chains(spark):
     assert rows(graph.topological(nodes, edges).select("seg_id", "level"), "seg_id") == [(0, 0), (1, 1), (2, 1), (3, 2)]
 
 
+def test_chains_are_counted_over_all_edges_and_lengths(spark):
+    far = [(1, a, b) for a in range(40) for b in range(a + 1, 40)]  # a path of k nodes for each choice of k - 2 of 38
+    edges = spark.createDataFrame([*far, (2, 0, 9), (2, 9, 4), (2, 3, 9)], "video_id long, source long, target long")
+    got = {(r.video_id, r.path_length): int(r.num_paths) for r in graph.chain_counts(edges).collect()}
+    assert got == {**{(1, k): math.comb(38, k - 2) for k in range(2, 41)}, (2, 3): 2}
+    assert graph.chain_counts(edges.limit(0)).count() == 0
+
+
+def test_causal_paths_cross_far_segments(spark):
+    from taskloom.plans.queries import Tables
+
+    edges = [(r.video_id, r.source, r.target) for r in Tables(spark, SF).causal.collect()]
+    ahead, targets = collections.defaultdict(list), {(v, b) for v, _, b in edges}
+    for v, a, b in edges:
+        ahead[v, a].append((v, b))
+
+    @functools.cache
+    def below(node):
+        if node not in ahead:
+            return {1: 1}
+        return sum((collections.Counter({k + 1: n for k, n in below(b).items()}) for b in ahead[node]), collections.Counter())
+
+    want = collections.Counter()
+    for node in ahead:
+        if node not in targets:
+            want.update({(node[0], k): n for k, n in below(node).items()})
+    assert {(r.video_id, r.path_length): int(r.num_paths) for r in QUERIES["causal_paths"](spark, SF).collect()} == want
+    assert any(b - a > 2 for _, a, b in edges)
+
+
 def test_similarity_is_recovered(spark):
     points = [(j, 50.0 + 31 * j % 400, 60.0 + 17 * j % 300) for j in range(17)]
     data = [(1, 0, j, x, y, 1.0, 0.004 * x - 1.2, 0.004 * y - 0.8, 0.1) for j, x, y in points]
