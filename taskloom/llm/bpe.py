@@ -7,11 +7,14 @@ are dealt over the cluster:
 
 1. Each chunk is pre-tokenised on its own.  A pre-token counts as known only if two further
    characters were in sight, the farthest that the pattern looks ahead.
-2. Neighbours are stitched: the first boundary in the overlap that both found is where they
-   resynchronise.  From a common boundary on, the pattern finds the same pre-tokens in both.
+2. Neighbours are stitched: the first *firm* boundary in the overlap that both found is where they
+   resynchronise.  From a common boundary on, the pattern finds the same pre-tokens in both.  A boundary is firm if a piece
+   that ends there has the same pre-tokens as in the whole text, under any edition of Unicode: no white space stands before it (at
+   the end of a piece the pattern would take a run of that whole), and either white space follows, or two characters of
+   different classes meet that have been in Unicode since version 3.2 (later letters are unknown to some libraries).
 3. The pieces between those points are encoded in parallel, and the ids joined in order.
 
-Where two neighbours never agree within the overlap (a run of letters longer than it, say), the
+Where two neighbours never agree firmly within the overlap (a run of letters longer than it, say), the
 document is encoded in one piece, so the result is exact for every text.
 
 ``decode`` concatenates the bytes of the ids.
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -72,6 +76,22 @@ class Vocabulary:
         return b"".join(map(self._own()[2].__getitem__, ids))
 
 
+def character_class(c: str) -> str:
+    """White space, a letter, a number, or any other; empty if libraries may disagree."""
+    if c.isspace() and not "\x1c" <= c <= "\x1f":
+        return "space"
+    kind = unicodedata.ucd_3_2_0.category(c)
+    return "" if kind == "Cn" else kind[0] if kind[0] in "LN" else "other"
+
+
+def firm(text: str, at: int) -> bool:
+    """Whether a pre-token that ends at ``at`` ends there for certain, and also if the text does."""
+    before, after = character_class(text[at - 1]), character_class(text[at])
+    if before == "space":
+        return False
+    return after == "space" or (before != after and "" not in (before, after) and text[at - 1] != "'")  # an apostrophe may begin "'s"
+
+
 def chunks(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
     """``doc_id, k, at, text``: chunk k starts at character ``at``; its text ends in the overlap."""
 
@@ -95,8 +115,8 @@ def boundaries(cut: DataFrame, vocabulary: Vocabulary, chunk: int, overlap: int)
             for at, text in zip(batch.column("at").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ends = [0, *(e for e in vocabulary.ends(text) if e + AHEAD <= len(text))]
                 upto.append(at + len(text))
-                head.append([at + e for e in ends if e <= overlap])
-                tail.append([at + e for e in ends if e >= chunk])
+                head.append([at + e for e in ends if e <= overlap and (not e or firm(text, e))])
+                tail.append([at + e for e in ends if e >= chunk and firm(text, e)])
             kept = [batch.column(c) for c in ("doc_id", "k", "at")]
             found = [pa.array(upto, pa.int64()), pa.array(head, pa.list_(pa.int64())), pa.array(tail, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*kept, *found], names=["doc_id", "k", "at", "upto", "head", "tail"])
