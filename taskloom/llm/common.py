@@ -28,9 +28,14 @@ STEP_BYTES = 1 << 19
 BATCH_ROWS = 1000
 #: Ids up to which a set of documents is broadcast, some 20 MB; larger sets are joined by a shuffle.
 FEW_IDS = 500_000
+#: A key with more than this part of all rows is dealt to many tasks.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder, as queries and stages read it; as texts are long, they have few of them in a batch for Python.  Operators
+    called with other tables leave the session's settings alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -73,8 +78,7 @@ def once_each(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def documents(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``text`` by the rules above.  Texts are long, so batches for Python are set to hold fewer rows."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """``doc_id`` and ``text`` by the rules above."""
     return once_each(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "text")
 
 
@@ -83,6 +87,22 @@ def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_semi")
 
 
+def dealt_join(rows: DataFrame, values: DataFrame, key: list[str], n: str, by: str, ways: int = 64) -> DataFrame:
+    """``rows`` joined with ``values``, which has each key once and in ``n`` how many rows it has; ``n`` is dropped.
+
+    Keys with more than a ``HOT``-th of all those rows, hence fewer than ``HOT`` of them, are hot: their rows are dealt to ``ways`` tasks by a
+    hash of ``by`` and their values go to all of these, so no task gets all the rows of a key.
+    """
+    most = (values.agg(F.sum(n)).first()[0] or 0) // HOT + 1000
+    hot = values.where(F.col(n) > most)
+    if not hot.take(1):
+        return rows.join(values.drop(n), key)
+    salt = F.pmod(F.xxhash64(F.col(by)), F.lit(ways)).cast("int")
+    rows = rows.join(F.broadcast(hot.select(*key, F.lit(True).alias("hot_"))), key, "left").withColumn("salt_", F.when(F.col("hot_"), salt).otherwise(0)).drop("hot_")
+    values = values.withColumn("salt_", F.explode(F.when(F.col(n) > most, F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))))
+    return rows.join(values.drop(n), [*key, "salt_"]).drop("salt_")
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that each holds about ``limit`` bytes of text, or one text."""
     for batch in batches:

@@ -1,26 +1,23 @@
 """Line deduplication: a suffix array over line identifiers by distributed prefix doubling.
 
 Lines are the parts of a text between newlines; the words of a line are its runs of characters other than ASCII white
-space.  A *window* is the shortest run of whole lines, from a line on, that has ``min_words`` words.  A repeated run
-is a run of lines made of windows that all stand earlier as well (at a smaller doc_id, or in the same document above);
-all its lines are deleted, so the first copy stays.  Windows are judged on the input, and lines that follow the last
-window of a run and are too few for a further one stay.  A header line of a few words that many documents share is therefore left alone,
-while a long line, or short ones in the same order, are found wherever they recur.
+space.  A *repeated run* is a run of lines with at least ``min_words`` words in all that stands earlier as well (at a smaller doc_id,
+or in the same document above).  All lines of repeated runs are deleted, so the first copy stays: a single line of a few words, and
+a passage of many lines to its last.  Lines without words are no content: they neither count nor break a run, and go if
+they stand between two deleted lines.
 
 1. Lines get ranks: the distinct lines that occur twice or more, numbered in order of their 128-bit hashes by a distributed
-   sort.  All other lines break runs and are dropped.
+   sort.  All other lines end every common prefix and are dropped.
 2. Prefix doubling: the rank of the 2h lines from a line on is the rank of the pair (rank of h lines there, rank of h
-   lines further on), numbered by a distributed sort again.  Pairs that occur once are dropped.  It ends when 2h exceeds
-   the lines of any window.
-3. Windows of equal content are an interval of the suffix array whose common prefixes reach over the window: they have equal ranks
-   of the largest power of two lines from either end.  The interval's first place is kept, the others are deleted.
+   lines further on), numbered by a distributed sort again.  Pairs that occur once are dropped: such suffixes have their place.
+3. A *window* is the shortest run from a line on that has ``min_words`` words.  Suffixes whose common prefix reaches over the window are an
+   interval of the suffix array: they have equal ranks of the largest power of two lines from either end of the window.
+   Doubling ends when no window is longer, as common prefixes beyond a window are made of the windows that begin in it.
+4. An interval's first place is kept, and all others are repeats.  Those are followed beyond their window, line by line, until
+   the lines there have enough words to be a window themselves.  What the windows and tails cover are the maximal runs.
 
 Ranks are assigned to distinct values and joined back, so a line that a third of all documents share is one value, aggregated
-before the shuffle, and its places are spread by the skew join.
-
-``whole_runs`` finds maximal runs instead, as the pipeline and ``op10_runs`` delete them: every line that lies in any run of ``FEW_WORDS`` words
-or more that stands earlier.  A window's copies are told apart further by the lines that follow it, until those have enough words to be a window
-themselves.  Lines without words are no content there: they neither count nor break a run, and go if they stand between two deleted lines.
+before the shuffle; its places are dealt to many tasks (``dealt_join``).
 
 Cases: null and empty texts are one empty line and stay; repeated and null ``doc_id`` as in ``common``; an empty table gives
 an empty result; other columns are ignored.
@@ -37,17 +34,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from taskloom.llm.common import _BYTE, documents, mixed, partitions, raw, signed, span_hashes, steps, table, words, written
+from taskloom.llm.common import _BYTE, dealt_join, documents, mixed, partitions, raw, signed, span_hashes, steps, table, words, written
 
-MIN_WORDS = 20
-#: Words of the shortest run that ``whole_runs`` finds: a single line of a few words is one.
-FEW_WORDS = 3
+#: Words of the shortest run that is deleted: a single line of a few words is one.
+MIN_WORDS = 3
 
 
-def line_list(docs: DataFrame, min_words: int, blank: bool = True) -> DataFrame:
-    """``doc_id, line, x, y, need``: each line's hashes and the lines of its window, 0 if the text ends before.  Not ``blank``: only
-    lines with words, numbered without the others, and their words ``n``."""
-    more = [] if blank else ["n"]
+def line_list(docs: DataFrame, min_words: int) -> DataFrame:
+    """``doc_id, line, x, y, need, n`` of the lines with words, numbered without the others: their hashes, the lines of their windows, 0 if
+    the text ends before, and their words."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -59,9 +54,8 @@ def line_list(docs: DataFrame, min_words: int, blank: bool = True) -> DataFrame:
             end = np.sort(np.r_[offsets[1:], breaks])
             word_start, _, _ = words(data, offsets)
             before = np.searchsorted(word_start, np.r_[start, len(data)])  # words that begin before each line
-            if not blank:
-                full = np.diff(before) > 0
-                start, end, own, before = start[full], end[full], own[full], np.r_[before[:-1][full], before[-1]]
+            full = np.diff(before) > 0
+            start, end, own, before = start[full], end[full], own[full], np.r_[before[:-1][full], before[-1]]
             first = np.searchsorted(own, np.arange(rows))
             line = np.arange(len(own)) - first[own]
             total = np.r_[before[first[1:]], before[-1]][own]  # by the text's end
@@ -70,10 +64,9 @@ def line_list(docs: DataFrame, min_words: int, blank: bool = True) -> DataFrame:
             need = np.where(reach <= total, last - np.arange(len(own)) + 1, 0)
             x, y = (span_hashes(values, start, end) for values in (_BYTE[data], mixed(_BYTE)[data]))
             columns = [batch.column("doc_id").take(pa.array(own)), pa.array(line.astype(np.int32)), pa.array(signed(x)), pa.array(signed(y)), pa.array(need.astype(np.int32)), pa.array(np.diff(before).astype(np.int32))]
-            names = ["doc_id", "line", "x", "y", "need", *more]
-            yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "x", "y", "need", "n"])
 
-    return docs.mapInArrow(split, ", ".join(["doc_id long, line int, x long, y long, need int", *(f"{c} int" for c in more)]))
+    return docs.mapInArrow(split, "doc_id long, line int, x long, y long, need int, n int")
 
 
 def in_order(values: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -133,27 +126,19 @@ def window_ranks(rows: DataFrame, levels: int) -> DataFrame:
     return window.join(every, ["doc_id", "upto"]).select("doc_id", "line", "need", "a", rank.alias("b")).where("b is not null")
 
 
-def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, line, need, first_doc, first_line`` of every window that stands earlier, and where first."""
-    window = window_ranks(*doubled(line_list(docs, min_words)))
-    first = window.groupBy("need", "a", "b").agg(F.min(F.struct("doc_id", "line")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = first.select("need", "a", "b", F.col("f.doc_id").alias("first_doc"), F.col("f.line").alias("first_line"))
-    again = window.join(first, ["need", "a", "b"]).where((F.col("doc_id") != F.col("first_doc")) | (F.col("line") != F.col("first_line")))
-    return again.select("doc_id", "line", "need", "first_doc", "first_line")
-
-
-def whole_runs(docs: DataFrame, min_words: int = FEW_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, line, need``: from each window that stands earlier, the longest run of lines that stands earlier.
 
     A run is cut into its window and a tail.  Tails need not be followed over ``min_words`` words: from there on a window begins that
     stands earlier too.  All copies of a window, the first as well, list the beginnings of their tails; of equal ones all but the
     first place are repeats.
     """
-    rows, levels = doubled(line_list(docs, min_words, blank=False))
+    rows, levels = doubled(line_list(docs, min_words))
     place, content = ["doc_id", "line"], ["need", "a", "b"]
     window = window_ranks(rows, levels)
     several = window.groupBy(*content).agg(F.min(F.struct(*place)).alias("f"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    window = written(window.join(several.drop("copies"), content).withColumn("again", F.struct(*place) != F.col("f")).drop("f"), "windows")
+    window = dealt_join(window, written(several, "several"), content, "copies", "doc_id")
+    window = written(window.withColumn("again", F.struct(*place) != F.col("f")).drop("f"), "windows")
     ahead = Window.partitionBy("doc_id", "run").orderBy("line").rowsBetween(0, max(0, min_words - 2))  # a line has a word at least
     tails = rows.select("doc_id", F.col("line").alias("upto"), F.col("n").alias("n_"), F.collect_list(F.struct("r0", "n")).over(ahead).alias("next")).where(F.col("n_") < min_words)
     window_end = window.withColumn("upto", F.col("line") + F.col("need"))
@@ -177,19 +162,13 @@ def runs(windows: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, n_lines, n_removed, text`` of every document, its repeated runs of windows deleted."""
-    docs = documents(docs)
-    return deleted(docs, repeated_windows(docs, min_words))
-
-
-def without_whole_runs(docs: DataFrame, min_words: int = FEW_WORDS) -> DataFrame:
-    """``doc_id, n_lines, n_removed, text`` of every document, its maximal repeated runs deleted."""
+    """``doc_id, n_lines, n_removed, text`` of every document, its repeated runs deleted."""
     docs = documents(docs)
-    return deleted(docs, whole_runs(docs, min_words), blank=False)
+    return deleted(docs, repeats(docs, min_words))
 
 
-def deleted(docs: DataFrame, found: DataFrame, blank: bool = True) -> DataFrame:
-    """The documents without the runs; not ``blank``: lines without words have no number."""
+def deleted(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents without the runs, which number the lines that have words."""
     gone = runs(found).groupBy("doc_id").agg(F.collect_list(F.struct("start", "upto")).alias("gone"))
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +177,7 @@ def deleted(docs: DataFrame, found: DataFrame, blank: bool = True) -> DataFrame:
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
                 own = text.split("\n")
                 lines.append(len(own))
-                at = range(len(own)) if blank or not spans else [i for i, x in enumerate(own) if x.strip(" \t\n\v\f\r")]
+                at = [i for i, x in enumerate(own) if x.strip(" \t\n\v\f\r")] if spans else []
                 for span in sorted(spans or (), key=lambda x: -x["start"]):
                     del own[at[span["start"]] : at[span["upto"] - 1] + 1]
                 removed.append(lines[-1] - len(own))
@@ -212,27 +191,28 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-def op10_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_whole_runs(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
-
-
 OP10_SQL = r"""
 WITH l AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL
 ), x AS (
-  SELECT doc_id, ls, i, len(list_filter(string_split_regex(ls[i], '[ 	-
-]+'), lambda w: w <> '')) AS n FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l)
-), c AS (
-  SELECT doc_id, ls, i, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-    sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM x
-), w AS (
-  SELECT a.doc_id, a.i, min(b.i) AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto >= a.before + 20 GROUP BY a.doc_id, a.i
-), k AS (
-  SELECT w.doc_id, i, j, row_number() OVER (PARTITION BY array_to_string(ls[i : j], chr(10)) ORDER BY w.doc_id, i) AS r FROM w JOIN l ON l.doc_id = w.doc_id
+  SELECT doc_id, i, ls[i] AS s, len(list_filter(string_split_regex(ls[i], '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l)
+), f AS (
+  SELECT doc_id, i, s, n, row_number() OVER d AS p, lead(i) OVER d AS i2, lead(s) OVER d AS s2, lead(n) OVER d AS n2, lead(s, 2) OVER d AS s3
+  FROM x WHERE n > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), r AS ( -- a run of three words or more is made of such runs of at most three lines, as each line has a word
+  SELECT doc_id, p, 1 AS k, s AS c FROM f WHERE n >= 3
+  UNION ALL SELECT doc_id, p, 2, s || chr(10) || s2 FROM f WHERE n + n2 >= 3
+  UNION ALL SELECT doc_id, p, 3, s || chr(10) || s2 || chr(10) || s3 FROM f WHERE s3 IS NOT NULL
+), again AS (
+  SELECT doc_id, p, k FROM (SELECT *, row_number() OVER (PARTITION BY k, c ORDER BY doc_id, p) AS place FROM r) WHERE place > 1
 ), gone AS (
-  SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, j + 1)) AS p FROM k WHERE r > 1) GROUP BY doc_id
+  SELECT DISTINCT doc_id, unnest(range(p, p + k)) AS p FROM again
+), marked AS (
+  SELECT f.doc_id, f.i, f.i2, lead(gone.p) OVER (PARTITION BY f.doc_id ORDER BY f.p) = f.p + 1 AS on_, gone.p IS NOT NULL AS out FROM f LEFT JOIN gone ON gone.doc_id = f.doc_id AND gone.p = f.p
+), lost AS (
+  SELECT doc_id, list(i) AS ps FROM (SELECT doc_id, unnest(CASE WHEN on_ THEN range(i, i2) ELSE [i] END) AS i FROM marked WHERE out) GROUP BY doc_id
 )
 SELECT l.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
   sha256(array_to_string(CASE WHEN ps IS NULL THEN ls ELSE list_filter(ls, lambda s, i: NOT list_contains(ps, i)) END, chr(10))) AS kept_sha256
-FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id
+FROM l LEFT JOIN lost ON lost.doc_id = l.doc_id
 """

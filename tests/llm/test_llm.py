@@ -205,27 +205,6 @@ def test_pii_keeps_base_spans_and_adds_sure_ones(spark):
     assert rows[2].spans.startswith("email:5:14,phone:23:40") and (rows[3].n_card, rows[3].n_ip) == (1, 1)
 
 
-def test_line_dedup(spark):
-    rng = random.Random(9)
-    pool = [" ".join(rng.choice(["aa", "bb", "cc"]) for _ in range(rng.choice([0, 1, 3, 8, 25]))) for _ in range(14)]
-    texts = [None, "", "\n\n", *("\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for _ in range(80))]
-    places, split = collections.defaultdict(list), {}
-    for i, t in enumerate(texts):
-        split[i] = (t or "").split("\n")
-        n = [len(x.split()) for x in split[i]]
-        for s in range(len(n)):
-            for e in range(s, len(n)):
-                if sum(n[s : e + 1]) >= 20:
-                    places[tuple(split[i][s : e + 1])].append((i, s, e + 1))
-                    break
-    gone = collections.defaultdict(set)
-    for found in places.values():
-        for i, s, e in sorted(found)[1:]:
-            gone[i] |= set(range(s, e))
-    want = {i: (len(x), len(gone[i]), "\n".join(v for k, v in enumerate(x) if k not in gone[i])) for i, x in split.items()}
-    assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in lines.without_repeats(table(spark, texts)).collect()} == want
-
-
 @pytest.mark.parametrize("seed,floor", [(1, 3), (2, 8), (3, 20)])
 def test_whole_runs_of_lines(spark, seed, floor):
     rng = random.Random(seed)
@@ -246,7 +225,7 @@ def test_whole_runs_of_lines(spark, seed, floor):
                     seen.add(run)
         lost = {at[k] for k in gone} | {x for k in gone if k + 1 in gone for x in range(at[k], at[k + 1])}
         want[i] = (len(split[i]), len(lost), "\n".join(x for k, x in enumerate(split[i]) if k not in lost))
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in lines.without_whole_runs(table(spark, texts), floor).collect()}
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in lines.without_repeats(table(spark, texts), floor).collect()}
     assert got == want
 
 
