@@ -29,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskloom.llm.common import among, compressed, documents, expanded, lower_ascii, mixed, raw, signed, span_hashes, steps, table, word_hashes, words, written
+from taskloom.llm.common import STEP_BYTES, among, compressed, documents, expanded, lower_ascii, mixed, raw, signed, span_hashes, steps, table, word_hashes, words, written
 from taskloom.llm.components import components
 
 SIZE, PERCENT = 4, 85
@@ -40,8 +41,6 @@ SIZE, PERCENT = 4, 85
 FEW = 64
 #: Coordinates of a point, points of a leaf, points of a block of a large cell.
 COORDINATES, LEAF, TILE = 256, 16, 1024
-#: Pairs that are verified at once.
-PAIRS = 256
 _U = np.uint64
 
 
@@ -173,11 +172,17 @@ def verified(pairs: DataFrame, held: DataFrame, size: int, percent: int) -> Data
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, PAIRS):
-                part = batch.slice(at, PAIRS)
+            for part in by_length(batch):
                 keep = pa.array(alike(expanded(part.column("z_a")), expanded(part.column("z_b"))))
                 yield pa.RecordBatch.from_arrays([part.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
+    def by_length(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Cut so that the two texts of all pairs have about ``STEP_BYTES``, or a part is one pair."""
+        size = [sum(zstandard.frame_content_size(batch.column(c)[i].as_buffer()) for c in ("z_a", "z_b")) for i in range(batch.num_rows)]
+        part = np.cumsum(size, dtype=np.int64) // STEP_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        return (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if a < b)
+
     def alike(a: pa.Array, b: pa.Array) -> np.ndarray:
         (row_a, a_found), (row_b, b_found) = shingles(a, size), shingles(b, size)
         n = np.bincount(row_a, minlength=len(a)) + np.bincount(row_b, minlength=len(a))
@@ -245,18 +250,34 @@ def remaining(cells: DataFrame, classes: DataFrame, points: DataFrame, percent:
     with_major = F.transform(F.sequence(F.lit(0), F.ceil(F.col("n") / TILE).cast("int") - 1), lambda t: F.struct(own.alias("i"), (-1 - t).alias("j")))
     large = large.select("cell", "doc_id", F.explode(keys.otherwise(F.concat(with_others, with_major))).alias("key")).select("cell", "key.i", "key.j", "doc_id")
     rows = small.unionByName(large).join(classes, "doc_id").join(points.select("doc_id", "counts"), "doc_id")
-    trees = rows.groupBy("cell", "i", "j").agg(F.collect_list(F.struct("doc_id", "class", "counts")).alias("points"))  # at most 2 TILE points
+    tree = ["cell", "i", "j"]
+    trees = rows.select(*tree, "doc_id", "class", "counts").repartition(*tree).sortWithinPartitions(*tree)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in one_by_one(batches):
+            pairs = tree_pairs(whole.column("doc_id").to_numpy(), whole.column("class").to_numpy(), unpacked(whole.column("counts").to_pylist()), percent)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """The rows of each tree, some 2 ``TILE`` points at most, as they follow each other; no more is held than those and a batch."""
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            held = batch.column("points")
-            found = [np.zeros((0, 2), np.int64)]
-            for tree in held:
-                tree = tree.values
-                counts = unpacked(tree.field("counts").to_pylist())
-                found.append(tree_pairs(tree.field("doc_id").to_numpy(), tree.field("class").to_numpy(), counts, percent))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in tree])
+            cuts = [0, *(np.flatnonzero((np.diff(key) != 0).any(0)) + 1).tolist(), batch.num_rows]
+            same = bool(held) and all(held[-1].column(c)[-1] == batch.column(c)[0] for c in tree)
+            if held and not same:
+                yield pa.Table.from_batches(held)
+                held = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                held.append(batch.slice(a, b - a))
+                if b < batch.num_rows:
+                    yield pa.Table.from_batches(held)
+                    held = []
+        if held:
+            yield pa.Table.from_batches(held)
 
     return trees.mapInArrow(search, "a long, b long").distinct()
 

@@ -4,14 +4,13 @@ Documents with equal texts form a group; a group's size is the sum of the sizes
 the size of a document is the bytes of its text plus one.  Groups go, largest first, to the shard with
 the least load so far, taken from a heap.
 
-The heap runs on the driver over *classes* of groups, not over groups: sizes of up to ``EXACT`` bytes are a class
-each, larger ones are told apart to one part in ``EXACT``, so there are at most ``EXACT`` classes for
-each doubling of the size (some 200,000 for any input), however many groups there are.  The groups
-of a class are taken as equally large, which they are to within that part.  What the driver sends
-back is, for each class, runs of ranks and the shard each run goes to.
-
-Ranks within a class and slots within a shard are numbered without bringing a class or shard into
-one task: rows are numbered within (class, bucket) or (shard, bucket), and the buckets' offsets are sums
+The heap runs on the driver over the distinct *sizes* of groups, not over groups.  Distinct sizes add up to at most all bytes, so
+of T bytes there are at most sqrt(2 T) of them: 250,000 for 30 GB and 14 million for 100 TB, however many groups there are.  Groups
+of one size go to the shards in turns, so the schedule has a row or two for each size: the shards in the order in which they take the groups
+of that size, over and over.  That is the exact schedule, as if each group had gone through the heap.
+
+Ranks within a size and slots within a shard are numbered without bringing a size or shard into
+one task: rows are numbered within (size, bucket) or (shard, bucket), and the buckets' offsets are sums
 over the counts of the buckets before.
 
 Cases: a null text is empty, so its size is 1, and belongs with the other empty texts; an empty table
@@ -21,53 +20,41 @@ gives an empty result; equal sizes are ordered by the text's digest; repeated an
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taskloom.llm.common import documents, partitions, table, written
 
 SHARDS = 16
-#: Group sizes are exact up to here, and to one part in this above.
-EXACT = 4096
 #: Groups or rows that a bucket holds about.
 BUCKET_ROWS = 20_000
+#: Ranks of a size that meet its part of the schedule in one place.
+STRETCH = 1 << 16
 
 
-def size_class(size: Column, exact: int = EXACT) -> Column:
-    """The size, with all but its leading bits cleared."""
-    bits = F.greatest(F.lit(0), F.length(F.conv(size.cast("string"), 10, 2)) - (exact.bit_length()))
-    step = F.call_function("shiftleft", F.lit(1).cast("long"), bits)
-    return (size - size % step).cast("long")
-
-
-def schedule(classes: Iterable[tuple[int, int, int]], shards: int) -> Iterator[tuple[int, int, int, int]]:
-    """``(class, first rank, ranks, shard)`` from ``(class, groups, bytes)``, largest class first.
+def schedule(sizes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, int, int, list[int]]]:
+    """``(size, first rank, ranks, turns)`` from ``(size, groups)``, largest size first: the groups of those ranks go to the shards
+    in ``turns``, one after the other and from the start again, each to the shard with the least load (of equal ones, the first).
 
-    While the loads differ by more than a group, groups go one run at a time to the least-loaded shard
-    until it passes the next; once level, each shard gets an equal number at once, as turn by turn would give.
+    Shards whose loads differ by less than a group take turns in the order of their loads, and keep that order, until they
+    reach the next shard's load.
     """
-    heap = [(0.0, s) for s in range(shards)]
-    for key, count, total in classes:
-        each, rank = total / count, 0
-        while rank < count:
-            load, shard = heapq.heappop(heap)
-            left = count - rank
-            if heap and max(heap)[0] - load < each and left >= 2 * shards:
-                heapq.heappush(heap, (load, shard))
-                turns = left // shards
-                for load, shard in sorted(heap):
-                    yield key, rank, turns, shard
-                    rank += turns
-                heap = [(load + turns * each, shard) for load, shard in heap]
-                heapq.heapify(heap)
-                continue
-            run = min(left, max(1, int((heap[0][0] - load) // each) + 1)) if heap else left
-            yield key, rank, run, shard
+    heap = [(0, s) for s in range(shards)]
+    for size, groups in sizes:
+        rank = 0
+        while rank < groups:
+            heap.sort()
+            level = sum(load - heap[0][0] < size for load, _ in heap)
+            run = groups - rank
+            if level < shards:  # full turns until the last of the level ones is no longer before the next shard
+                run = min(run, level * -(-(heap[level][0] - heap[level - 1][0]) // size))
+            turns = [s for _, s in heap[:level]]
+            yield size, rank, run, turns[:run]
+            heap[:level] = [(load + (run // level + (i < run % level)) * size, s) for i, (load, s) in enumerate(heap[:level])]
             rank += run
-            heapq.heappush(heap, (load + run * each, shard))
 
 
 def numbered(rows: DataFrame, within: str, by: list[str], name: str) -> DataFrame:
@@ -92,12 +79,16 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.unhex(F.sha2("text", 256)).alias("digest"),
     )
     rows = written(rows, "sizes")
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes")).withColumn("class", size_class(F.col("bytes")))
-    groups = written(numbered(groups, "class", ["digest"], "rank"), "groups")
-    classes = groups.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
-    classes = sorted(map(tuple, classes.collect()), reverse=True)  # bounded: see above
-    runs = spark.createDataFrame(list(schedule(classes, shards)), "class long, first long, n long, shard int")
-    placed = groups.join(F.broadcast(runs), (groups["class"] == runs["class"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n"))).select("digest", "shard")
+    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"))
+    groups = written(numbered(groups, "bytes", ["digest"], "rank").withColumn("stretch", F.floor(F.col("rank") / STRETCH)), "groups")
+    sizes = groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("bytes", ascending=False)  # bounded: see above
+    turns = pd.DataFrame(schedule(zip(sizes["bytes"].tolist(), sizes.n.tolist(), strict=True), shards), columns=["bytes", "first", "ranks", "turns"])
+    turns = spark.createDataFrame(turns, "bytes long, first long, ranks long, turns array<int>")
+    last = F.col("first") + F.col("ranks") - 1
+    turns = turns.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("first") / STRETCH), F.floor(last / STRETCH))))
+    placed = groups.join(turns, ["bytes", "stretch"]).where(F.col("rank").between(F.col("first"), last))
+    turn = F.pmod(F.col("rank") - F.col("first"), F.size("turns")).cast("int")
+    placed = placed.select("digest", F.element_at("turns", turn + 1).alias("shard"))
     return numbered(rows.join(placed, "digest").drop("digest"), "shard", ["doc_id"], "slot")
 
 

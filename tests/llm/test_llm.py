@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import heapq
 import random
 
 import numpy as np
@@ -151,18 +152,35 @@ def test_shards(spark):
         slots[r.shard].append(r.slot)
         assert r["size"] == len(t) + 1
     assert all(len(s) == 1 for s in by_text.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert max(load.values()) < 1.2 * min(load.values())
-
-
-def test_schedule_gives_every_rank_once():
-    classes = [(100, 1, 100), (9, 50, 450), (2, 1000, 2000)]
-    got = collections.defaultdict(list)
-    load = collections.Counter()
-    for key, first, n, shard in sharding.schedule(classes, 3):
-        got[key] += range(first, first + n)
-        load[shard] += n * key
-    assert all(sorted(got[k]) == list(range(n)) for k, n, _ in classes)
-    assert max(load.values()) - min(load.values()) <= 9
+    groups = collections.Counter()
+    for t in texts:
+        groups[t or ""] += len(t or "") + 1
+    assert sorted(load.values()) == sorted(longest_first(groups.values(), 4))
+
+
+def longest_first(sizes, shards):
+    heap = [(0, s) for s in range(shards)]
+    for size in sorted(sizes, reverse=True):
+        load, s = heapq.heappop(heap)
+        heapq.heappush(heap, (load + size, s))
+    return [load for load, _ in sorted(heap, key=lambda x: x[1])]
+
+
+@pytest.mark.parametrize("seed", range(200))
+def test_schedule_is_that_of_the_heap(seed):
+    rng = random.Random(seed)
+    shards = rng.choice([1, 2, 3, 16])
+    sizes = {rng.choice([rng.randint(1, 30), rng.randint(1, 10**9)]): rng.choice([1, 2, 5, rng.randint(1, 300)]) for _ in range(rng.randint(0, 30))}
+    heap, want = [(0, s) for s in range(shards)], {}
+    for size in sorted(sizes, reverse=True):
+        for rank in range(sizes[size]):
+            load, s = heapq.heappop(heap)
+            want[size, rank] = s
+            heapq.heappush(heap, (load + size, s))
+    got = {}
+    for size, first, n, turns in sharding.schedule([(k, sizes[k]) for k in sorted(sizes, reverse=True)], shards):
+        got |= {(size, first + i): turns[i % len(turns)] for i in range(n)}
+    assert got == want
 
 
 def test_bpe_round_trip(spark):
