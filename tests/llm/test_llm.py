@@ -117,6 +117,26 @@ def test_top_k(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_top_k_of_large_numbers_ties_and_zeros(spark, partitions):
+    rng = random.Random(partitions)
+    vectors = [[rng.choice([0, 1, -1, 0.5]) * 10.0 ** rng.choice([0, 1, 6, 9, 15, 30, 160, 300]) for _ in range(3)] for _ in range(150)]
+    vectors += [[1.0, 0.0, 0.0]] * 20 + [[0.0, 0.0, 0.0]] * 5 + [[3e6, 0.0, 0.0], [1.5e308, 1.0, 2.0], [-1.5e308, 1.0, 2.0]]
+    limit = int(topk.LARGEST)
+    whole = [[max(-limit, min(limit, (int(x) * 1024 if abs(x) > 2**42 else int(np.floor(1024 * x))))) for x in v] for v in vectors]
+    want = []
+    for q in range(0, len(vectors), 7):
+        scores = {i: max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(whole[q], v)))) for i, v in enumerate(whole) if i != q}
+        best = sorted(((-s, i) for i, s in scores.items()))[:10]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 7 = 0"), block=16, query_block=5).collect())
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == sorted(want)
+
+
 def test_contamination(spark):
     rng = random.Random(7)
     items = [" ".join(rng.choice("abcdefg") + str(rng.randrange(4)) for _ in range(rng.choice([3, 9, 10, 25]))) for _ in range(12)]
