@@ -1,23 +1,24 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
-
-1. Terms are words (lower-cased runs of letters) and their beginnings of ``PREFIXES`` letters.  Over a sample of labelled rows
-   Spark counts in how many toxic and other rows each term occurs; the terms that speak most clearly for toxicity, at most ``TERMS``,
-   are the vocabulary.  One more term stands for all other words, so a document's vector also shows how thinly
-   the vocabulary is spread in it.  Weights are the root of a term's frequency times its inverse document frequency.
-2. Document frequencies of the vocabulary are counted over all documents.
-3. A further sample of labelled rows is the index: postings of each term in blocks of ``BLOCK`` examples, with the largest weight of
-   each block.  Examples are ordered by their heaviest term, so that blocks hold like examples.
-4. A document visits blocks in descending order of the bound that its weights and the block's maxima give, until
-   the bound is below its k-th similarity so far: the k nearest are exact.  Ties go to the earlier example.
-5. The neighbours vote with their similarities.  The shares are calibrated by isotonic regression over labelled rows that are not
-   in the index.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+
+1. A sample of labelled rows is the index.  Every word (lower-cased run of letters) of its whole texts is a term; a text's words that no example has
+   share one coordinate, which only counts towards its length.
+2. Document frequencies of the terms are counted over all documents.  A term's weight in a text is the root of its frequency, times its
+   inverse document frequency, times 1 + ``LEAN`` z, where z is the signed root of the likelihood ratio by which the term speaks for
+   toxicity among labelled rows, 0 for all terms that don't.  So no term is left out, and telling ones count for more.
+3. Terms of few examples have postings.  The weights of the others are held by blocks of ``BLOCK`` examples, with the largest
+   weight of each term in each block.  Examples are ordered by their heaviest term, so that blocks hold like examples.
+4. A document adds up its postings, and adds to the highest sum in each block what the block's maxima allow at most.  Blocks are
+   visited in descending order of that bound until it is below the k-th similarity so far: the k nearest are exact.  Ties go
+   to the earlier example.
+5. The neighbours vote with their similarities.  The shares are calibrated by isotonic regression over labelled rows that are neither
+   in the index nor counted in z, each label weighted as it is among all labelled rows.
 
 Which labelled rows are sampled is drawn by a hash of their ids.  The samples' sizes are bounded (``SAMPLE``, ``EXAMPLES``, ``CALIBRATION`` rows of either
 label), so the model is a few MB for any input and is broadcast; all documents are scored whole.
 
-Cases: null and empty texts have no terms; a label that is null does not count, and of several labels of a row the
-largest counts; without labels for both samples every score is ``NO_MODEL``; an empty table gives an empty result; repeated and
-null ``doc_id`` as in ``common``; other columns are ignored.
+Cases: null and empty texts, and texts that share no word with any example, get the share of toxic rows; a label that is null does not
+count, and of several labels of a row, or of rows with equal texts, the largest counts; without labels every score is ``NO_MODEL``; an
+empty table gives an empty result; repeated and null ``doc_id`` as in ``common``; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,175 +30,147 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskloom.llm.common import documents, once_each, table, written
 
-PREFIXES = (4, 5, 6)
-TERMS, BLOCK, NEIGHBOURS = 4096, 512, 7
-#: Labelled rows of either label, at most about, for the vocabulary, the index and the calibration.
-SAMPLE, EXAMPLES, CALIBRATION = 16_384, 2_048, 8_192
+BLOCK, NEIGHBOURS = 64, 7
+#: How much more a term that speaks for toxicity weighs.
+LEAN = 2.0
+#: Terms in more than this part of the examples are held by blocks, others have postings.
+COMMON = 0.05
+#: Labelled rows of either label, at most about, for z, the index and the calibration.
+SAMPLE, EXAMPLES, CALIBRATION = 16_384, 1_024, 8_192
 #: Of few rows so many go to the index, the others to the calibration.
 INDEX_SHARE = 0.6
 #: The score of all documents if there are no labels to learn from.
 NO_MODEL = 0.499
-#: A term must stand in so many toxic rows, and the signed root of its likelihood ratio must be so
-#: high, and so many of its rows must be toxic.
-LEAST_ROWS, LEAST_Z, LEAST_SHARE = 5, 4.5, 0.5
 _WORD = re.compile(r"[^\W\d_]+")
-#: Words whose terms a task remembers.
-_REMEMBERED = 100_000
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0
 
 
-def terms_of(word: str) -> set[str]:
-    return {word, *(f"{word[:n]}~" for n in PREFIXES if len(word) >= n)}
-
-
 def word_counts(text: str) -> Counter:
     return Counter(_WORD.findall(text.lower()))
 
 
 def sampled(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """``doc_id, text, toxic`` of the labelled rows in any sample, and whether each is ``in_sample``,
-    ``in_index`` or ``in_calibration``.  Of either label each sample has about its bound, or all."""
+    """``doc_id, text, toxic, weight`` of the labelled rows in any sample, one for equal texts, and whether each is ``in_sample``,
+    ``in_index`` or ``in_calibration``.  Of either label each sample has about its bound, or all; ``weight`` is how many rows
+    of its label a row of the calibration stands for."""
     n = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def below(most: int, share: float) -> Column:
         return F.when(F.col("toxic") == 1, min(share, most / n.get(1, 1))).otherwise(min(share, most / n.get(0, 1)))
 
     u, v = (F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 30)) / (1 << 30) for salt in "ab")
-    flags = (v < below(SAMPLE, 1.0)).alias("in_sample"), (u < below(EXAMPLES, INDEX_SHARE)).alias("in_index"), (1 - u <= below(CALIBRATION, 1 - INDEX_SHARE)).alias("in_calibration")
-    ids = labelled.select("doc_id", "toxic", *flags)
-    ids = ids.where("in_sample or in_index or in_calibration")  # bounded by the samples' sizes: some 53,000 rows
-    return written(docs.join(F.broadcast(ids), "doc_id"), "labelled")
+    calibration = below(CALIBRATION, 1 - INDEX_SHARE)
+    flags = ((v < below(SAMPLE, 1.0)) & (1 - u > calibration)).alias("in_sample"), (u < below(EXAMPLES, INDEX_SHARE)).alias("in_index"), (1 - u <= calibration).alias("in_calibration")
+    ids = labelled.select("doc_id", "toxic", (1 / calibration).alias("weight"), *flags)
+    ids = ids.where("in_sample or in_index or in_calibration")  # bounded by the samples' sizes: some 51,000 rows
+    row = F.struct("doc_id", "toxic", "weight", "in_sample", "in_index", "in_calibration")
+    rows = docs.join(F.broadcast(ids), "doc_id").groupBy("text").agg(F.min(row).alias("row"), F.max("toxic").alias("label"))
+    return written(rows.select("text", "row.*", "label").drop("toxic").withColumnRenamed("label", "toxic"), "labelled")
 
 
-def vocabulary(rows: DataFrame) -> list[str]:
-    """At most ``TERMS`` terms that speak for toxicity; ``rows`` has text and toxic."""
+class Terms:
+    """The words of the examples, numbered."""
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = Counter(), Counter()
-        for frame in frames:
-            for text, toxic in zip(frame.text, frame.toxic, strict=True):
-                seen[int(toxic)].update(set().union(*map(terms_of, word_counts(text))))
-        terms = list({**seen[0], **seen[1]})
-        for at in range(0, len(terms), 50_000):
-            part = terms[at : at + 50_000]
-            yield pd.DataFrame({"term": part, "toxic": [seen[1][t] for t in part], "other": [seen[0][t] for t in part]})
-
-    n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    found = rows.select("text", "toxic").mapInPandas(count, "term string, toxic long, other long")
-    found = found.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b")).where(F.col("a") >= LEAST_ROWS)
-    a, b, p = F.col("a"), F.col("b"), n.get(1, 0) / max(1, sum(n.values()))
-    more = a > p * (a + b)
-    ratio = 2 * (a * F.log(a / (p * (a + b))) + F.when(b > 0, b * F.log(b / ((1 - p) * (a + b)))).otherwise(0.0))
-    clear = found.where(more & (a >= LEAST_SHARE * (a + b))).withColumn("z", F.sqrt(ratio)).where(F.col("z") >= LEAST_Z)
-    return [r.term for r in clear.orderBy(F.col("z").desc(), "term").limit(TERMS).collect()]
-
-
-class Vectors:
-    """Sparse TF-IDF vectors of length one over the vocabulary."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray):
-        self.ids, self.idf = {t: i for i, t in enumerate(terms)}, idf
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def of_word(self, word: str) -> tuple[int, ...]:
-        got = self.known.get(word)
-        if got is None:
-            got = tuple(self.ids[t] for t in terms_of(word) if t in self.ids)
-            if len(self.known) < _REMEMBERED:
-                self.known[word] = got
-        return got
-
-    def counts(self, text: str) -> tuple[Counter, int]:
-        """How often each term of the vocabulary occurs, and how many words have none."""
-        out: Counter = Counter()
-        other = 0
-        for word, n in word_counts(text).items():
-            terms = self.of_word(word)
-            for i in terms:
-                out[i] += n
-            other += 0 if terms else n
-        return out, other
+    def __init__(self, words: list[str]):
+        self.ids = {w: i for i, w in enumerate(words)}
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights; the last term stands for all other words, and is all that an empty text has."""
-        found, other = self.counts(text)
-        ids = np.array([*sorted(found), len(self.idf)], np.int64)
-        w = np.sqrt([*(found[i] for i in ids[:-1]), max(1, other)]) * np.r_[self.idf[ids[:-1]], 1.0]
-        return ids, w / math.sqrt(float(w @ w))
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
+        """Terms of a text and how often each occurs, and how many of its words are none."""
+        found = word_counts(text)
+        ids, n = np.fromiter((self.ids.get(w, -1) for w in found), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+        return ids[ids >= 0], n[ids >= 0], int(n[ids < 0].sum())
 
 
-def frequencies(docs: DataFrame, terms: list[str]) -> np.ndarray:
-    """In how many of all documents each term occurs."""
-    vectors = Vectors(terms, np.ones(len(terms)))
+def texts_with(rows: DataFrame, terms: Broadcast, by: str) -> np.ndarray:
+    """In how many texts of ``rows`` each term occurs, for ``by`` (a 0/1 column) 0 and 1; counted within tasks before the shuffle."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+        seen = np.zeros((2, len(terms.value.ids)), np.int64)
         for frame in frames:
-            for text in frame.text:
-                seen.update(vectors.counts(text)[0].keys())
-        yield pd.DataFrame({"i": list(seen), "n": list(seen.values())})
-
-    out = np.zeros(len(terms))
-    for r in docs.select("text").mapInPandas(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
-        out[r.i] = r.n
+            for text, side in zip(frame.text, frame[by], strict=True):
+                seen[int(side), terms.value.counts(text)[0]] += 1
+        for side in (0, 1):
+            some = np.flatnonzero(seen[side])
+            for at in range(0, len(some), 50_000):
+                i = some[at : at + 50_000]
+                yield pd.DataFrame({"side": side, "i": i, "n": seen[side, i]})
+
+    out = np.zeros((2, len(terms.value.ids)))
+    found = rows.select("text", by).mapInPandas(count, "side int, i long, n long").groupBy("side", "i").agg(F.sum("n").alias("n")).toPandas()  # a row for each term
+    out[found.side, found.i] = found.n
     return out
 
 
+def leaning(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
+    """z of terms that stand in so many of the toxic and of the other rows, 0 for those that don't speak for toxicity."""
+    share, rows = n_toxic / max(1, n_toxic + n_other), toxic + other
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = toxic * np.log(toxic / (share * rows)) + np.where(other > 0, other * np.log(other / ((1 - share) * rows)), 0.0)
+    return np.sqrt(np.where(toxic > share * rows, np.maximum(0.0, 2 * ratio), 0.0))
+
+
 class Index:
-    """Postings by term and block of the examples, with the largest weight of each block."""
+    """Examples (doc_id, label, terms, weights of length one) in blocks: postings of rare terms, and by block the weights and the
+    largest weight of each common one."""
 
     def __init__(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]], terms: int):
-        heaviest = lambda e: int(e[2][np.argmax(e[3])]) if len(e[2]) else terms
-        examples = sorted((e for e in examples if len(e[2])), key=lambda e: (heaviest(e), e[0]))
-        self.doc_ids = np.array([e[0] for e in examples], np.int64)
-        self.labels = np.array([e[1] for e in examples], float)
+        examples = sorted((e for e in examples if len(e[2])), key=lambda e: (int(e[2][np.argmax(e[3])]), e[0]))
+        self.doc_ids, self.labels = np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], float)
+        row = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples])
+        term, weight = (np.concatenate([e[i] for e in examples]) if examples else np.zeros(0, kind) for i, kind in ((2, np.int64), (3, float)))
+        order = np.lexsort((row, term))
+        self.rows, self.weights, self.first = row[order], weight[order], np.searchsorted(term[order], np.arange(terms + 1))
+        held = np.diff(self.first)
+        self.column = np.full(terms, -1)
+        common = np.flatnonzero(held > COMMON * len(examples))
+        self.column[common] = np.arange(len(common))
         self.blocks = -(-len(examples) // BLOCK)
-        listed: dict[int, list[tuple[int, float]]] = {}
-        for row, (_, _, ids, weights) in enumerate(examples):
-            for i, w in zip(ids.tolist(), weights.tolist(), strict=True):
-                listed.setdefault(i, []).append((row, w))
-        self.postings, self.highest, self.plain = {}, {}, None
-        for i, found in listed.items():
-            rows, weights = np.array([r for r, _ in found]), np.array([w for _, w in found])
-            cuts = np.searchsorted(rows, np.arange(self.blocks + 1) * BLOCK)
-            high = np.zeros(self.blocks)
-            np.maximum.at(high, rows // BLOCK, weights)
-            self.postings[i], self.highest[i] = (rows, weights, cuts), high
+        self.dense = None
+
+    def _by_block(self) -> None:
+        self.dense = np.zeros((self.blocks * BLOCK, int(self.column.max(initial=-1)) + 1))
+        for i in np.flatnonzero(self.column >= 0):
+            own = slice(self.first[i], self.first[i + 1])
+            self.dense[self.rows[own], self.column[i]] = self.weights[own]
+        self.dense = self.dense.reshape(self.blocks, BLOCK, -1)
+        self.highest = self.dense.max(1) if self.blocks else np.zeros((0, self.dense.shape[2]))
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and similarities of the k nearest examples with a similarity above zero; the vector with a
-        single term, that of all documents without the vocabulary, is looked up once."""
-        if len(ids) > 1:
-            return self._search(ids, weights, k)
-        if self.plain is None:
-            self.plain = self._search(ids, weights, k)
-        return self.plain
-
-    def _search(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        held = [(w, *self.postings[i], self.highest[i]) for i, w in zip(ids.tolist(), weights.tolist(), strict=True) if i in self.postings]
-        if not held:
+        """Rows and similarities of the k nearest examples with a similarity above zero."""
+        if self.dense is None:
+            self._by_block()
+        if not self.blocks or not len(ids):
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = sum(w * high for w, *_, high in held)
+        column = self.column[ids]
+        query = np.zeros(self.dense.shape[2])
+        query[column[column >= 0]] = weights[column >= 0]
+        rare, own = ids[column < 0], weights[column < 0]
+        n = self.first[rare + 1] - self.first[rare]
+        at = np.repeat(self.first[rare] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        partial = np.bincount(self.rows[at], np.repeat(own, n) * self.weights[at], self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+        bound = partial.max(1) + self.highest @ query
+        order, taken, more = np.argsort(-bound, kind="stable"), 0, 1
         rows, sims = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(sims) == k and bound[b] < sims[-1] - 1e-12):
+        while taken < len(order):
+            visit = order[taken : taken + more]
+            visit = visit[(bound[visit] > 0) & (bound[visit] >= (sims[-1] - 1e-12 if len(sims) == k else 0))]
+            if not len(visit):
                 break
-            block = np.zeros(BLOCK)
-            for w, at, own, cuts, _ in held:
-                part = slice(cuts[b], cuts[b + 1])
-                block[at[part] - b * BLOCK] += w * own[part]
-            more = np.flatnonzero(block > 0)
-            rows, sims = np.r_[rows, more + b * BLOCK], np.r_[sims, np.round(block[more], 12)]
-            order = np.lexsort((rows, -sims))[:k]
-            rows, sims = rows[order], sims[order]
+            found = np.round(np.concatenate([partial[b] + self.dense[b] @ query for b in visit]), 12)
+            place = (visit[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            rows, sims = np.r_[rows, place[found > 0]], np.r_[sims, found[found > 0]]
+            best = np.lexsort((rows, -sims))[:k]
+            rows, sims = rows[best], sims[best]
+            taken, more = taken + more, 2 * more
         return rows, sims
 
     def share(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[float, np.ndarray, np.ndarray]:
@@ -206,17 +179,13 @@ class Index:
         return (float(sims @ self.labels[rows] / sims.sum()) if len(rows) else -1.0), rows, sims
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Increasing steps fitted to y by pooling neighbours that violate the order; each step's mean leans
     to a half by one row."""
-    order = np.argsort(x, kind="stable")
+    own, at = np.unique(x, return_inverse=True)  # rows with equal x are one
     pools: list[list[float]] = []
-    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        if pools and pools[-1][0] == a:
-            pools[-1][1] += b
-            pools[-1][2] += 1
-        else:
-            pools.append([a, b, 1.0])
+    for a, b, w in zip(own.tolist(), np.bincount(at, y * weight).tolist(), np.bincount(at, weight).tolist(), strict=True):
+        pools.append([a, b, w])
         while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
             _, b, n = pools.pop()
             pools[-1][1] += b
@@ -225,46 +194,56 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """``known`` holds shares of votes, -1 for none, and labels of rows that are not in the index."""
+    """``known`` holds shares of votes, -1 for none, labels and weights of rows that are not in the index."""
 
-    def __init__(self, vectors: Vectors, index: Index, known: list[tuple[float, int]]):
-        self.vectors, self.index = vectors, index
+    def __init__(self, terms: Terms, weights: np.ndarray, index: Index):
+        self.terms, self.weights, self.index = terms, weights, index
         self.at = self.means = np.zeros(0)
-        pairs = np.array([(s, t) for s, t in known if s >= 0])
-        if len(pairs):
-            self.at, self.means = isotonic(pairs[:, 0], pairs[:, 1])
+        self.prior = NO_MODEL
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of a text's vector of length one."""
+        ids, n, other = self.terms.counts(text)
+        w = np.sqrt(n) * self.weights[ids]
+        return ids, w / math.sqrt(float(w @ w) + other or 1.0)
+
+    def calibrate(self, known: pd.DataFrame) -> None:
+        if len(known):
+            self.prior = min(NO_MODEL, (float(known.toxic @ known.weight) + 0.5) / (float(known.weight.sum()) + 1))
+        known = known[known.share >= 0]
+        self.at, self.means = isotonic(*(known[c].to_numpy(float) for c in ("share", "toxic", "weight")))
 
     def score(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
-        share, rows, sims = self.index.share(*self.vectors.vector(text), NEIGHBOURS)
+        share, rows, sims = self.index.share(*self.vector(text), NEIGHBOURS)
         if share < 0 or not len(self.at):
-            return NO_MODEL, rows, sims
+            return self.prior, rows, sims
         step = self.means[max(0, int(np.searchsorted(self.at, share, "right")) - 1)]
         return float(min(1.0, max(0.0, step * 0.999 + share * 0.001))), rows, sims
 
 
 def trained(docs: DataFrame, labelled: DataFrame) -> Model:
     """``docs`` has doc_id and text; ``labelled`` has doc_id and toxic."""
+    sc = docs.sparkSession.sparkContext
     rows = sampled(docs, labelled)
-    terms = vocabulary(rows.where("in_sample").dropDuplicates(["text"]))
-    n = docs.count()
-    vectors = Vectors(terms, np.log((1 + n) / (1 + frequencies(docs, terms))) + 1)
-
-    def vectorised(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [vectors.vector(t) for t in frame.text]
-            yield pd.DataFrame({"doc_id": frame.doc_id, "toxic": frame.toxic, "ids": [a for a, _ in found], "weights": [w for _, w in found]})
-
-    chosen = rows.where("in_index")
-    examples = chosen.select("doc_id", "text", "toxic").mapInPandas(vectorised, "doc_id long, toxic int, ids array<long>, weights array<double>").collect()  # bounded
-    index = Index([(r.doc_id, r.toxic, np.array(r.ids, np.int64), np.array(r.weights)) for r in examples], len(terms))
-    apart = rows.where("in_calibration").select("text", "toxic").dropDuplicates(["text"]).join(chosen.select("text").distinct(), "text", "left_anti")
+    chosen = rows.where("in_index").select("doc_id", "text", "toxic").toPandas().sort_values("doc_id")  # bounded
+    terms = Terms(sorted({w for text in chosen.text for w in word_counts(text)}))
+    held = sc.broadcast(terms)
+    other, toxic = texts_with(rows.where("in_sample"), held, "toxic")
+    n_other, n_toxic = (rows.where("in_sample").where(F.col("toxic") == t).count() for t in (0, 1))
+    frequency = texts_with(docs.withColumn("all_", F.lit(0)), held, "all_")[0]
+    weights = (np.log((1 + docs.count()) / (1 + frequency)) + 1) * (1 + LEAN * leaning(toxic, other, n_toxic, n_other))
+    model = Model(terms, weights, Index([], len(weights)))
+    model.index = Index([(i, t, *model.vector(text)) for i, text, t in zip(chosen.doc_id, chosen.text, chosen.toxic, strict=True)], len(weights))
+    ready = sc.broadcast(model)
 
     def shares(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"share": [index.share(*vectors.vector(t), NEIGHBOURS)[0] for t in frame.text], "toxic": frame.toxic})
+            m = ready.value
+            yield pd.DataFrame({"share": [m.index.share(*m.vector(t), NEIGHBOURS)[0] for t in frame.text], "toxic": frame.toxic, "weight": frame.weight})
 
-    known = [(r.share, r.toxic) for r in apart.mapInPandas(shares, "share double, toxic int").collect()]  # bounded
-    return Model(vectors, index, known)
+    apart = rows.where("in_calibration").select("text", "toxic", "weight")
+    model.calibrate(apart.mapInPandas(shares, "share double, toxic int, weight double").toPandas())  # bounded
+    return model
 
 
 def scored(docs: DataFrame, labelled: DataFrame) -> DataFrame:
