@@ -34,9 +34,10 @@ HOT = 1000
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a folder, as queries and stages read it; as texts are long, they have few of them in a batch for Python.  Operators
-    called with other tables leave the session's settings alone."""
+    called with other tables leave the session's settings alone.  A table of fewer splits than cores is dealt to all cores."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def partitions(spark: SparkSession) -> int:

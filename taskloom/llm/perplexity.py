@@ -1,26 +1,28 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters, of order ``ORDER``; a text begins after ORDER - 1 start symbols.  Characters get 12-bit codes, so an
-n-gram is one long: the code point up to U+0EFF, and one of 256 classes by remainder above.  Everything about n-grams is a
+The model is over the bytes of UTF-8, of order ``ORDER``, so it knows every character apart; a text begins after ORDER - 1 start symbols and
+ends with an end symbol.  Symbols have 9 bits, so an n-gram is one long.  Everything about n-grams is a
 sharded count join; every table below is keyed, and shuffled, by the n-gram.
 
-1. Counts of the highest order over all trusted texts; those of lower orders are continuation counts (in how many
-   distinct ways an n-gram is extended to the left), each from the order above.
+1. Counts of the highest order over the trusted texts but a ``HELD``-th of them; those of lower orders are continuation counts (in how many
+   distinct ways an n-gram is extended to the left), each from the order above.  N-grams that begin with a start symbol can be
+   extended in one way only and keep their plain counts.
 2. Counts of counts give each order's three discounts; sums by context give the normalisers and the mass left over
-   for the order below.
+   for the order below, and below the lowest for all symbols alike.
 3. The distinct n-grams of all documents are joined with counts and contexts, lowest order first, which gives
    log p of every n-gram that occurs anywhere.
-4. A document's perplexity is the exponential of the mean of -log p over its characters.  If the table of step 3 has at most
+4. A document's perplexity is the exponential of the mean of -log p over its bytes and its end.  If the table of step 3 has at most
    ``TABLE_ROWS`` rows (16 bytes each) it is broadcast; if more, documents are dealt into blocks of about
    ``BLOCK_BYTES``, each block's distinct n-grams are joined with the table, and texts and answers meet by block.
-5. Each language's limits are quantiles of the perplexities of its trusted documents; languages without any take the
-   limits of all.  Documents beyond them are rejected: above, text unlike the trusted; below, endless repetition.
+5. Each language's limits are quantiles of the perplexities of its trusted documents that the model has not seen, the ``HELD``-th; languages without
+   any take the limits of all.  Documents beyond them are rejected: above, text unlike the trusted; below, endless repetition.
 
 All trusted rows and all documents count; nothing is sampled.
 
-Cases: null and empty texts have no characters, a null perplexity, and are rejected; without trusted texts no document has a
-perplexity and none is kept; where a ``doc_id`` is repeated, with different texts or languages, the smallest
-(text, language) stands for it; a null language is a language of its own; an empty table gives an empty result.
+Cases: null and empty texts have no n-grams, a null perplexity, and are rejected; without trusted texts no document has a
+perplexity and none is kept; if no trusted text is held out, the limits are those of all trusted texts; where a ``doc_id`` is repeated, with
+different texts or languages, the smallest (text, language) stands for it; a null language is a language of its own; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,44 +31,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskloom.llm.common import among, compressed, expanded, mixed, once_each, raw, steps, table, written
 
-ORDER, BITS = 5, 12
-LOW, HIGH = 0.0, 0.998
+ORDER, BITS = 6, 9
+#: One in so many trusted documents is kept out of the model and sets the limits.
+HELD = 5
+LOW, HIGH = 0.01, 0.98
 TABLE_ROWS, BLOCK_BYTES = 3_000_000, 16 << 20
-START = 1
-
-
-def codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all the characters, each text after its start symbols, and where texts begin and end."""
-    data, offsets = raw(column)
-    head = (data & 0xC0) != 0x80  # first bytes of characters
-    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    n = np.r_[0, np.cumsum(head)][offsets]
-    points = np.where(points < 0xF00, points, 0xF00 + (points & 0xFF))
-    pad = ORDER - 1
-    cuts = n + pad * np.arange(len(n))
-    out = np.full(len(points) + pad * (len(n) - 1), START, np.int64)
-    place = np.arange(len(points)) + pad * (np.searchsorted(n, np.arange(len(points)), "right"))
-    out[place] = points
-    return out, cuts
+#: Languages up to which their limits are broadcast.
+FEW_LANGUAGES = 100_000
+#: Symbols beyond the bytes.  Start symbols are never predicted, so 257 can be.
+START, END = 256, 257
+SYMBOLS = 257
 
 
 def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends in each character of the texts, and the row of each."""
-    got, cuts = codes(column)
-    if len(got) < ORDER:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    packed = np.zeros(len(got) - ORDER + 1, np.int64)
+    """The n-gram that ends in each byte of the texts and in their ends, and the row of each; empty texts have none."""
+    data, offsets = raw(column)
+    size = np.diff(offsets)
+    full = np.flatnonzero(size)
+    events = size[full] + 1
+    start = offsets[full] + ORDER * np.arange(len(full))  # where the start symbols of each text begin
+    symbols = np.full(len(data) + ORDER * len(full), START, np.int64)
+    place = np.arange(len(data)) + np.repeat(ORDER * np.arange(len(full)) + ORDER - 1, size[full])
+    symbols[place] = data
+    symbols[start + ORDER - 1 + size[full]] = END
+    packed = np.zeros(max(0, len(symbols) - ORDER + 1), np.int64)
     for i in range(ORDER):
-        packed |= got[i : i + len(packed)] << (BITS * (ORDER - 1 - i))
-    length = np.diff(cuts) - (ORDER - 1)
-    row = np.repeat(np.arange(len(length)), length)
-    at = np.repeat(cuts[:-1], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-    return packed[at], row
+        packed |= symbols[i : i + len(packed)] << (BITS * (ORDER - 1 - i))
+    at = np.repeat(start, events) + np.arange(events.sum()) - np.repeat(np.cumsum(events) - events, events)
+    return packed[at], np.repeat(full, events)
 
 
 def counted(texts: DataFrame) -> DataFrame:
@@ -119,10 +117,11 @@ def log_probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
     """``g, logp`` for each n-gram ``g`` of ``asked`` (distinct, of the highest order)."""
     by_order, wanted = {ORDER: counts}, {ORDER: asked}
     for n in range(ORDER, 1, -1):
-        by_order[n - 1] = written(by_order[n].groupBy(suffix(n).alias("g")).agg(F.count(F.lit(1)).alias("c")), "counts")
+        first = F.shiftrightunsigned("g", BITS * (n - 2))
+        left = by_order[n].groupBy(suffix(n).alias("g")).agg(F.count(F.lit(1)).alias("ways"), F.sum("c").alias("plain"))
+        by_order[n - 1] = written(left.select("g", F.when(first == START, F.col("plain")).otherwise(F.col("ways")).alias("c")), "counts")
         wanted[n - 1] = written(wanted[n].select(suffix(n).alias("g")).distinct(), "asked")
-    symbols = by_order[1].count() + 1
-    p = wanted[1].select("g", F.lit(1.0 / symbols).alias("p"))
+    p = wanted[1].select("g", F.lit(1.0 / SYMBOLS).alias("p"))
     for n in range(1, ORDER + 1):
         order = Order(by_order[n])
         lower = p if n == 1 else wanted[n].select("g", suffix(n).alias("s")).join(p.select(F.col("g").alias("s"), "p"), "s").drop("s")
@@ -156,18 +155,14 @@ class Lookup:
         return out
 
 
-def means(lookup: Lookup, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Characters and sum of log p of each text."""
-    g, row = grams(column)
-    return np.bincount(row, minlength=len(column)), np.bincount(row, lookup(g), len(column))
-
-
 SCORES = "doc_id long, n_chars long, perplexity double"
 
 
-def scores(doc_ids: pa.Array, n: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
-    perplexity = pa.array(np.exp(-total / np.maximum(n, 1)), mask=(n == 0) | np.isnan(total))
-    return pa.RecordBatch.from_arrays([doc_ids, pa.array(n.astype(np.int64)), perplexity], names=["doc_id", "n_chars", "perplexity"])
+def scores(doc_ids: pa.Array, texts: pa.Array, lookup: Lookup) -> pa.RecordBatch:
+    g, row = grams(texts)
+    events, total = np.bincount(row, minlength=len(texts)), np.bincount(row, lookup(g), len(texts))
+    perplexity = pa.array(np.exp(-total / np.maximum(events, 1)), mask=(events == 0) | np.isnan(total))
+    return pa.RecordBatch.from_arrays([doc_ids, pc.utf8_length(texts.cast(pa.large_string())).cast(pa.int64()), perplexity], names=["doc_id", "n_chars", "perplexity"])
 
 
 def by_broadcast(docs: DataFrame, logp: DataFrame) -> DataFrame:
@@ -185,7 +180,7 @@ def by_broadcast(docs: DataFrame, logp: DataFrame) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = built.get(0) or built.setdefault(0, Lookup(*held.value))
         for batch in steps(batches):
-            yield scores(batch.column("doc_id"), *means(lookup, batch.column("text")))
+            yield scores(batch.column("doc_id"), batch.column("text"), lookup)
 
     return docs.mapInArrow(score, SCORES)
 
@@ -205,7 +200,7 @@ def by_blocks(docs: DataFrame, logp: DataFrame) -> DataFrame:
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         lookup = Lookup(right.column("g").to_numpy(), right.column("logp").to_numpy())
-        out = [scores(b.column("doc_id"), *means(lookup, expanded(b.column("z")))) for b in left.to_batches(max_chunksize=512)]
+        out = [scores(b.column("doc_id"), expanded(b.column("z")), lookup) for b in left.to_batches(max_chunksize=512)]
         return pa.Table.from_batches(out)
 
     texts = compressed(docs).withColumn("block", block).groupBy("block")
@@ -215,7 +210,7 @@ def by_blocks(docs: DataFrame, logp: DataFrame) -> DataFrame:
 
 def perplexities(docs: DataFrame, trusted: DataFrame, table_rows: int = TABLE_ROWS) -> DataFrame:
     """``doc_id, n_chars, perplexity`` of ``docs`` (doc_id, text) under the model of those in ``trusted`` (doc_id)."""
-    counts = written(counted(compressed(among(docs, written(trusted, "trusted")))), "counts")
+    counts = written(counted(compressed(among(docs, trusted))), "counts")
     if not counts.take(1):
         return docs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.lit(None).cast("double").alias("perplexity"))
 
@@ -237,14 +232,17 @@ def judged(docs: DataFrame, trusted: DataFrame, low: float = LOW, high: float =
     """``doc_id, lang, n_chars, perplexity, keep`` for every document; ``docs`` has doc_id, text and lang."""
     both = docs.select("doc_id", F.struct(F.coalesce("text", F.lit("")).alias("text"), "lang").alias("x"))
     docs = once_each(both, "doc_id", "x").select("doc_id", "x.text", "x.lang")
-    trusted = trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    found = written(docs.select("doc_id", "lang").join(perplexities(docs.select("doc_id", "text"), trusted), "doc_id"), "perplexities")
-    known = found.join(trusted, "doc_id", "left_semi").where("perplexity is not null")
+    trusted = written(trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct(), "trusted")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0
+    found = perplexities(docs.select("doc_id", "text"), trusted.where(~held))
+    found = written(docs.select("doc_id", "lang").join(found, "doc_id"), "perplexities")
+    known = written(among(found, trusted).where("perplexity is not null"), "known")
+    known = known.where(held) if known.where(held).take(1) else known
     quantile = [F.percentile_approx("perplexity", q, 10_000).alias(n) for q, n in ((low, "low"), (high, "high"))]
     name = F.coalesce("lang", F.lit("\u0000"))
-    limits = known.groupBy(name.alias("name")).agg(*quantile)
-    every = known.agg(*quantile).select(F.col("low").alias("low_all"), F.col("high").alias("high_all"))
-    low_all, high_all = every.first()
+    limits = written(known.groupBy(name.alias("name")).agg(*quantile), "limits")
+    low_all, high_all = known.agg(*quantile).first()
+    limits = F.broadcast(limits) if limits.count() <= FEW_LANGUAGES else limits
     joined = found.withColumn("name", name).join(limits, "name", "left")
     within = F.col("perplexity").between(F.coalesce("low", F.lit(low_all).cast("double")), F.coalesce("high", F.lit(high_all).cast("double")))
     return joined.select("doc_id", "lang", "n_chars", "perplexity", F.coalesce(within, F.lit(False)).alias("keep"))
