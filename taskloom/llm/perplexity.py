@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from taskloom.llm.common import among, compressed, expanded, mixed, once_each, raw, steps, table, written
 
-ORDER, BITS = 6, 9
+ORDER, BITS = 5, 9
 #: One in so many trusted documents is kept out of the model and sets the limits.
 HELD = 5
 LOW, HIGH = 0.01, 0.98
