@@ -3,15 +3,17 @@
 Four patterns give the *base* spans (email, ip, card, phone), exactly as ``BASE_RULES`` says.  Beside them
 looser patterns propose candidates of the same kinds that a base pattern misses (``name at host dot com``,
 a number after ``phone:``, a digit group with the right check digit), and of two further kinds, ``secret``
-(long keys after a word such as ``token``) and ``name`` (capitalised words after a title).
+(values assigned to a word such as ``token``, long hexadecimal numbers, keys with a known beginning) and ``name`` (capitalised words
+after a title).
 
 Labelers vote on every candidate, base spans included: for, against, or not at all.  They look at the
 pattern itself, at gazetteers (mail providers, top-level domains, given names and titles), at the words
 before the candidate, at check digits and lengths, and at the characters next to it.  Spark counts the
-vote patterns of each kind over all documents; there are at most 3^L of them, whatever the input.
+vote patterns of each kind, and the span's *shape*, over all documents; there are at most 3^L times the 108 shapes, whatever the input.
 Expectation-maximisation over those counts estimates each labeler's reliability for each kind and each pattern's
-probability of being personal data.  A logistic classifier over the votes, their pairs and the kind is then
-trained on those probabilities and decides on each candidate span.  Base spans always stay; other candidates
+probability of being personal data.  A logistic classifier is then trained on those probabilities and decides on each candidate span.  It
+sees the votes, their pairs and the kind, and what no labeler saw: the span's length, its shares of digits and of different characters, and whether
+quotes or brackets enclose it.  Base spans always stay; other candidates
 are added if their probability is ``THRESHOLD`` or more and they overlap no base span.
 
 Cases: null and empty texts have no spans; offsets are code points, end exclusive; an empty table gives an
@@ -54,6 +56,11 @@ _DIGIT = re.compile(r"[0-9]")
 _SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]?(?: at |@)[\])]? ?[A-Za-z0-9-]{1,63} ?[\[(]?(?: dot |\.)[\])]? ?[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _NUMBER = re.compile(r"(?<![A-Za-z0-9.+])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![A-Za-z0-9])")
 _SECRET = re.compile(r"(?<![A-Za-z0-9_-])(?:sk|pk|AKIA|ghp|xox[bp])[A-Za-z0-9_-]{14,120}(?![A-Za-z0-9_-])")
+_ASSIGNED = re.compile(
+    r"(?i)(?<![a-z0-9])(?:api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|secret|token|password|passwd|pwd|auth|bearer)[\"']?\s{0,3}(?:[:=]|\s)\s{0,3}[\"']?"
+    r"([a-z0-9+/_.~=-]{12,200})(?![a-z0-9])"
+)
+_HEX = re.compile(r"(?<![A-Za-z0-9])(?:[a-f0-9]{32,128}|[A-F0-9]{32,128})(?![A-Za-z0-9])")
 _NAME = re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.? [A-Z]\w{1,30}(?: [A-Z]\w{1,30})?")
 
 PROVIDERS = frozenset({"gmail", "yahoo", "hotmail", "outlook", "icloud", "protonmail", "gmx", "mail", "example"})
@@ -118,7 +125,8 @@ def more_spans(text: str) -> list[tuple[str, int, int]]:
         out += [("email", *m.span()) for m in _SPELT.finditer(text)] if " dot " in text or "@" in text else []
     if _DIGIT.search(text):
         out += [("phone", *m.span()) for m in _NUMBER.finditer(text)]
-        out += [("secret", *m.span()) for m in _SECRET.finditer(text)]
+        secrets = {m.span() for m in _SECRET.finditer(text)} | {m.span(1) for m in _ASSIGNED.finditer(text)} | {m.span() for m in _HEX.finditer(text)}
+        out += [("secret", a, b) for a, b in sorted(secrets) if _DIGIT.search(text, a, b)]
     return out + [("name", *m.span()) for m in _NAME.finditer(text) if not (m.start() and text[m.start() - 1].isalnum())]
 
 
@@ -150,7 +158,7 @@ def votes(kind: str, text: str, start: int, end: int, base: bool) -> str:
         known = bool(GIVEN & set(low.split()))
         check = "+" if span[-1].islower() else "-"
     elif kind == "secret":
-        known = low[:2] in ("sk", "pk") or low.startswith(("akia", "ghp", "xox"))
+        known = low[:2] in ("sk", "pk") or low.startswith(("akia", "ghp", "xox")) or bool(_HEX.fullmatch(span))
         check = "+" if sum(c.isdigit() for c in span) >= 3 and any(c.isalpha() for c in span) else "-"
     else:
         d = _digits(span)
@@ -158,22 +166,30 @@ def votes(kind: str, text: str, start: int, end: int, base: bool) -> str:
         check = "+" if (kind == "card" and luhn(d)) or (kind == "phone" and 9 <= len(d) <= 13) or (kind == "ip" and not d.startswith("0")) else "-"
     cue = "+" if CUES[kind] & set(before) else "-" if AGAINST & set(before) else "0"
     sides = text[max(0, start - 1) : start] + text[end : end + 1]
-    return ("+" if base else "-") + ("+" if known else "0") + cue + check + ("-" if any(c.isalnum() for c in sides) else "+")
+    return ("+" if base else "-" if kind in BASE_RULES else "0") + ("+" if known else "0") + cue + check + ("-" if any(c.isalnum() for c in sides) else "+")
+
+
+def shape(text: str, start: int, end: int) -> str:
+    """A digit for each: length, share of digits, share of different characters, and whether the span is enclosed."""
+    span = text[start:end]
+    size, digits, varied = len(span), sum(c.isdigit() for c in span) / len(span), len(set(span)) / len(span)
+    closed = text[max(0, start - 1) : start] in tuple("\"'([<{") and text[end : end + 1] in tuple("\"')]>}")
+    return f"{(size > 8) + (size > 16) + (size > 31)}{(digits > 0.1) + (digits > 0.5)}{(varied > 0.3) + (varied > 0.6)}{int(closed)}"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, kind, start, end, base, votes`` for every candidate; ``docs`` has doc_id and text."""
+    """``doc_id, kind, start, end, base, votes, shape`` for every candidate; ``docs`` has doc_id and text."""
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for doc_id, text in zip(frame.doc_id, frame.text, strict=True):
                 own = base_spans(text)
-                rows += [(doc_id, k, a, b, True, votes(k, text, a, b, True)) for k, a, b in own]
-                rows += [(doc_id, k, a, b, False, votes(k, text, a, b, False)) for k, a, b in apart(more_spans(text), own)]
-            yield pd.DataFrame(rows, columns=["doc_id", "kind", "start", "end", "base", "votes"])
+                rows += [(doc_id, k, a, b, True, votes(k, text, a, b, True), shape(text, a, b)) for k, a, b in own]
+                rows += [(doc_id, k, a, b, False, votes(k, text, a, b, False), shape(text, a, b)) for k, a, b in apart(more_spans(text), own)]
+            yield pd.DataFrame(rows, columns=["doc_id", "kind", "start", "end", "base", "votes", "shape"])
 
-    return docs.mapInPandas(find, "doc_id long, kind string, start int, end int, base boolean, votes string")
+    return docs.mapInPandas(find, "doc_id long, kind string, start int, end int, base boolean, votes string, shape string")
 
 
 def reliabilities(counts: list[tuple[str, str, int]], rounds: int = 50) -> dict[tuple[str, str], float]:
@@ -197,50 +213,57 @@ def reliabilities(counts: list[tuple[str, str, int]], rounds: int = 50) -> dict[
     return out
 
 
-def features(kind: str, pattern: str) -> np.ndarray:
+def features(kind: str, pattern: str, form: str) -> np.ndarray:
     x = np.array(["-0+".index(c) - 1.0 for c in pattern])
     pairs = [x[i] * x[j] for i in range(len(x)) for j in range(i)]
-    return np.array([*x, *pairs, *(float(kind == k) for k in KINDS)])
+    own = [float(form[i] == str(v)) for i, most in enumerate((4, 3, 3, 2)) for v in range(most)]
+    return np.array([*x, *pairs, *own, *(float(kind == k) for k in KINDS)])
 
 
-def classifier(counts: list[tuple[str, str, int]], steps: int = 400) -> dict[tuple[str, str], float]:
-    """The final classifier's probability for every pattern that was counted."""
+def classifier(counts: list[tuple[str, str, str, int]], steps: int = 400) -> dict[tuple[str, str, str], float]:
+    """The final classifier's probability for every (kind, votes, shape) that was counted."""
     if not counts:
         return {}
-    soft = reliabilities(counts)
-    x = np.array([features(k, v) for k, v, _ in counts])
-    y = np.array([soft[k, v] for k, v, _ in counts])
-    n = np.log1p(np.array([float(c) for _, _, c in counts]))
+    by_votes: dict[tuple[str, str], int] = {}
+    for k, v, _, n in counts:
+        by_votes[k, v] = by_votes.get((k, v), 0) + n
+    soft = reliabilities([(k, v, n) for (k, v), n in by_votes.items()])
+    x = np.array([features(k, v, f) for k, v, f, _ in counts])
+    y = np.array([soft[k, v] for k, v, _, _ in counts])
+    n = np.log1p(np.array([float(c) for *_, c in counts]))
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-x @ w))
-        w += 0.5 * (x.T @ (n * (y - p)) / n.sum() - 0.001 * w)
-    return {(k, v): float(p) for (k, v, _), p in zip(counts, 1 / (1 + np.exp(-x @ w)), strict=True)}
+        w += 0.5 * (x.T @ (n * (y - p)) / n.sum() - 0.0005 * w)
+    return {(k, v, f): float(p) for (k, v, f, _), p in zip(counts, 1 / (1 + np.exp(-x @ w)), strict=True)}
 
 
 def detect(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, kind, start, end, base, probability``: every base span and every added one."""
+    """``doc_id, kind, start, end, base, probability``: every base span and every added one; added ones don't overlap."""
     found = written(candidates(documents(docs)), "candidates")
-    counts = found.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 6 x 3^5 rows
-    known = classifier(sorted((r.kind, r.votes, r.n) for r in counts))
-    model = docs.sparkSession.createDataFrame([(k, v, p) for (k, v), p in known.items()], "kind string, votes string, probability double")
-    kept = found.join(F.broadcast(model), ["kind", "votes"]).where(F.col("base") | (F.col("probability") >= threshold))
+    counts = found.groupBy("kind", "votes", "shape").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 6 x 3^5 x 108 rows
+    known = classifier(sorted((r.kind, r.votes, r["shape"], r.n) for r in counts))
+    model = docs.sparkSession.createDataFrame([(*k, p) for k, p in known.items()], "kind string, votes string, shape string, probability double")
+    kept = found.join(F.broadcast(model), ["kind", "votes", "shape"]).where(F.col("base") | (F.col("probability") >= threshold))
     return kept.select("doc_id", "kind", "start", "end", "base", "probability")
 
 
 def spans_by_document(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Counts of base spans and both span lists for every document."""
+    """Counts of base spans and both span lists for every document; then counts of the other kinds, and of all spans."""
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     name = F.concat_ws(":", "kind", "start", "end")
     per = found.groupBy("doc_id").agg(
         *(F.count(F.when(F.col("base") & (F.col("kind") == k), 1)).alias(f"n_{k}") for k in KINDS[:4]),
+        *(F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in KINDS[4:]),
+        F.count(F.lit(1)).alias("n_spans"),
         F.array_sort(F.collect_list(F.when(F.col("base"), F.struct(rank.alias("r"), "start", name.alias("name"))))).alias("base"),
         F.array_sort(F.collect_list(F.struct(rank.alias("r"), "start", "end", name.alias("name")))).alias("every"),
     )
     ids = documents(docs).select("doc_id").join(per, "doc_id", "left")
     joined = lambda c: F.coalesce(F.array_join(F.col(f"{c}.name"), ","), F.lit(""))
     return ids.select(
-        "doc_id", *(F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS[:4]), F.sha2(joined("base"), 256).alias("base_sha256"), joined("every").alias("spans")
+        "doc_id", *(F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS[:4]), F.sha2(joined("base"), 256).alias("base_sha256"), joined("every").alias("spans"),
+        *(F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in (*KINDS[4:], "spans")),
     )
 
 
