@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from taskloom.llm.common import documents, once_each, table, written
 
 BLOCK, NEIGHBOURS = 64, 7
+#: Blocks that are visited before the others are tested.
+FIRST = 3
 #: How much more a term that speaks for toxicity weighs.
 LEAN = 2.0
 #: Terms in more than this part of the examples are held by blocks, others have postings.
@@ -90,14 +92,18 @@ class Terms:
         return ids[ids >= 0], n[ids >= 0], int(n[ids < 0].sum())
 
 
+def words_in(text: str) -> set[str]:
+    return set(_WORD.findall(text.lower()))
+
+
 def texts_with(rows: DataFrame, terms: Broadcast, by: str) -> np.ndarray:
     """In how many texts of ``rows`` each term occurs, for ``by`` (a 0/1 column) 0 and 1; counted within tasks before the shuffle."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros((2, len(terms.value.ids)), np.int64)
+        ids, seen = terms.value.ids, np.zeros((2, len(terms.value.ids)), np.int64)
         for frame in frames:
             for text, side in zip(frame.text, frame[by], strict=True):
-                seen[int(side), terms.value.counts(text)[0]] += 1
+                seen[int(side), [ids[w] for w in words_in(text) if w in ids]] += 1
         for side in (0, 1):
             some = np.flatnonzero(seen[side])
             for at in range(0, len(some), 50_000):
@@ -158,19 +164,17 @@ class Index:
         at = np.repeat(self.first[rare] - np.cumsum(n) + n, n) + np.arange(n.sum())
         partial = np.bincount(self.rows[at], np.repeat(own, n) * self.weights[at], self.blocks * BLOCK).reshape(self.blocks, BLOCK)
         bound = partial.max(1) + self.highest @ query
-        order, taken, more = np.argsort(-bound, kind="stable"), 0, 1
+        order = np.argsort(-bound, kind="stable")
         rows, sims = np.zeros(0, np.int64), np.zeros(0)
-        while taken < len(order):
-            visit = order[taken : taken + more]
-            visit = visit[(bound[visit] > 0) & (bound[visit] >= (sims[-1] - 1e-12 if len(sims) == k else 0))]
+        for part in (order[:FIRST], order[FIRST:]):  # the best blocks give a k-th similarity, which rules most others out
+            visit = part[(bound[part] > 0) & (bound[part] >= (sims[-1] - 1e-12 if len(sims) == k else 0))]
             if not len(visit):
                 break
             found = np.round(np.concatenate([partial[b] + self.dense[b] @ query for b in visit]), 12)
-            place = (visit[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            rows, sims = np.r_[rows, place[found > 0]], np.r_[sims, found[found > 0]]
+            high = np.flatnonzero(found >= max(np.partition(found, -k)[-k] if len(found) > k else 0, 1e-300))
+            rows, sims = np.r_[rows, visit[high // BLOCK] * BLOCK + high % BLOCK], np.r_[sims, found[high]]
             best = np.lexsort((rows, -sims))[:k]
             rows, sims = rows[best], sims[best]
-            taken, more = taken + more, 2 * more
         return rows, sims
 
     def share(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[float, np.ndarray, np.ndarray]:
@@ -226,7 +230,7 @@ def trained(docs: DataFrame, labelled: DataFrame) -> Model:
     sc = docs.sparkSession.sparkContext
     rows = sampled(docs, labelled)
     chosen = rows.where("in_index").select("doc_id", "text", "toxic").toPandas().sort_values("doc_id")  # bounded
-    terms = Terms(sorted({w for text in chosen.text for w in word_counts(text)}))
+    terms = Terms(sorted({w for text in chosen.text for w in words_in(text)}))
     held = sc.broadcast(terms)
     other, toxic = texts_with(rows.where("in_sample"), held, "toxic")
     n_other, n_toxic = (rows.where("in_sample").where(F.col("toxic") == t).count() for t in (0, 1))
