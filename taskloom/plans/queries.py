@@ -102,9 +102,9 @@ class Tables:
         return graph.edges(causal, graph.temporal_edges(self.segments, causal))
 
 
-@query("SELECT video_id, frame_idx // 3 AS frame_idx, frame_idx AS source_idx, round(t, 6) AS t FROM ev WHERE frame_idx % 3 = 0 AND frame_idx // 3 < 20")
+@query("SELECT video_id, frame_idx // 3 AS frame_idx, frame_idx AS source_idx, round(t, 6) AS t FROM ev WHERE frame_idx % 3 = 0")
 def frames_sampled(spark, sf_dir):
-    kept = timeline.sampled(Tables(spark, sf_dir).frames, 30.0, 10.0, 20)
+    kept = timeline.sampled(Tables(spark, sf_dir).frames, 30.0, 10.0)
     return kept.select("video_id", "frame_idx", "source_idx", r("t"))
 
 
@@ -130,20 +130,18 @@ def timeline_fix_monotonic(spark, sf_dir):
     return timeline.fixed(shaken(Tables(spark, sf_dir).frames).select("video_id", "frame_idx", "t")).select("video_id", "frame_idx", r("t"))
 
 
-@query("""SELECT q.video_id, q.probe, arg_min(e.frame_idx, (abs(e.t - q.t), e.frame_idx)) AS frame_idx FROM (SELECT video_id, unnest(range(5)) AS probe, duration * unnest(range(5)) / 4.5e0 AS t FROM tot) q JOIN ev e ON e.video_id = q.video_id GROUP BY q.video_id, q.probe""")
+@query("""SELECT q.video_id, q.probe, arg_min(e.frame_idx, (abs(e.t - q.t), e.frame_idx)) AS frame_idx FROM (SELECT video_id, i AS probe, t0 + i / 0.00013e0 AS t FROM (SELECT video_id, t0, unnest(range(CAST(floor(duration * 0.00013e0) AS BIGINT) + 1)) AS i FROM tot)) q JOIN ev e ON e.video_id = q.video_id GROUP BY q.video_id, q.probe""")
 def nearest_align(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    probes = timeline.summary(t.frames).select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("probe"), "duration")
-    probes = probes.select("video_id", "probe", (F.col("duration") * F.col("probe") / 4.5).alias("t"))
+    probes = timeline.resampled(t.frames, 0.00013).withColumnRenamed("frame_idx", "probe")
     return timeline.nearest_frames(probes, t.frames).select("video_id", "probe", "frame_idx")
 
 
 @query("""SELECT q.video_id, q.probe, round(coalesce(a.value + (b.value - a.value) * CASE WHEN b.t > a.t THEN (q.t - a.t) / (b.t - a.t) ELSE 0 END, a.value, b.value), 6) AS value
-  FROM (SELECT video_id, unnest(range(5)) AS probe, duration * unnest(range(5)) / 4.5e0 AS t FROM tot) q ASOF LEFT JOIN ev a ON a.video_id = q.video_id AND a.t <= q.t ASOF LEFT JOIN ev b ON b.video_id = q.video_id AND b.t > q.t""")
+  FROM (SELECT video_id, i AS probe, t0 + i / 0.00013e0 AS t FROM (SELECT video_id, t0, unnest(range(CAST(floor(duration * 0.00013e0) AS BIGINT) + 1)) AS i FROM tot)) q ASOF LEFT JOIN ev a ON a.video_id = q.video_id AND a.t <= q.t ASOF LEFT JOIN ev b ON b.video_id = q.video_id AND b.t > q.t""")
 def linear_align(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    probes = timeline.summary(t.frames).select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("probe"), "duration")
-    probes = probes.select("video_id", "probe", (F.col("duration") * F.col("probe") / 4.5).alias("t"))
+    probes = timeline.resampled(t.frames, 0.00013).withColumnRenamed("frame_idx", "probe")
     return timeline.interpolated(probes, t.frames.select("video_id", "t", "value"), "value").select("video_id", "probe", r("value"))
 
 
@@ -152,10 +150,10 @@ def resample_timeline(spark, sf_dir):
     return timeline.resampled(Tables(spark, sf_dir).frames, 0.0001).select("video_id", "frame_idx", r("t"))
 
 
-@query("SELECT q.video_id, q.frame_idx, round(coalesce(e.t, t0 + q.frame_idx / 30e0), 6) AS t FROM (SELECT video_id, t0, unnest(range(0, 100, 9)) AS frame_idx FROM tot) q LEFT JOIN ev e ON e.video_id = q.video_id AND e.frame_idx = q.frame_idx")
+@query("SELECT q.video_id, q.frame_idx, round(coalesce(e.t, t0 + q.frame_idx / 30e0), 6) AS t FROM (SELECT video_id, t0, unnest(range(num_frames + 10)) AS frame_idx FROM tot) q LEFT JOIN ev e ON e.video_id = q.video_id AND e.frame_idx = q.frame_idx")
 def frame_times(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    rows = t.totals.select("video_id", F.explode(F.expr("sequence(0L, 99L, 9L)")).alias("frame_idx"))
+    rows = timeline.summary(t.frames).select("video_id", F.explode(F.expr("sequence(0L, num_frames + 9)")).alias("frame_idx"))  # some beyond the end
     return timeline.times_of(rows, t.frames, 30.0).select("video_id", "frame_idx", r("t"))
 
 
@@ -417,19 +415,11 @@ def graph_metadata(spark, sf_dir):
     return graph.metadata(t.segments, t.edges)
 
 
-@query("""SELECT video_id, path_length, count(*) AS num_paths FROM (WITH RECURSIVE fwd AS (SELECT c.* FROM cau c JOIN cl a ON a.video_id = c.video_id AND a.seg_id = c.source WHERE target - source <= 2), p AS (
-  SELECT DISTINCT f.video_id, f.source AS at, 1 AS path_length, CAST(f.source AS VARCHAR) AS path FROM fwd f WHERE NOT EXISTS (SELECT 1 FROM fwd g WHERE g.video_id = f.video_id AND g.target = f.source)
-  UNION ALL SELECT p.video_id, f.target, path_length + 1, path || ',' || f.target FROM p JOIN fwd f ON f.video_id = p.video_id AND f.source = p.at WHERE path_length < 6)
-  SELECT * FROM p WHERE path_length > 1 AND NOT EXISTS (SELECT 1 FROM fwd g WHERE g.video_id = p.video_id AND g.source = p.at)) GROUP BY ALL""")
+@query("""SELECT video_id, path_length, CAST(sum(n) AS DECIMAL(38, 0)) AS num_paths FROM (WITH RECURSIVE p AS (
+  SELECT DISTINCT c.video_id, c.source AS at, CAST(1 AS BIGINT) AS path_length, CAST(1 AS HUGEINT) AS n FROM cau c WHERE NOT EXISTS (SELECT 1 FROM cau g WHERE g.video_id = c.video_id AND g.target = c.source)
+  UNION ALL SELECT p.video_id, c.target, path_length + 1, CAST(sum(n) AS HUGEINT) FROM p JOIN cau c ON c.video_id = p.video_id AND c.source = p.at GROUP BY ALL)
+  SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM cau g WHERE g.video_id = p.video_id AND g.source = p.at)) GROUP BY ALL""")
 def causal_chains(spark, sf_dir):
-    """Chains over short causal edges, counted by length."""
-    t = Tables(spark, sf_dir)
-    near = t.causal.where("target - source <= 2")
-    return graph.chains(t.segments, near, 6).groupBy("video_id", F.size("path").cast("long").alias("path_length")).agg(F.count(F.lit(1)).alias("num_paths"))
-
-
-@query()
-def causal_paths(spark, sf_dir):
     """Chains over all causal edges, of any length, counted by length."""
     return graph.chain_counts(Tables(spark, sf_dir).causal)
 
@@ -577,20 +567,29 @@ def export_contacts(spark, sf_dir):
 
 
 def stream(spark: SparkSession, rows: DataFrame, order: str) -> DataFrame:
-    """The rows as a stream over files in the session's shared folder, one batch for each quarter of the times."""
+    """The rows as a stream over files in the session's shared folder: a batch for each quarter of the times, and a closing row of nulls four days
+    after the last, which moves the watermark past all others."""
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    rows.repartitionByRange(4, order).write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    rows = kept(rows)
+    at, kind = F.col(order).cast("double"), rows.schema[order].dataType
+    low, *inner, high = rows.select(at.alias("at")).agg(F.percentile_approx("at", [0.0, 0.25, 0.5, 0.75, 1.0])).first()[0] or [0.0] * 5
+    for a, b in zip([low, *inner], [*inner, high + 1], strict=True):
+        if a < b:
+            rows.where((at >= a) & (at < b)).coalesce(1).write.mode("append").parquet(path)
+    last = rows.agg(F.coalesce(F.max(order), F.lit(0).cast(kind)).alias(order))
+    later = (F.col(order).cast("double") + 4 * 86_400).cast(kind)
+    last.select(*(later.alias(f.name) if f.name == order else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema)).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@query()
+@query("SELECT video_id, hand, object_id, frame_idx, is_contact FROM con")
 def stream_contacts(spark, sf_dir):
     from taskloom.streaming import live
 
     t = Tables(spark, sf_dir)
     near = t.contact.select("video_id", "hand", "object_id", "frame_idx", "distance").join(t.frames.select("video_id", "frame_idx", "t"), ["video_id", "frame_idx"])
     found = live.live_contacts(live.stamped(stream(spark, near, "t")))
-    return live.run_to_end(found, "live_contacts")
+    return live.run_to_end(found)
 
 
 @query()
@@ -599,7 +598,7 @@ def stream_track(spark, sf_dir):
 
     t = Tables(spark, sf_dir)
     rows = t.frames.select("video_id", "frame_idx", "t").join(detections(t).drop("object_id"), ["video_id", "frame_idx"], "left").select("video_id", "frame_idx", "t", "det_idx", "class_name", "conf", *objects.BOX)
-    return live.run_to_end(live.live_tracks(live.stamped(stream(spark, rows, "t"))), "live_tracks")
+    return live.run_to_end(live.live_tracks(live.stamped(stream(spark, rows, "t"))))
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -608,4 +607,4 @@ def stream_windows(spark, sf_dir):
 
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     found = live.windowed_counts(stream(spark, events, "ts").withWatermark("ts", "1 hour"), "1 day")
-    return live.run_to_end(found, "live_windows", "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return live.run_to_end(found).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -8,6 +8,7 @@ progress as ``numRowsDroppedByWatermark``.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from taskloom.functions.lineage import shared_dir
 from taskloom.operators.objects import BOX, Tracker
 
 #: 1 January 2000, in seconds.
@@ -105,8 +107,10 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return events.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Everything that a stream over finished files gives, through a memory table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame) -> DataFrame:
+    """Everything that a stream over finished files gives, written as Parquet to the shared folder, with the query's checkpoint beside it.  Rows behind
+    the last watermark are not given: end the input with a row that moves it past them."""
+    path = f"{shared_dir(stream.sparkSession)}/live-{uuid.uuid4().hex}"
+    query = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/rows")
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")

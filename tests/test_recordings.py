@@ -176,7 +176,7 @@ def test_causal_paths_cross_far_segments(spark):
     for node in ahead:
         if node not in targets:
             want.update({(node[0], k): n for k, n in below(node).items()})
-    assert {(r.video_id, r.path_length): int(r.num_paths) for r in QUERIES["causal_paths"](spark, SF).collect()} == want
+    assert {(r.video_id, r.path_length): int(r.num_paths) for r in QUERIES["causal_chains"](spark, SF).collect()} == want
     assert any(b - a > 2 for _, a, b in edges)
 
 
@@ -225,10 +225,21 @@ def test_live_contacts_equal_the_batch(spark):
     from taskloom.plans.queries import stream
     from taskloom.streaming import live
 
-    got = live.run_to_end(live.live_contacts(live.stamped(stream(spark, near, "t"), delay="2 seconds")), "contacts_test")
-    live_rows = {r.frame_idx: r.is_contact for r in got.collect()}
-    batch = {r.frame_idx: r.is_contact for r in contacts.contacts(near).collect()}
-    assert len(live_rows) > 20 and all(batch[f] == v for f, v in live_rows.items())
+    got = live.run_to_end(live.live_contacts(live.stamped(stream(spark, near, "t"), delay="2 seconds")))
+    place = ["video_id", "hand", "object_id", "frame_idx", "is_contact"]
+    assert sorted(map(tuple, got.select(place).collect())) == sorted(map(tuple, contacts.contacts(near).select(place).collect()))
+
+
+def test_live_tracks_equal_the_batch(spark):
+    from taskloom.plans.queries import stream
+    from taskloom.streaming import live
+
+    boxes = [(1, f, float(f), d, "cup", 0.9, 10.0 * d + f, 0.0, 10.0 * d + f + 8, 9.0) for f in range(40) for d in range(2) if f % 9 or d]
+    found = spark.createDataFrame(boxes, "video_id long, frame_idx long, t double, det_idx long, class_name string, conf double, x1 double, y1 double, x2 double, y2 double")
+    got = live.run_to_end(live.live_tracks(live.stamped(stream(spark, found, "t"), delay="3 seconds")))
+    want = objects.tracked(found.drop("t"), found.select("video_id", "frame_idx").distinct(), min_hits=2)
+    place = ["video_id", "track_id", "frame_idx", "det_idx"]
+    assert sorted(map(tuple, got.select(place).collect())) == sorted(map(tuple, want.select(place).collect()))
 
 
 @pytest.mark.parametrize("name", ["frames_sampled", "timeline_fix_monotonic", "track_gap_fill", "contact_hysteresis", "pose_one_euro", "joint_angles", "interaction_labels"])
