@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +62,41 @@ def overlapping(a_start: str, a_end: str, b_start: str, b_end: str) -> Column:
     return (F.col(a_end) >= F.col(b_start)) & (F.col(a_start) <= F.col(b_end))
 
 
+def folded(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """An ordered left fold for each key: ``step`` takes a key's rows in order, batch by batch, and yields what comes of them.  Rows are
+    sorted by Spark, which spills; a task holds one batch and the step's own state, however long the recording."""
+
+    def parts(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+        for frame in frames:
+            run = frame[keys].ne(frame[keys].shift()).any(axis=1).cumsum()
+            for _, part in frame.groupby(run, sort=False):
+                yield tuple(part[keys].iloc[0]), part
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, group in groupby(parts(frames), key=lambda p: p[0]):
+            yield from step(part for _, part in group)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def by_frame(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list]]:
+    """A recording's batches as (frame, rows of that frame), also where a frame's rows lie in two batches."""
+    rows = (r for part in parts for r in part.itertuples(index=False))
+    for frame, group in groupby(rows, key=lambda r: r.frame_idx):
+        yield int(frame), list(group)
+
+
+def batched(rows: Iterator[tuple], columns: list[str], size: int = 10_000) -> Iterator[pd.DataFrame]:
+    out = []
+    for row in rows:
+        out.append(row)
+        if len(out) == size:
+            yield pd.DataFrame(out, columns=columns)
+            out = []
+    if out:
+        yield pd.DataFrame(out, columns=columns)
+
+
 def fold(values: Column, start: Column, step) -> Column:
     """An ordered left fold over an array; ``step`` takes the accumulator and an element."""
     return F.aggregate(values, start, step)

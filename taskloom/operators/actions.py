@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taskloom.functions.temporal import fold, overlapping, over
+from taskloom.functions.temporal import batched, folded, overlapping, over
 from taskloom.operators.states import changes
 
 COLUMNS = ["video_id", "frame_idx", "trigger", "objects", "confidence", "rank", "seq"]
@@ -47,17 +49,25 @@ def merged_boundaries(*found: DataFrame) -> DataFrame:
 def refined_boundaries(boundaries: DataFrame, least: int = 3) -> DataFrame:
     """Boundaries nearer than ``least`` frames to the last one kept: the surer of the two stays.  A video's boundaries are folded in order."""
 
-    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        rows = pdf.sort_values("frame_idx").reset_index(drop=True)
-        for i, r in enumerate(rows.itertuples()):
-            if not kept or r.frame_idx - rows.frame_idx[kept[-1]] >= least:
-                kept.append(i)
-            elif r.confidence > rows.confidence[kept[-1]]:
-                kept[-1] = i
-        return rows.loc[kept, ["video_id", "frame_idx", "trigger", "confidence"]]
+    columns = ["video_id", "frame_idx", "trigger", "confidence"]
+
+    def thin(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def stay() -> Iterator[tuple]:
+            last = None
+            for part in parts:
+                for r in part.itertuples(index=False):
+                    if last is None or r.frame_idx - last.frame_idx >= least:
+                        if last is not None:
+                            yield last
+                        last = r
+                    elif r.confidence > last.confidence:
+                        last = r
+            yield last
+
+        yield from batched(stay(), columns)
 
-    return boundaries.groupBy("video_id").applyInPandas(thin, "video_id long, frame_idx long, trigger string, confidence double")
+    rows = boundaries.select(*columns)
+    return folded(rows, ["video_id"], ["frame_idx"], thin, "video_id long, frame_idx long, trigger string, confidence double")
 
 
 def segments(boundaries: DataFrame, totals: DataFrame, shortest: int = 10) -> DataFrame:
@@ -149,17 +159,14 @@ def closed(segment: DataFrame) -> DataFrame:
     rows = segment.withColumn("mid", F.when(ahead - F.col("frame_end") - 1 != 0, F.floor((F.col("frame_end") + ahead) / 2).cast("long")))
     rows = rows.withColumn("before", F.lag("mid").over(w))
     rows = rows.withColumn("frame_start", F.coalesce(F.col("before") + 1, F.col("frame_start"))).withColumn("frame_end", F.coalesce("mid", "frame_end"))
-    per = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("frame_start", "frame_end", "seg_id", "confidence", "objects", "t_start", "t_end", "mid", "before"))).alias("s"))
-
-    def step(acc, x):
-        start = F.when(x["before"].isNotNull(), F.element_at(acc, -1)["t_end"]).otherwise(x["t_start"])
-        end = F.when(x["mid"].isNotNull(), start + (x["mid"] - x["frame_start"]) / 30.0).otherwise(x["t_end"])
-        return F.concat(acc, F.array(F.struct(start.alias("t_start"), end.alias("t_end"))))
-
-    none = F.array().cast("array<struct<t_start:double,t_end:double>>")
-    per = per.withColumn("times", fold(F.col("s"), none, step))
-    each = per.select("video_id", F.explode(F.arrays_zip("s", "times")).alias("z"))
-    return each.select("video_id", "z.s.seg_id", "z.s.frame_start", "z.s.frame_end", "z.s.confidence", "z.s.objects", "z.times.t_start", "z.times.t_end")
+    # a run is a segment with its own start and those behind it whose starts are the ends before
+    run = F.count(F.when(F.col("before").isNull(), 1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("run", run)
+    chain = over(["video_id", "run"], "frame_start")
+    length = (F.col("mid") - F.col("frame_start")) / 30.0
+    start = F.first("t_start").over(chain) + F.coalesce(F.sum(length).over(chain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rows = rows.withColumn("t_start", start).withColumn("t_end", F.when(F.col("mid").isNotNull(), start + length).otherwise(F.col("t_end")))
+    return rows.select("video_id", "seg_id", "frame_start", "frame_end", "confidence", "objects", "t_start", "t_end")
 
 
 def events_in(segment: DataFrame, events: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taskloom.functions.geometry import center, distance, iou
-from taskloom.functions.temporal import gap_filled, over
+from taskloom.functions.temporal import batched, by_frame, folded, gap_filled, over
 from taskloom.operators.pose import overlap
 
 KEY = ["video_id", "object_id"]
@@ -66,15 +68,17 @@ def tracked(detections: DataFrame, frames: DataFrame, least: float = 0.3, max_ag
     video_id, frame_idx, det_idx, class_name, conf and box."""
     rows = frames.select("video_id", "frame_idx").join(detections, ["video_id", "frame_idx"], "left").select("video_id", "frame_idx", "det_idx", "class_name", "conf", *BOX)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        tracker, out = Tracker(least, max_age, min_hits), []
-        for frame, group in pdf.sort_values(["frame_idx", "det_idx"]).groupby("frame_idx", sort=True):
-            held = [r for r in group.itertuples() if not pd.isna(r.det_idx)]
-            for track, d in tracker.update(int(frame), [(r.class_name, r.conf, (r.x1, r.y1, r.x2, r.y2)) for r in held]):
-                out.append((pdf.video_id.iloc[0], track, frame, int(held[d].det_idx)))
-        return pd.DataFrame(out, columns=["video_id", "track_id", "frame_idx", "det_idx"])
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def emitted() -> Iterator[tuple]:
+            tracker = Tracker(least, max_age, min_hits)
+            for frame, group in by_frame(parts):
+                held = [r for r in group if not pd.isna(r.det_idx)]
+                for track, d in tracker.update(frame, [(r.class_name, r.conf, (r.x1, r.y1, r.x2, r.y2)) for r in held]):
+                    yield held[d].video_id, track, frame, int(held[d].det_idx)
+
+        yield from batched(emitted(), ["video_id", "track_id", "frame_idx", "det_idx"])
 
-    return rows.groupBy("video_id").applyInPandas(fold, "video_id long, track_id long, frame_idx long, det_idx long")
+    return folded(rows, ["video_id"], ["frame_idx", "det_idx"], fold, "video_id long, track_id long, frame_idx long, det_idx long")
 
 
 def trajectories(emitted: DataFrame, frames: DataFrame) -> DataFrame:

@@ -4,13 +4,14 @@ joint, x, y, conf, x3, y3, z3; missing coordinates are null."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taskloom.functions.geometry import angle, norm, sub
-from taskloom.functions.temporal import gap_filled, over
+from taskloom.functions.temporal import batched, by_frame, folded, gap_filled, over
 
 #: The joints in order, the bones and the angles (joint, then its two ends).
 JOINTS = ["nose", "left_eye", "right_eye", "left_ear", "right_ear", "left_shoulder", "right_shoulder", "left_elbow", "right_elbow",
@@ -29,20 +30,21 @@ def selected(people: DataFrame) -> DataFrame:
     """One person of each frame: the surest at first, then the one that overlaps the last chosen most; a frame without people forgets.
     ``people`` has video_id, frame_idx (a row with null det_idx for an empty frame), det_idx, conf and box; each video is folded in order."""
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, out = None, []
-        for _, frame in pdf.sort_values(["frame_idx", "det_idx"]).groupby("frame_idx", sort=True):
-            rows = [r for r in frame.itertuples() if not pd.isna(r.det_idx)]
-            if not rows:
-                last = None
-                continue
-            best = max(rows, key=lambda r: r.conf) if last is None else max(rows, key=lambda r: overlap(last, (r.x1, r.y1, r.x2, r.y2)))
-            best = rows[0] if len(rows) == 1 else best
-            last = (best.x1, best.y1, best.x2, best.y2)
-            out.append((best.video_id, best.frame_idx, int(best.det_idx)))
-        return pd.DataFrame(out, columns=["video_id", "frame_idx", "det_idx"])
+    def choose(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def chosen() -> Iterator[tuple]:
+            last = None
+            for frame, rows in by_frame(parts):
+                rows = [r for r in rows if not pd.isna(r.det_idx)]
+                if not rows:
+                    last = None
+                    continue
+                best = max(rows, key=lambda r: r.conf) if last is None else max(rows, key=lambda r: overlap(last, (r.x1, r.y1, r.x2, r.y2)))
+                last = (best.x1, best.y1, best.x2, best.y2)
+                yield best.video_id, frame, int(best.det_idx)
 
-    return people.groupBy("video_id").applyInPandas(choose, "video_id long, frame_idx long, det_idx long")
+        yield from batched(chosen(), ["video_id", "frame_idx", "det_idx"])
+
+    return folded(people, ["video_id"], ["frame_idx", "det_idx"], choose, "video_id long, frame_idx long, det_idx long")
 
 
 def overlap(a: tuple, b: tuple) -> float:
@@ -124,18 +126,18 @@ def series(joints: DataFrame, columns: list[str], step, max_gap: int) -> DataFra
     neither missing nor filled."""
     rows = filled(joints, columns, max_gap).select("video_id", "frame_idx", "joint", "conf", "filled", *columns)
 
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx").reset_index(drop=True)
-        state, out = None, []
-        values = pdf[columns].to_numpy(float)
-        for row, fill in zip(values, pdf.filled, strict=True):
-            state, new = step(state, row, not fill and not math.isnan(row[0]))
-            out.append(new)
-        pdf[columns] = out
-        return pdf
+    def smooth(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = None
+        for part in parts:
+            out = []
+            for row, fill in zip(part[columns].to_numpy(float), part.filled, strict=True):
+                state, new = step(state, row, not fill and not math.isnan(row[0]))
+                out.append(new)
+            part[columns] = out
+            yield part
 
     kind = "video_id long, frame_idx long, joint long, conf double, filled boolean, " + ", ".join(f"{c} double" for c in columns)
-    done = rows.groupBy(*KEY).applyInPandas(smooth, kind)
+    done = folded(rows, KEY, ["frame_idx"], smooth, kind)
     return done.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
 
 
@@ -217,7 +219,7 @@ def joint_angles(joints: DataFrame, least: float = 0.2) -> DataFrame:
 
 def bone_lengths(joints: DataFrame, least: float = 0.2) -> DataFrame:
     names = sorted({n for two in BONES for n in two})
-    rows = [F.struct(F.lit(f"{a}-{b}").alias("name"), norm(sub(point(a), point(b))).alias("length")) for a, b in BONES]
+    rows = [F.struct(F.lit(f"{a}_{b}").alias("name"), norm(sub(point(a), point(b))).alias("length")) for a, b in BONES]
     return wide(joints, names, least).select("video_id", "frame_idx", F.explode(F.array(*rows)).alias("r")).select("video_id", "frame_idx", "r.name", "r.length").where("length is not null")
 
 
@@ -230,3 +232,9 @@ def remapped(points: DataFrame, spark: SparkSession, mapping: dict[int, int], le
     dim = spark.createDataFrame(list(mapping.items()), "landmark long, joint long")
     kept = points.join(F.broadcast(dim), "landmark").drop("landmark")  # as many rows as the layout has
     return kept.withColumns({c: F.when(F.col("conf") > least, F.col(c)) for c in ("x", "y")})
+
+
+def wrist_speeds(joints: DataFrame, fps: float, smoothing: int = 3, least: float = 0.2) -> DataFrame:
+    """Place and speed of both wrists in every frame; ``joints`` with world coordinates."""
+    moving = velocities(joints, fps, smoothing, least).select("video_id", "frame_idx", "joint", "speed")
+    return wrists(joints).join(moving, ["video_id", "frame_idx", "joint"]).select("video_id", "frame_idx", "side", "x3", "y3", "z3", "conf", "speed")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taskloom.functions.temporal import fold, neighbours, over
+from taskloom.functions.temporal import folded, neighbours, over
 
 
 def sampled(frames: DataFrame, fps: float, target: float | None, max_frames: int | None = None) -> DataFrame:
@@ -28,24 +31,22 @@ def summary(frames: DataFrame) -> DataFrame:
     return frames.groupBy("video_id").agg(F.count(F.lit(1)).alias("num_frames"), F.min("t").alias("t0"), (F.max("t") - F.min("t")).alias("duration"))
 
 
-def fixed_times(times: Column) -> Column:
-    """Repairs an array of times: one that isn't above the one before, as repaired, follows it by the step before; the first step is 1/30."""
-
-    def step(acc, x):
-        n = F.size(acc)
-        last = F.element_at(acc, -1)
-        before = F.when(n >= 2, last - F.try_element_at(acc, F.lit(-2))).otherwise(F.lit(1.0 / 30.0))
-        return F.concat(acc, F.array(F.when((n > 0) & (x <= last), last + before).otherwise(x)))
-
-    first = F.slice(times, 1, 1)
-    return fold(F.slice(times, 2, F.greatest(F.lit(0), F.size(times) - 1)), first, step)
-
-
 def fixed(frames: DataFrame) -> DataFrame:
-    """Frames with repaired times; a video's times are one array, folded in order."""
-    per = frames.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "t"))).alias("s"))
-    per = per.withColumn("t", fixed_times(F.col("s.t")))
-    return per.select("video_id", F.explode(F.arrays_zip(F.col("s.frame_idx").alias("frame_idx"), F.col("t").alias("t"))).alias("z")).select("video_id", "z.frame_idx", "z.t")
+    """Frames with repaired times: one that isn't above the one before, as repaired, follows it by the step before; the first step is 1/30."""
+
+    def repair(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = last = None
+        for part in parts:
+            out = []
+            for t in part.t:
+                if last is not None and t <= last:
+                    t = last + (1.0 / 30.0 if before is None else last - before)
+                before, last = last, t
+                out.append(t)
+            yield part.assign(t=out)
+
+    rows = folded(frames.select("video_id", "frame_idx", "t"), ["video_id"], ["frame_idx"], repair, "video_id long, frame_idx long, t double")
+    return rows.withColumn("t", F.when(~F.isnan("t"), F.col("t")))
 
 
 def validated(frames: DataFrame, fps: float) -> DataFrame:
