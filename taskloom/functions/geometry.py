@@ -87,3 +87,32 @@ def choose(cases: list[tuple[Column, Vector]], other: Vector) -> Vector:
             e = F.when(when, v[i]).otherwise(e)
         out.append(e)
     return tuple(out)
+
+
+def resizing(policy: str, width: Column, height: Column, to_width: int, to_height: int) -> dict[str, Column]:
+    """``scale_x, scale_y, pad_left, pad_top`` of frames brought to a size: ``none``, ``resize`` (each side by itself), ``letterbox`` (fits
+    inside, padded evenly) or ``crop_center`` (covers, cut evenly: negative pads).  Sides are cut to whole pixels."""
+    across, down = F.lit(float(to_width)) / width, F.lit(float(to_height)) / height
+    zero = F.lit(0).cast("long")
+    if policy in ("none", "resize"):
+        one = F.lit(1.0)
+        return {"scale_x": across if policy == "resize" else one, "scale_y": down if policy == "resize" else one, "pad_left": zero, "pad_top": zero}
+    if policy not in ("letterbox", "crop_center"):
+        raise ValueError(f"no such resizing: {policy}")
+    inside = policy == "letterbox"
+    k = F.least(across, down) if inside else F.greatest(across, down)
+
+    def pad(side: Column, to: int) -> Column:
+        new = (side * k).cast("long")
+        return F.floor((F.lit(to) - new) / 2) if inside else -F.floor((new - F.lit(to)) / 2)
+
+    return {"scale_x": k, "scale_y": k, "pad_left": pad(width, to_width), "pad_top": pad(height, to_height)}
+
+
+def to_original(x: Column, y: Column) -> tuple[Column, Column]:
+    """A point of the resized frame in the original one; the columns of ``resizing`` are there."""
+    return (x - F.col("pad_left")) / F.col("scale_x"), (y - F.col("pad_top")) / F.col("scale_y")
+
+
+def to_processed(x: Column, y: Column) -> tuple[Column, Column]:
+    return x * F.col("scale_x") + F.col("pad_left"), y * F.col("scale_y") + F.col("pad_top")

@@ -128,3 +128,24 @@ def body_relative(joints: DataFrame, points: DataFrame, least: float = 0.2) -> D
     parts = [at(f"{s}_shoulder", c, usable).alias(f"{s[0]}{c}") for s in ("left", "right") for c in ("x", "y")]
     body = joints.groupBy(*KEY).agg(*parts).withColumn("w", distance(F.col("lx"), F.col("ly"), F.col("rx"), F.col("ry"))).where("w > 0")
     return points.join(body, KEY).withColumns({"bx": (F.col("x") - (F.col("lx") + F.col("rx")) / 2) / F.col("w"), "by": (F.col("y") - (F.col("ly") + F.col("ry")) / 2) / F.col("w")}).drop("lx", "ly", "rx", "ry", "w")
+
+
+#: The joints of an arm, in order.
+ARM = ("shoulder", "elbow", "wrist")
+
+
+def arms(joints: DataFrame, heads: DataFrame, sure: float = 0.3) -> DataFrame:
+    """``side, part`` (shoulder 0, elbow 1, wrist 2) and ``ex, ey, ez``: arms of which all three joints are sure, in the head's frame."""
+    dims = [(J[f"{side}_{p}"], side, i) for side in ("left", "right") for i, p in enumerate(ARM)]
+    side, part = F.lit(None).cast("string"), F.lit(None).cast("int")
+    for j, s, i in dims:
+        side, part = F.when(F.col("joint") == j, s).otherwise(side), F.when(F.col("joint") == j, i).otherwise(part)
+    rows = joints.where(F.col("joint").isin([j for j, _, _ in dims]) & (F.col("conf") > sure) & F.col("x3").isNotNull())
+    rows = rows.select(*KEY, side.alias("side"), part.alias("part"), F.col("x3").alias("px"), F.col("y3").alias("py"), F.col("z3").alias("pz"))
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*KEY, "side"))).where("n = 3").drop("n")
+    return in_head_frame(rows, heads).select(*KEY, "side", "part", "ex", "ey", "ez")
+
+
+def has_pose(heads: DataFrame, least: float = 0.3) -> DataFrame:
+    """Whether a video's head is sure in any frame."""
+    return heads.groupBy("video_id").agg(F.coalesce(F.max(F.col("confidence") > least), F.lit(False)).alias("has_pose"))

@@ -135,3 +135,14 @@ def chain_counts(causal: DataFrame) -> DataFrame:
         at, length = kept(ahead.groupBy("video_id", F.col("target").alias("at")).agg(F.sum("n").alias("n"))), length + 1
         out = out.unionByName(at.withColumn("path_length", F.lit(length).cast("long")))
     return out.join(last, ["video_id", "at"], "left_semi").groupBy("video_id", "path_length").agg(F.sum("n").alias("num_paths"))
+
+
+def predecessors(edge: DataFrame, edge_type: str | None = None) -> DataFrame:
+    """``video_id, seg_id, predecessors``: the sorted segments with an edge to each one, of one type or of all."""
+    some = edge.where(F.col("edge_type") == edge_type) if edge_type else edge
+    return some.groupBy("video_id", F.col("target").alias("seg_id")).agg(F.array_sort(F.collect_list("source")).alias("predecessors"))
+
+
+def successors(edge: DataFrame, edge_type: str | None = None) -> DataFrame:
+    some = edge.where(F.col("edge_type") == edge_type) if edge_type else edge
+    return some.groupBy("video_id", F.col("source").alias("seg_id")).agg(F.array_sort(F.collect_list("target")).alias("successors"))

@@ -91,3 +91,24 @@ def interpolated(rows: DataFrame, series: DataFrame, value: str) -> DataFrame:
     share = F.try_divide(F.col("t") - F.col("p_.t"), F.col("n_.t") - F.col("p_.t"))
     between = F.col("p_.v") + (F.col("n_.v") - F.col("p_.v")) * F.coalesce(share, F.lit(0.0))
     return near.withColumn(value, F.coalesce(between, F.col("p_.v"), F.col("n_.v"))).drop("p_", "n_")
+
+
+def from_times(videos: DataFrame, times: DataFrame) -> DataFrame:
+    """``video_id, frame_idx, t, timestamp_source`` of videos with num_frames, fps and t0: the ``times`` given for a video, repaired if they
+    fall somewhere, else synthetic ones.  Another number of times than frames is an error."""
+    counted = videos.join(times.groupBy("video_id").agg(F.count(F.lit(1)).alias("given")), "video_id", "left")
+    wrong = F.raise_error(F.concat(F.lit("times of another length than the frames of video "), F.col("video_id").cast("string")))
+    timed = counted.where("given is not null").select("video_id", F.when(F.col("given") == F.col("num_frames"), True).otherwise(wrong.cast("boolean")).alias("fits"))
+    rows = times.select("video_id", "frame_idx", "t").join(timed, "video_id").where("fits").drop("fits")
+    falls = validated(rows, 1.0).where("not monotonic").select("video_id")
+    own = rows.join(falls, "video_id", "left_anti").unionByName(fixed(rows.join(falls, "video_id", "left_semi"))).withColumn("timestamp_source", F.lit("video"))
+    rest = synthetic(counted.where("given is null")).select("video_id", "frame_idx", "t").withColumn("timestamp_source", F.lit("synthetic"))
+    return own.unionByName(rest)
+
+
+def misaligned(totals: DataFrame, joints: DataFrame, tracks: DataFrame) -> DataFrame:
+    """``video_id, part, object_id, found, num_frames``: poses and objects with another number of frames than their video."""
+    none = F.lit(None).cast("long").alias("object_id")
+    pose = joints.groupBy("video_id").agg(F.countDistinct("frame_idx").alias("found")).select("video_id", F.lit("pose").alias("part"), none, "found")
+    each = tracks.groupBy("video_id", "object_id").agg(F.countDistinct("frame_idx").alias("found")).select("video_id", F.lit("object").alias("part"), "object_id", "found")
+    return pose.unionByName(each).join(totals.select("video_id", "num_frames"), "video_id").where("found != num_frames")

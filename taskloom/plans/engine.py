@@ -1,4 +1,4 @@
-"""The whole analysis of recordings, as lazy tables."""
+"""The whole analysis of recordings, as tables."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taskloom.functions.lineage import kept
 from taskloom.operators import actions, contacts, ego, graph, objects, pose, states, timeline
 from taskloom.sources.config import Settings
 
@@ -14,8 +15,9 @@ from taskloom.sources.config import Settings
 @dataclass
 class Engine:
     """``run`` takes ``frames`` (video_id, frame_idx, t), ``detections`` (video_id, frame_idx, det_idx, class_name, conf, box) or
-    finished ``tracks``, and ``joints`` (see ``pose``), and gives one DataFrame for each table.  Nothing is computed until a table is
-    used; all tables are keyed by video_id, so any number of recordings run together."""
+    finished ``tracks``, and ``joints`` (see ``pose``), and gives one DataFrame for each table.  Tables that others
+    are built on are written once to the shared folder and read again; the others are computed when they are used.  All are keyed by video_id, so
+    any number of recordings run together."""
 
     settings: Settings = field(default_factory=Settings)
 
@@ -25,32 +27,32 @@ class Engine:
         totals = out["timelines"].select("video_id", "num_frames")
         if tracks is None:
             tracks = objects.interpolated(self.tracks(frames, detections), s.tracking.max_gap)
-        tracks = states.motion(tracks, s.states.window, s.states.threshold)
-        out["joints"] = smooth = self.smoothed(joints)
+        tracks = kept(states.motion(tracks, s.states.window, s.states.threshold))
+        out["joints"] = smooth = kept(self.smoothed(joints))
         near = contacts.distances(contacts.hand_positions(smooth, least=s.pose.min_confidence), tracks)
-        contact = contacts.contacts(near, s.contacts.distance, s.contacts.on, s.contacts.off)
+        contact = kept(contacts.contacts(near, s.contacts.distance, s.contacts.on, s.contacts.off))
         out["contact_frames"] = contact
         # as in the order of stages that is analysed, interactions see support and containment as unknown
         unknown = tracks.select("video_id", "object_id", "frame_idx", F.lit("unknown").alias("support_relation"), F.lit("unknown").alias("containment"))
         wrist = pose.wrists(smooth).select("video_id", "frame_idx", F.col("side").alias("hand"), "x", "y")
         feature = contacts.features(contacts.segments(contact), wrist, tracks)
-        found = contacts.interactions(feature, unknown, s.contacts.motion, s.contacts.correlation)
+        found = kept(contacts.interactions(feature, unknown, s.contacts.motion, s.contacts.correlation))
         out["interactions"] = found
-        event = contacts.events(found, s.contacts.min_confidence, s.contacts.min_duration, s.contacts.merge_gap)
+        event = kept(contacts.events(found, s.contacts.min_confidence, s.contacts.min_duration, s.contacts.merge_gap))
         out["contact_events"] = event
-        state = states.refined(tracks, contacts.contact_frames(contact), contacts.grasp_frames(event))
+        state = kept(states.refined(tracks, contacts.contact_frames(contact), contacts.grasp_frames(event)))
         out["object_frames"] = state
-        out["boundaries"] = actions.merged_boundaries(actions.contact_boundaries(event), actions.state_boundaries(state))
+        out["boundaries"] = kept(actions.merged_boundaries(actions.contact_boundaries(event), actions.state_boundaries(state)))
         segment = actions.timed(actions.segments(out["boundaries"], totals, s.segments.min_duration), frames)
         if s.segments.merge > s.segments.min_duration:
             segment = actions.timed(actions.merged_short(segment, s.segments.merge), frames)
         if s.segments.max_segments:
             segment = actions.timed(actions.limited(segment, s.segments.max_segments), frames)
-        segment = actions.labelled(actions.closed(segment), event, state)
+        segment = kept(actions.labelled(actions.closed(segment), event, state))
         out["action_segments"] = segment
         out["preconditions"] = pre = graph.preconditions(segment, state, s.graph.lookback)
         out["postconditions"] = post = graph.postconditions(segment, state, totals, s.graph.lookahead)
-        causal = graph.causal_edges(segment, pre, post, s.graph.min_confidence)
+        causal = kept(graph.causal_edges(segment, pre, post, s.graph.min_confidence))
         out["graph_edges"] = graph.edges(causal, graph.temporal_edges(segment, causal))
         out["graph_metadata"] = graph.metadata(segment, out["graph_edges"])
         if s.ego.enabled:
@@ -64,7 +66,8 @@ class Engine:
         t = self.settings.tracking
         sure = objects.confident(detections, t.confidence)
         found = objects.tracked(sure, frames, t.iou, t.max_age, t.min_hits)
-        emitted = found.join(sure, ["video_id", "frame_idx", "det_idx"]).withColumnRenamed("track_id", "object_id")
+        own = sure.select("video_id", "frame_idx", "det_idx", "class_name", "conf", *objects.BOX)
+        emitted = found.join(own, ["video_id", "frame_idx", "det_idx"]).withColumnRenamed("track_id", "object_id")
         return objects.trajectories(emitted, frames)
 
     def smoothed(self, joints: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from taskloom.functions.geometry import center
 from taskloom.functions.lineage import kept, shared_dir
 from taskloom.operators import actions, contacts, ego, graph, objects, pose, states, timeline
+from taskloom.plans import engine
 from taskloom.plans.oracles import sql
 from taskloom.sources import adapter, files
 
@@ -492,7 +493,7 @@ def joint_angles(spark, sf_dir):
     return pose.joint_angles(Tables(spark, sf_dir).joints).select("video_id", "frame_idx", "name", F.round("degrees", 4).alias("degrees"))
 
 
-_PAIRS = ", ".join(f"('{a}-{b}', {pose.J[a]}, {pose.J[b]})" for a, b in pose.BONES)
+_PAIRS = ", ".join(f"('{a}_{b}', {pose.J[a]}, {pose.J[b]})" for a, b in pose.BONES)
 
 
 @query(f"""SELECT a.video_id, a.frame_idx, name, round(sqrt((a.x3 - b.x3) ** 2 + (a.y3 - b.y3) ** 2 + (a.z3 - b.z3) ** 2), 6) AS length FROM pj a JOIN (VALUES {_PAIRS}) v(name, i, j) ON a.joint = i JOIN pj b ON b.video_id = a.video_id AND b.frame_idx = a.frame_idx AND b.joint = j
@@ -553,6 +554,46 @@ def action_dataset(spark, sf_dir):
     return files.action_dataset(t.labelled, hands, seen_objects(t)).select("video_id", "seg_id", "label", "frame_idx", "object_id", r("hand_x"), r("hand_y"), r("hand_z"), r("object_x"), r("object_y"), r("object_z"))
 
 
+ARM_SQL = " UNION ALL ".join(f"SELECT video_id, frame_idx, '{side}' AS side FROM pj WHERE joint IN ({', '.join(str(pose.J[f'{side}_{p}']) for p in ego.ARM)}) AND conf > 0.3e0 AND x3 IS NOT NULL GROUP BY ALL HAVING count(*) = 3" for side in ("left", "right"))
+
+
+@query(f"SELECT video_id, side, count(*) AS frames FROM ({ARM_SQL}) GROUP BY video_id, side")
+def ego_arms(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    found = ego.arms(t.joints, ego.head_pose(t.joints))
+    return found.where("part = 0").groupBy("video_id", "side").agg(F.count(F.lit(1)).alias("frames"))
+
+
+@query()
+def export_ego(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    heads, marks = kept(ego.head_pose(t.joints)), kept(anchored(t)[1])
+    labels = t.labelled.select("video_id", "seg_id", "frame_start", "frame_end", "label", "confidence")
+    return files.ego_json(t.frames, heads, ego.in_head_frame(marks, heads), ego.pinches(marks), ego.arms(t.joints, heads), seen_objects(t), labels)
+
+
+@query()
+def graph_neighbours(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    key = ["video_id", "seg_id"]
+    return t.segments.select(*key).join(graph.predecessors(t.edges), key, "left").join(graph.successors(t.edges), key, "left")
+
+
+@query("SELECT video_id, 'pose' AS part, CAST(NULL AS BIGINT) AS object_id, CAST(NULL AS BIGINT) AS found, num_frames FROM tot WHERE false")
+def series_aligned(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return timeline.misaligned(t.totals, t.joints, t.tracks)
+
+
+@query()
+def engine_tables(spark, sf_dir):
+    """Rows of every table that a run over detections and joints gives, by recording."""
+    t = Tables(spark, sf_dir)
+    tables = engine.Engine().run(t.frames, t.joints, detections=detections(t))
+    parts = [df.groupBy("video_id").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "video_id", "rows") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query()
 def export_graph(spark, sf_dir):
     t = Tables(spark, sf_dir)

@@ -17,11 +17,15 @@ def as_json(value: Column) -> Column:
     return F.to_json(value, {"ignoreNullFields": "false"})
 
 
-def listed(rows: DataFrame, name: str, order: list[str], keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
-    """``name``: each key's rows as an array of structs, in order of the given columns."""
+def listed(rows: DataFrame, name: str, order: list[str], keys: tuple[str, ...] = ("video_id",), order_only: bool = False) -> DataFrame:
+    """``name``: each key's rows as an array of structs, in order of the given columns; ``order_only`` if the others can't be compared (maps)."""
     rest = [c for c in rows.columns if c not in keys]
     first = [*order, *(c for c in rest if c not in order)]
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*first))).alias(name))
+    if not order_only:
+        return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*first))).alias(name))
+    at = lambda s: F.struct(*(s[c] for c in order))
+    before = lambda a, b: F.when(at(a) < at(b), -1).when(at(a) > at(b), 1).otherwise(0)
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*first)), before).alias(name))
 
 
 def documents(head: DataFrame, **parts: DataFrame) -> DataFrame:
@@ -128,3 +132,45 @@ def action_dataset(segments: DataFrame, trajectory: DataFrame, objects: DataFram
     zero = {c: F.coalesce(f"h.e{c}", F.lit(0.0)).alias(f"hand_{c}") for c in "xyz"}
     place = {c: F.when(F.col("o").isNotNull(), F.coalesce(f"p.e{c}", F.lit(0.0))).alias(f"object_{c}") for c in "xyz"}
     return rows.select("video_id", "seg_id", "label", "frame_idx", F.col("o").alias("object_id"), *zero.values(), *place.values())
+
+
+def bare_graph_json(totals: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Graphs as nodes (``id``) and edges alone, without metadata; empty lists for videos without segments."""
+    none = F.array()
+    out = totals.select("video_id").join(listed(nodes.withColumnRenamed("seg_id", "id"), "nodes", ["id"]), "video_id", "left").join(listed(edges, "edges", ["source", "target"]), "video_id", "left")
+    kept = [F.coalesce(F.col(c), none.cast(out.schema[c].dataType)).alias(c) for c in ("nodes", "edges")]
+    return out.select("video_id", as_json(F.struct(*kept)).alias("json"))
+
+
+def ego_json(frames: DataFrame, heads: DataFrame, hands: DataFrame, pinches: DataFrame, arms: DataFrame, objects: DataFrame, labels: DataFrame) -> DataFrame:
+    """The first-person view of each video, frame by frame: head, hands (landmarks, pinch), arms, objects, and its labelled segments.
+    ``hands`` has side, landmark, ex, ey, ez; ``pinches`` side, pinch_distance, pinching; ``arms`` side, part, ex, ey, ez; ``objects`` object_id, ex, ey, ez."""
+    key = ["video_id", "frame_idx"]
+    place = F.array("ex", "ey", "ez")
+
+    def points(rows: DataFrame, order: str) -> DataFrame:
+        ordered = F.array_sort(F.collect_list(F.struct(order, place.alias("p"))))
+        return rows.groupBy(*key, "side").agg(F.transform(ordered, lambda s: s["p"]).alias("points"))
+
+    def by_side(rows: DataFrame, value, name: str) -> DataFrame:
+        return rows.groupBy(*key).agg(*(F.max(F.when(F.col("side") == s, value)).alias(f"{s}_{name}") for s in ("left", "right")))
+
+    hand = by_side(points(hands, "landmark").join(pinches, [*key, "side"], "left"), F.struct(F.col("points").alias("landmarks_3d"), "pinching", "pinch_distance"), "hand")
+    arm = by_side(points(arms, "part"), F.struct(F.col("points").alias("keypoints_3d")), "arm")
+    thing = objects.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("object_id").cast("string").alias("k"), F.struct(place.alias("position_3d")).alias("v"))))).alias("objects"))
+    vector = lambda name: F.array(*(f"{name}_{c}" for c in "xyz"))
+    head = heads.select(*key, F.struct(vector("eye").alias("position"), *(vector(v).alias(v) for v in ("forward", "up", "right")), "confidence").alias("head"))
+    rows = frames.select(*key, F.col("t").alias("timestamp")).join(head, key, "left")
+    for part in (hand, arm, thing):
+        rows = rows.join(part, key, "left")
+    rows = rows.withColumn("objects", F.coalesce("objects", F.create_map().cast(rows.schema["objects"].dataType)))
+    totals = frames.groupBy("video_id").agg(F.lit("1.0").alias("format_version"), F.lit("egocentric_trajectory").alias("type"), F.count(F.lit(1)).alias("num_frames"))
+    return documents(totals, frames=listed(rows, "frames", ["frame_idx"], order_only=True), action_labels=listed(labels, "action_labels", ["seg_id"]))
+
+
+def write_all(tables: dict[str, DataFrame], path: str) -> dict[str, str]:
+    """Writes each table of ``video_id, json`` to a folder of its name; gives the folders."""
+    paths = {name: f"{path.rstrip('/')}/{name}" for name in tables}
+    for name, found in tables.items():
+        write_json(found, paths[name])
+    return paths

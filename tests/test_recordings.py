@@ -253,3 +253,69 @@ def test_query_equals_sql(spark, name):
     want = con.sql(ORACLES[name])
     at = [want.columns.index(c) for c in columns]
     assert sorted((tuple(norm(r[c]) for c in columns) for r in got.collect()), key=repr) == sorted((tuple(norm(r[i]) for i in at) for r in want.fetchall()), key=repr)
+
+
+def test_long_series_fold_in_batches(spark):
+    times = [i / 10 - (1 if i % 50 == 49 else 0) for i in range(500)]
+    want, before, last = [], None, None
+    for t in times:
+        t = last + (1 / 30 if before is None else last - before) if last is not None and t <= last else t
+        before, last = last, t
+        want.append(t)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = frames(spark, times).unionByName(frames(spark, times, 2))
+        got = rows(timeline.fixed(df).select("video_id", "frame_idx", "t"), "video_id", "frame_idx")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert [r[2] for r in got] == pytest.approx(want * 2)
+
+
+def test_times_of_a_video(spark):
+    videos = spark.createDataFrame([(1, 3, 10.0, 0.0), (2, 2, 10.0, 5.0)], "video_id long, num_frames long, fps double, t0 double")
+    got = rows(timeline.from_times(videos, frames(spark, [0, 1, 0.5])).select("video_id", "t", "timestamp_source"), "video_id", "frame_idx")
+    assert got == [(1, 0.0, "video"), (1, 1.0, "video"), (1, 2.0, "video"), (2, 5.0, "synthetic"), (2, 5.1, "synthetic")]
+    with pytest.raises(Exception, match="another length"):
+        timeline.from_times(videos, frames(spark, [0, 1])).collect()
+
+
+def test_misaligned_series_are_found(spark):
+    totals = spark.createDataFrame([(1, 3)], "video_id long, num_frames long")
+    tracks = spark.createDataFrame([(1, 0, i) for i in range(3)] + [(1, 7, 0)], "video_id long, object_id long, frame_idx long")
+    found = timeline.misaligned(totals, frames(spark, [0, 1]), tracks)
+    assert rows(found.select("part", "object_id", "found"), "part") == [("object", 7, 1), ("pose", None, 2)]
+
+
+@pytest.mark.parametrize("policy, want", [("none", (1, 1, 0, 0)), ("resize", (0.5, 0.75, 0, 0)), ("letterbox", (0.5, 0.5, 0, 60)), ("crop_center", (0.75, 0.75, -80, 0))])
+def test_resizing_maps_points_both_ways(spark, policy, want):
+    from taskloom.functions import geometry
+
+    df = spark.createDataFrame([(640.0, 480.0, 100.0, 50.0)], "w double, h double, x double, y double")
+    df = df.withColumns(geometry.resizing(policy, F.col("w"), F.col("h"), 320, 360))
+    u, v = geometry.to_processed(F.col("x"), F.col("y"))
+    x, y = geometry.to_original(F.col("u"), F.col("v"))
+    r = df.withColumns({"u": u, "v": v}).withColumns({"x_": x, "y_": y}).first()
+    assert (r.scale_x, r.scale_y, r.pad_left, r.pad_top) == pytest.approx(want)
+    assert (r.x_, r.y_) == pytest.approx((100, 50))
+
+
+def test_neighbours_in_the_graph(spark):
+    edge = spark.createDataFrame([(1, 0, 2, "causal"), (1, 1, 2, "temporal"), (1, 0, 1, "causal")], "video_id long, source long, target long, edge_type string")
+    assert rows(graph.predecessors(edge), "seg_id") == [(1, 1, [0]), (1, 2, [0, 1])]
+    assert rows(graph.successors(edge, "causal"), "seg_id") == [(1, 0, [1, 2])]
+
+
+def test_first_person_files(spark):
+    import json
+
+    out = [json.loads(r.json) for r in QUERIES["export_ego"](spark, SF).collect()]
+    assert all(d["num_frames"] == len(d["frames"]) for d in out)
+    assert all([f["frame_idx"] for f in d["frames"]] == list(range(d["num_frames"])) for d in out)
+    every = [f for d in out for f in d["frames"]]
+    assert all(len(f["left_arm"]["keypoints_3d"]) == 3 for f in every if f["left_arm"]) and any(f["objects"] for f in every)
+
+
+def test_the_whole_engine(spark):
+    got = {r.table for r in QUERIES["engine_tables"](spark, SF).where("rows > 0").collect()}
+    assert {"frames", "timelines", "joints", "contact_frames", "object_frames", "boundaries", "action_segments", "graph_metadata", "ego_frames", "ego_objects"} <= got
