@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taskloom.functions.geometry import box_distance, center, distance
@@ -137,16 +137,19 @@ def grasp_frames(event: DataFrame) -> DataFrame:
 
 
 def hand_geometry(landmarks: DataFrame) -> DataFrame:
-    """Per hand and frame: wrist, palm centre, pinch distance, whether it is open or grabbing.  Missing landmarks give nulls."""
+    """Per hand and frame: wrist, palm centre, pinch distance, whether it is open or grabbing; ``pinch_3d`` if there are columns x3, y3, z3.  Missing
+    landmarks give nulls."""
     def one(i: int, c: str) -> Column:
         return F.max(F.when(F.col("landmark") == i, F.col(c)))
 
     key = ["video_id", "frame_idx", "side"]
     palm = landmarks.where(F.col("landmark").isin(*PALM)).groupBy(*key).agg(F.avg("x").alias("palm_x"), F.avg("y").alias("palm_y"))
-    base = landmarks.groupBy(*key).agg(one(0, "x").alias("wrist_x"), one(0, "y").alias("wrist_y"), distance(one(4, "x"), one(4, "y"), one(8, "x"), one(8, "y")).alias("pinch")).join(palm, key)
+    there = {"x3", "y3", "z3"} <= set(landmarks.columns)
+    solid = [F.sqrt(sum(F.pow(one(4, c) - one(8, c), 2) for c in ("x3", "y3", "z3"))).alias("pinch_3d")] if there else []
+    base = landmarks.groupBy(*key).agg(one(0, "x").alias("wrist_x"), one(0, "y").alias("wrist_y"), distance(one(4, "x"), one(4, "y"), one(8, "x"), one(8, "y")).alias("pinch"), *solid).join(palm, key)
     tips = landmarks.where(F.col("landmark").isin(*FINGERTIPS)).join(palm, key)
     spread = tips.groupBy(*key).agg(F.avg(distance(F.col("x"), F.col("y"), F.col("palm_x"), F.col("palm_y"))).alias("spread"))
-    return base.join(spread, key).select(*key, "wrist_x", "wrist_y", "palm_x", "palm_y", "pinch", "spread", (F.col("spread") > 50).alias("is_open"), (F.col("pinch") < 40).alias("is_grabbing"))
+    return base.join(spread, key).select(*key, "wrist_x", "wrist_y", "palm_x", "palm_y", "pinch", "spread", (F.col("spread") > 50).alias("is_open"), (F.col("pinch") < 40).alias("is_grabbing"), *(["pinch_3d"] if there else []))
 
 
 def fingertip_contacts(landmarks: DataFrame, tracks: DataFrame, reach: float = 30.0, grab_reach: float = 50.0, interpolated: bool = False) -> DataFrame:
@@ -168,19 +171,42 @@ def fingertip_contacts(landmarks: DataFrame, tracks: DataFrame, reach: float = 3
     palm_score = F.greatest(F.lit(0.0), 1 - palm / grab_reach)
     score = (tip_score * 0.4 + pinch_score * 0.3 + palm_score * 0.3) * (0.8 if interpolated else 1.0)
     grab = posed & (score > 0.35)
-    return rows.select(*key, "object_id", touch.alias("is_contact"), grab.alias("is_grab"), F.when(grab, score).otherwise(0.0).alias("grab_confidence"))
+    return rows.select(*key, "object_id", touch.alias("is_contact"), grab.alias("is_grab"), F.when(grab, score).otherwise(0.0).alias("grab_confidence"), ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"))
 
 
-def smoothed_contacts(found: DataFrame, last: int = 5) -> DataFrame:
+def smoothed_contacts(found: DataFrame, hands: DataFrame, last: int = 5) -> DataFrame:
     """A contact lasts while it held in over 40 % of the last frames of its hand, counted from its first contact; a hand grabs
-    while it did in over half of them."""
-    w = over(["video_id", "side", "object_id"])
-    began = F.max(F.col("is_contact").cast("int")).over(w.rowsBetween(-(1 << 30), 0)) == 1
-    rows = found.withColumn("began", began).withColumn("h", F.when(F.col("began"), F.col("is_contact").cast("int")))
-    back = w.rowsBetween(1 - last, 0)
-    keep = F.col("is_contact") | F.coalesce(F.sum("h").over(back) > 0.4 * F.count("h").over(back), F.lit(False))
-    hand = found.groupBy("video_id", "side", "frame_idx").agg(F.max("is_grab").alias("g"), F.max("grab_confidence").alias("gc"))
-    back = over(["video_id", "side"]).rowsBetween(1 - last, 0)
+    while it did in over half of them, then with a confidence of 0.5 at least.  ``hands`` has video_id, side and frame_idx of each hand that is seen, also
+    where no box is.  A contact that lasts without touch is put at the box's centre (``contact_x``, ``contact_y``)."""
+    key = ["video_id", "side", "frame_idx"]
+    hand = hands.select(*key).distinct().withColumn("i", F.row_number().over(over(["video_id", "side"])))
+    rows = found.join(hand, key)
+    w = over(["video_id", "side", "object_id"], "i")
+    first = F.min(F.when(F.col("is_contact"), F.col("i"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    held = F.sum(F.col("is_contact").cast("int")).over(w.rangeBetween(1 - last, 0))
+    rows = rows.withColumn("contact", F.col("is_contact") | F.coalesce(held > 0.4 * F.least(F.lit(last), F.col("i") - first + 1), F.lit(False)))
+    revived = F.col("contact") & ~F.col("is_contact")
+    grips = found.groupBy(*key).agg(F.max("is_grab").alias("g"), F.max("grab_confidence").alias("gc"))
+    grips = hand.join(grips, key, "left").withColumn("g", F.coalesce("g", F.lit(False))).withColumn("gc", F.coalesce("gc", F.lit(0.0)))
+    back = over(["video_id", "side"], "i").rowsBetween(1 - last, 0)
     holds = F.sum(F.col("g").cast("int")).over(back) > 0.5 * F.count(F.lit(1)).over(back)
-    hand = hand.withColumn("grabs", F.col("g") | holds).withColumn("grab_confidence", F.when(holds, F.greatest("gc", F.lit(0.5))).otherwise(F.col("gc")))
-    return rows.withColumn("contact", keep).select("video_id", "side", "object_id", "frame_idx", "contact").join(hand.select("video_id", "side", "frame_idx", "grabs", "grab_confidence"), ["video_id", "side", "frame_idx"])
+    grips = grips.withColumn("grabs", F.col("g") | holds).withColumn("grab_confidence", F.when(holds, F.greatest("gc", F.lit(0.5))).otherwise(F.col("gc")))
+    place = [F.when(revived, F.col(c)).alias(f"contact_{c[1]}") for c in ("cx", "cy")]
+    return rows.select(*key, "object_id", "contact", *place).join(grips.select(*key, "grabs", "grab_confidence"), key)
+
+
+def hand_frames(landmarks: DataFrame, interpolated: bool = False) -> DataFrame:
+    """One row for each hand and frame: its landmarks in order as lists of points, 3-D ones if there are columns x3, y3, z3 (else null), their
+    confidences, the mean of these, and whether the hand was detected and not interpolated."""
+    there = {"x3", "y3", "z3"} <= set(landmarks.columns)
+    three = F.array("x3", "y3", "z3") if there else F.lit(None).cast("array<double>")
+    point = F.struct("landmark", F.array("x", "y").alias("two"), three.alias("three"), "conf")
+    rows = landmarks.groupBy("video_id", "frame_idx", F.col("side").alias("handedness")).agg(F.array_sort(F.collect_list(point)).alias("p"), F.avg("conf").alias("overall_confidence"))
+
+    def each(c: str) -> Column:
+        return F.transform("p", lambda s: s[c])
+
+    solid = each("three") if there else F.lit(None).cast("array<array<double>>")
+    return rows.select(
+        "video_id", "frame_idx", "handedness", each("two").alias("landmarks_2d"), solid.alias("landmarks_3d"), each("conf").alias("conf"), "overall_confidence", F.lit(not interpolated).alias("is_detected")
+    )

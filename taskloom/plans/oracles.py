@@ -110,6 +110,21 @@ FRAGMENTS: dict[str, str] = {
     "fit0": "SELECT *, joint IN (5, 6, 11, 12) AS torso FROM pj WHERE conf > 0.2e0 AND x3 IS NOT NULL AND x >= 0 AND y >= 0",
     "fit": """SELECT video_id, frame_idx, s AS scale, mx3 - s * mx AS tx, my3 - s * my AS ty, coalesce(z, 0e0) AS z_plane FROM (SELECT video_id, frame_idx, count(*) AS n, (covar_pop(x, x3) + covar_pop(y, y3)) / (var_pop(x) + var_pop(y)) AS s, avg(x) AS mx, avg(y) AS my, avg(x3) AS mx3, avg(y3) AS my3,
       avg(CASE WHEN torso THEN z3 END) AS z FROM fit0 GROUP BY video_id, frame_idx) WHERE n >= 3""",
+    "tip": """SELECT video_id, frame_idx, side, object_id, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, least_ < 30 OR inside >= 1 OR pd < 21 AS is_contact, (near_ >= 2 OR inside >= 2 OR (pd = 0 AND near_ >= 1)) AND score > 0.35e0 AS is_grab,
+  round(CASE WHEN (near_ >= 2 OR inside >= 2 OR (pd = 0 AND near_ >= 1)) AND score > 0.35e0 THEN score ELSE 0 END, 6) AS grab_confidence FROM (SELECT *, least(w / 2.5e0, 1e0) * 0.4e0 + greatest(0, 1 - pinch / 100) * 0.3e0 + greatest(0, 1 - pd / 50) * 0.3e0 AS score FROM (
+  SELECT t.*, pinch, sqrt((px - greatest(x1, least(px, x2))) ** 2 + (py - greatest(y1, least(py, y2))) ** 2) AS pd FROM (SELECT l.video_id, l.frame_idx, l.side, l.object_id, x1, y1, x2, y2, min(d) AS least_, count(*) FILTER (d < 30) AS near_, count(*) FILTER (d = 0) AS inside,
+  sum(CASE WHEN d < 30 THEN conf ELSE 0 END + CASE WHEN d = 0 THEN 0.5e0 * conf ELSE 0 END) AS w FROM (SELECT a.video_id, a.frame_idx, side, object_id, a.conf, x1, y1, x2, y2, sqrt((x - greatest(x1, least(x, x2))) ** 2 + (y - greatest(y1, least(y, y2))) ** 2) AS d
+  FROM lm a JOIN obj o ON a.video_id = o.video_id AND a.frame_idx = o.frame_idx WHERE x1 IS NOT NULL AND landmark IN (4, 8, 12, 16, 20)) l GROUP BY ALL) t
+  JOIN (SELECT video_id, frame_idx, side, avg(CASE WHEN landmark IN (0, 1, 5, 9, 13, 17) THEN x END) AS px, avg(CASE WHEN landmark IN (0, 1, 5, 9, 13, 17) THEN y END) AS py,
+  sqrt((max(CASE WHEN landmark = 4 THEN x END) - max(CASE WHEN landmark = 8 THEN x END)) ** 2 + (max(CASE WHEN landmark = 4 THEN y END) - max(CASE WHEN landmark = 8 THEN y END)) ** 2) AS pinch FROM lm GROUP BY ALL) h ON h.video_id = t.video_id AND h.frame_idx = t.frame_idx AND h.side = t.side))""",
+    "hnd": "SELECT video_id, side, frame_idx, row_number() OVER (PARTITION BY video_id, side ORDER BY frame_idx) AS i FROM (SELECT DISTINCT video_id, side, frame_idx FROM lm)",
+    "tou": """SELECT t.*, i, min(CASE WHEN is_contact THEN i END) OVER (PARTITION BY t.video_id, t.side, object_id ORDER BY i) AS first_, sum(CAST(is_contact AS INTEGER)) OVER (PARTITION BY t.video_id, t.side, object_id ORDER BY i RANGE BETWEEN 4 PRECEDING AND CURRENT ROW) AS held
+      FROM tip t JOIN hnd h ON h.video_id = t.video_id AND h.side = t.side AND h.frame_idx = t.frame_idx""",
+    "gri": """SELECT video_id, side, frame_idx, g, gc, sum(CAST(g AS INTEGER)) OVER b > 0.5e0 * count(*) OVER b AS holds FROM (SELECT h.video_id, h.side, h.frame_idx, i, coalesce(bool_or(is_grab), false) AS g, coalesce(max(grab_confidence), 0e0) AS gc
+      FROM hnd h LEFT JOIN tip t ON h.video_id = t.video_id AND h.side = t.side AND h.frame_idx = t.frame_idx GROUP BY ALL) WINDOW b AS (PARTITION BY video_id, side ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
+    "smo": """SELECT *, CASE WHEN contact AND NOT is_contact THEN cx END AS contact_x, CASE WHEN contact AND NOT is_contact THEN cy END AS contact_y FROM (SELECT t.video_id, t.frame_idx, t.side, object_id, cx, cy, is_contact,
+      is_contact OR coalesce(held > 0.4e0 * least(5, i - first_ + 1), false) AS contact, g OR holds AS grabs, CASE WHEN holds THEN greatest(gc, 0.5e0) ELSE gc END AS grab_confidence
+      FROM tou t JOIN gri g ON g.video_id = t.video_id AND g.side = t.side AND g.frame_idx = t.frame_idx)""",
 }
 
 

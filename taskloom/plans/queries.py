@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from taskloom.functions.geometry import center
 from taskloom.functions.lineage import kept, shared_dir
-from taskloom.operators import actions, contacts, ego, graph, objects, pose, states, timeline
+from taskloom.operators import actions, contacts, ego, graph, objects, pose, recorder, states, timeline
 from taskloom.plans import engine
 from taskloom.plans.oracles import sql
 from taskloom.sources import adapter, files
@@ -296,29 +296,62 @@ def hand_geometry(spark, sf_dir):
     return contacts.hand_geometry(Tables(spark, sf_dir).landmarks).select("video_id", "frame_idx", "side", r("palm_x"), r("palm_y"), r("pinch"))
 
 
-TIP_SQL = """SELECT video_id, frame_idx, side, object_id, least_ < 30 OR inside >= 1 OR pd < 21 AS is_contact, (near_ >= 2 OR inside >= 2 OR (pd = 0 AND near_ >= 1)) AND score > 0.35e0 AS is_grab,
-  round(CASE WHEN (near_ >= 2 OR inside >= 2 OR (pd = 0 AND near_ >= 1)) AND score > 0.35e0 THEN score ELSE 0 END, 6) AS grab_confidence FROM (SELECT *, least(w / 2.5e0, 1e0) * 0.4e0 + greatest(0, 1 - pinch / 100) * 0.3e0 + greatest(0, 1 - pd / 50) * 0.3e0 AS score FROM (
-  SELECT t.*, pinch, sqrt((px - greatest(x1, least(px, x2))) ** 2 + (py - greatest(y1, least(py, y2))) ** 2) AS pd FROM (SELECT l.video_id, l.frame_idx, l.side, o.object_id, x1, y1, x2, y2, min(d) AS least_, count(*) FILTER (d < 30) AS near_, count(*) FILTER (d = 0) AS inside,
-  sum(CASE WHEN d < 30 THEN conf ELSE 0 END + CASE WHEN d = 0 THEN 0.5e0 * conf ELSE 0 END) AS w FROM (SELECT a.video_id, a.frame_idx, side, object_id, a.conf, x1, y1, x2, y2, sqrt((x - greatest(x1, least(x, x2))) ** 2 + (y - greatest(y1, least(y, y2))) ** 2) AS d
-  FROM lm a JOIN obj o ON a.video_id = o.video_id AND a.frame_idx = o.frame_idx WHERE x1 IS NOT NULL AND landmark IN (4, 8, 12, 16, 20)) l, (SELECT 1) JOIN (SELECT 1) ON true, (SELECT NULL) z(object_dummy), LATERAL (SELECT l.object_id) o GROUP BY ALL) t
-  JOIN (SELECT video_id, frame_idx, side, avg(CASE WHEN landmark IN (0, 1, 5, 9, 13, 17) THEN x END) AS px, avg(CASE WHEN landmark IN (0, 1, 5, 9, 13, 17) THEN y END) AS py,
-  sqrt((max(CASE WHEN landmark = 4 THEN x END) - max(CASE WHEN landmark = 8 THEN x END)) ** 2 + (max(CASE WHEN landmark = 4 THEN y END) - max(CASE WHEN landmark = 8 THEN y END)) ** 2) AS pinch FROM lm GROUP BY ALL) h ON h.video_id = t.video_id AND h.frame_idx = t.frame_idx AND h.side = t.side))"""
-TIP_SQL = TIP_SQL.replace(", (SELECT 1) JOIN (SELECT 1) ON true, (SELECT NULL) z(object_dummy), LATERAL (SELECT l.object_id) o GROUP BY ALL", " GROUP BY ALL").replace("l.side, o.object_id, x1", "l.side, l.object_id, x1")
-
-
-@query(TIP_SQL)
+@query("SELECT video_id, frame_idx, side, object_id, is_contact, is_grab, grab_confidence FROM tip")
 def fingertip_grab(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return contacts.fingertip_contacts(t.landmarks, t.tracks).select("video_id", "frame_idx", "side", "object_id", "is_contact", "is_grab", r("grab_confidence"))
 
 
-SMOOTH_SQL = "SELECT s.video_id, s.frame_idx, s.side, s.object_id, contact, grabs FROM (SELECT *, is_contact OR coalesce(sum(h) OVER b > 0.4e0 * count(h) OVER b, false) AS contact FROM (SELECT *, CASE WHEN max(CAST(is_contact AS INTEGER)) OVER (PARTITION BY video_id, side, object_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 1 THEN CAST(is_contact AS INTEGER) END AS h FROM (TIPS)) WINDOW b AS (PARTITION BY video_id, side, object_id ORDER BY frame_idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) s JOIN (SELECT video_id, side, frame_idx, g OR sum(CAST(g AS INTEGER)) OVER c > 0.5e0 * count(*) OVER c AS grabs FROM (SELECT video_id, side, frame_idx, bool_or(is_grab) AS g FROM (TIPS) GROUP BY ALL) WINDOW c AS (PARTITION BY video_id, side ORDER BY frame_idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) h ON h.video_id = s.video_id AND h.side = s.side AND h.frame_idx = s.frame_idx".replace("TIPS", TIP_SQL)
+SMOOTH_SQL = "SELECT video_id, frame_idx, side, object_id, contact, grabs, round(grab_confidence, 6) AS grab_confidence, round(contact_x, 6) AS contact_x, round(contact_y, 6) AS contact_y FROM smo"
 
 
 @query(SMOOTH_SQL)
 def fingertip_smoothed(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return contacts.smoothed_contacts(contacts.fingertip_contacts(t.landmarks, t.tracks)).select("video_id", "frame_idx", "side", "object_id", "contact", "grabs")
+    found = contacts.smoothed_contacts(contacts.fingertip_contacts(t.landmarks, t.tracks), t.landmarks)
+    return found.select("video_id", "frame_idx", "side", "object_id", "contact", "grabs", r("grab_confidence"), r("contact_x"), r("contact_y"))
+
+
+@query("""SELECT video_id, frame_idx, side AS handedness, len(list(x ORDER BY landmark)) AS num_landmarks, list(x ORDER BY landmark)[9] AS x8, list(y ORDER BY landmark)[9] AS y8, round(list(conf ORDER BY landmark)[9], 6) AS conf8, round(avg(conf), 6) AS overall_confidence, true AS is_detected
+  FROM lm GROUP BY video_id, frame_idx, side""")
+def hand_frames(spark, sf_dir):
+    """The lists of each hand: their length and their ninth point."""
+    point, conf = F.col("landmarks_2d")[8], F.round(F.col("conf")[8], 6).alias("conf8")
+    found = contacts.hand_frames(Tables(spark, sf_dir).landmarks)
+    return found.select("video_id", "frame_idx", "handedness", F.size("landmarks_2d").cast("long").alias("num_landmarks"), point[0].alias("x8"), point[1].alias("y8"), conf, r("overall_confidence"), "is_detected")
+
+
+@query("""SELECT s.video_id, s.frame_idx, source_frame, object_id, x1, y1, x2, y2 FROM (SELECT video_id, frame_idx, max(CASE WHEN frame_idx % 4 = 0 THEN frame_idx END) OVER (PARTITION BY video_id ORDER BY frame_idx) AS source_frame FROM ev) s
+  JOIN obj o ON o.video_id = s.video_id AND o.frame_idx = source_frame WHERE x1 IS NOT NULL""")
+def detections_cached(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    found = recorder.cached(t.frames, t.tracks.where("x1 is not null"), skip=3)
+    return found.select("video_id", "frame_idx", "source_frame", "object_id", "x1", "y1", "x2", "y2")
+
+
+@query("""SELECT video_id, joint, frame_idx, count(*) OVER b AS num_held, min(frame_idx) OVER b AS oldest, round(sum(conf) OVER b, 4) AS conf FROM pj
+  WINDOW b AS (PARTITION BY video_id, joint ORDER BY frame_idx ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""")
+def pose_history(spark, sf_dir):
+    found = recorder.held_poses(Tables(spark, sf_dir).joints, ["conf"])
+    total = F.aggregate("held", F.lit(0.0), lambda a, x: a + x["conf"])
+    return found.select("video_id", n("joint"), "frame_idx", F.size("held").cast("long").alias("num_held"), F.col("held")[0]["frame_idx"].alias("oldest"), F.round(total, 4).alias("conf"))
+
+
+#: Events as commands: signup clears, error stops, view records, click starts an action, purchase ends it.
+COMMANDS = {"signup": "clear", "error": "stop", "view": "record", "click": "start", "purchase": "end"}
+
+
+@query("""SELECT video_id, take, action, object_id, n AS frame_start, coalesce(after, total) AS frame_end FROM (SELECT *, lead(n) OVER (PARTITION BY video_id, take ORDER BY t, kind, frame_idx) AS after FROM (
+  SELECT *, max(n) OVER (PARTITION BY video_id, take) AS total FROM (SELECT *, count(*) FILTER (taken) OVER (PARTITION BY video_id, take ORDER BY t, kind, frame_idx) AS n FROM (
+  SELECT video_id, frame_idx, t, kind, command, 'a' || event_id % 7 AS action, event_id % 3 AS object_id, count(*) FILTER (kind = 1 AND command = 'clear') OVER w AS take,
+  kind = 0 AND coalesce(last_value(CASE WHEN kind = 1 AND command IN ('record', 'stop') THEN command = 'record' END IGNORE NULLS) OVER w, true) AS taken
+  FROM (SELECT video_id, frame_idx, t, event_id, unnest([0, 1]) AS kind, CASE event_type WHEN 'signup' THEN 'clear' WHEN 'error' THEN 'stop' WHEN 'view' THEN 'record' WHEN 'click' THEN 'start' WHEN 'purchase' THEN 'end' END AS command FROM ev)
+  WINDOW w AS (PARTITION BY video_id ORDER BY t, kind, frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)))) WHERE kind = 1 AND command IN ('start', 'end')) WHERE command = 'start'""")
+def recorder_actions(spark, sf_dir):
+    frames = Tables(spark, sf_dir).frames
+    command = F.create_map(*(F.lit(x) for pair in COMMANDS.items() for x in pair))[F.col("event_type")]
+    given = frames.select("video_id", "t", F.col("frame_idx").alias("seq"), command.alias("command"), F.concat(F.lit("a"), (F.col("event_id") % 7).cast("string")).alias("action"), (F.col("event_id") % 3).alias("object_id"))
+    return recorder.annotated(frames, given)
 
 
 @query("SELECT video_id, frame_idx, trigger, round(confidence, 4) AS confidence, len(objects) AS num_objects, objects[1] AS first_object FROM bnd")
@@ -649,3 +682,13 @@ def stream_windows(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     found = live.windowed_counts(stream(spark, events, "ts").withWatermark("ts", "1 hour"), "1 day")
     return live.run_to_end(found).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT video_id, frame_idx, side, object_id, contact, grabs, round(grab_confidence, 6) AS grab_confidence FROM smo")
+def stream_fingertips(spark, sf_dir):
+    from taskloom.streaming import live
+
+    t = Tables(spark, sf_dir)
+    found = t.landmarks.select("video_id", "frame_idx", "side").distinct().join(contacts.fingertip_contacts(t.landmarks, t.tracks).drop("cx", "cy"), ["video_id", "frame_idx", "side"], "left")
+    rows = found.join(t.frames.select("video_id", "frame_idx", "t"), ["video_id", "frame_idx"])
+    return live.run_to_end(live.live_fingertips(live.stamped(stream(spark, rows, "t")))).withColumn("grab_confidence", F.round("grab_confidence", 6))

@@ -2,7 +2,8 @@
 
 State is kept for each recording or each (recording, hand, object).  Rows that arrive out of order wait until the watermark has
 passed them and are then taken in order of their frames; rows later than the watermark are dropped by Spark and counted in the query's
-progress as ``numRowsDroppedByWatermark``.
+progress as ``numRowsDroppedByWatermark``.  Where the input has a column ``reset``, a row with it set clears the state of its key before its frame, and
+is nothing else.
 """
 
 from __future__ import annotations
@@ -47,15 +48,24 @@ class Buffer:
         return done
 
 
+def resets(rows: DataFrame) -> list[str]:
+    return ["reset"] if "reset" in rows.columns else []
+
+
 def live_contacts(near: DataFrame, threshold: float = 50.0, on: int = 2, off: int = 3) -> DataFrame:
     """``video_id, hand, object_id, frame_idx, is_contact`` of a stream of distances with an event time."""
 
+    marks = resets(near)
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, active, close, away = state.get if state.exists else ("", False, 0, 0)
         buffer, out = Buffer(held), []
         if not state.hasTimedOut:
-            buffer.add(frames, ["frame_idx", "distance"])
-        for _, frame, distance in buffer.ready(state.getCurrentWatermarkMs()):
+            buffer.add(frames, ["frame_idx", "distance", *marks])
+        for _, frame, distance, *reset in buffer.ready(state.getCurrentWatermarkMs()):
+            if any(reset):
+                active, close, away = False, 0, 0
+                continue
             close, away = (close + 1, 0) if distance < threshold else (0, away + 1)
             active = True if close >= on else False if away >= off else active
             out.append((*key, int(frame), active))
@@ -73,18 +83,29 @@ def live_tracks(detections: DataFrame, least: float = 0.3, max_age: int = 30, mi
     """``video_id, track_id, frame_idx, det_idx`` of a stream of detections with an event time; a frame without detections is a row with
     a null det_idx."""
 
+    marks = resets(detections)
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, tracks, next_ = state.get if state.exists else ("", "{}", 0)
         buffer, out, tracker = Buffer(held), [], Tracker(least, max_age, min_hits)
         tracker.tracks = {int(k): [v[0], tuple(v[1]), v[2], v[3]] for k, v in json.loads(tracks).items()}
         tracker.next = next_
         if not state.hasTimedOut:
-            buffer.add(frames, ["frame_idx", "det_idx", "class_name", "conf", *BOX])
+            buffer.add(frames, ["frame_idx", "det_idx", "class_name", "conf", *BOX, *marks])
         by_frame: dict[int, list] = {}
-        for _, frame, det, name, conf, *box in buffer.ready(state.getCurrentWatermarkMs()):
+        cleared = set()
+        for _, frame, det, name, conf, *rest in buffer.ready(state.getCurrentWatermarkMs()):
+            box = rest[: len(BOX)]
+            if any(rest[len(BOX) :]):
+                cleared.add(int(frame))
+                continue
             by_frame.setdefault(int(frame), []).extend([] if det is None else [(int(det), name, conf, tuple(box))])
-        for frame, found in sorted(by_frame.items()):
-            found.sort()
+        for frame in sorted(cleared | by_frame.keys()):
+            if frame in cleared:
+                tracker = Tracker(least, max_age, min_hits)
+            if frame not in by_frame:
+                continue
+            found = sorted(by_frame[frame])
             out += [(key[0], track, frame, found[d][0]) for track, d in tracker.update(frame, [f[1:] for f in found])]
         state.update((json.dumps(buffer.rows), json.dumps(tracker.tracks), tracker.next))
         if buffer.rows:
@@ -96,6 +117,68 @@ def live_tracks(detections: DataFrame, least: float = 0.3, max_age: int = 30, mi
     )
 
 
+class Fingers:
+    """What one hand touched and whether it grabbed in its last frames.  Of each object once touched, the first frame and the last ones of
+    touch are held, as places in the order of the hand's frames."""
+
+    def __init__(self, last: int, held: str = ""):
+        self.last = last
+        self.seen, self.grabs, objects = json.loads(held) if held else (0, [], {})
+        self.objects = {int(k): v for k, v in objects.items()}
+
+    def dump(self) -> str:
+        return json.dumps([self.seen, self.grabs, self.objects])
+
+    def update(self, found: list[tuple[int, bool, bool, float]]) -> tuple[dict[int, bool], bool, float]:
+        """Contact of each object of the frame, whether the hand grabs, and how surely, from (object, contact, grab, confidence)."""
+        self.seen += 1
+        out = {}
+        for thing, touched, _, _ in found:
+            if touched:
+                first, touches = self.objects.get(thing, (self.seen, []))
+                self.objects[thing] = [first, [*touches, self.seen][-self.last :]]
+            first, touches = self.objects.get(thing, (self.seen, []))
+            recent = sum(i > self.seen - self.last for i in touches)
+            out[thing] = touched or recent > 0.4 * min(self.last, self.seen - first + 1)
+        grab = any(g for _, _, g, _ in found)
+        self.grabs = [*self.grabs, grab][-self.last :]
+        holds, sure = sum(self.grabs) > 0.5 * len(self.grabs), max((c for *_, c in found), default=0.0)
+        return out, grab or holds, max(sure, 0.5) if holds else sure
+
+
+def live_fingertips(found: DataFrame, last: int = 5) -> DataFrame:
+    """``video_id, side, frame_idx, object_id, contact, grabs, grab_confidence`` of a stream of what the fingertips touch (as ``contacts.fingertip_contacts``
+    gives it) with an event time; a frame in which the hand meets no box is a row with a null object_id."""
+    marks = resets(found)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, held = state.get if state.exists else ("", "")
+        buffer, fingers, out = Buffer(waiting), Fingers(last, held), []
+        if not state.hasTimedOut:
+            buffer.add(frames, ["frame_idx", "object_id", "is_contact", "is_grab", "grab_confidence", *marks])
+        by_frame: dict[int, list] = {}
+        cleared = set()
+        for _, frame, thing, touched, grab, sure, *reset in buffer.ready(state.getCurrentWatermarkMs()):
+            if any(reset):
+                cleared.add(int(frame))
+            else:
+                by_frame.setdefault(int(frame), []).extend([] if thing is None else [(int(thing), bool(touched), bool(grab), float(sure))])
+        for frame in sorted(cleared | by_frame.keys()):
+            if frame in cleared:
+                fingers = Fingers(last)
+            if frame in by_frame:
+                touched, grabs, sure = fingers.update(sorted(by_frame[frame]))
+                out += [(*key, frame, thing, contact, grabs, sure) for thing, contact in touched.items()]
+        state.update((json.dumps(buffer.rows), fingers.dump()))
+        if buffer.rows:
+            state.setTimeoutTimestamp(max(min(r[0] for r in buffer.rows), state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(out, columns=["video_id", "side", "frame_idx", "object_id", "contact", "grabs", "grab_confidence"])
+
+    return found.groupBy("video_id", "side").applyInPandasWithState(
+        step, "video_id long, side string, frame_idx long, object_id long, contact boolean, grabs boolean, grab_confidence double", "waiting string, held string", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def windowed_counts(events: DataFrame, size: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """Events of each type per tumbling or sliding window of their event time."""
     window = F.window("ts", size, slide) if slide else F.window("ts", size)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taskloom.functions import temporal
-from taskloom.operators import actions, contacts, ego, graph, objects, pose, states, timeline
+from taskloom.operators import actions, contacts, ego, graph, objects, pose, recorder, states, timeline
 from taskloom.operators.objects import Tracker
 from taskloom.plans.queries import ORACLES, QUERIES
 from taskloom.sources import config, files
@@ -242,7 +242,7 @@ def test_live_tracks_equal_the_batch(spark):
     assert sorted(map(tuple, got.select(place).collect())) == sorted(map(tuple, want.select(place).collect()))
 
 
-@pytest.mark.parametrize("name", ["frames_sampled", "timeline_fix_monotonic", "track_gap_fill", "contact_hysteresis", "pose_one_euro", "joint_angles", "interaction_labels"])
+@pytest.mark.parametrize("name", ["frames_sampled", "timeline_fix_monotonic", "track_gap_fill", "contact_hysteresis", "pose_one_euro", "joint_angles", "interaction_labels", "fingertip_grab", "fingertip_smoothed", "hand_frames", "detections_cached", "pose_history", "recorder_actions", "stream_fingertips"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
@@ -319,3 +319,101 @@ def test_first_person_files(spark):
 def test_the_whole_engine(spark):
     got = {r.table for r in QUERIES["engine_tables"](spark, SF).where("rows > 0").collect()}
     assert {"frames", "timelines", "joints", "contact_frames", "object_frames", "boundaries", "action_segments", "graph_metadata", "ego_frames", "ego_objects"} <= got
+
+
+TOUCHED = "video_id long, side string, frame_idx long, object_id long, is_contact boolean, is_grab boolean, grab_confidence double, cx double, cy double"
+
+
+def test_contacts_last_over_frames_in_which_the_object_is_hidden(spark):
+    # touched in frame 0 only; hidden in 1 and 2, back in 3: one of four frames is not over 40 percent, one of two is
+    found = spark.createDataFrame([(1, "left", 0, 7, True, False, 0.0, 5.0, 6.0), (1, "left", 3, 7, False, False, 0.0, 5.0, 6.0), (1, "left", 1, 8, True, True, 0.4, 1.0, 2.0), (1, "left", 2, 8, False, False, 0.0, 1.0, 2.0)], TOUCHED)
+    hands = spark.createDataFrame([(1, "left", i) for i in range(4)], "video_id long, side string, frame_idx long")
+    got = rows(contacts.smoothed_contacts(found, hands).select("frame_idx", "object_id", "contact", "contact_x", "contact_y", "grabs"), "frame_idx")
+    assert got == [(0, 7, True, None, None, False), (1, 8, True, None, None, True), (2, 8, True, 1.0, 2.0, False), (3, 7, False, None, None, False)]
+
+
+def test_live_fingertips_and_resets(spark):
+    from taskloom.plans.queries import stream
+    from taskloom.streaming import live
+
+    at = [(1, "left", i, float(i), None if i % 4 == 3 else i % 3, i % 5 < 2, i % 7 < 3, 0.4, i == 20) for i in range(40)]
+    schema = "video_id long, side string, frame_idx long, t double, object_id long, is_contact boolean, is_grab boolean, grab_confidence double, reset boolean"
+    data = spark.createDataFrame(at, schema)
+    got = live.run_to_end(live.live_fingertips(live.stamped(stream(spark, data, "t"), delay="2 seconds")))
+    want = []
+    for part in (data.where("frame_idx < 20"), data.where("frame_idx > 20")):
+        found = part.where("object_id is not null").select("video_id", "side", "frame_idx", "object_id", "is_contact", "is_grab", "grab_confidence", F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"))
+        want += contacts.smoothed_contacts(found, part).select("frame_idx", "object_id", "contact", "grabs", "grab_confidence").collect()
+    assert sorted(map(tuple, got.select("frame_idx", "object_id", "contact", "grabs", "grab_confidence").collect())) == sorted(map(tuple, want))
+
+
+def test_a_reset_clears_live_tracks_and_contacts(spark):
+    from taskloom.plans.queries import stream
+    from taskloom.streaming import live
+
+    box = [(1, f, float(f), None if f == 5 else 0, "cup", 0.9, 0.0, 0.0, 9.0, 9.0, f == 5) for f in range(10)]
+    found = spark.createDataFrame(box, "video_id long, frame_idx long, t double, det_idx long, class_name string, conf double, x1 double, y1 double, x2 double, y2 double, reset boolean")
+    got = rows(live.run_to_end(live.live_tracks(live.stamped(stream(spark, found, "t"), delay="2 seconds"))).select("frame_idx", "track_id"), "frame_idx")
+    assert got == [(f, 0) for f in (1, 2, 3, 4, 7, 8, 9)]  # numbers begin anew, and the first sight is dropped again
+    near = spark.createDataFrame([(1, "left", 0, f, float(f), 10.0, f == 5) for f in range(10)], "video_id long, hand string, object_id long, frame_idx long, t double, distance double, reset boolean")
+    got = rows(live.run_to_end(live.live_contacts(live.stamped(stream(spark, near, "t"), delay="2 seconds"))).select("frame_idx", "is_contact"), "frame_idx")
+    assert got == [(f, f not in (0, 6)) for f in range(10) if f != 5]
+
+
+def test_recording_by_command(spark):
+    given = [(1, 1.0, 0, "start", "pick", 4), (1, 3.0, 0, "start", "place", None), (1, 3.5, 0, "stop", None, None), (1, 5.5, 0, "record", None, None), (1, 7.0, 0, "end", None, None), (1, 7.5, 0, "end", None, None), (1, 7.6, 0, "clear", None, None), (1, 8.5, 0, "start", "rest", 1)]
+    commands = spark.createDataFrame(given, "video_id long, t double, seq int, command string, action string, object_id long")
+    shown = frames(spark, range(10))
+    got = rows(recorder.recorded(shown, commands).select("take", "position", "frame_idx"), "take", "position")
+    assert got == [(0, p, f) for p, f in enumerate([0, 1, 2, 3, 6, 7])] + [(1, 0, 8), (1, 1, 9)]
+    got = rows(recorder.annotated(shown, commands).drop("video_id"), "take", "frame_start")
+    assert got == [(0, "pick", 4, 2, 4), (0, "place", None, 4, 6), (1, "rest", 1, 1, 2)]
+    assert recorder.annotated(shown, commands.limit(0)).count() == 0 and recorder.recorded(shown, commands.limit(0), on=False).count() == 0
+
+
+def test_cached_detections_and_held_poses(spark):
+    found = spark.createDataFrame([(1, 0, "a"), (1, 2, "b"), (1, 3, "c")], "video_id long, frame_idx long, class_name string")
+    assert rows(recorder.cached(frames(spark, range(5)), found, skip=2).select("frame_idx", "source_frame", "class_name"), "frame_idx") == [(0, 0, "a"), (1, 0, "a"), (2, 0, "a"), (3, 3, "c"), (4, 3, "c")]
+    joints = spark.createDataFrame([(1, i, 0, float(i)) for i in range(4)], "video_id long, frame_idx long, joint long, x double")
+    held = recorder.held_poses(joints, ["x"], last=2).orderBy("frame_idx").collect()
+    assert [[tuple(h) for h in r.held] for r in held] == [[(0, 0.0)], [(0, 0.0), (1, 1.0)], [(1, 1.0), (2, 2.0)], [(2, 2.0), (3, 3.0)]]
+
+
+def test_hand_frames_and_pinch_in_space(spark):
+    points = [(1, 0, "left", i, float(i), 0.0, 0.5, 0.0, 3.0 * (i == 4), 4.0 * (i == 8)) for i in reversed(range(21))]
+    marks = spark.createDataFrame(points, "video_id long, frame_idx long, side string, landmark long, x double, y double, conf double, x3 double, y3 double, z3 double")
+    (hand,) = contacts.hand_frames(marks).collect()
+    assert hand.landmarks_2d == [[float(i), 0.0] for i in range(21)] and hand.landmarks_3d[8] == [0.0, 0.0, 4.0] and hand.is_detected
+    assert hand.overall_confidence == 0.5 and contacts.hand_geometry(marks).first().pinch_3d == 5.0
+    assert contacts.hand_frames(marks.drop("z3")).first().landmarks_3d is None
+
+
+def test_models_run_in_tasks(spark):
+    from taskloom.sources import models
+
+    class Bright:  # a local class travels by value
+        def __init__(self, least=10):
+            self.least = least
+
+        def detect_batch(self, images):
+            return [[("light", b / 255, (i, 0, i + 1, 1)) for i, b in enumerate(image) if b >= self.least] for image in images]
+
+        def estimate_batch(self, images):
+            return [[[(i, i + 1, b / 255) for i, b in enumerate(image)]] if image else [] for image in images]
+
+        def lift(self, points, conf, size):
+            return [(x / size[0], y / size[1], 0.0) for x, y in points], conf / 2
+
+    models.register("detector", "bright", Bright)
+    with pytest.raises(ValueError, match="unknown detector: dark"):
+        models.named("detector", "dark")
+    with pytest.raises(ValueError, match="unknown kind"):
+        models.register("ears", "bright", Bright)
+    images = spark.createDataFrame([(1, 0, bytes([51, 5])), (1, 1, b""), (2, 0, bytes([30, 40]))], "video_id long, frame_idx long, image binary")
+
+    for least, want in ((10, [(1, 0, 0), (2, 0, 0), (2, 0, 1)]), (35, [(1, 0, 0), (2, 0, 0)])):
+        assert rows(models.detected(images, models.named("detector", "bright"), least=least).select("video_id", "frame_idx", "det_idx"), "video_id", "det_idx") == want
+    joints = models.posed(images, Bright)
+    assert rows(joints.select("video_id", "person", "joint", "x", "y"), "video_id", "joint") == [(1, 0, 0, 0.0, 1.0), (1, 0, 1, 1.0, 2.0), (2, 0, 0, 0.0, 1.0), (2, 0, 1, 1.0, 2.0)]
+    solid = models.lifted(joints, Bright, (2, 4)).where("video_id = 1")
+    assert rows(solid.select("joint", "x3", "y3", "conf3"), "joint") == [(0, 0.0, 0.25, 0.1), (1, 0.5, 0.5, pytest.approx(5 / 510))]
