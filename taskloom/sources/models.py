@@ -76,7 +76,7 @@ def lifted(joints: DataFrame, factory: Factory, size: tuple[int, int], **options
     one of confidences in order of joints and the image's size, and gives an array of 3-D points and one of confidences."""
     point = F.array_sort(F.collect_list(F.struct("joint", "x", "y", "conf")))
     poses = joints.groupBy("video_id", "frame_idx").agg(point.alias("p"))
-    poses = poses.select("video_id", "frame_idx", *(F.transform("p", lambda s, c=c: s[c]).alias(c) for c in ("joint", "x", "y", "conf")))
+    poses = poses.select("video_id", "frame_idx", *(F.col(f"p.{c}").alias(c) for c in ("joint", "x", "y", "conf")))
 
     def rows_of(model: Any, batch: pd.DataFrame) -> list[tuple]:
         out = []
