@@ -186,12 +186,16 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each maximal run of bytes other than white space, row by row."""
-    inside = ~WHITE[data]
+    return runs(~WHITE[data], offsets)
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each maximal run of bytes inside, row by row."""
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
     edges = offsets[1:-1]
-    edges = edges[(edges > 0) & (edges < len(data))]
+    edges = edges[(edges > 0) & (edges < len(inside))]
     first[edges] = inside[edges]
     last[edges - 1] = inside[edges - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
