@@ -144,20 +144,34 @@ def expanded(column: pa.Array) -> pa.Array:
 
 
 _U = np.uint64
-_R = _U(0x9E3779B97F4A7C15 | 1)
-_R_INV = _U(pow(int(_R), -1, 1 << 64))
-_BYTE = np.random.RandomState(20240229).randint(0, 2**64, 256, dtype=np.uint64)
-_POWERS: dict[int, np.ndarray] = {}
+#: The Mersenne prime of the hashes, and their two bases.
+PRIME = _U((1 << 61) - 1)
+BASES = (1_370_184_502_914_865_337, 2_097_332_180_651_476_019)
+_POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    have = _POWERS.get(int(base))
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo ``PRIME`` of numbers below it, from halves of 31 bits."""
+    a1, a0, b1, b0 = a >> _U(31), a & _U(0x7FFFFFFF), b >> _U(31), b & _U(0x7FFFFFFF)
+    middle = a1 * b0 + a0 * b1
+    return reduced((a1 * b1 << _U(1)) + (middle >> _U(30)) + ((middle & _U(0x3FFFFFFF)) << _U(31)) + a0 * b0)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & PRIME) + (x >> _U(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def _powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
+    """The first n powers of a base, or of its inverse."""
+    have = _POWERS.get((base, inverse))
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
+        step = pow(BASES[base], -1, int(PRIME)) if inverse else BASES[base]
+        have = np.ones(1, np.uint64)
+        while len(have) < max(n, 1 << 16):
+            have = np.concatenate([have, times(have, _U(pow(step, len(have), int(PRIME))))])
         if n <= STEP_BYTES * 4:
-            _POWERS[int(base)] = have
+            _POWERS[base, inverse] = have
     return have[:n]
 
 
@@ -170,13 +184,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[start:end] for all the spans at once, from prefix sums."""
-    n = len(values)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * _powers(_R, n), out=sums[1:])
-    there = (sums[end] - sums[start]) * _powers(_R_INV, n + 1)[start]
-    return mixed(there ^ (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 0, size: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of values[start:end] for all the spans at once, from prefix sums: polynomials modulo a prime, so that two spans of n values that differ
+    collide for at most n of 2^61 bases.  Hashes of one base and those of the other collide independently.  ``size`` goes in place of the number of values."""
+    term = times(reduced(values), _powers(base, len(values)))
+    sums = np.zeros((2, len(values) + 1), np.uint64)  # of both halves, as the whole would overflow
+    np.cumsum(term & _U(0xFFFFFFFF), out=sums[0, 1:])
+    np.cumsum(term >> _U(32), out=sums[1, 1:])
+    low, high = sums[:, end] - sums[:, start]
+    there = reduced(((high & _U(0x1FFFFFFF)) << _U(32)) + (high >> _U(29)) + reduced(low))
+    there = times(there, _powers(base, len(values) + 1, True)[start])
+    return mixed(there ^ (end - start if size is None else size).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
 #: Space and the control characters 9 to 13.
@@ -202,8 +220,17 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return span_hashes(_BYTE[data], start, end)
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 0) -> np.ndarray:
+    """Hashes of the bytes of spans, taken as numbers of seven bytes, which are below the prime."""
+    size = end - start
+    n = -(-size // 7)
+    last = np.cumsum(n)
+    number = np.arange(last[-1] if len(n) else 0) - np.repeat(last - n, n)
+    at, left = np.repeat(start, n) + number * 7, np.repeat(size, n) - number * 7
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))[at]
+    seven = eight & ((_U(1) << (np.minimum(left, 7) * 8).astype(np.uint64)) - _U(1))
+    return span_hashes(seven, last - n, last, base, size)
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from taskloom.llm.common import _BYTE, dealt_join, documents, mixed, partitions, raw, signed, span_hashes, steps, table, words, written
+from taskloom.llm.common import dealt_join, documents, partitions, raw, signed, steps, table, word_hashes, words, written
 
 #: Words of the shortest run that is deleted: a single line of a few words is one.
 MIN_WORDS = 3
@@ -62,7 +62,7 @@ def line_list(docs: DataFrame, min_words: int) -> DataFrame:
             reach = before[:-1] + min_words
             last = np.searchsorted(before, reach) - 1  # the line in which the window's last word begins
             need = np.where(reach <= total, last - np.arange(len(own)) + 1, 0)
-            x, y = (span_hashes(values, start, end) for values in (_BYTE[data], mixed(_BYTE)[data]))
+            x, y = (word_hashes(data, start, end, base) for base in (0, 1))
             columns = [batch.column("doc_id").take(pa.array(own)), pa.array(line.astype(np.int32)), pa.array(signed(x)), pa.array(signed(y)), pa.array(need.astype(np.int32)), pa.array(np.diff(before).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "x", "y", "need", "n"])
 

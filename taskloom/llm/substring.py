@@ -15,7 +15,7 @@ literal, and every word that a window found earlier covers is in a factor.
    An anchor with one entry needs none of that: all places that hold one of its windows hold the whole block.
 4. The pieces found are parsed greedily, per document from left to right, into the longest factors.
 
-Equality is that of two 64-bit hashes over the words.  Everything is joined and grouped by hashes after partial
+Equality is that of an anchor and of a hash over the words, of independent bases.  Everything is joined and grouped by hashes after partial
 aggregation; lookups are joins of rows with one entry each, so a block that a third of the documents hold costs
 as many rows as it has places and is spread by the skew join.
 
@@ -56,7 +56,7 @@ class Blocks:
     def __init__(self, column: pa.Array, size: int, gram: int):
         data, offsets = raw(column)
         start, end, row = words(data, offsets)
-        self.hashes = word_hashes(data, start, end)
+        self.hashes, self.others = (word_hashes(data, start, end, base) for base in (0, 1))
         self.first = np.searchsorted(row, np.arange(len(column)))  # of each text's words
         self.size, none = size, np.zeros(0, np.int64)
         self.row = self.a = self.n = none
@@ -76,7 +76,7 @@ class Blocks:
 
     def words(self) -> np.ndarray:
         """A hash of all the words of each block."""
-        return span_hashes(self.hashes, self.a, self.a + self.n + self.size - 1)
+        return span_hashes(self.others, self.a, self.a + self.n + self.size - 1, 1)
 
 
 def blocks(docs: DataFrame, size: int, gram: int) -> DataFrame:
@@ -99,14 +99,14 @@ def window_list(docs: DataFrame, size: int) -> DataFrame:
         for batch in steps(batches):
             data, offsets = raw(batch.column("text"))
             start, end, row = words(data, offsets)
-            hashes = word_hashes(data, start, end)
+            hashes = word_hashes(data, start, end, 1)
             first = np.searchsorted(row, np.arange(batch.num_rows))
             wanted = batch.column("wanted")
             h, at, n = (wanted.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("h", "start", "n"))
             own = np.repeat(np.arange(batch.num_rows), pc.list_value_length(wanted).to_numpy(zero_copy_only=False))
             own, h = np.repeat(own, n), np.repeat(h, n)
             begin = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found = span_hashes(hashes, begin + first[own], begin + first[own] + size)
+            found = span_hashes(hashes, begin + first[own], begin + first[own] + size, 1)
             columns = [pa.array(h), pa.array(signed(found)), batch.column("doc_id").take(pa.array(own)), pa.array(begin.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["h", "window", "doc_id", "start"])
 
