@@ -14,12 +14,17 @@ def over(keys: list[str], order: str = "frame_idx"):
     return Window.partitionBy(*keys).orderBy(order)
 
 
+def backwards(keys: list[str], *order: str):
+    return Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order))
+
+
 def gap_filled(df: DataFrame, keys: list[str], columns: list[str], max_gap: int, order: str = "frame_idx") -> DataFrame:
     """Linear interpolation of runs of nulls of at most ``max_gap`` frames between two values; ``filled`` marks them.
     The columns are null together."""
-    before, after = over(keys, order).rowsBetween(Window.unboundedPreceding, -1), over(keys, order).rowsBetween(1, Window.unboundedFollowing)
+    # frames that grow with the rows are summed up once; one that ends at the last row would be read anew for each row, so the way back is descending
+    before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (over(keys, order), backwards(keys, order)))
     there = F.when(F.col(columns[0]).isNotNull(), F.struct(F.col(order).alias("i"), *columns))
-    df = df.withColumn("p_", F.last(there, True).over(before)).withColumn("n_", F.first(there, True).over(after))
+    df = df.withColumn("p_", F.last(there, True).over(before)).withColumn("n_", F.last(there, True).over(after))
     fill = F.col(columns[0]).isNull() & F.col("p_").isNotNull() & F.col("n_").isNotNull() & (F.col("n_.i") - F.col("p_.i") - 1 <= max_gap)
     share = (F.col(order) - F.col("p_.i")) / (F.col("n_.i") - F.col("p_.i"))
     df = df.withColumn("filled", F.coalesce(fill, F.lit(False)))
@@ -54,7 +59,7 @@ def neighbours(left: DataFrame, right: DataFrame, keys: list[str], at: str, valu
     in_order = Window.partitionBy(*keys).orderBy(at, "mine_")
     there = F.when(F.col("mine_") == 0, F.struct(F.col(at).alias("t"), F.col(value).alias("v")))
     both = a.unionByName(b).withColumn("p_", F.last(there, True).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("n_", F.first(there, True).over(in_order.rowsBetween(0, Window.unboundedFollowing)))
+    both = both.withColumn("n_", F.last(there, True).over(backwards(keys, at, "mine_").rowsBetween(Window.unboundedPreceding, 0)))
     return both.where("mine_ = 1").select("row_.*", "p_", "n_")
 
 
@@ -62,6 +67,18 @@ def overlapping(a_start: str, a_end: str, b_start: str, b_end: str) -> Column:
     return (F.col(a_end) >= F.col(b_start)) & (F.col(a_start) <= F.col(b_end))
 
 
+def meeting(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str, str], b_span: tuple[str, str], width: int = 128) -> DataFrame:
+    """Rows of both with equal keys whose spans of frames overlap, each pair once.  Spans are cut at multiples of ``width`` frames and only meet in
+    a cut that both reach, so the work goes with the frames and not with the pairs of a recording."""
+
+    def cut(rows: DataFrame, span: tuple[str, str]) -> DataFrame:
+        return rows.withColumn("bin_", F.explode(F.expr(f"sequence({span[0]} div {width}, greatest({span[0]}, {span[1]}) div {width})")))
+
+    first = F.expr(f"greatest({a_span[0]}, {b_span[0]}) div {width}")  # the cut in which the overlap begins
+    both = cut(a, a_span).join(cut(b, b_span), [*keys, "bin_"])
+    return both.where((F.col("bin_") == first) & overlapping(*a_span, *b_span)).drop("bin_")
+
+
 def folded(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
     """An ordered left fold for each key: ``step`` takes a key's rows in order, batch by batch, and yields what comes of them.  Rows are
     sorted by Spark, which spills; a task holds one batch and the step's own state, however long the recording."""

@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taskloom.functions.temporal import batched, folded, overlapping, over
+from taskloom.functions.temporal import batched, folded, meeting, over
 from taskloom.operators.states import changes
 
-COLUMNS = ["video_id", "frame_idx", "trigger", "objects", "confidence", "rank", "seq"]
-#: Trigger and confidence of a change of each dimension.
+#: Trigger and confidence of a change of each dimension, and the names of its evidence.
 TRIGGERS = {"motion_state": (1, 0.7), "support_relation": (2, 0.8), "containment": (3, 0.85)}
+SHORT = {"motion_state": "state", "support_relation": "support", "containment": "containment"}
+#: What speaks for a boundary or a segment; each has the fields that apply and null in the others.
+EVIDENCE = {
+    "event_id": "long", "label": "string", "hand": "string", "object_id": "long", "prev_state": "string", "curr_state": "string", "prev_support": "string", "curr_support": "string",
+    "prev_containment": "string", "curr_containment": "string", "trigger": "string", "pre_first_boundary": "boolean", "no_boundaries": "boolean", "merged_with": "long",
+    "merged_for_limit": "boolean", "num_events": "long", "state_changes": "array<string>", "rule_matched": "string",
+}
+EVIDENCE_TYPE = "struct<" + ",".join(f"{n}:{k}" for n, k in EVIDENCE.items()) + ">"
+
+
+def evidence(before: Column | None = None, **given: Column) -> Column:
+    """The fields given, and of the others what was there before."""
+    rest = lambda n: F.lit(None) if before is None else before[n]
+    return F.struct(*(given.get(n, rest(n)).cast(k).alias(n) for n, k in EVIDENCE.items()))
 
 
 def contact_boundaries(events: DataFrame) -> DataFrame:
@@ -22,28 +36,33 @@ def contact_boundaries(events: DataFrame) -> DataFrame:
         return F.struct(F.lit(name).alias("trigger"), at.alias("frame_idx"), F.lit(k).alias("k"))
 
     both = F.explode(F.array(of("contact_onset", F.col("frame_start"), 0), of("contact_offset", F.col("frame_end") + 1, 1)))
-    rows = events.select("video_id", "event_id", "object_id", "confidence", both.alias("b"))
-    return rows.select("video_id", "b.frame_idx", "b.trigger", F.array("object_id").alias("objects"), "confidence", F.lit(0).alias("rank"), (F.col("event_id") * 2 + F.col("b.k")).alias("seq"))
+    seen = evidence(**{c: F.col(c) for c in ("event_id", "label", "hand") if c in events.columns})
+    rows = events.select("video_id", "event_id", "object_id", "confidence", seen.alias("evidence"), both.alias("b"))
+    return rows.select("video_id", "b.frame_idx", "b.trigger", F.array("object_id").alias("objects"), "confidence", F.lit(0).alias("rank"), (F.col("event_id") * 2 + F.col("b.k")).alias("seq"), "evidence")
 
 
 def state_boundaries(states: DataFrame, dimensions: tuple[str, ...] = tuple(TRIGGERS)) -> DataFrame:
     """A boundary at each change of motion, support or containment."""
     found = changes(states, list(dimensions))
-    name = F.when(F.col("dimension") == "motion_state", F.when(F.col("to") == "moving", "motion_start").otherwise("motion_stop")).when(F.col("dimension") == "support_relation", "support_change").otherwise("containment_change")
+    of = F.col("dimension")
+    name = F.when(of == "motion_state", F.when(F.col("to") == "moving", "motion_start").otherwise("motion_stop")).when(of == "support_relation", "support_change").otherwise("containment_change")
     rank, conf = F.lit(0), F.lit(0.0)
     for d, (r, c) in TRIGGERS.items():
-        rank, conf = F.when(F.col("dimension") == d, r).otherwise(rank), F.when(F.col("dimension") == d, c).otherwise(conf)
-    return found.select("video_id", "frame_idx", name.alias("trigger"), F.array("object_id").alias("objects"), conf.alias("confidence"), rank.alias("rank"), F.col("object_id").alias("seq"))
+        rank, conf = F.when(of == d, r).otherwise(rank), F.when(of == d, c).otherwise(conf)
+    seen = {f"{when}_{short}": F.when(of == d, F.col(c)) for d, short in SHORT.items() for when, c in (("prev", "from"), ("curr", "to"))}
+    return found.select("video_id", "frame_idx", name.alias("trigger"), F.array("object_id").alias("objects"), conf.alias("confidence"), rank.alias("rank"), F.col("object_id").alias("seq"), evidence(object_id=F.col("object_id"), **seen).alias("evidence"))
 
 
 def merged_boundaries(*found: DataFrame) -> DataFrame:
-    """One boundary a frame: the first trigger, the highest confidence, all objects."""
+    """One boundary a frame: the first trigger, the highest confidence, all objects, and of each field of evidence the last value."""
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
+    order = F.struct("rank", "seq")
     first = F.min(F.struct("rank", "seq", "trigger"))
-    rows = every.groupBy("video_id", "frame_idx").agg(first.alias("f"), F.max("confidence").alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("objects")))).alias("objects"))
-    return rows.select("video_id", "frame_idx", "f.trigger", "confidence", "objects")
+    last = F.struct(*(F.max_by(F.col(f"evidence.{n}"), F.when(F.col(f"evidence.{n}").isNotNull(), order)).alias(n) for n in EVIDENCE))
+    rows = every.groupBy("video_id", "frame_idx").agg(first.alias("f"), F.max("confidence").alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("objects")))).alias("objects"), last.alias("evidence"))
+    return rows.select("video_id", "frame_idx", "f.trigger", "confidence", "objects", "evidence")
 
 
 def refined_boundaries(boundaries: DataFrame, least: int = 3) -> DataFrame:
@@ -73,15 +92,18 @@ def refined_boundaries(boundaries: DataFrame, least: int = 3) -> DataFrame:
 def segments(boundaries: DataFrame, totals: DataFrame, shortest: int = 10) -> DataFrame:
     """Segments between boundaries, and the one before the first; ``totals`` has video_id and num_frames.  Those too short go, except the first;
     a video without boundaries is one segment."""
+    if "evidence" not in boundaries.columns:
+        boundaries = boundaries.withColumn("evidence", evidence())
     rows = boundaries.join(totals, "video_id").where("frame_idx < num_frames")
     w = over(["video_id"])
     cut = rows.withColumn("frame_end", F.coalesce(F.lead("frame_idx").over(w) - 1, F.col("num_frames") - 1)).where(F.col("frame_end") - F.col("frame_idx") + 1 >= shortest)
     none = F.array().cast("array<long>")
-    cut = cut.select("video_id", F.col("frame_idx").alias("frame_start"), "frame_end", "confidence", "objects", "trigger")
+    cut = cut.select("video_id", F.col("frame_idx").alias("frame_start"), "frame_end", "confidence", "objects", "trigger", evidence(F.col("evidence"), trigger=F.col("trigger")).alias("evidence"))
     first = rows.groupBy("video_id").agg(F.min("frame_idx").alias("f")).where("f > 0").select("video_id", F.lit(0).cast("long").alias("frame_start"), (F.col("f") - 1).alias("frame_end"))
     alone = totals.join(rows.select("video_id").distinct(), "video_id", "left_anti").where("num_frames > 0").select("video_id", F.lit(0).cast("long").alias("frame_start"), (F.col("num_frames") - 1).alias("frame_end"))
-    plain = first.withColumn("trigger", F.lit("video_start")).unionByName(alone.withColumn("trigger", F.lit("no_boundaries")))
-    plain = plain.select("video_id", "frame_start", "frame_end", F.lit(0.5).alias("confidence"), none.alias("objects"), "trigger")
+    first = first.withColumn("trigger", F.lit("video_start")).withColumn("evidence", evidence(pre_first_boundary=F.lit(True)))
+    alone = alone.withColumn("trigger", F.lit("no_boundaries")).withColumn("evidence", evidence(no_boundaries=F.lit(True)))
+    plain = first.unionByName(alone).select("video_id", "frame_start", "frame_end", F.lit(0.5).alias("confidence"), none.alias("objects"), "trigger", "evidence")
     return cut.unionByName(plain).withColumn("seg_id", (F.row_number().over(over(["video_id"], "frame_start")) - 1).cast("long"))
 
 
@@ -96,59 +118,74 @@ def long_enough(segment: DataFrame, shortest: int = 10) -> DataFrame:
     return segment.where(F.col("frame_end") - F.col("frame_start") + 1 >= shortest)
 
 
-SEGMENT = "video_id long, seg_id long, frame_start long, frame_end long, confidence double, label string, objects array<long>"
+SEGMENT = f"video_id long, seg_id long, frame_start long, frame_end long, confidence double, label string, objects array<long>, evidence {EVIDENCE_TYPE}"
+NAMES = ["video_id", "seg_id", "frame_start", "frame_end", "confidence", "label", "objects", "evidence"]
 
 
-def _folded(segment: DataFrame, step) -> DataFrame:
-    """Lists of a video's segments rewritten by ``step`` and numbered anew."""
+def rewritten(segment: DataFrame, step: Callable[[Iterator[dict]], Iterator[dict]]) -> DataFrame:
+    """A video's segments in order, changed by ``step`` and numbered anew."""
+    rows = segment.withColumn("label", F.lit("unknown")) if "label" not in segment.columns else segment
+    rows = rows.withColumn("evidence", evidence()) if "evidence" not in rows.columns else rows
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [dict(r._asdict(), objects=sorted(set(map(int, r.objects)))) for r in pdf.sort_values("seg_id").itertuples(index=False)]
-        rows = step(rows)
-        return pd.DataFrame([dict(r, seg_id=i) for i, r in enumerate(rows)], columns=[c.split()[0] for c in SEGMENT.split(", ")])
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def each() -> Iterator[dict]:
+            for part in parts:
+                for r in part.itertuples(index=False):
+                    yield dict(r._asdict(), objects=sorted({int(o) for o in r.objects}))
 
-    rows = segment.withColumn("label", F.lit("unknown")) if "label" not in segment.columns else segment
-    return rows.select(*(c.split()[0] for c in SEGMENT.split(", "))).groupBy("video_id").applyInPandas(run, SEGMENT)
+        yield from batched((tuple(dict(r, seg_id=i)[n] for n in NAMES) for i, r in enumerate(step(each()))), NAMES)
 
+    return folded(rows.select(*NAMES), ["video_id"], ["seg_id"], run, SEGMENT)
 
-def _joined(a: dict, b: dict, label: str) -> dict:
-    return dict(a, frame_end=b["frame_end"], confidence=(a["confidence"] + b["confidence"]) / 2, label=label, objects=sorted({*a["objects"], *b["objects"]}))
+
+def _joined(a: dict, b: dict, label: str, seen: dict, **more) -> dict:
+    return dict(a, frame_end=b["frame_end"], confidence=(a["confidence"] + b["confidence"]) / 2, label=label, objects=sorted({*a["objects"], *b["objects"]}), evidence=dict(seen, **more))
 
 
 def merged_short(segment: DataFrame, shortest: int = 5) -> DataFrame:
-    """Segments shorter than that join the one before, or the first one the next."""
-
-    def step(rows: list[dict]) -> list[dict]:
-        out: list[dict] = []
-        i = 0
-        while i < len(rows):
-            short = rows[i]["frame_end"] - rows[i]["frame_start"] + 1 < shortest and len(rows) > 1
-            if short and out:
-                out[-1] = _joined(out[-1], rows[i], out[-1]["label"])
-            elif short and i + 1 < len(rows):
-                out.append(_joined(rows[i], rows[i + 1], rows[i + 1]["label"]))
-                i += 1
+    """Segments shorter than that join the one before, or the first one the next.  Only the last segment is held."""
+
+    def step(rows: Iterator[dict]) -> Iterator[dict]:
+        held, fresh = next(rows), True  # fresh: a short first segment that waits for the next
+        for row in rows:
+            is_short = lambda r: r["frame_end"] - r["frame_start"] + 1 < shortest
+            if fresh and is_short(held):
+                held = _joined(held, row, row["label"], row["evidence"], merged_with=held["seg_id"])
+            elif is_short(row):
+                held = _joined(held, row, held["label"], held["evidence"], merged_with=row["seg_id"])
             else:
-                out.append(rows[i])
-            i += 1
-        return out
+                yield held
+                held = row
+            fresh = False
+        yield held
 
-    return _folded(segment, step)
+    return rewritten(segment, step)
 
 
 def limited(segment: DataFrame, most: int) -> DataFrame:
-    """At most that many segments: the least sure joins its less sure neighbour, again and again."""
-
-    def step(rows: list[dict]) -> list[dict]:
-        while len(rows) > most and len(rows) > 1:
-            i = min(range(len(rows)), key=lambda k: (rows[k]["confidence"], k))
-            left = i > 0 and (i == len(rows) - 1 or rows[i - 1]["confidence"] < rows[i + 1]["confidence"])
-            a = i - 1 if left else i
-            x, y = rows[a], rows[a + 1]
-            rows = [*rows[:a], _joined(x, y, x["label"] if x["confidence"] > y["confidence"] else y["label"]), *rows[a + 2 :]]
-        return rows
-
-    return _folded(segment, step)
+    """At most that many segments: the least sure joins its less sure neighbour, again and again.  A recording's segments are linked to their neighbours and
+    wait in a heap by confidence, so each union takes the time of a heap's step."""
+
+    def step(rows: Iterator[dict]) -> Iterator[dict]:
+        held = dict(enumerate(rows))
+        before, after = {i: i - 1 for i in held}, {i: i + 1 for i in held}
+        heap = [(r["confidence"], i) for i, r in held.items()]
+        heapq.heapify(heap)
+        while len(held) > max(most, 1):
+            sure, i = heapq.heappop(heap)
+            if i not in held or held[i]["confidence"] != sure:
+                continue  # joined meanwhile
+            left, right = held.get(before[i]), held.get(after[i])
+            a = before[i] if left and (not right or left["confidence"] < right["confidence"]) else i
+            b = after[a]
+            x, y = held[a], held.pop(b)
+            held[a] = _joined(x, y, x["label"] if x["confidence"] > y["confidence"] else y["label"], x["evidence"], merged_for_limit=True)
+            after[a] = after[b]
+            before[after[b]] = a
+            heapq.heappush(heap, (held[a]["confidence"], a))
+        yield from held.values()
+
+    return rewritten(segment, step)
 
 
 def closed(segment: DataFrame) -> DataFrame:
@@ -166,18 +203,24 @@ def closed(segment: DataFrame) -> DataFrame:
     length = (F.col("mid") - F.col("frame_start")) / 30.0
     start = F.first("t_start").over(chain) + F.coalesce(F.sum(length).over(chain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rows = rows.withColumn("t_start", start).withColumn("t_end", F.when(F.col("mid").isNotNull(), start + length).otherwise(F.col("t_end")))
-    return rows.select("video_id", "seg_id", "frame_start", "frame_end", "confidence", "objects", "t_start", "t_end")
+    more = [c for c in ("evidence",) if c in segment.columns]
+    return rows.select("video_id", "seg_id", "frame_start", "frame_end", "confidence", "objects", "t_start", "t_end", *more)
+
+
+#: In the order in which changes are listed.
+ORDER = ["support_relation", "motion_state", "containment", "interaction_state"]
 
 
 def events_in(segment: DataFrame, events: DataFrame) -> DataFrame:
     """Events that overlap each segment."""
     e = events.select("video_id", "event_id", F.col("label").alias("event_label"), F.col("frame_start").alias("e_start"), F.col("frame_end").alias("e_end"))
-    return segment.join(e, "video_id").where(overlapping("e_start", "e_end", "frame_start", "frame_end")).select("video_id", "seg_id", "event_id", "event_label")
+    each = segment.select("video_id", "seg_id", "frame_start", "frame_end")
+    return meeting(each, e, ["video_id"], ("frame_start", "frame_end"), ("e_start", "e_end")).select("video_id", "seg_id", "event_id", "event_label")
 
 
 def changes_in(segment: DataFrame, states: DataFrame) -> DataFrame:
     """State changes of a segment's objects between its first and last frame."""
-    dims = ["support_relation", "motion_state", "containment", "interaction_state"]
+    dims = ORDER
     each = segment.select("video_id", "seg_id", "frame_start", "frame_end", F.explode("objects").alias("object_id"))
     for e in ("start", "end"):
         each = each.join(states.select("video_id", "object_id", F.col("frame_idx").alias(f"frame_{e}"), F.struct(*dims).alias(e)), ["video_id", "object_id", f"frame_{e}"])
@@ -186,12 +229,12 @@ def changes_in(segment: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def labelled(segment: DataFrame, events: DataFrame, states: DataFrame) -> DataFrame:
-    """Adds ``label`` and ``label_confidence`` by the first rule that holds."""
+    """Adds ``label`` and ``label_confidence`` by the first rule that holds, and to the evidence the number of events, the state changes as texts and the rule."""
     seen = events_in(segment, events).groupBy("video_id", "seg_id").agg(F.count(F.lit(1)).alias("num_events"), F.collect_set("event_label").alias("e"))
-    found = changes_in(segment, states).groupBy("video_id", "seg_id").agg(F.collect_list(F.struct("dimension", "from", "to")).alias("c"))
+    found = changes_in(segment, states).groupBy("video_id", "seg_id").agg(F.array_sort(F.collect_list(F.struct("object_id", F.array_position(F.array(*map(F.lit, ORDER)), F.col("dimension")).alias("at"), "dimension", "from", "to"))).alias("c"))
     rows = segment.join(seen, ["video_id", "seg_id"], "left").join(found, ["video_id", "seg_id"], "left")
     rows = rows.withColumn("num_events", F.coalesce("num_events", F.lit(0))).withColumn("e", F.coalesce("e", F.array().cast("array<string>")))
-    rows = rows.withColumn("c", F.coalesce("c", F.array().cast("array<struct<dimension:string,from:string,to:string>>")))
+    rows = rows.withColumn("c", F.coalesce("c", F.array().cast(found.schema["c"].dataType)))
 
     def event(name: str):
         return F.array_contains("e", name)
@@ -223,11 +266,15 @@ def labelled(segment: DataFrame, events: DataFrame, states: DataFrame) -> DataFr
     out = F.struct(F.lit("unknown").alias("label"), F.lit(0.3).alias("label_confidence"))
     for when, label, conf in reversed(rules):
         out = F.when(when, F.struct(F.lit(label).alias("label"), F.lit(conf).alias("label_confidence"))).otherwise(out)
-    return rows.withColumn("o", out).withColumn("num_changes", F.size("c")).select(*segment.columns, "num_events", "num_changes", "o.label", "o.label_confidence")
+    rows = rows.withColumn("o", out).withColumn("num_changes", F.size("c"))
+    text = F.transform("c", lambda x: F.format_string("{'object_id': %d, 'type': '%s', 'from': '%s', 'to': '%s'}", x["object_id"], x["dimension"], x["from"], x["to"]))
+    before = F.col("evidence") if "evidence" in segment.columns else None
+    seen = evidence(before, num_events=F.col("num_events"), state_changes=text, rule_matched=F.col("o.label"))
+    return rows.select(*(c for c in segment.columns if c not in ("evidence", "label")), "num_events", "num_changes", "o.label", "o.label_confidence", seen.alias("evidence"))
 
 
 def current(frames: DataFrame, segment: DataFrame) -> DataFrame:
     """The first segment that holds each frame."""
-    s = segment.select("video_id", "seg_id", F.col("frame_start"), F.col("frame_end"))
-    held = frames.join(s, "video_id").where("frame_idx >= frame_start and frame_idx <= frame_end")
+    s = segment.select("video_id", "seg_id", "frame_start", "frame_end")
+    held = meeting(frames.select("video_id", "frame_idx"), s, ["video_id"], ("frame_idx", "frame_idx"), ("frame_start", "frame_end"))
     return held.groupBy("video_id", "frame_idx").agg(F.min("seg_id").alias("seg_id"))

@@ -10,6 +10,8 @@ from taskloom.functions.temporal import fold, hysteresis, islands, over
 from taskloom.operators.pose import J, at
 
 HAND = ["video_id", "hand", "object_id"]
+#: Features that are an interaction's evidence, and their names there.
+FEATURES = {"duration": "duration_frames", "hand_motion": "hand_motion", "object_motion": "object_motion", "correlation": "motion_correlation"}
 #: Landmarks of the fingertips and of the palm.
 FINGERTIPS, PALM = (4, 8, 12, 16, 20), (0, 1, 5, 9, 13, 17)
 
@@ -99,19 +101,22 @@ def interactions(feature: DataFrame, states: DataFrame, motion: float = 5.0, cor
 
 
 def merged(found: DataFrame, max_gap: int = 5) -> DataFrame:
-    """Interactions of one hand, object and label whose gap is small are one; its confidence is averaged pair by pair, from the left."""
+    """Interactions of one hand, object and label whose gap is small are one; its confidence is averaged pair by pair, from the left.  ``evidence``, if there are
+    features, is that of the first of them, and whether there are several."""
     keys = [*HAND, "label"]
+    seen = [c for c in FEATURES if c in found.columns]
     w = over(keys, "frame_start")
-    before = F.max("frame_end").over(w.rowsBetween(-(1 << 30), -1))
+    before = F.max("frame_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.coalesce((F.col("frame_start") - before - 1 > max_gap).cast("int"), F.lit(1))
     group = found.withColumn("new", new).withColumn("group_", F.sum("new").over(w))
     per = group.groupBy(*keys, "group_").agg(
         F.min("frame_start").alias("frame_start"), F.max("frame_end").alias("frame_end"), F.count(F.lit(1)).alias("parts"),
-        F.array_sort(F.collect_list(F.struct("frame_start", "confidence"))).alias("s"),
+        F.array_sort(F.collect_list(F.struct("frame_start", "confidence"))).alias("s"), *(F.min_by(c, "frame_start").alias(c) for c in seen),
     )
+    proof = [F.struct(*(F.col(c).alias(FEATURES[c]) for c in seen), F.when(F.col("parts") > 1, True).alias("merged")).alias("evidence")] if seen else []
     values = F.col("s.confidence")
     mean = fold(F.slice(values, 2, F.greatest(F.lit(1), F.size(values))), F.element_at(values, 1), lambda acc, x: (acc + x) / 2)
-    return per.select(*keys, "frame_start", "frame_end", mean.alias("confidence"), "parts")
+    return per.select(*keys, "frame_start", "frame_end", mean.alias("confidence"), "parts", *proof)
 
 
 def events(found: DataFrame, least: float = 0.3, shortest: int = 3, max_gap: int = 5) -> DataFrame:
@@ -128,7 +133,14 @@ def raw_events(contact: DataFrame, shortest: int = 3) -> DataFrame:
         F.min("frame_idx").alias("frame_start"), F.max("frame_idx").alias("frame_end"), F.avg("distance").alias("mean_distance")
     )
     rows = rows.where(F.col("frame_end") - F.col("frame_start") + 1 >= shortest)
-    return rows.select(*HAND, "frame_start", "frame_end", F.greatest(F.lit(0.3), 1 - F.col("mean_distance") / 100).alias("confidence"))
+    return rows.select(*HAND, "frame_start", "frame_end", F.greatest(F.lit(0.3), 1 - F.col("mean_distance") / 100).alias("confidence"), F.struct(F.col("mean_distance").alias("avg_distance")).alias("evidence"))
+
+
+def timed(event: DataFrame, frames: DataFrame) -> DataFrame:
+    """Adds ``t_start`` and ``t_end`` of events from the frames."""
+    for c in ("start", "end"):
+        event = event.join(frames.select("video_id", F.col("frame_idx").alias(f"frame_{c}"), F.col("t").alias(f"t_{c}")), ["video_id", f"frame_{c}"], "left")
+    return event
 
 
 def grasp_frames(event: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ FRAGMENTS: dict[str, str] = {
       CASE WHEN there THEN cx - w END AS x1, CASE WHEN there THEN cy - h END AS y1, CASE WHEN there THEN cx + w END AS x2, CASE WHEN there THEN cy + h END AS y2
       FROM (SELECT *, 200 + CAST(abs((at_ * 7 + object_id * 40) % 200 - 100) AS DOUBLE) AS cx, 150 + CAST(abs((at_ * 5 + object_id * 30) % 160 - 80) AS DOUBLE) AS cy FROM obj0)""",
     "pj0": "SELECT *, ((event_id + joint) % 10) / 10e0 AS conf FROM (SELECT video_id, frame_idx, event_id, unnest(range(17)) AS joint FROM ev)",
-    "pj": """SELECT *, (x - 300) * 0.004e0 AS x3, (y - 250) * 0.004e0 AS y3 FROM (SELECT video_id, frame_idx, joint, conf,
+    "pj": """SELECT *, (x - 300) * 0.004e0 AS x3, (y - 250) * 0.004e0 AS y3 FROM (SELECT video_id, frame_idx, joint, conf, event_id,
       CASE WHEN conf > 0 THEN 180 + 6 * joint + CAST(abs((frame_idx * 9 + joint * 13) % 120 - 60) AS DOUBLE) END AS x,
       CASE WHEN conf > 0 THEN 100 + 14 * joint + CAST(abs((frame_idx * 4 + joint * 7) % 60 - 30) AS DOUBLE) END AS y,
       CASE WHEN conf > 0 THEN ((joint * 37) % 11 - 5) * 0.02e0 + (frame_idx % 7) * 0.01e0 END AS z3 FROM pj0)""",
@@ -55,7 +55,7 @@ FRAGMENTS: dict[str, str] = {
       CASE WHEN duration >= 5 AND correlation > 0.7e0 AND object_motion > 5 * duration * 0.5e0 THEN least(0.9e0, 0.5e0 + 0.4e0 * correlation) WHEN a.containment = 'none' AND b.containment = 'in_bin' THEN 0.8e0 WHEN a.containment = 'in_bin' AND b.containment = 'none' THEN 0.8e0
       WHEN object_motion > 5 * duration AND correlation < 0.7e0 AND duration >= 3 THEN 0.6e0 WHEN duration < 5 THEN 0.5e0 ELSE 0.3e0 END AS confidence
       FROM feat f LEFT JOIN cnt a ON a.video_id = f.video_id AND a.object_id = f.object_id AND a.frame_idx = f.frame_start LEFT JOIN cnt b ON b.video_id = f.video_id AND b.object_id = f.object_id AND b.frame_idx = f.frame_end""",
-    "mrg": """SELECT video_id, hand, object_id, label, min(frame_start) AS frame_start, max(frame_end) AS frame_end, count(*) AS parts, list_reduce(list(confidence ORDER BY frame_start), lambda x, y: (x + y) / 2) AS confidence
+    "mrg": """SELECT video_id, hand, object_id, label, min(frame_start) AS frame_start, max(frame_end) AS frame_end, count(*) AS parts, arg_min(duration, frame_start) AS first_duration, arg_min(hand_motion, frame_start) AS first_hand, arg_min(object_motion, frame_start) AS first_object, arg_min(correlation, frame_start) AS first_corr, list_reduce(list(confidence ORDER BY frame_start), lambda x, y: (x + y) / 2) AS confidence
       FROM (SELECT *, sum(new) OVER (PARTITION BY video_id, hand, object_id, label ORDER BY frame_start) AS g FROM (SELECT *, coalesce(CAST(frame_start - max(frame_end) OVER (PARTITION BY video_id, hand, object_id, label ORDER BY frame_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1 > 5 AS INTEGER), 1) AS new FROM inter))
       GROUP BY video_id, hand, object_id, label, g""",
     "evt": """SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_start, hand, object_id, label) - 1 AS event_id FROM mrg WHERE confidence >= 0.3e0 AND frame_end - frame_start + 1 >= 3""",
@@ -67,10 +67,13 @@ FRAGMENTS: dict[str, str] = {
     "lag1": """SELECT *, lag(motion_state) OVER w AS pm, lag(support_relation) OVER w AS ps, lag(interaction_state) OVER w AS pi, lag(containment) OVER w AS pc FROM st WINDOW w AS (PARTITION BY video_id, object_id ORDER BY frame_idx)""",
     "chg": """SELECT video_id, object_id, frame_idx, 'motion_state' AS dimension, pm AS "from", motion_state AS "to" FROM lag1 WHERE pm <> motion_state UNION ALL SELECT video_id, object_id, frame_idx, 'support_relation', ps, support_relation FROM lag1 WHERE ps <> support_relation
       UNION ALL SELECT video_id, object_id, frame_idx, 'interaction_state', pi, interaction_state FROM lag1 WHERE pi <> interaction_state UNION ALL SELECT video_id, object_id, frame_idx, 'containment', pc, containment FROM lag1 WHERE pc <> containment""",
-    "bnd0": """SELECT video_id, frame_start AS frame_idx, 'contact_onset' AS trigger, object_id, confidence, 0 AS rank, event_id * 2 AS seq FROM evt UNION ALL SELECT video_id, frame_end + 1, 'contact_offset', object_id, confidence, 0, event_id * 2 + 1 FROM evt
+    "bnd0": """SELECT video_id, frame_start AS frame_idx, 'contact_onset' AS trigger, object_id, confidence, 0 AS rank, event_id * 2 AS seq, event_id, label, hand, CAST(NULL AS VARCHAR) AS dimension, CAST(NULL AS VARCHAR) AS was, CAST(NULL AS VARCHAR) AS now FROM evt
+      UNION ALL SELECT video_id, frame_end + 1, 'contact_offset', object_id, confidence, 0, event_id * 2 + 1, event_id, label, hand, NULL, NULL, NULL FROM evt
       UNION ALL SELECT video_id, frame_idx, CASE dimension WHEN 'motion_state' THEN CASE "to" WHEN 'moving' THEN 'motion_start' ELSE 'motion_stop' END WHEN 'support_relation' THEN 'support_change' ELSE 'containment_change' END, object_id,
-      CASE dimension WHEN 'motion_state' THEN 0.7e0 WHEN 'support_relation' THEN 0.8e0 ELSE 0.85e0 END, CASE dimension WHEN 'motion_state' THEN 1 WHEN 'support_relation' THEN 2 ELSE 3 END, object_id FROM chg WHERE dimension <> 'interaction_state'""",
-    "bnd": "SELECT video_id, frame_idx, arg_min(trigger, CAST(rank AS BIGINT) * 1000000000 + seq) AS trigger, max(confidence) AS confidence, list_sort(list(DISTINCT object_id)) AS objects FROM bnd0 GROUP BY video_id, frame_idx",
+      CASE dimension WHEN 'motion_state' THEN 0.7e0 WHEN 'support_relation' THEN 0.8e0 ELSE 0.85e0 END, CASE dimension WHEN 'motion_state' THEN 1 WHEN 'support_relation' THEN 2 ELSE 3 END, object_id, NULL, NULL, NULL, dimension, "from", "to" FROM chg WHERE dimension <> 'interaction_state'""",
+    "bnd": """SELECT b.video_id, b.frame_idx, arg_min(trigger, CAST(rank AS BIGINT) * 1000000000 + seq) AS trigger, max(confidence) AS confidence, list_sort(list(DISTINCT b.object_id)) AS objects, arg_max(event_id, seq) FILTER (rank = 0) AS event_id, arg_max(label, seq) FILTER (rank = 0) AS label,
+      arg_max(hand, seq) FILTER (rank = 0) AS hand, arg_max(b.object_id, CAST(rank AS BIGINT) * 1000000000 + seq) FILTER (rank > 0) AS object_id, arg_max(was, seq) FILTER (rank = 1) AS prev_state, arg_max(now, seq) FILTER (rank = 1) AS curr_state,
+      arg_max(was, seq) FILTER (rank = 2) AS prev_support, arg_max(now, seq) FILTER (rank = 2) AS curr_support, arg_max(was, seq) FILTER (rank = 3) AS prev_containment, arg_max(now, seq) FILTER (rank = 3) AS curr_containment FROM bnd0 b GROUP BY b.video_id, b.frame_idx""",
     "cut": """SELECT b.video_id, frame_idx AS frame_start, coalesce(lead(frame_idx) OVER (PARTITION BY b.video_id ORDER BY frame_idx) - 1, num_frames - 1) AS frame_end, confidence, objects, trigger FROM bnd b JOIN tot ON tot.video_id = b.video_id WHERE frame_idx < num_frames""",
     "sg0": """SELECT * FROM cut WHERE frame_end - frame_start + 1 >= 2 UNION ALL SELECT video_id, 0, min(frame_start) - 1, 0.5e0, [], 'video_start' FROM cut GROUP BY video_id HAVING min(frame_start) > 0
       UNION ALL SELECT video_id, 0, num_frames - 1, 0.5e0, [], 'no_boundaries' FROM tot WHERE video_id NOT IN (SELECT video_id FROM cut)""",
@@ -90,7 +93,7 @@ FRAGMENTS: dict[str, str] = {
     "pat": """SELECT s.video_id, s.seg_id, (SELECT count(*) FROM sev e WHERE e.video_id = s.video_id AND e.seg_id = s.seg_id) AS num_events, (SELECT count(*) FROM sch c WHERE c.video_id = s.video_id AND c.seg_id = s.seg_id) AS num_changes,
       coalesce((SELECT list(DISTINCT event_label) FROM sev e WHERE e.video_id = s.video_id AND e.seg_id = s.seg_id), []) AS e,
       coalesce((SELECT list(DISTINCT dimension || ':' || "from" || ':' || "to") FROM sch c WHERE c.video_id = s.video_id AND c.seg_id = s.seg_id), []) AS c FROM cl s""",
-    "lab": """SELECT video_id, seg_id, num_events, num_changes, CASE
+    "lab": """SELECT video_id, seg_id, num_events, num_changes, e, c, CASE
       WHEN list_contains(e, 'grasp') AND list_has_any(c, ['support_relation:table:hand', 'support_relation:fixture:hand', 'support_relation:unknown:hand']) THEN 'pick' WHEN list_contains(e, 'grasp') AND list_has_any(c, ['support_relation:hand:table', 'support_relation:hand:fixture']) THEN 'place'
       WHEN list_has_any(c, ['containment:none:in_bin', 'containment:unknown:in_bin']) THEN 'insert' WHEN list_contains(c, 'containment:in_bin:none') THEN 'remove' WHEN list_contains(e, 'push') THEN 'push' WHEN list_contains(e, 'pull') THEN 'pull'
       WHEN list_contains(e, 'touch') AND num_changes = 0 THEN 'inspect' WHEN list_contains(c, 'motion_state:static:moving') AND num_events = 0 THEN 'reach' WHEN list_contains(c, 'motion_state:moving:static') AND num_events > 0 THEN 'retract'
@@ -100,7 +103,7 @@ FRAGMENTS: dict[str, str] = {
     "post": """SELECT s.video_id, s.seg_id, s.object_id, b.motion_state, b.support_relation, b.interaction_state, b.containment, CAST(a.motion_state <> b.motion_state AS BIGINT) + CAST(a.support_relation <> b.support_relation AS BIGINT) + CAST(a.interaction_state <> b.interaction_state AS BIGINT) + CAST(a.containment <> b.containment AS BIGINT) AS num_changes
       FROM sobj s JOIN tot ON tot.video_id = s.video_id JOIN st a ON a.video_id = s.video_id AND a.object_id = s.object_id AND a.frame_idx = s.frame_start JOIN st b ON b.video_id = s.video_id AND b.object_id = s.object_id AND b.frame_idx = least(s.frame_end + 1, num_frames - 1)""",
     "prs": """SELECT a.video_id, a.seg_id AS source, b.seg_id AS target, list_intersect(a.objects, b.objects) AS shared FROM cl a JOIN cl b ON a.video_id = b.video_id AND a.frame_end < b.frame_start WHERE list_has_any(a.objects, b.objects)""",
-    "cau": """SELECT p.video_id, source, target, least(1e0, (count(*) * 0.8e0 + sum(CASE WHEN num_changes > 0 THEN 1 ELSE 0 END) * 0.1e0) / greatest(1, max(len(shared)))) AS confidence FROM (SELECT *, unnest(shared) AS object_id FROM prs) p
+    "cau": """SELECT p.video_id, source, target, least(1e0, (count(*) * 0.8e0 + sum(CASE WHEN num_changes > 0 THEN 1 ELSE 0 END) * 0.1e0) / greatest(1, max(len(shared)))) AS confidence, count(*) AS num_matched, max(len(shared)) AS num_shared FROM (SELECT *, unnest(shared) AS object_id FROM prs) p
       JOIN post a ON a.video_id = p.video_id AND a.seg_id = source AND a.object_id = p.object_id JOIN pre b ON b.video_id = p.video_id AND b.seg_id = target AND b.object_id = p.object_id
       WHERE a.motion_state = b.motion_state AND a.support_relation = b.support_relation AND a.interaction_state = b.interaction_state AND a.containment = b.containment GROUP BY p.video_id, source, target
       HAVING least(1e0, (count(*) * 0.8e0 + sum(CASE WHEN num_changes > 0 THEN 1 ELSE 0 END) * 0.1e0) / greatest(1, max(len(shared)))) >= 0.5e0""",
@@ -128,8 +131,8 @@ FRAGMENTS: dict[str, str] = {
 }
 
 
-def sql(body: str) -> str:
-    """The statement with the fragments that it needs before it."""
+def sql(body: str, once: tuple[str, ...] = ()) -> str:
+    """The statement with the fragments that it needs before it; those in ``once`` are computed once, however often they are read."""
     order: list[str] = []
 
     def need(text: str, inside: str = "") -> None:
@@ -140,4 +143,4 @@ def sql(body: str) -> str:
                     order.append(name)
 
     need(body)
-    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({FRAGMENTS[n]})" for n in order) + " " + body if order else body
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS {'MATERIALIZED ' if n in once else ''}({FRAGMENTS[n]})" for n in order) + " " + body if order else body

@@ -21,11 +21,11 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
+def query(oracle: str | None = None, once: tuple[str, ...] = ()) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if oracle:
-            ORACLES[f.__name__] = sql(oracle)
+            ORACLES[f.__name__] = sql(oracle, once)
         return f
 
     return keep
@@ -169,7 +169,7 @@ IOU_SQL = """SELECT video_id, frame_idx, class_name, a_id, b_id, round(CASE WHEN
   FROM obj a JOIN (SELECT video_id, object_id, class_name, frame_idx + 1 AS frame_idx, x1, y1, x2, y2 FROM obj) b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND a.class_name = b.class_name))"""
 
 
-@query(IOU_SQL)
+@query(IOU_SQL, once=("obj",))
 def box_iou_pairs(spark, sf_dir):
     tracks = Tables(spark, sf_dir).tracks
     return objects.iou_pairs(tracks, tracks.withColumn("frame_idx", F.col("frame_idx") + 1)).select("video_id", "frame_idx", "class_name", "a_id", "b_id", r("iou"))
@@ -193,16 +193,16 @@ def track_trajectories(spark, sf_dir):
     return objects.trajectories(emitted, t.frames).select("video_id", "object_id", "frame_idx", "class_name", r("conf"), "x1", "y1", "x2", "y2")
 
 
-GAP_SQL = """SELECT video_id, object_id, frame_idx, round(CASE WHEN fill THEN px1 + (nx1 - px1) * (frame_idx - pf) / (nf - pf) ELSE x1 END, 6) AS x1, round(CASE WHEN fill THEN (pc + (nc - pc) * (frame_idx - pf) / (nf - pf)) * 0.5e0 ELSE conf END, 6) AS conf, fill AS filled
+GAP_SQL = f"""SELECT video_id, object_id, frame_idx, {", ".join(f"round(CASE WHEN fill THEN p{c} + (n{c} - p{c}) * (frame_idx - pf) / (nf - pf) ELSE {c} END, 6) AS {c}" for c in objects.BOX)}, round(CASE WHEN fill THEN (pc + (nc - pc) * (frame_idx - pf) / (nf - pf)) * 0.5e0 ELSE conf END, 6) AS conf, fill AS filled
   FROM (SELECT *, x1 IS NULL AND pf IS NOT NULL AND nf IS NOT NULL AND coalesce(nf - pf - 1 <= 10, false) AS fill FROM (SELECT *,
-  last_value(px IGNORE NULLS) OVER p AS px1, last_value(pcf IGNORE NULLS) OVER p AS pc, last_value(pi IGNORE NULLS) OVER p AS pf, first_value(px IGNORE NULLS) OVER q AS nx1, first_value(pcf IGNORE NULLS) OVER q AS nc, first_value(pi IGNORE NULLS) OVER q AS nf
-  FROM (SELECT *, x1 AS px, CASE WHEN x1 IS NOT NULL THEN conf END AS pcf, CASE WHEN x1 IS NOT NULL THEN frame_idx END AS pi FROM obj)
+  {", ".join(f"last_value({c} IGNORE NULLS) OVER p AS p{c}, first_value({c} IGNORE NULLS) OVER q AS n{c}" for c in objects.BOX)}, last_value(pcf IGNORE NULLS) OVER p AS pc, last_value(pi IGNORE NULLS) OVER p AS pf, first_value(pcf IGNORE NULLS) OVER q AS nc, first_value(pi IGNORE NULLS) OVER q AS nf
+  FROM (SELECT *, CASE WHEN x1 IS NOT NULL THEN conf END AS pcf, CASE WHEN x1 IS NOT NULL THEN frame_idx END AS pi FROM obj)
   WINDOW p AS (PARTITION BY video_id, object_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), q AS (PARTITION BY video_id, object_id ORDER BY frame_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)))"""
 
 
 @query(GAP_SQL)
 def track_gap_fill(spark, sf_dir):
-    return objects.interpolated(Tables(spark, sf_dir).tracks).select("video_id", "object_id", "frame_idx", r("x1"), r("conf"), "filled")
+    return objects.interpolated(Tables(spark, sf_dir).tracks).select("video_id", "object_id", "frame_idx", *map(r, objects.BOX), r("conf"), "filled")
 
 
 @query("""SELECT video_id, object_id, frame_idx, round(CASE WHEN conf > 0 AND lag(conf) OVER w > 0 THEN sqrt(((x1 + x2) / 2 - lag((x1 + x2) / 2) OVER w) ** 2 + ((y1 + y2) / 2 - lag((y1 + y2) / 2) OVER w) ** 2) * 30 ELSE 0 END, 6) AS speed
@@ -272,14 +272,18 @@ def interaction_labels(spark, sf_dir):
     return Tables(spark, sf_dir).interactions.select("video_id", "hand", "object_id", "frame_start", "frame_end", "label", F.round("confidence", 4).alias("confidence"))
 
 
-@query("SELECT video_id, event_id, hand, object_id, label, frame_start, frame_end, parts, round(confidence, 4) AS confidence FROM evt")
+@query("""SELECT e.video_id, e.event_id, hand, object_id, label, frame_start, frame_end, parts, round(confidence, 4) AS confidence, round(a.t, 6) AS t_start, round(b.t, 6) AS t_end, first_duration AS duration_frames, round(first_hand, 6) AS hand_motion,
+  round(first_object, 6) AS object_motion, round(first_corr, 4) AS motion_correlation, CASE WHEN parts > 1 THEN true END AS merged FROM evt e JOIN ev a ON a.video_id = e.video_id AND a.frame_idx = frame_start JOIN ev b ON b.video_id = e.video_id AND b.frame_idx = frame_end""")
 def contact_events(spark, sf_dir):
-    return Tables(spark, sf_dir).events.select("video_id", "event_id", "hand", "object_id", "label", "frame_start", "frame_end", "parts", F.round("confidence", 4).alias("confidence"))
+    t = Tables(spark, sf_dir)
+    proof = [r("evidence.hand_motion", "hand_motion"), r("evidence.object_motion", "object_motion"), F.round("evidence.motion_correlation", 4).alias("motion_correlation"), "evidence.merged"]
+    found = contacts.timed(t.events, t.frames)
+    return found.select("video_id", "event_id", "hand", "object_id", "label", "frame_start", "frame_end", "parts", F.round("confidence", 4).alias("confidence"), r("t_start"), r("t_end"), "evidence.duration_frames", *proof)
 
 
-@query("SELECT video_id, hand, object_id, frame_start, frame_end, round(greatest(0.3e0, 1 - mean_distance / 100), 6) AS confidence FROM seg WHERE frame_end - frame_start + 1 >= 3")
+@query("SELECT video_id, hand, object_id, frame_start, frame_end, round(greatest(0.3e0, 1 - mean_distance / 100), 6) AS confidence, round(mean_distance, 6) AS avg_distance FROM seg WHERE frame_end - frame_start + 1 >= 3")
 def raw_contact_events(spark, sf_dir):
-    return contacts.raw_events(Tables(spark, sf_dir).contact).select("video_id", "hand", "object_id", "frame_start", "frame_end", r("confidence"))
+    return contacts.raw_events(Tables(spark, sf_dir).contact).select("video_id", "hand", "object_id", "frame_start", "frame_end", r("confidence"), r("evidence.avg_distance", "avg_distance"))
 
 
 @query("SELECT video_id, object_id, frame_idx FROM grasp")
@@ -354,10 +358,15 @@ def recorder_actions(spark, sf_dir):
     return recorder.annotated(frames, given)
 
 
-@query("SELECT video_id, frame_idx, trigger, round(confidence, 4) AS confidence, len(objects) AS num_objects, objects[1] AS first_object FROM bnd")
+#: Evidence of boundaries.
+BOUNDARY = ["event_id", "label", "hand", "object_id", "prev_state", "curr_state", "prev_support", "curr_support", "prev_containment", "curr_containment"]
+BOUNDARY_SQL = ", ".join(BOUNDARY)
+
+
+@query(f"SELECT video_id, frame_idx, trigger, round(confidence, 4) AS confidence, len(objects) AS num_objects, objects[1] AS first_object, {BOUNDARY_SQL} FROM bnd")
 def action_boundaries(spark, sf_dir):
     b = Tables(spark, sf_dir).boundaries
-    return b.select("video_id", "frame_idx", "trigger", F.round("confidence", 4).alias("confidence"), F.size("objects").cast("long").alias("num_objects"), F.element_at("objects", 1).alias("first_object"))
+    return b.select("video_id", "frame_idx", "trigger", F.round("confidence", 4).alias("confidence"), F.size("objects").cast("long").alias("num_objects"), F.element_at("objects", 1).alias("first_object"), *(f"evidence.{c}" for c in BOUNDARY))
 
 
 @query()
@@ -365,9 +374,10 @@ def boundaries_refined(spark, sf_dir):
     return actions.refined_boundaries(Tables(spark, sf_dir).boundaries)
 
 
-@query("SELECT video_id, seg_id, frame_start, frame_end, trigger, len(objects) AS num_objects, round(t_start, 6) AS t_start, round(t_end, 6) AS t_end FROM sg")
+@query(f"""SELECT sg.video_id, seg_id, frame_start, frame_end, sg.trigger, len(sg.objects) AS num_objects, round(t_start, 6) AS t_start, round(t_end, 6) AS t_end, {BOUNDARY_SQL},
+  CASE WHEN sg.trigger = 'video_start' THEN true END AS pre_first_boundary, CASE WHEN sg.trigger = 'no_boundaries' THEN true END AS no_boundaries FROM sg LEFT JOIN bnd ON bnd.video_id = sg.video_id AND bnd.frame_idx = sg.frame_start""")
 def segments_raw(spark, sf_dir):
-    return Tables(spark, sf_dir).raw_segments.select("video_id", "seg_id", "frame_start", "frame_end", "trigger", F.size("objects").cast("long").alias("num_objects"), r("t_start"), r("t_end"))
+    return Tables(spark, sf_dir).raw_segments.select("video_id", "seg_id", "frame_start", "frame_end", "trigger", F.size("objects").cast("long").alias("num_objects"), r("t_start"), r("t_end"), *(f"evidence.{c}" for c in [*BOUNDARY, "pre_first_boundary", "no_boundaries"]))
 
 
 @query("SELECT video_id, seg_id, frame_start, frame_end, round(t_start, 6) AS t_start, round(t_end, 6) AS t_end FROM cl")
@@ -403,9 +413,18 @@ def segment_state_changes(spark, sf_dir):
     return actions.changes_in(t.segments, t.states).select("video_id", "seg_id", "object_id", "dimension", F.col("from").alias("before"), F.col("to").alias("after"))
 
 
-@query("SELECT video_id, seg_id, num_events, num_changes, label FROM lab")
+LABEL_SQL = """SELECT video_id, seg_id, num_events, num_changes, label, label AS rule_matched, CASE label WHEN 'pick' THEN 0.9e0 WHEN 'place' THEN 0.9e0 WHEN 'insert' THEN 0.85e0 WHEN 'remove' THEN 0.85e0 WHEN 'push' THEN 0.7e0 WHEN 'pull' THEN 0.7e0 WHEN 'inspect' THEN 0.6e0
+  WHEN 'reach' THEN 0.5e0 WHEN 'retract' THEN 0.5e0 WHEN 'idle' THEN 0.8e0 WHEN 'unknown' THEN 0.3e0 ELSE CASE WHEN list_contains(e, 'grasp') AND list_has_any(c, ['motion_state:static:moving', 'motion_state:moving:static'])
+  AND len(list_filter(c, lambda x: starts_with(x, 'support_relation'))) = 0 THEN 0.6e0 ELSE 0.4e0 END END AS label_confidence, coalesce(said, '') AS state_changes FROM lab LEFT JOIN (SELECT video_id AS v, seg_id AS s,
+  string_agg('{''object_id'': ' || object_id || ', ''type'': ''' || dimension || ''', ''from'': ''' || "from" || ''', ''to'': ''' || "to" || '''}', '; ' ORDER BY object_id, list_position(['support_relation', 'motion_state', 'containment', 'interaction_state'], dimension)) AS said
+  FROM sch GROUP BY ALL) x ON v = video_id AND s = seg_id"""
+
+
+@query(LABEL_SQL)
 def action_labels(spark, sf_dir):
-    return Tables(spark, sf_dir).labelled.select("video_id", "seg_id", n("num_events"), n("num_changes"), "label")
+    """Labels and their evidence."""
+    found = Tables(spark, sf_dir).labelled
+    return found.select("video_id", "seg_id", n("num_events"), n("num_changes"), "label", "evidence.rule_matched", "label_confidence", F.array_join("evidence.state_changes", "; ").alias("state_changes"))
 
 
 @query("SELECT video_id, seg_id, object_id, motion_state, support_relation, interaction_state, containment FROM pre")
@@ -425,9 +444,10 @@ def candidate_pairs(spark, sf_dir):
     return graph.candidate_pairs(Tables(spark, sf_dir).segments).select("video_id", "source", "target", F.size("shared").cast("long").alias("num_shared"))
 
 
-@query("SELECT video_id, source, target, round(confidence, 6) AS confidence FROM cau")
+@query("SELECT video_id, source, target, round(confidence, 6) AS confidence, num_matched, num_shared FROM cau")
 def causal_edges(spark, sf_dir):
-    return Tables(spark, sf_dir).causal.select("video_id", "source", "target", r("confidence"))
+    sizes = [F.size(f"{c}_objects").cast("long").alias(f"num_{c}") for c in ("matched", "shared")]
+    return Tables(spark, sf_dir).causal.select("video_id", "source", "target", r("confidence"), *sizes)
 
 
 @query("SELECT video_id, source, target, gap_frames FROM tmp")
@@ -458,34 +478,57 @@ def causal_chains(spark, sf_dir):
     return graph.chain_counts(Tables(spark, sf_dir).causal)
 
 
-JOINT_GAP = """SELECT video_id, frame_idx, joint, round(CASE WHEN fill THEN px + (nx - px) * (frame_idx - pf) / (nf - pf) ELSE x END, 6) AS x, fill AS filled FROM (SELECT *, x IS NULL AND coalesce(nf - pf - 1 <= 5, false) AS fill FROM (SELECT *,
-  last_value(x IGNORE NULLS) OVER p AS px, last_value(i IGNORE NULLS) OVER p AS pf, first_value(x IGNORE NULLS) OVER q AS nx, first_value(i IGNORE NULLS) OVER q AS nf FROM (SELECT *, CASE WHEN x IS NOT NULL THEN frame_idx END AS i FROM pj)
+@query("""SELECT video_id, path, row_number() OVER (PARTITION BY video_id ORDER BY nodes) - 1 AS rank FROM (SELECT video_id, array_to_string(nodes, '>') AS path, nodes FROM (WITH RECURSIVE p AS (
+  SELECT DISTINCT c.video_id, c.source AS here, [c.source] AS nodes FROM cau c WHERE NOT EXISTS (SELECT 1 FROM cau g WHERE g.video_id = c.video_id AND g.target = c.source)
+  UNION ALL SELECT p.video_id, c.target, list_append(nodes, c.target) FROM p JOIN cau c ON c.video_id = p.video_id AND c.source = p.here)
+  SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM cau g WHERE g.video_id = p.video_id AND g.source = p.here)))""")
+def causal_paths(spark, sf_dir):
+    """The chains themselves, of any length, decoded from their ranks."""
+    found = graph.chains(Tables(spark, sf_dir).causal)
+    return found.select("video_id", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT video_id, seg_id, row_number() OVER (PARTITION BY video_id ORDER BY level, seg_id) - 1 AS position, level FROM (SELECT c.video_id, c.seg_id, coalesce(max(n), 0) AS level FROM cl c LEFT JOIN (WITH RECURSIVE w AS (SELECT video_id, target AS seg_id, CAST(1 AS BIGINT) AS n FROM edg UNION SELECT w.video_id, e.target, n + 1 FROM w JOIN edg e ON e.video_id = w.video_id AND e.source = w.seg_id) SELECT * FROM w) x ON x.video_id = c.video_id AND x.seg_id = c.seg_id GROUP BY ALL)")
+def graph_order(spark, sf_dir):
+    """Nodes in topological order, and the longest path to each."""
+    t = Tables(spark, sf_dir)
+    nodes, edges = t.segments, kept(t.edges)
+    return graph.ordered(nodes, edges).join(graph.topological(nodes, edges), ["video_id", "seg_id"]).select("video_id", "seg_id", "position", n("level"))
+
+
+JOINT_GAP = """SELECT video_id, frame_idx, joint, round(CASE WHEN fill THEN px + (nx - px) * (frame_idx - pf) / (nf - pf) ELSE x END, 6) AS x, round(CASE WHEN fill THEN py + (ny - py) * (frame_idx - pf) / (nf - pf) ELSE y END, 6) AS y, fill AS filled FROM (SELECT *, x IS NULL AND coalesce(nf - pf - 1 <= 5, false) AS fill FROM (SELECT *,
+  last_value(x IGNORE NULLS) OVER p AS px, last_value(y IGNORE NULLS) OVER p AS py, first_value(y IGNORE NULLS) OVER q AS ny, last_value(i IGNORE NULLS) OVER p AS pf, first_value(x IGNORE NULLS) OVER q AS nx, first_value(i IGNORE NULLS) OVER q AS nf FROM (SELECT *, CASE WHEN x IS NOT NULL THEN frame_idx END AS i FROM pj)
   WINDOW p AS (PARTITION BY video_id, joint ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), q AS (PARTITION BY video_id, joint ORDER BY frame_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)))"""
 
 
 @query(JOINT_GAP)
 def pose_gap_fill(spark, sf_dir):
-    return pose.filled(Tables(spark, sf_dir).joints, ["x", "y"]).select("video_id", "frame_idx", "joint", r("x"), "filled")
+    return pose.filled(Tables(spark, sf_dir).joints, ["x", "y"]).select("video_id", "frame_idx", "joint", r("x"), r("y"), "filled")
 
 
-@query(f"SELECT g.video_id, g.frame_idx, g.joint, round(CASE WHEN p.x IS NOT NULL THEN avg(p.x) OVER (PARTITION BY p.video_id, p.joint ORDER BY p.frame_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) ELSE g.x END, 6) AS x FROM ({JOINT_GAP}) g JOIN pj p ON p.video_id = g.video_id AND p.frame_idx = g.frame_idx AND p.joint = g.joint")
+@query(f"SELECT g.video_id, g.frame_idx, g.joint, round(CASE WHEN p.x IS NOT NULL THEN avg(p.x) OVER (PARTITION BY p.video_id, p.joint ORDER BY p.frame_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) ELSE g.x END, 6) AS x, round(CASE WHEN p.x IS NOT NULL THEN avg(p.y) OVER (PARTITION BY p.video_id, p.joint ORDER BY p.frame_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) ELSE g.y END, 6) AS y FROM ({JOINT_GAP}) g JOIN pj p ON p.video_id = g.video_id AND p.frame_idx = g.frame_idx AND p.joint = g.joint")
 def pose_moving_avg(spark, sf_dir):
-    return pose.moving_average(Tables(spark, sf_dir).joints, ["x", "y"]).select("video_id", "frame_idx", "joint", r("x"))
+    return pose.moving_average(Tables(spark, sf_dir).joints, ["x", "y"]).select("video_id", "frame_idx", "joint", r("x"), r("y"))
 
 
-@query(f"""SELECT g.video_id, g.frame_idx, g.joint, round(CASE WHEN e.s IS NOT NULL THEN e.s ELSE g.x END, 6) AS x FROM ({JOINT_GAP}) g LEFT JOIN (WITH RECURSIVE v AS (SELECT *, row_number() OVER (PARTITION BY video_id, joint ORDER BY frame_idx) AS k FROM pj WHERE x IS NOT NULL), f AS (
-  SELECT video_id, joint, k, frame_idx, x AS s FROM v WHERE k = 1 UNION ALL SELECT v.video_id, v.joint, v.k, v.frame_idx, 0.5e0 * v.x + 0.5e0 * f.s FROM f JOIN v ON v.video_id = f.video_id AND v.joint = f.joint AND v.k = f.k + 1) SELECT * FROM f) e
+@query(f"""SELECT g.video_id, g.frame_idx, g.joint, round(CASE WHEN e.s IS NOT NULL THEN e.s ELSE g.x END, 6) AS x, round(CASE WHEN e.s IS NOT NULL THEN e.sy ELSE g.y END, 6) AS y FROM ({JOINT_GAP}) g LEFT JOIN (WITH RECURSIVE v AS (SELECT *, row_number() OVER (PARTITION BY video_id, joint ORDER BY frame_idx) AS k FROM pj WHERE x IS NOT NULL), f AS (
+  SELECT video_id, joint, k, frame_idx, x AS s, y AS sy FROM v WHERE k = 1 UNION ALL SELECT v.video_id, v.joint, v.k, v.frame_idx, 0.5e0 * v.x + 0.5e0 * f.s, 0.5e0 * v.y + 0.5e0 * f.sy FROM f JOIN v ON v.video_id = f.video_id AND v.joint = f.joint AND v.k = f.k + 1) SELECT * FROM f) e
   ON e.video_id = g.video_id AND e.joint = g.joint AND e.frame_idx = g.frame_idx""")
 def pose_ema(spark, sf_dir):
-    return pose.exponential(Tables(spark, sf_dir).joints, ["x", "y"]).select("video_id", "frame_idx", "joint", r("x"))
+    return pose.exponential(Tables(spark, sf_dir).joints, ["x", "y"]).select("video_id", "frame_idx", "joint", r("x"), r("y"))
 
 
-@query(f"""SELECT g.video_id, g.frame_idx, g.joint, round(coalesce(e.s, g.x), 4) AS x FROM ({JOINT_GAP}) g LEFT JOIN (WITH RECURSIVE v AS (SELECT *, CASE WHEN lag(frame_idx) OVER (PARTITION BY video_id, joint ORDER BY frame_idx) = frame_idx - 1 THEN 1 ELSE 0 END AS follows FROM pj WHERE x IS NOT NULL), f AS (
-  SELECT video_id, joint, frame_idx, x AS s, 0e0 AS d FROM v WHERE follows = 0 UNION ALL SELECT v.video_id, v.joint, v.frame_idx, a * v.x + (1 - a) * f.s, nd FROM f JOIN v ON v.video_id = f.video_id AND v.joint = f.joint AND v.frame_idx = f.frame_idx + 1 AND v.follows = 1,
-  LATERAL (SELECT (2 * pi() / 30e0) / (2 * pi() / 30e0 + 1) * ((v.x - f.s) / (1e0 / 30e0)) + (1 - (2 * pi() / 30e0) / (2 * pi() / 30e0 + 1)) * f.d AS nd) n, LATERAL (SELECT 2 * pi() * (1 + 0.007e0 * abs(nd)) * (1e0 / 30e0) AS rr) q, LATERAL (SELECT rr / (rr + 1) AS a) al) SELECT * FROM f) e
-  ON e.video_id = g.video_id AND e.joint = g.joint AND e.frame_idx = g.frame_idx""")
+def _euro(c: str) -> str:
+    """The filter over one coordinate."""
+    return f"""(WITH RECURSIVE v AS (SELECT *, CASE WHEN lag(frame_idx) OVER (PARTITION BY video_id, joint ORDER BY frame_idx) = frame_idx - 1 THEN 1 ELSE 0 END AS follows FROM pj WHERE x IS NOT NULL), f AS (
+  SELECT video_id, joint, frame_idx, {c} AS s, 0e0 AS d FROM v WHERE follows = 0 UNION ALL SELECT v.video_id, v.joint, v.frame_idx, a * v.{c} + (1 - a) * f.s, nd FROM f JOIN v ON v.video_id = f.video_id AND v.joint = f.joint AND v.frame_idx = f.frame_idx + 1 AND v.follows = 1,
+  LATERAL (SELECT (2 * pi() / 30e0) / (2 * pi() / 30e0 + 1) * ((v.{c} - f.s) / (1e0 / 30e0)) + (1 - (2 * pi() / 30e0) / (2 * pi() / 30e0 + 1)) * f.d AS nd) n, LATERAL (SELECT 2 * pi() * (1 + 0.007e0 * abs(nd)) * (1e0 / 30e0) AS rr) q, LATERAL (SELECT rr / (rr + 1) AS a) al) SELECT * FROM f)"""
+
+
+@query(f"""SELECT g.video_id, g.frame_idx, g.joint, round(coalesce(ex.s, g.x), 4) AS x, round(coalesce(ey.s, g.y), 4) AS y FROM ({JOINT_GAP}) g LEFT JOIN {_euro("x")} ex ON ex.video_id = g.video_id AND ex.joint = g.joint AND ex.frame_idx = g.frame_idx
+  LEFT JOIN {_euro("y")} ey ON ey.video_id = g.video_id AND ey.joint = g.joint AND ey.frame_idx = g.frame_idx""")
 def pose_one_euro(spark, sf_dir):
-    return pose.one_euro(Tables(spark, sf_dir).joints, ["x", "y"], 30.0).select("video_id", "frame_idx", "joint", F.round("x", 4).alias("x"))
+    return pose.one_euro(Tables(spark, sf_dir).joints, ["x", "y"], 30.0).select("video_id", "frame_idx", "joint", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 @query("""SELECT video_id, frame_idx, round(CASE WHEN lx IS NOT NULL AND rx IS NOT NULL THEN (lx + rx) / 2 ELSE coalesce(lx, rx) END, 6) AS x, round(coalesce(CASE WHEN lx IS NOT NULL AND rx IS NOT NULL THEN (lc + rc) / 2 ELSE coalesce(lc, rc) END, 0), 6) AS conf, lx IS NOT NULL OR rx IS NOT NULL AS valid
@@ -505,10 +548,24 @@ def pose_centred(spark, sf_dir):
     return pose.centred(Tables(spark, sf_dir).joints).select("video_id", "frame_idx", "joint", r("x3"))
 
 
-@query("""SELECT video_id, frame_idx, joint, round(CASE WHEN n > 1 THEN sum(rv) OVER (PARTITION BY video_id, joint ORDER BY frame_idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3e0 END, 6) AS vx FROM (SELECT *, CASE WHEN conf >= 0.2e0 AND x3 IS NOT NULL THEN CASE WHEN i = 1 THEN (a - v) * 30 WHEN i = n THEN (v - b) * 30 ELSE (a - b) * 30 / 2 END ELSE 0 END AS rv
-  FROM (SELECT *, lead(v) OVER w AS a, lag(v) OVER w AS b, row_number() OVER w AS i, count(*) OVER (PARTITION BY video_id, joint) AS n FROM (SELECT *, coalesce(x3, -1e0) AS v FROM pj) WINDOW w AS (PARTITION BY video_id, joint ORDER BY frame_idx)))""")
+def _speed(c: str) -> str:
+    return f"""CASE WHEN conf >= 0.2e0 AND x3 IS NOT NULL THEN CASE WHEN i = 1 THEN (lead(coalesce({c}, -1e0)) OVER w - coalesce({c}, -1e0)) * 30 WHEN i = n THEN (coalesce({c}, -1e0) - lag(coalesce({c}, -1e0)) OVER w) * 30
+      ELSE (lead(coalesce({c}, -1e0)) OVER w - lag(coalesce({c}, -1e0)) OVER w) * 30 / 2 END ELSE 0 END AS r{c}"""
+
+
+SPEED_SQL = f"""SELECT video_id, frame_idx, joint, round(vx, 6) AS vx, round(vy, 6) AS vy, round(vz, 6) AS vz, round(sqrt(vx * vx + vy * vy + vz * vz), 6) AS speed FROM (SELECT video_id, frame_idx, joint, {", ".join(f"CASE WHEN n > 1 THEN sum(r{c}) OVER b / 3e0 END AS v{c[0]}" for c in ("x3", "y3", "z3"))}
+  FROM (SELECT *, {", ".join(map(_speed, ("x3", "y3", "z3")))} FROM (SELECT *, row_number() OVER (PARTITION BY video_id, joint ORDER BY frame_idx) AS i, count(*) OVER (PARTITION BY video_id, joint) AS n FROM pj) WINDOW w AS (PARTITION BY video_id, joint ORDER BY frame_idx))
+  WINDOW b AS (PARTITION BY video_id, joint ORDER BY frame_idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))"""
+
+
+@query(SPEED_SQL)
 def joint_velocity(spark, sf_dir):
-    return pose.velocities(Tables(spark, sf_dir).joints, 30.0).select("video_id", "frame_idx", "joint", r("vx"))
+    return pose.velocities(Tables(spark, sf_dir).joints, 30.0).select("video_id", "frame_idx", "joint", r("vx"), r("vy"), r("vz"), r("speed"))
+
+
+@query(f"""SELECT p.video_id, p.frame_idx, CASE p.joint WHEN 9 THEN 'left' ELSE 'right' END AS side, round(p.x3, 6) AS x, round(p.y3, 6) AS y, round(p.z3, 6) AS z, p.conf, s.speed FROM pj p JOIN ({SPEED_SQL}) s ON s.video_id = p.video_id AND s.frame_idx = p.frame_idx AND s.joint = p.joint WHERE p.joint IN (9, 10)""")
+def wrist_speeds(spark, sf_dir):
+    return pose.wrist_speeds(Tables(spark, sf_dir).joints, 30.0).select("video_id", "frame_idx", "side", r("x3", "x"), r("y3", "y"), r("z3", "z"), "conf", r("speed"))
 
 
 def _angles() -> str:
@@ -612,10 +669,13 @@ def graph_neighbours(spark, sf_dir):
     return t.segments.select(*key).join(graph.predecessors(t.edges), key, "left").join(graph.successors(t.edges), key, "left")
 
 
-@query("SELECT video_id, 'pose' AS part, CAST(NULL AS BIGINT) AS object_id, CAST(NULL AS BIGINT) AS found, num_frames FROM tot WHERE false")
+@query("""SELECT s.video_id, part, object_id, found, num_frames FROM (SELECT video_id, 'pose' AS part, CAST(NULL AS BIGINT) AS object_id, count(DISTINCT frame_idx) AS found FROM pj WHERE event_id % 40 > 0 GROUP BY video_id
+  UNION ALL SELECT video_id, 'object', object_id, count(*) FROM obj WHERE x1 IS NOT NULL GROUP BY video_id, object_id) s JOIN tot ON tot.video_id = s.video_id WHERE found <> num_frames""")
 def series_aligned(spark, sf_dir):
+    """Poses without those of some frames, and objects where they are seen, against the recordings' lengths."""
     t = Tables(spark, sf_dir)
-    return timeline.misaligned(t.totals, t.joints, t.tracks)
+    some = t.joints.join(t.frames.where("event_id % 40 > 0").select("video_id", "frame_idx"), ["video_id", "frame_idx"])
+    return timeline.misaligned(t.totals, some, t.tracks.where("x1 is not null"))
 
 
 @query()

@@ -145,7 +145,7 @@ def test_causal_edge_needs_half(spark):
 def test_chains(spark):
     nodes = spark.createDataFrame([(1, i) for i in range(4)], "video_id long, seg_id long")
     edges = spark.createDataFrame([(1, 0, 1), (1, 0, 2), (1, 1, 3), (1, 2, 3)], "video_id long, source long, target long")
-    assert sorted(r.path for r in graph.chains(nodes, edges).collect()) == [[0, 1, 3], [0, 2, 3]]
+    assert sorted(r.path for r in graph.chains(edges).collect()) == [[0, 1, 3], [0, 2, 3]]
     assert [r.seg_id for r in graph.roots(nodes, edges).collect()] == [0] and [r.seg_id for r in graph.leaves(nodes, edges).collect()] == [3]
     assert rows(graph.topological(nodes, edges).select("seg_id", "level"), "seg_id") == [(0, 0), (1, 1), (2, 1), (3, 2)]
 
