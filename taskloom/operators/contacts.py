@@ -165,25 +165,28 @@ def hand_geometry(landmarks: DataFrame) -> DataFrame:
 
 
 def fingertip_contacts(landmarks: DataFrame, tracks: DataFrame, reach: float = 30.0, grab_reach: float = 50.0, interpolated: bool = False) -> DataFrame:
-    """Each hand against each box of its frame: whether fingertips or palm touch it, and how surely the hand grabs it."""
+    """Each hand against each box of its frame: whether fingertips or palm touch it, and how surely the hand grabs it.  ``touch_x`` and
+    ``touch_y`` are the fingertip nearest to the box, if fingertips touch it; a palm alone touches without a point."""
     key = ["video_id", "frame_idx", "side"]
     boxes = tracks.where("x1 is not null").select("video_id", "frame_idx", "object_id", "x1", "y1", "x2", "y2")
     tips = landmarks.where(F.col("landmark").isin(*FINGERTIPS)).join(boxes, ["video_id", "frame_idx"])
     d = box_distance(F.col("x"), F.col("y"))
     near, inside = d < reach, d == 0
     per = tips.groupBy(*key, "object_id", "x1", "y1", "x2", "y2").agg(
-        F.min(d).alias("least"), F.count(F.when(near, 1)).alias("near"), F.count(F.when(inside, 1)).alias("inside"),
+        F.min(d).alias("least"), F.min_by(F.struct("x", "y"), F.struct(d, "landmark")).alias("tip"), F.count(F.when(near, 1)).alias("near"), F.count(F.when(inside, 1)).alias("inside"),
         F.sum(F.when(near, F.col("conf")).otherwise(0.0) + F.when(inside, 0.5 * F.col("conf")).otherwise(0.0)).alias("weight"),
     )
     rows = per.join(hand_geometry(landmarks).select(*key, "palm_x", "palm_y", "pinch"), key)
     palm = box_distance(F.col("palm_x"), F.col("palm_y"))
-    touch = (F.col("least") < reach * (1.5 if interpolated else 1.0)) | (F.col("inside") >= 1) | (palm < reach * 0.7)
+    fingers = (F.col("least") < reach * (1.5 if interpolated else 1.0)) | (F.col("inside") >= 1)
+    touch = fingers | (palm < reach * 0.7)
+    point = [F.when(fingers, F.col(f"tip.{c}")).alias(f"touch_{c}") for c in "xy"]
     posed = (F.col("near") >= 2) | (F.col("inside") >= 2) | ((palm == 0) & (F.col("near") >= 1))
     tip_score, pinch_score = F.least(F.col("weight") / 2.5, F.lit(1.0)), F.greatest(F.lit(0.0), 1 - F.col("pinch") / 100)
     palm_score = F.greatest(F.lit(0.0), 1 - palm / grab_reach)
     score = (tip_score * 0.4 + pinch_score * 0.3 + palm_score * 0.3) * (0.8 if interpolated else 1.0)
     grab = posed & (score > 0.35)
-    return rows.select(*key, "object_id", touch.alias("is_contact"), grab.alias("is_grab"), F.when(grab, score).otherwise(0.0).alias("grab_confidence"), ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"))
+    return rows.select(*key, "object_id", touch.alias("is_contact"), grab.alias("is_grab"), F.when(grab, score).otherwise(0.0).alias("grab_confidence"), ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"), *point)
 
 
 def smoothed_contacts(found: DataFrame, hands: DataFrame, last: int = 5) -> DataFrame:
@@ -207,6 +210,14 @@ def smoothed_contacts(found: DataFrame, hands: DataFrame, last: int = 5) -> Data
     return rows.select(*key, "object_id", "contact", *place).join(grips.select(*key, "grabs", "grab_confidence"), key)
 
 
+def in_pixels(landmarks: DataFrame, width: int, height: int) -> DataFrame:
+    """Landmarks as a hand model gives them, x and y in parts of the image and z from the wrist: pixels as x and y, what was given as x3, y3 and z3, and a confidence
+    of 0.9 where there is none or it is 0."""
+    seen = F.coalesce(F.when(F.col("conf") != 0, F.col("conf")), F.lit(0.9)) if "conf" in landmarks.columns else F.lit(0.9)
+    rest = [c for c in landmarks.columns if c not in ("x", "y", "z", "conf")]
+    return landmarks.select(*rest, (F.col("x") * width).alias("x"), (F.col("y") * height).alias("y"), F.col("x").alias("x3"), F.col("y").alias("y3"), F.col("z").alias("z3"), seen.alias("conf"))
+
+
 def hand_frames(landmarks: DataFrame, interpolated: bool = False) -> DataFrame:
     """One row for each hand and frame: its landmarks in order as lists of points, 3-D ones if there are columns x3, y3, z3 (else null), their
     confidences, the mean of these, and whether the hand was detected and not interpolated."""

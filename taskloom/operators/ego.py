@@ -87,15 +87,16 @@ def projected(points: DataFrame, width: int = 960, height: int = 720) -> DataFra
     return rows.withColumn("shown", F.coalesce(within, F.lit(False)))
 
 
-def anchored_hands(hands: DataFrame, joints: DataFrame, fit: DataFrame, least: float = 0.2) -> DataFrame:
+def anchored_hands(hands: DataFrame, joints: DataFrame, fit: DataFrame, least: float = 0.2, sure: float = 0.3) -> DataFrame:
     """Each detected hand at its nearest usable body wrist; of several at one wrist the first detected stays, the others go.  ``hands`` has
-    video_id, frame_idx, det_idx, x, y; adds ``side`` and the wrist's place."""
+    video_id, frame_idx, det_idx, x, y; adds ``side`` and the wrist's place.  Where it has ``conf``, only hands surer than ``sure`` are shown; the others still take their wrist."""
     usable = joints.where(F.col("joint").isin(J["left_wrist"], J["right_wrist"]) & (F.col("conf") > least) & (F.col("x") >= 0))
     w = usable.select(*KEY, F.when(F.col("joint") == J["left_wrist"], "left").otherwise("right").alias("side"), F.col("x").alias("wx"), F.col("y").alias("wy"), F.col("x3").alias("px"), F.col("y3").alias("py"), F.col("z3").alias("pz"))
     d = distance(F.col("x"), F.col("y"), F.col("wx"), F.col("wy"))
     near = hands.join(w, KEY).join(fit.select(*KEY, "scale"), KEY).withColumn("d", d)
     near = near.withColumn("r", F.row_number().over(Window.partitionBy(*KEY, "det_idx").orderBy("d", "side"))).where("r = 1")
-    return near.withColumn("r", F.row_number().over(Window.partitionBy(*KEY, "side").orderBy("det_idx"))).where("r = 1").drop("r", "d")
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy(*KEY, "side").orderBy("det_idx"))).where("r = 1").drop("r", "d")
+    return near.where(F.col("conf") > sure) if "conf" in hands.columns else near
 
 
 def hand_landmarks(hands: DataFrame, landmarks: DataFrame, width: int) -> DataFrame:
@@ -113,13 +114,16 @@ def pinches(placed_landmarks: DataFrame, threshold: float = 0.05) -> DataFrame:
     return placed_landmarks.groupBy(*KEY, "side").agg(d.alias("pinch_distance")).withColumn("pinching", F.col("pinch_distance") < threshold)
 
 
-def summary(heads: DataFrame, hands: DataFrame, objects: DataFrame) -> DataFrame:
-    """Frames per video with a head, either hand, and objects."""
+def summary(heads: DataFrame, hands: DataFrame, objects: DataFrame, arm: DataFrame | None = None) -> DataFrame:
+    """Frames per video with a head, either hand, objects and, if arms are given, either arm."""
     n = heads.groupBy("video_id").agg(F.count(F.lit(1)).alias("frames"), F.count(F.when(F.col("confidence") > 0, 1)).alias("with_head"))
     h = hands.groupBy("video_id").agg(F.countDistinct(F.when(F.col("side") == "left", F.col("frame_idx"))).alias("with_left_hand"), F.countDistinct(F.when(F.col("side") == "right", F.col("frame_idx"))).alias("with_right_hand"))
     o = objects.groupBy("video_id").agg(F.countDistinct("frame_idx").alias("with_objects"))
     rows = n.join(h, "video_id", "left").join(o, "video_id", "left")
-    return rows.fillna(0, ["with_left_hand", "with_right_hand", "with_objects"])
+    counts = ["with_left_hand", "with_right_hand", "with_objects"]
+    if arm is not None:
+        rows, counts = rows.join(arm.groupBy("video_id").agg(F.countDistinct("frame_idx").alias("with_arms")), "video_id", "left"), [*counts, "with_arms"]
+    return rows.fillna(0, counts)
 
 
 def body_relative(joints: DataFrame, points: DataFrame, least: float = 0.2) -> DataFrame:
@@ -146,6 +150,7 @@ def arms(joints: DataFrame, heads: DataFrame, sure: float = 0.3) -> DataFrame:
     return in_head_frame(rows, heads).select(*KEY, "side", "part", "ex", "ey", "ez")
 
 
-def has_pose(heads: DataFrame, least: float = 0.3) -> DataFrame:
-    """Whether a video's head is sure in any frame."""
-    return heads.groupBy("video_id").agg(F.coalesce(F.max(F.col("confidence") > least), F.lit(False)).alias("has_pose"))
+def has_pose(joints: DataFrame, least: float = 0.2) -> DataFrame:
+    """Whether any joint of a frame is surer than ``least``: frames without are shown from a head at the origin, without fit, hands and arms."""
+    sure = joints["conf3"] if "conf3" in joints.columns else joints["conf"]
+    return joints.groupBy(*KEY).agg(F.coalesce(F.max(sure > least), F.lit(False)).alias("has_pose"))

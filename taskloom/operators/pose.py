@@ -234,6 +234,16 @@ def remapped(points: DataFrame, spark: SparkSession, mapping: dict[int, int], le
     return kept.withColumns({c: F.when(F.col("conf") > least, F.col(c)) for c in ("x", "y")})
 
 
+def person_of(points: DataFrame, spark: SparkSession, mapping: dict[int, int], width: int, height: int, least: float = 0.1, margin: float = 20.0) -> tuple[DataFrame, DataFrame]:
+    """The joints and the person of landmarks of another layout (x and y in parts of the image): joints in pixels, missing with confidence 0 below ``least``; and for each
+    frame with any the box around them, widened by ``margin`` and held within the image, and their mean confidence."""
+    joints = remapped(points.withColumn("x", F.col("x") * width).withColumn("y", F.col("y") * height), spark, mapping, least)
+    joints = joints.withColumn("conf", F.when(F.col("conf") > least, F.col("conf")).otherwise(0.0))
+    seen = joints.where(F.col("conf") > least).groupBy("video_id", "frame_idx")
+    box = [F.greatest(F.lit(0.0), F.min("x") - margin).alias("x1"), F.greatest(F.lit(0.0), F.min("y") - margin).alias("y1"), F.least(F.lit(float(width)), F.max("x") + margin).alias("x2"), F.least(F.lit(float(height)), F.max("y") + margin).alias("y2")]
+    return joints, seen.agg(*box, F.avg("conf").alias("conf"))
+
+
 def wrist_speeds(joints: DataFrame, fps: float, smoothing: int = 3, least: float = 0.2) -> DataFrame:
     """Place and speed of both wrists in every frame; ``joints`` with world coordinates."""
     moving = velocities(joints, fps, smoothing, least).select("video_id", "frame_idx", "joint", "speed")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taskloom.functions.geometry import center, distance
@@ -28,30 +28,30 @@ def others(tracks: DataFrame, classes: tuple[str, ...]) -> DataFrame:
     return held.select("video_id", "frame_idx", F.col("object_id").alias("o_id"), F.col("class_name").alias("o_class"), *(F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2")))
 
 
-def supported(tracks: DataFrame, reach: float = 20.0) -> DataFrame:
+def supported(tracks: DataFrame, reach: float = 20.0, classes: tuple[str, ...] = FIXTURES) -> DataFrame:
     """``support``: unknown if missing, fixture if its bottom is near another fixture's top and between its sides, else table."""
     cx, _ = center()
     on = (F.col("object_id") != F.col("o_id")) & (F.col("o_x1") < cx) & (cx < F.col("o_x2")) & (F.abs(F.col("y2") - F.col("o_y1")) < reach)
-    held = tracks.join(others(tracks, FIXTURES), ["video_id", "frame_idx"]).where(on).select(*KEY, "frame_idx").distinct().withColumn("on_", F.lit(True))
+    held = tracks.join(others(tracks, classes), ["video_id", "frame_idx"]).where(on).select(*KEY, "frame_idx").distinct().withColumn("on_", F.lit(True))
     joined = tracks.join(held, [*KEY, "frame_idx"], "left")
     return joined.withColumn("support", F.when(F.col("x1").isNull(), "unknown").when(F.col("on_"), "fixture").otherwise("table")).drop("on_")
 
 
-def contained(tracks: DataFrame) -> DataFrame:
+def contained(tracks: DataFrame, classes: tuple[str, ...] = CONTAINERS) -> DataFrame:
     """``containment``: unknown if missing, in_bin or in_box after the first container whose box holds its centre, else none."""
     cx, cy = center()
     within = (F.col("object_id") != F.col("o_id")) & (F.col("o_x1") < cx) & (cx < F.col("o_x2")) & (F.col("o_y1") < cy) & (cy < F.col("o_y2"))
     kind = F.when(F.lower("o_class").contains("bin"), "in_bin").otherwise("in_box")
-    held = tracks.join(others(tracks, CONTAINERS), ["video_id", "frame_idx"]).where(within).groupBy(*KEY, "frame_idx").agg(F.min_by(kind, "o_id").alias("kind_"))
+    held = tracks.join(others(tracks, classes), ["video_id", "frame_idx"]).where(within).groupBy(*KEY, "frame_idx").agg(F.min_by(kind, "o_id").alias("kind_"))
     joined = tracks.join(held, [*KEY, "frame_idx"], "left")
     return joined.withColumn("containment", F.when(F.col("x1").isNull(), "unknown").otherwise(F.coalesce("kind_", F.lit("none")))).drop("kind_")
 
 
-def refined(tracks: DataFrame, contact: DataFrame, grasp: DataFrame) -> DataFrame:
+def refined(tracks: DataFrame, contact: DataFrame, grasp: DataFrame, fixtures: tuple[str, ...] = FIXTURES, containers: tuple[str, ...] = CONTAINERS) -> DataFrame:
     """All four states: grasped objects are in the hand even if unseen, touched ones are in contact.  ``tracks`` has motion_state; ``contact``
     and ``grasp`` are sets of (video_id, object_id, frame_idx)."""
     where = [*KEY, "frame_idx"]
-    rows = contained(supported(tracks))
+    rows = contained(supported(tracks, classes=fixtures), containers)
     rows = rows.join(contact.select(*where).distinct().withColumn("c_", F.lit(True)), where, "left").join(grasp.select(*where).distinct().withColumn("g_", F.lit(True)), where, "left")
     state = F.when(F.col("g_"), "grasped").when(F.col("c_"), "in_contact").otherwise("none")
     held = F.when(F.col("g_"), "hand").otherwise(F.col("support"))
@@ -65,6 +65,3 @@ def changes(states: DataFrame, dimensions: list[str] = DIMENSIONS) -> DataFrame:
     each = states.select(*KEY, "frame_idx", F.array(*rows).alias("all")).select(*KEY, "frame_idx", F.explode("all").alias("c"))
     return each.where("c.from <> c.to").select(*KEY, "frame_idx", "c.dimension", "c.from", "c.to")
 
-
-def struct_of(prefix: str = "") -> Column:
-    return F.struct(*(F.col(f"{prefix}{d}").alias(d) for d in DIMENSIONS))

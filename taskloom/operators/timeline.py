@@ -85,6 +85,14 @@ def nearest_frames(rows: DataFrame, frames: DataFrame) -> DataFrame:
     return near.withColumn("frame_idx", F.when(F.col("p_").isNull() | first, F.col("n_.v")).otherwise(F.col("p_.v"))).drop("p_", "n_")
 
 
+def frames_at(rows: DataFrame, frames: DataFrame, videos: DataFrame) -> DataFrame:
+    """Adds ``frame_idx`` of each row's ``t``: the nearest frame, or for a video without frames the whole part of ``(t - t0) * fps``, both as in ``videos`` (video_id, t0, fps)."""
+    found = nearest_frames(rows, frames)
+    plain = ((F.col("t") - F.col("t0_")) * F.col("fps_")).cast("long")  # a cast cuts towards 0
+    head = videos.select("video_id", F.col("t0").alias("t0_"), F.col("fps").alias("fps_"))
+    return found.join(head, "video_id", "left").withColumn("frame_idx", F.coalesce("frame_idx", plain)).drop("t0_", "fps_")
+
+
 def interpolated(rows: DataFrame, series: DataFrame, value: str) -> DataFrame:
     """Adds ``value`` of a series at each row's ``t``, linear between neighbours and constant beyond the ends."""
     near = neighbours(rows, series, ["video_id"], "t", value)

@@ -9,19 +9,20 @@ from pyspark.sql import functions as F
 
 from taskloom.functions.lineage import kept
 from taskloom.operators import actions, contacts, ego, graph, objects, pose, states, timeline
+from taskloom.sources import files
 from taskloom.sources.config import Settings
 
 
 @dataclass
 class Engine:
     """``run`` takes ``frames`` (video_id, frame_idx, t), ``detections`` (video_id, frame_idx, det_idx, class_name, conf, box) or
-    finished ``tracks``, and ``joints`` (see ``pose``), and gives one DataFrame for each table.  Tables that others
+    finished ``tracks``, ``joints`` (see ``pose``) and, if hands were detected, their ``landmarks`` (video_id, frame_idx, det_idx, landmark, x, y, z), and gives one DataFrame for each table.  Tables that others
     are built on are written once to the shared folder and read again; the others are computed when they are used.  All are keyed by video_id, so
     any number of recordings run together."""
 
     settings: Settings = field(default_factory=Settings)
 
-    def run(self, frames: DataFrame, joints: DataFrame, detections: DataFrame | None = None, tracks: DataFrame | None = None) -> dict[str, DataFrame]:
+    def run(self, frames: DataFrame, joints: DataFrame, detections: DataFrame | None = None, tracks: DataFrame | None = None, landmarks: DataFrame | None = None) -> dict[str, DataFrame]:
         s, out = self.settings, {"frames": frames}
         out["timelines"] = timeline.summary(frames)
         totals = out["timelines"].select("video_id", "num_frames")
@@ -29,21 +30,27 @@ class Engine:
             tracks = objects.interpolated(self.tracks(frames, detections), s.tracking.max_gap)
         tracks = kept(states.motion(tracks, s.states.window, s.states.threshold))
         out["joints"] = smooth = kept(self.smoothed(joints))
-        near = contacts.distances(contacts.hand_positions(smooth, least=s.pose.min_confidence), tracks)
+        near = contacts.distances(contacts.hand_positions(smooth, s.contacts.use_hand_center, s.pose.min_confidence), tracks)
         contact = kept(contacts.contacts(near, s.contacts.distance, s.contacts.on, s.contacts.off))
         out["contact_frames"] = contact
         # as in the order of stages that is analysed, interactions see support and containment as unknown
         unknown = tracks.select("video_id", "object_id", "frame_idx", F.lit("unknown").alias("support_relation"), F.lit("unknown").alias("containment"))
         wrist = pose.wrists(smooth).select("video_id", "frame_idx", F.col("side").alias("hand"), "x", "y")
         feature = contacts.features(contacts.segments(contact), wrist, tracks)
-        found = kept(contacts.interactions(feature, unknown, s.contacts.motion, s.contacts.correlation))
+        found = kept(contacts.interactions(feature, unknown, s.contacts.motion, s.contacts.correlation, s.contacts.min_grasp, s.contacts.min_push))
         out["interactions"] = found
         event = kept(contacts.events(found, s.contacts.min_confidence, s.contacts.min_duration, s.contacts.merge_gap))
         out["contact_events"] = event
-        state = kept(states.refined(tracks, contacts.contact_frames(contact), contacts.grasp_frames(event)))
+        state = kept(states.refined(tracks, contacts.contact_frames(contact), contacts.grasp_frames(event), s.states.fixture_classes, s.states.container_classes))
         out["object_frames"] = state
-        out["boundaries"] = kept(actions.merged_boundaries(actions.contact_boundaries(event), actions.state_boundaries(state)))
+        g = s.segments
+        watched = tuple(d for d, on in (("motion_state", g.detect_motion), ("support_relation", g.detect_support), ("containment", g.detect_containment)) if on)
+        found_at = actions.contact_boundaries(event).where(F.lit(g.detect_contact))
+        if watched:
+            found_at = found_at.unionByName(actions.state_boundaries(state, watched))
+        out["boundaries"] = kept(actions.merged_boundaries(found_at))
         segment = actions.timed(actions.segments(out["boundaries"], totals, s.segments.min_duration), frames)
+        segment = actions.long_enough(segment, s.segments.min_duration)
         if s.segments.merge > s.segments.min_duration:
             segment = actions.timed(actions.merged_short(segment, s.segments.merge), frames)
         if s.segments.max_segments:
@@ -53,13 +60,37 @@ class Engine:
         out["preconditions"] = pre = graph.preconditions(segment, state, s.graph.lookback)
         out["postconditions"] = post = graph.postconditions(segment, state, totals, s.graph.lookahead)
         causal = kept(graph.causal_edges(segment, pre, post, s.graph.min_confidence))
-        out["graph_edges"] = graph.edges(causal, graph.temporal_edges(segment, causal))
+        between = graph.temporal_edges(segment, causal)
+        out["graph_edges"] = graph.edges(causal, between if s.graph.add_temporal_fallback else between.limit(0))
         out["graph_metadata"] = graph.metadata(segment, out["graph_edges"])
         if s.ego.enabled:
             fit, heads = ego.image_fit(smooth), ego.head_pose(smooth, s.ego.gaze_down, s.ego.offset)
             out["ego_frames"] = heads
             place = objects.centers(tracks).where("cx is not null")
             out["ego_objects"] = ego.in_head_frame(ego.placed(place, fit, "cx", "cy"), heads)
+            out["ego_arms"] = ego.arms(smooth, heads)
+            if landmarks is not None:
+                base = landmarks.where("landmark = 0").select("video_id", "frame_idx", "det_idx", "x", "y", *(c for c in ("conf",) if c in landmarks.columns))
+                out["ego_hands"] = marks = kept(ego.hand_landmarks(ego.anchored_hands(base, smooth, fit), landmarks, s.width))
+                out["ego_landmarks"] = ego.in_head_frame(marks, heads)
+                out["ego_pinches"] = ego.pinches(marks, s.ego.pinch)
+        return out
+
+    def files(self, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """Every file of a run, as ``video_id, json`` for each recording."""
+        totals, frames = tables["timelines"], tables["frames"]
+        nodes, edges = tables["action_segments"], tables["graph_edges"]
+        out = {
+            "timeline": files.timeline_json(totals, frames), "pose": files.pose_json(totals, tables["joints"]), "objects": files.objects_json(totals, tables["object_frames"]),
+            "contacts": files.contacts_json(totals, contacts.timed(tables["contact_events"], frames)), "actions": files.actions_json(totals, nodes),
+            "task_graph": files.graph_json(tables["graph_metadata"], nodes.select("video_id", "seg_id", "frame_start", "frame_end", "label"), edges), "bare_graph": files.bare_graph_json(totals, nodes.select("video_id", "seg_id", "label"), edges.select("video_id", "source", "target", "edge_type")),
+        }
+        if "ego_frames" in tables:
+            none = lambda kind: frames.sparkSession.createDataFrame([], kind)
+            hands = tables.get("ego_landmarks", none("video_id long, frame_idx long, side string, landmark long, ex double, ey double, ez double"))
+            pinches = tables.get("ego_pinches", none("video_id long, frame_idx long, side string, pinch_distance double, pinching boolean"))
+            labels = nodes.select("video_id", "seg_id", "frame_start", "frame_end", "label", "confidence")
+            out["egocentric"] = files.ego_json(frames, tables["ego_frames"], hands, pinches, tables["ego_arms"], tables["ego_objects"], labels)
         return out
 
     def tracks(self, frames: DataFrame, detections: DataFrame) -> DataFrame:

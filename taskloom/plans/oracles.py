@@ -113,10 +113,10 @@ FRAGMENTS: dict[str, str] = {
     "fit0": "SELECT *, joint IN (5, 6, 11, 12) AS torso FROM pj WHERE conf > 0.2e0 AND x3 IS NOT NULL AND x >= 0 AND y >= 0",
     "fit": """SELECT video_id, frame_idx, s AS scale, mx3 - s * mx AS tx, my3 - s * my AS ty, coalesce(z, 0e0) AS z_plane FROM (SELECT video_id, frame_idx, count(*) AS n, (covar_pop(x, x3) + covar_pop(y, y3)) / (var_pop(x) + var_pop(y)) AS s, avg(x) AS mx, avg(y) AS my, avg(x3) AS mx3, avg(y3) AS my3,
       avg(CASE WHEN torso THEN z3 END) AS z FROM fit0 GROUP BY video_id, frame_idx) WHERE n >= 3""",
-    "tip": """SELECT video_id, frame_idx, side, object_id, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, least_ < 30 OR inside >= 1 OR pd < 21 AS is_contact, (near_ >= 2 OR inside >= 2 OR (pd = 0 AND near_ >= 1)) AND score > 0.35e0 AS is_grab,
+    "tip": """SELECT video_id, frame_idx, side, object_id, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, CASE WHEN least_ < 30 OR inside >= 1 THEN tip_x END AS touch_x, CASE WHEN least_ < 30 OR inside >= 1 THEN tip_y END AS touch_y, least_ < 30 OR inside >= 1 OR pd < 21 AS is_contact, (near_ >= 2 OR inside >= 2 OR (pd = 0 AND near_ >= 1)) AND score > 0.35e0 AS is_grab,
   round(CASE WHEN (near_ >= 2 OR inside >= 2 OR (pd = 0 AND near_ >= 1)) AND score > 0.35e0 THEN score ELSE 0 END, 6) AS grab_confidence FROM (SELECT *, least(w / 2.5e0, 1e0) * 0.4e0 + greatest(0, 1 - pinch / 100) * 0.3e0 + greatest(0, 1 - pd / 50) * 0.3e0 AS score FROM (
-  SELECT t.*, pinch, sqrt((px - greatest(x1, least(px, x2))) ** 2 + (py - greatest(y1, least(py, y2))) ** 2) AS pd FROM (SELECT l.video_id, l.frame_idx, l.side, l.object_id, x1, y1, x2, y2, min(d) AS least_, count(*) FILTER (d < 30) AS near_, count(*) FILTER (d = 0) AS inside,
-  sum(CASE WHEN d < 30 THEN conf ELSE 0 END + CASE WHEN d = 0 THEN 0.5e0 * conf ELSE 0 END) AS w FROM (SELECT a.video_id, a.frame_idx, side, object_id, a.conf, x1, y1, x2, y2, sqrt((x - greatest(x1, least(x, x2))) ** 2 + (y - greatest(y1, least(y, y2))) ** 2) AS d
+  SELECT t.*, pinch, sqrt((px - greatest(x1, least(px, x2))) ** 2 + (py - greatest(y1, least(py, y2))) ** 2) AS pd FROM (SELECT l.video_id, l.frame_idx, l.side, l.object_id, x1, y1, x2, y2, min(d) AS least_, arg_min(x, (d, landmark)) AS tip_x, arg_min(y, (d, landmark)) AS tip_y, count(*) FILTER (d < 30) AS near_, count(*) FILTER (d = 0) AS inside,
+  sum(CASE WHEN d < 30 THEN conf ELSE 0 END + CASE WHEN d = 0 THEN 0.5e0 * conf ELSE 0 END) AS w FROM (SELECT a.video_id, a.frame_idx, side, object_id, a.conf, a.x, a.y, landmark, x1, y1, x2, y2, sqrt((x - greatest(x1, least(x, x2))) ** 2 + (y - greatest(y1, least(y, y2))) ** 2) AS d
   FROM lm a JOIN obj o ON a.video_id = o.video_id AND a.frame_idx = o.frame_idx WHERE x1 IS NOT NULL AND landmark IN (4, 8, 12, 16, 20)) l GROUP BY ALL) t
   JOIN (SELECT video_id, frame_idx, side, avg(CASE WHEN landmark IN (0, 1, 5, 9, 13, 17) THEN x END) AS px, avg(CASE WHEN landmark IN (0, 1, 5, 9, 13, 17) THEN y END) AS py,
   sqrt((max(CASE WHEN landmark = 4 THEN x END) - max(CASE WHEN landmark = 8 THEN x END)) ** 2 + (max(CASE WHEN landmark = 4 THEN y END) - max(CASE WHEN landmark = 8 THEN y END)) ** 2) AS pinch FROM lm GROUP BY ALL) h ON h.video_id = t.video_id AND h.frame_idx = t.frame_idx AND h.side = t.side))""",
@@ -131,6 +131,76 @@ FRAGMENTS: dict[str, str] = {
 }
 
 
+def _named(name: str, parts: list[str]) -> str:
+    return ", ".join(f"{e} AS {name}_{c}" for c, e in zip("xyz", parts, strict=True))
+
+
+def _of(name: str) -> list[str]:
+    return [f"{name}_{c}" for c in "xyz"]
+
+
+def _minus(a: list[str], b: list[str]) -> list[str]:
+    return [f"({x} - {y})" for x, y in zip(a, b, strict=True)]
+
+
+def _dot(a: list[str], b: list[str]) -> str:
+    return "(" + " + ".join(f"{x} * {y}" for x, y in zip(a, b, strict=True)) + ")"
+
+
+def _unit(a: list[str]) -> list[str]:
+    return [f"{x} / (sqrt({_dot(a, a)}) + 1e-8)" for x in a]
+
+
+def _cross(a: list[str], b: list[str]) -> list[str]:
+    return [f"({a[i]} * {b[j]} - {a[j]} * {b[i]})" for i, j in ((1, 2), (2, 0), (0, 1))]
+
+
+def _case(cases: list[tuple[str, list[str]]], other: list[str]) -> list[str]:
+    return ["CASE " + " ".join(f"WHEN {w} THEN {v[i]}" for w, v in cases) + f" ELSE {other[i]} END" for i in range(3)]
+
+
+def _middle(name: str) -> list[str]:
+    return [f"((l{name}_{c} + r{name}_{c}) * 0.5e0)" for c in "xyz"]
+
+
+_JOINTS = {"nose": 0, "leye": 1, "reye": 2, "lear": 3, "rear": 4, "lsho": 5, "rsho": 6}
+_BOTH = {n: f"(l{n}_c > 0.3e0 AND l{n}_x IS NOT NULL AND r{n}_c > 0.3e0 AND r{n}_x IS NOT NULL)" for n in ("eye", "ear", "sho")}
+_NOSE, _C, _S = "(nose_c > 0.3e0 AND nose_x IS NOT NULL)", "cos(radians(30e0))", "sin(radians(30e0))"
+_ACROSS = {n: _unit(_minus(_of(f"r{n}"), _of(f"l{n}"))) for n in ("ear", "sho")}
+_SEEN = _minus(["p.px", "p.py", "p.pz"], [f"h.eye_{c}" for c in "xyz"])
+
+
+def seen(points: str) -> str:
+    """Rows with px, py and pz, and these in the head's frame."""
+    parts = {"ex": _dot(_SEEN, [f"h.right_{c}" for c in "xyz"]), "ey": "-" + _dot(_SEEN, [f"h.up_{c}" for c in "xyz"]), "ez": _dot(_SEEN, [f"h.forward_{c}" for c in "xyz"])}
+    return f"SELECT p.*, {', '.join(f'{e} AS {n}' for n, e in parts.items())} FROM {points} p JOIN head h ON h.video_id = p.video_id AND h.frame_idx = p.frame_idx"
+
+
+FRAGMENTS |= {
+    "hw": "SELECT video_id, frame_idx, " + ", ".join(f"max(CASE WHEN joint = {j} THEN {v} END) AS {n}_{c}" for n, j in _JOINTS.items() for c, v in (("x", "x3"), ("y", "y3"), ("z", "z3")))
+    + ", " + ", ".join(f"coalesce(max(CASE WHEN joint = {j} THEN conf END), 0e0) AS {n}_c" for n, j in _JOINTS.items()) + " FROM pj GROUP BY video_id, frame_idx",
+    "h0": f"SELECT *, {_BOTH['eye']} AS eyes, {_BOTH['ear']} AS ears, {_NOSE} AS nose, {_BOTH['sho']} AS sho FROM hw",
+    "h1": f"""SELECT *, NOT (eyes OR ears OR nose OR sho) AS nothing, CASE WHEN eyes THEN (leye_c + reye_c) / 2 WHEN ears THEN (lear_c + rear_c) / 2 WHEN nose THEN nose_c WHEN sho THEN 0.3e0 ELSE 0e0 END AS confidence,
+      {_named("h", _case([("eyes", _middle("eye")), ("ears", _middle("ear")), ("nose", _of("nose")), ("sho", [_middle("sho")[0], f"({_middle('sho')[1]} - 0.25e0)", _middle("sho")[2]])], ["0e0"] * 3))},
+      {_named("a", _case([("ears", _ACROSS["ear"]), ("sho", _ACROSS["sho"])], ["1e0", "0e0", "0e0"]))} FROM h0""",
+    "h2": f"SELECT *, {_named('u', _case([('sho', _unit(_minus(_of('h'), _middle('sho'))))], ['0e0', '-1e0', '0e0']))} FROM h1",
+    "h3": f"SELECT *, {_named('f', _unit(_cross(_of('u'), _of('a'))))} FROM h2",
+    "h4": f"SELECT *, {_named('r', _unit(_cross(_of('f'), _of('u'))))} FROM h3",
+    "h5": f"""SELECT *, {_named("forward", _case([("nothing", ["0e0", "0e0", "1e0"])], [f"{f} * {_C} - {u} * {_S}" for f, u in zip(_of("f"), _of("u"), strict=True)]))},
+      {_named("up", _case([("nothing", ["0e0", "-1e0", "0e0"])], [f"{f} * {_S} + {u} * {_C}" for f, u in zip(_of("f"), _of("u"), strict=True)]))}, {_named("right", _case([("nothing", ["1e0", "0e0", "0e0"])], _of("r")))} FROM h4""",
+    "head": f"SELECT *, {_named('eye', _case([('nothing', ['0e0'] * 3)], [f'h_{c} + forward_{c} * 0.1e0' for c in 'xyz']))} FROM h5",
+    "op": """SELECT o.video_id, o.frame_idx, object_id, scale * (x1 + x2) / 2 + tx AS px, scale * (y1 + y2) / 2 + ty AS py, z_plane AS pz FROM obj o JOIN fit ON fit.video_id = o.video_id AND fit.frame_idx = o.frame_idx WHERE x1 IS NOT NULL""",
+    "eo": seen("op"),
+    "anc": """SELECT *, row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY d, side) AS r FROM (SELECT l.video_id, l.frame_idx, CASE p.joint WHEN 9 THEN 'left' ELSE 'right' END AS side, scale, p.x3, p.y3, p.z3, sqrt((l.x - p.x) ** 2 + (l.y - p.y) ** 2) AS d, l.x AS x0, l.y AS y0
+      FROM lm l JOIN pj p ON p.video_id = l.video_id AND p.frame_idx = l.frame_idx JOIN fit ON fit.video_id = l.video_id AND fit.frame_idx = l.frame_idx WHERE l.landmark = 0 AND p.joint IN (9, 10) AND p.conf > 0.2e0 AND p.x >= 0)""",
+    "mrk": """SELECT a.video_id, a.frame_idx, a.side, landmark, a.x3 + (l.x - x0) * scale AS px, a.y3 + (l.y - y0) * scale AS py, a.z3 AS pz FROM anc a JOIN lm l ON l.video_id = a.video_id AND l.frame_idx = a.frame_idx WHERE r = 1""",
+    "em": seen("mrk"),
+    "arm": """SELECT * FROM (SELECT video_id, frame_idx, CASE WHEN joint IN (5, 7, 9) THEN 'left' ELSE 'right' END AS side, (joint - 5) // 2 AS part, x3 AS px, y3 AS py, z3 AS pz, count(*) OVER (PARTITION BY video_id, frame_idx, joint % 2) AS k
+      FROM pj WHERE joint BETWEEN 5 AND 10 AND conf > 0.3e0 AND x3 IS NOT NULL) WHERE k = 3""",
+    "ea": seen("arm"),
+}
+
+
 def sql(body: str, once: tuple[str, ...] = ()) -> str:
     """The statement with the fragments that it needs before it; those in ``once`` are computed once, however often they are read."""
     order: list[str] = []

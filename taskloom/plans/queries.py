@@ -291,19 +291,20 @@ def grasp_frames(spark, sf_dir):
     return contacts.grasp_frames(Tables(spark, sf_dir).events)
 
 
-HAND_SQL = """SELECT video_id, frame_idx, side, round(avg(CASE WHEN landmark IN (0, 1, 5, 9, 13, 17) THEN x END), 6) AS palm_x, round(avg(CASE WHEN landmark IN (0, 1, 5, 9, 13, 17) THEN y END), 6) AS palm_y,
-  round(sqrt((max(CASE WHEN landmark = 4 THEN x END) - max(CASE WHEN landmark = 8 THEN x END)) ** 2 + (max(CASE WHEN landmark = 4 THEN y END) - max(CASE WHEN landmark = 8 THEN y END)) ** 2), 6) AS pinch FROM lm GROUP BY ALL"""
+HAND_SQL = """SELECT *, spread > 50 AS is_open, pinch < 40 AS is_grabbing FROM (SELECT video_id, frame_idx, side, wrist_x, wrist_y, palm_x, palm_y, pinch, round((SELECT avg(sqrt((l.x - px) ** 2 + (l.y - py) ** 2)) FROM lm l WHERE l.video_id = g.video_id AND l.frame_idx = g.frame_idx AND l.side = g.side AND l.landmark IN (4, 8, 12, 16, 20)), 6) AS spread FROM (
+  SELECT video_id, frame_idx, side, max(CASE WHEN landmark = 0 THEN x END) AS wrist_x, max(CASE WHEN landmark = 0 THEN y END) AS wrist_y, avg(CASE WHEN landmark IN (0, 1, 5, 9, 13, 17) THEN x END) AS px, avg(CASE WHEN landmark IN (0, 1, 5, 9, 13, 17) THEN y END) AS py, round(avg(CASE WHEN landmark IN (0, 1, 5, 9, 13, 17) THEN x END), 6) AS palm_x, round(avg(CASE WHEN landmark IN (0, 1, 5, 9, 13, 17) THEN y END), 6) AS palm_y,
+  round(sqrt((max(CASE WHEN landmark = 4 THEN x END) - max(CASE WHEN landmark = 8 THEN x END)) ** 2 + (max(CASE WHEN landmark = 4 THEN y END) - max(CASE WHEN landmark = 8 THEN y END)) ** 2), 6) AS pinch FROM lm GROUP BY video_id, frame_idx, side) g)"""
 
 
 @query(HAND_SQL)
 def hand_geometry(spark, sf_dir):
-    return contacts.hand_geometry(Tables(spark, sf_dir).landmarks).select("video_id", "frame_idx", "side", r("palm_x"), r("palm_y"), r("pinch"))
+    return contacts.hand_geometry(Tables(spark, sf_dir).landmarks).select("video_id", "frame_idx", "side", "wrist_x", "wrist_y", r("palm_x"), r("palm_y"), r("pinch"), r("spread"), "is_open", "is_grabbing")
 
 
-@query("SELECT video_id, frame_idx, side, object_id, is_contact, is_grab, grab_confidence FROM tip")
+@query("SELECT video_id, frame_idx, side, object_id, is_contact, is_grab, grab_confidence, touch_x, touch_y FROM tip")
 def fingertip_grab(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return contacts.fingertip_contacts(t.landmarks, t.tracks).select("video_id", "frame_idx", "side", "object_id", "is_contact", "is_grab", r("grab_confidence"))
+    return contacts.fingertip_contacts(t.landmarks, t.tracks).select("video_id", "frame_idx", "side", "object_id", "is_contact", "is_grab", r("grab_confidence"), r("touch_x"), r("touch_y"))
 
 
 SMOOTH_SQL = "SELECT video_id, frame_idx, side, object_id, contact, grabs, round(grab_confidence, 6) AS grab_confidence, round(contact_x, 6) AS contact_x, round(contact_y, 6) AS contact_y FROM smo"
@@ -316,13 +317,14 @@ def fingertip_smoothed(spark, sf_dir):
     return found.select("video_id", "frame_idx", "side", "object_id", "contact", "grabs", r("grab_confidence"), r("contact_x"), r("contact_y"))
 
 
-@query("""SELECT video_id, frame_idx, side AS handedness, len(list(x ORDER BY landmark)) AS num_landmarks, list(x ORDER BY landmark)[9] AS x8, list(y ORDER BY landmark)[9] AS y8, round(list(conf ORDER BY landmark)[9], 6) AS conf8, round(avg(conf), 6) AS overall_confidence, true AS is_detected
+@query("""SELECT video_id, frame_idx, side AS handedness, count(*) AS num_landmarks, string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(y AS BIGINT) AS VARCHAR), ';' ORDER BY landmark) AS points, round(sum(conf * landmark), 4) AS conf, round(avg(conf), 6) AS overall_confidence, true AS is_detected
   FROM lm GROUP BY video_id, frame_idx, side""")
 def hand_frames(spark, sf_dir):
-    """The lists of each hand: their length and their ninth point."""
-    point, conf = F.col("landmarks_2d")[8], F.round(F.col("conf")[8], 6).alias("conf8")
+    """The lists of each hand: all points, which are whole numbers here, as text, and the sum of the confidences times their places."""
     found = contacts.hand_frames(Tables(spark, sf_dir).landmarks)
-    return found.select("video_id", "frame_idx", "handedness", F.size("landmarks_2d").cast("long").alias("num_landmarks"), point[0].alias("x8"), point[1].alias("y8"), conf, r("overall_confidence"), "is_detected")
+    points = F.array_join(F.transform("landmarks_2d", lambda p: F.concat_ws(" ", p[0].cast("long"), p[1].cast("long"))), ";")
+    total = F.aggregate(F.transform("conf", lambda c, i: c * i), F.lit(0.0), lambda a, c: a + c)
+    return found.select("video_id", "frame_idx", "handedness", F.size("landmarks_2d").cast("long").alias("num_landmarks"), points.alias("points"), F.round(total, 4).alias("conf"), r("overall_confidence"), "is_detected")
 
 
 @query("""SELECT s.video_id, s.frame_idx, source_frame, object_id, x1, y1, x2, y2 FROM (SELECT video_id, frame_idx, max(CASE WHEN frame_idx % 4 = 0 THEN frame_idx END) OVER (PARTITION BY video_id ORDER BY frame_idx) AS source_frame FROM ev) s
@@ -597,9 +599,14 @@ def image_pose_fit(spark, sf_dir):
     return ego.image_fit(Tables(spark, sf_dir).joints).select("video_id", "frame_idx", r("scale"), r("tx"), r("ty"), r("z_plane"))
 
 
-@query()
+@query("SELECT video_id, frame_idx, " + ", ".join(f"round({v}_{c}, 6) AS {v}_{c}" for v in ("eye", "forward", "up", "right") for c in "xyz") + ", round(confidence, 6) AS confidence FROM head")
 def head_pose(spark, sf_dir):
-    return ego.head_pose(Tables(spark, sf_dir).joints)
+    return ego.head_pose(Tables(spark, sf_dir).joints).select("video_id", "frame_idx", *(r(f"{v}_{c}") for v in ("eye", "forward", "up", "right") for c in "xyz"), r("confidence"))
+
+
+@query("SELECT video_id, frame_idx, max(conf) > 0.2e0 AS has_pose FROM pj GROUP BY video_id, frame_idx")
+def ego_has_pose(spark, sf_dir):
+    return ego.has_pose(Tables(spark, sf_dir).joints)
 
 
 def seen_objects(t: Tables) -> DataFrame:
@@ -608,35 +615,45 @@ def seen_objects(t: Tables) -> DataFrame:
     return ego.in_head_frame(ego.placed(place, ego.image_fit(t.joints), "cx", "cy"), ego.head_pose(t.joints))
 
 
-@query()
+@query("SELECT video_id, frame_idx, object_id, round(ex, 6) AS ex, round(ey, 6) AS ey, round(ez, 6) AS ez FROM eo")
 def ego_points(spark, sf_dir):
     return seen_objects(Tables(spark, sf_dir)).select("video_id", "frame_idx", "object_id", r("ex"), r("ey"), r("ez"))
 
 
-@query()
+@query("""SELECT video_id, frame_idx, object_id, round(u, 3) AS u, round(v, 3) AS v, coalesce(u >= 0 AND u < 960 AND v >= 0 AND v < 720, false) AS shown FROM (SELECT *, CASE WHEN ez > 0.01e0 THEN 480 + ex * 480 / (ez + 0.5e0) END AS u, CASE WHEN ez > 0.01e0 THEN 360 + ey * 360 / (ez + 0.5e0) END AS v FROM eo)""")
 def ego_project(spark, sf_dir):
     return ego.projected(seen_objects(Tables(spark, sf_dir))).select("video_id", "frame_idx", "object_id", F.round("u", 3).alias("u"), F.round("v", 3).alias("v"), "shown")
 
 
+def marked(t: Tables) -> DataFrame:
+    return t.landmarks.withColumn("det_idx", F.lit(0)).withColumn("z", F.lit(0.0))
+
+
 def anchored(t: Tables) -> tuple[DataFrame, DataFrame]:
-    marks = t.landmarks.withColumn("det_idx", F.lit(0)).withColumn("z", F.lit(0.0))
+    marks = marked(t)
     fit = ego.image_fit(t.joints)
     hands = ego.anchored_hands(marks.where("landmark = 0").select("video_id", "frame_idx", "det_idx", "x", "y"), t.joints, fit)
     return hands, ego.hand_landmarks(hands, marks, adapter.WIDTH)
 
 
-@query()
+@query("""SELECT video_id, frame_idx, side, round(d, 6) AS pinch_distance, d < 0.05e0 AS pinching FROM (SELECT a.video_id, a.frame_idx, a.side, sqrt((a.px - b.px) ** 2 + (a.py - b.py) ** 2) AS d
+  FROM mrk a JOIN mrk b ON b.video_id = a.video_id AND b.frame_idx = a.frame_idx AND b.side = a.side WHERE a.landmark = 4 AND b.landmark = 8)""")
 def ego_hands(spark, sf_dir):
     return ego.pinches(anchored(Tables(spark, sf_dir))[1]).select("video_id", "frame_idx", "side", r("pinch_distance"), "pinching")
 
 
-@query()
+@query("""SELECT h.video_id, h.frames, h.with_head, coalesce(l, 0) AS with_left_hand, coalesce(rt, 0) AS with_right_hand, coalesce(o, 0) AS with_objects, coalesce(a, 0) AS with_arms FROM (SELECT video_id, count(*) AS frames, count(*) FILTER (confidence > 0) AS with_head FROM head GROUP BY 1) h
+  LEFT JOIN (SELECT video_id, count(*) FILTER (side = 'left') AS l, count(*) FILTER (side = 'right') AS rt FROM anc WHERE r = 1 GROUP BY 1) x ON x.video_id = h.video_id LEFT JOIN (SELECT video_id, count(DISTINCT frame_idx) AS o FROM obj WHERE x1 IS NOT NULL GROUP BY 1) y ON y.video_id = h.video_id
+  LEFT JOIN (SELECT video_id, count(DISTINCT frame_idx) AS a FROM arm GROUP BY 1) z ON z.video_id = h.video_id""")
 def ego_summary(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return ego.summary(ego.head_pose(t.joints), anchored(t)[0], t.tracks.where("x1 is not null"))
+    heads = ego.head_pose(t.joints)
+    return ego.summary(heads, anchored(t)[0], t.tracks.where("x1 is not null"), ego.arms(t.joints, heads))
 
 
-@query()
+@query("""SELECT s.video_id, s.seg_id, label, s.frame_idx, o AS object_id, round(coalesce(h.ex, 0), 6) AS hand_x, round(coalesce(h.ey, 0), 6) AS hand_y, round(coalesce(h.ez, 0), 6) AS hand_z, CASE WHEN o IS NOT NULL THEN round(coalesce(p.ex, 0), 6) END AS object_x,
+  CASE WHEN o IS NOT NULL THEN round(coalesce(p.ey, 0), 6) END AS object_y, CASE WHEN o IS NOT NULL THEN round(coalesce(p.ez, 0), 6) END AS object_z FROM (SELECT c.video_id, c.seg_id, label, nullif(objects[1], 0) AS o, unnest(range(frame_start, frame_end)) AS frame_idx FROM cl c JOIN lab l ON l.video_id = c.video_id AND l.seg_id = c.seg_id) s
+  LEFT JOIN em h ON h.video_id = s.video_id AND h.frame_idx = s.frame_idx AND landmark = 0 LEFT JOIN eo p ON p.video_id = s.video_id AND p.frame_idx = s.frame_idx AND p.object_id = o""")
 def action_dataset(spark, sf_dir):
     t = Tables(spark, sf_dir)
     heads = ego.head_pose(t.joints)
@@ -644,14 +661,10 @@ def action_dataset(spark, sf_dir):
     return files.action_dataset(t.labelled, hands, seen_objects(t)).select("video_id", "seg_id", "label", "frame_idx", "object_id", r("hand_x"), r("hand_y"), r("hand_z"), r("object_x"), r("object_y"), r("object_z"))
 
 
-ARM_SQL = " UNION ALL ".join(f"SELECT video_id, frame_idx, '{side}' AS side FROM pj WHERE joint IN ({', '.join(str(pose.J[f'{side}_{p}']) for p in ego.ARM)}) AND conf > 0.3e0 AND x3 IS NOT NULL GROUP BY ALL HAVING count(*) = 3" for side in ("left", "right"))
-
-
-@query(f"SELECT video_id, side, count(*) AS frames FROM ({ARM_SQL}) GROUP BY video_id, side")
+@query("SELECT video_id, frame_idx, side, part, round(ex, 6) AS ex, round(ey, 6) AS ey, round(ez, 6) AS ez FROM ea")
 def ego_arms(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    found = ego.arms(t.joints, ego.head_pose(t.joints))
-    return found.where("part = 0").groupBy("video_id", "side").agg(F.count(F.lit(1)).alias("frames"))
+    return ego.arms(t.joints, ego.head_pose(t.joints)).select("video_id", "frame_idx", "side", n("part"), r("ex"), r("ey"), r("ez"))
 
 
 @query()
@@ -662,11 +675,13 @@ def export_ego(spark, sf_dir):
     return files.ego_json(t.frames, heads, ego.in_head_frame(marks, heads), ego.pinches(marks), ego.arms(t.joints, heads), seen_objects(t), labels)
 
 
-@query()
+@query("""SELECT c.video_id, c.seg_id, a.l AS predecessors, b.l AS successors FROM cl c LEFT JOIN (SELECT video_id, target, string_agg(source, ',' ORDER BY source) AS l FROM edg GROUP BY ALL) a ON a.video_id = c.video_id AND a.target = c.seg_id
+  LEFT JOIN (SELECT video_id, source, string_agg(target, ',' ORDER BY target) AS l FROM edg GROUP BY ALL) b ON b.video_id = c.video_id AND b.source = c.seg_id""")
 def graph_neighbours(spark, sf_dir):
     t = Tables(spark, sf_dir)
     key = ["video_id", "seg_id"]
-    return t.segments.select(*key).join(graph.predecessors(t.edges), key, "left").join(graph.successors(t.edges), key, "left")
+    rows = t.segments.select(*key).join(graph.predecessors(t.edges), key, "left").join(graph.successors(t.edges), key, "left")
+    return rows.select(*key, *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("predecessors", "successors")))
 
 
 @query("""SELECT s.video_id, part, object_id, found, num_frames FROM (SELECT video_id, 'pose' AS part, CAST(NULL AS BIGINT) AS object_id, count(DISTINCT frame_idx) AS found FROM pj WHERE event_id % 40 > 0 GROUP BY video_id
@@ -682,7 +697,7 @@ def series_aligned(spark, sf_dir):
 def engine_tables(spark, sf_dir):
     """Rows of every table that a run over detections and joints gives, by recording."""
     t = Tables(spark, sf_dir)
-    tables = engine.Engine().run(t.frames, t.joints, detections=detections(t))
+    tables = engine.Engine().run(t.frames, t.joints, detections=detections(t), landmarks=marked(t))
     parts = [df.groupBy("video_id").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "video_id", "rows") for name, df in tables.items()]
     return reduce(DataFrame.unionByName, parts)
 
@@ -749,6 +764,6 @@ def stream_fingertips(spark, sf_dir):
     from taskloom.streaming import live
 
     t = Tables(spark, sf_dir)
-    found = t.landmarks.select("video_id", "frame_idx", "side").distinct().join(contacts.fingertip_contacts(t.landmarks, t.tracks).drop("cx", "cy"), ["video_id", "frame_idx", "side"], "left")
+    found = t.landmarks.select("video_id", "frame_idx", "side").distinct().join(contacts.fingertip_contacts(t.landmarks, t.tracks).drop("cx", "cy", "touch_x", "touch_y"), ["video_id", "frame_idx", "side"], "left")
     rows = found.join(t.frames.select("video_id", "frame_idx", "t"), ["video_id", "frame_idx"])
     return live.run_to_end(live.live_fingertips(live.stamped(stream(spark, rows, "t")))).withColumn("grab_confidence", F.round("grab_confidence", 6))

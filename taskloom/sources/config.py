@@ -6,6 +6,9 @@ import dataclasses
 from dataclasses import dataclass, field
 
 
+# Names and defaults are fixed values: files of settings refer to them.
+
+
 @dataclass(frozen=True)
 class Tracking:
     iou: float = 0.3
@@ -31,6 +34,8 @@ class Pose:
 class States:
     threshold: float = 5.0
     window: int = 3
+    fixture_classes: tuple[str, ...] = ("fixture", "machine", "station")
+    container_classes: tuple[str, ...] = ("bin", "box", "container")
 
 
 @dataclass(frozen=True)
@@ -40,6 +45,9 @@ class Contacts:
     off: int = 3
     motion: float = 5.0
     correlation: float = 0.7
+    use_hand_center: bool = True
+    min_grasp: int = 5
+    min_push: int = 3
     merge_gap: int = 5
     min_duration: int = 3
     min_confidence: float = 0.3
@@ -50,6 +58,10 @@ class Segments:
     min_duration: int = 10
     merge: int = 5
     max_segments: int | None = None
+    detect_contact: bool = True
+    detect_motion: bool = True
+    detect_support: bool = True
+    detect_containment: bool = True
 
 
 @dataclass(frozen=True)
@@ -57,6 +69,9 @@ class Graph:
     min_confidence: float = 0.5
     lookback: int = 1
     lookahead: int = 1
+    #: Pairs without shared objects never match, so this changes no edge; it is kept for files that set it.
+    require_shared_objects: bool = True
+    add_temporal_fallback: bool = True
 
 
 @dataclass(frozen=True)
@@ -86,7 +101,7 @@ class Settings:
 def merged(base, values: dict):
     """The settings with the given values; names that they don't have are ignored."""
     names = {f.name for f in dataclasses.fields(base)}
-    out = {k: merged(getattr(base, k), v or {}) if dataclasses.is_dataclass(getattr(base, k)) else v for k, v in values.items() if k in names}
+    out = {k: merged(getattr(base, k), v or {}) if dataclasses.is_dataclass(getattr(base, k)) else tuple(v) if isinstance(v, list) else v for k, v in values.items() if k in names}
     return dataclasses.replace(base, **out)
 
 
@@ -101,8 +116,12 @@ def load(path: str) -> Settings:
         return Settings()
 
 
+def listed(values: dict) -> dict:
+    return {k: listed(v) if isinstance(v, dict) else list(v) if isinstance(v, tuple) else v for k, v in values.items()}
+
+
 def save(settings: Settings, path: str) -> None:
     import yaml
 
     with open(path, "w", encoding="utf-8") as file:
-        yaml.safe_dump(dataclasses.asdict(settings), file, sort_keys=False)
+        yaml.safe_dump(listed(dataclasses.asdict(settings)), file, sort_keys=False)
