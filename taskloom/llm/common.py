@@ -11,6 +11,8 @@ Rules that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,9 +50,11 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
+    """The folder that driver and executors share; a temporary one where none is named and all tasks run in this process, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-taskloom-"))
         named = _OWN[0]
@@ -114,6 +118,14 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+    released()
+
+
+def released() -> None:
+    """Gives back what a task's arrays took.  Spark keeps a Python worker for the next task, and one that waits while the JVM works would hold all of it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

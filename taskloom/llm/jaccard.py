@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskloom.llm.common import STEP_BYTES, among, compressed, documents, expanded, lower_ascii, mixed, raw, signed, span_hashes, steps, table, word_hashes, words, written
+from taskloom.llm.common import STEP_BYTES, among, compressed, documents, expanded, lower_ascii, mixed, raw, released, signed, span_hashes, steps, table, word_hashes, words, written
 from taskloom.llm.components import components
 
 SIZE, PERCENT = 4, 85
@@ -162,6 +162,7 @@ def possible(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
             bound = np.minimum(ca, cb).sum(1)
             keep = pa.array(100 * bound >= percent * (ca.sum(1) + cb.sum(1) - bound))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+        released()
 
     return pairs.join(left, "a").join(right, "b").mapInArrow(test, "a long, b long")
 
@@ -175,6 +176,7 @@ def verified(pairs: DataFrame, held: DataFrame, size: int, percent: int) -> Data
             for part in by_length(batch):
                 keep = pa.array(alike(expanded(part.column("z_a")), expanded(part.column("z_b"))))
                 yield pa.RecordBatch.from_arrays([part.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+        released()
 
     def by_length(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """Cut so that the two texts of all pairs have about ``STEP_BYTES``, or a part is one pair."""
@@ -258,6 +260,7 @@ def remaining(cells: DataFrame, classes: DataFrame, points: DataFrame, percent:
             pairs = tree_pairs(whole.column("doc_id").to_numpy(), whole.column("class").to_numpy(), unpacked(whole.column("counts").to_pylist()), percent)
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        released()
 
     def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         """The rows of each tree, some 2 ``TILE`` points at most, as they follow each other; no more is held than those and a batch."""
