@@ -189,6 +189,10 @@ FRAGMENTS |= {
     "h5": f"""SELECT *, {_named("forward", _case([("nothing", ["0e0", "0e0", "1e0"])], [f"{f} * {_C} - {u} * {_S}" for f, u in zip(_of("f"), _of("u"), strict=True)]))},
       {_named("up", _case([("nothing", ["0e0", "-1e0", "0e0"])], [f"{f} * {_S} + {u} * {_C}" for f, u in zip(_of("f"), _of("u"), strict=True)]))}, {_named("right", _case([("nothing", ["1e0", "0e0", "0e0"])], _of("r")))} FROM h4""",
     "head": f"SELECT *, {_named('eye', _case([('nothing', ['0e0'] * 3)], [f'h_{c} + forward_{c} * 0.1e0' for c in 'xyz']))} FROM h5",
+    "bod0": """SELECT video_id, frame_idx, max(CASE WHEN joint = 5 AND conf > 0.3e0 THEN x END) AS lx, max(CASE WHEN joint = 5 AND conf > 0.3e0 THEN y END) AS ly, max(CASE WHEN joint = 6 AND conf > 0.3e0 THEN x END) AS sx, max(CASE WHEN joint = 6 AND conf > 0.3e0 THEN y END) AS sy FROM pj GROUP BY video_id, frame_idx""",
+    "bod1": "SELECT *, lx IS NOT NULL AND sx IS NOT NULL AS ok, CASE WHEN lx IS NOT NULL AND sx IS NOT NULL THEN sqrt((sx - lx) ** 2 + (sy - ly) ** 2) ELSE 0e0 END AS l FROM bod0",
+    "bod": """SELECT video_id, frame_idx, CASE WHEN ok THEN (lx + sx) / 2 ELSE 320e0 END AS cx, CASE WHEN ok THEN (ly + sy) / 2 ELSE 240e0 END AS cy, CASE WHEN l > 10 THEN (sx - lx) / l ELSE 1e0 END AS rx, CASE WHEN l > 10 THEN (sy - ly) / l ELSE 0e0 END AS ry,
+      CASE WHEN l > 10 THEN -(sy - ly) / l ELSE 0e0 END AS fx, CASE WHEN l > 10 THEN (sx - lx) / l ELSE -1e0 END AS fy, CASE WHEN l < 10 THEN 192e0 ELSE l END AS wide FROM bod1""",
     "op": """SELECT o.video_id, o.frame_idx, object_id, scale * (x1 + x2) / 2 + tx AS px, scale * (y1 + y2) / 2 + ty AS py, z_plane AS pz FROM obj o JOIN fit ON fit.video_id = o.video_id AND fit.frame_idx = o.frame_idx WHERE x1 IS NOT NULL""",
     "eo": seen("op"),
     "anc": """SELECT *, row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY d, side) AS r FROM (SELECT l.video_id, l.frame_idx, CASE p.joint WHEN 9 THEN 'left' ELSE 'right' END AS side, scale, p.x3, p.y3, p.z3, sqrt((l.x - p.x) ** 2 + (l.y - p.y) ** 2) AS d, l.x AS x0, l.y AS y0

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from taskloom.functions.geometry import center
 from taskloom.functions.lineage import kept, shared_dir
+from taskloom.operators import body_view as body_view_
 from taskloom.operators import actions, contacts, ego, graph, objects, pose, recorder, states, timeline
 from taskloom.plans import engine
 from taskloom.plans.oracles import sql
 from taskloom.sources import adapter, files
+from taskloom.streaming import recording
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -667,6 +669,43 @@ def ego_arms(spark, sf_dir):
     return ego.arms(t.joints, ego.head_pose(t.joints)).select("video_id", "frame_idx", "side", n("part"), r("ex"), r("ey"), r("ez"))
 
 
+def _view() -> str:
+    """The live view in SQL: arms, landmarks of hands and objects as rows."""
+    x = "((p.x - cx) * rx + (p.y - cy) * ry) / wide"
+    arm = f"""SELECT b.video_id, b.frame_idx, CASE WHEN p.joint % 2 = 1 THEN 'left_arm' ELSE 'right_arm' END AS kind, CAST((p.joint - 5) // 2 AS BIGINT) AS item, CASE WHEN p.joint % 2 = 1 THEN -1 ELSE 1 END * (0.6e0 + 0.3e0 * (1 - ((p.joint - 5) // 2) / 2e0)) + {x} * 0.3e0 AS x,
+      0.3e0 + ((p.joint - 5) // 2) * 0.15e0 + (p.y - cy) / 480e0 * 0.5e0 AS y, 0.4e0 + ((p.joint - 5) // 2) * 0.1e0 + abs(((p.x - cx) * fx + (p.y - cy) * fy) / wide) * 0.2e0 AS z FROM bod b
+      JOIN (SELECT *, count(*) OVER (PARTITION BY video_id, frame_idx, joint % 2) AS k FROM pj WHERE joint BETWEEN 5 AND 10 AND conf > 0.3e0 AND x IS NOT NULL) p ON p.video_id = b.video_id AND p.frame_idx = b.frame_idx WHERE k = 3"""
+    hand = """SELECT b.video_id, b.frame_idx, CASE WHEN lft THEN 'left_hand' ELSE 'right_hand' END, l.landmark, CASE WHEN lft THEN -0.5e0 ELSE 0.5e0 END + (l.x - mx) / size * 0.4e0, 0.4e0 + (l.y - my) / size * 0.4e0, 0.5e0 FROM (
+      SELECT c.*, ((wx - cx) * rx + (wy - cy) * ry) / wide < 0 AS lft, size, mx, my FROM bod c JOIN (SELECT video_id, frame_idx, max(CASE WHEN landmark = 0 THEN x END) AS wx, max(CASE WHEN landmark = 0 THEN y END) AS wy, greatest(max(x) - min(x), max(y) - min(y), 1e0) AS size, (max(x) + min(x)) / 2 AS mx, (max(y) + min(y)) / 2 AS my
+      FROM lm GROUP BY video_id, frame_idx) h ON h.video_id = c.video_id AND h.frame_idx = c.frame_idx) b JOIN lm l ON l.video_id = b.video_id AND l.frame_idx = b.frame_idx"""
+    pinch = hand.replace("l.landmark,", "100,").replace("(l.x - mx) / size * 0.4e0", "0").replace("CASE WHEN lft THEN -0.5e0 ELSE 0.5e0 END + 0", "sqrt((l.x - m.x) ** 2 + (l.y - m.y) ** 2) / size").replace("0.4e0 + (l.y - my) / size * 0.4e0", "CASE WHEN sqrt((l.x - m.x) ** 2 + (l.y - m.y) ** 2) / size < 0.3e0 THEN 1e0 ELSE 0e0 END")
+    pinch += " JOIN lm m ON m.video_id = b.video_id AND m.frame_idx = b.frame_idx WHERE l.landmark = 4 AND m.landmark = 8"
+    thing = f"""SELECT b.video_id, b.frame_idx, 'object', o.object_id, {x} * 0.8e0, (p.y - cy) / 480e0, greatest(0.4e0, 1.2e0 - greatest(x2 - x1, y2 - y1) / 640e0 * 1.5e0) FROM bod b JOIN obj o ON o.video_id = b.video_id AND o.frame_idx = b.frame_idx, LATERAL (SELECT (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y) p WHERE x1 IS NOT NULL"""
+    return f"SELECT video_id, frame_idx, kind, item, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM ({arm} UNION ALL {hand} UNION ALL {pinch} UNION ALL {thing})"
+
+
+@query(_view())
+def body_view(spark, sf_dir):
+    """The live view of every frame; item 100 of a hand has its pinch distance and whether it pinches."""
+    t = Tables(spark, sf_dir)
+    found = kept(body_view_.seen(body_view_.nested(t.frames, t.joints, t.landmarks, t.tracks), adapter.WIDTH, adapter.HEIGHT))
+    key, parts = ["video_id", "frame_idx"], []
+    for side in ("left", "right"):
+        for kind, points in ((f"{side}_arm", F.col(f"{side}_arm")), (f"{side}_hand", F.col(f"{side}_hand.points"))):
+            parts.append(found.select(*key, F.lit(kind).alias("kind"), F.posexplode(points).alias("item", "p")).select(*key, "kind", n("item"), r("p.x", "x"), r("p.y", "y"), r("p.z", "z")))
+        held = found.where(f"{side}_hand is not null").select(*key, F.lit(f"{side}_hand").alias("kind"), F.lit(100).cast("long").alias("item"), r(f"{side}_hand.pinch_distance", "x"), F.col(f"{side}_hand.pinching").cast("double").alias("y"), F.lit(0.5).alias("z"))
+        parts.append(held)
+    parts.append(found.select(*key, F.lit("object").alias("kind"), F.explode("objects").alias("p")).select(*key, "kind", F.col("p.object_id").alias("item"), r("p.x", "x"), r("p.y", "y"), r("p.z", "z")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("""SELECT video_id, frame_idx, round(sum(CASE WHEN d IS NULL THEN 0 ELSE 0.1e0 / greatest(d, 0.001e0) * w END), 6) AS rate FROM (SELECT a.video_id, a.frame_idx, b.d, 0.9e0 ** (a.frame_idx - b.frame_idx) AS w FROM ev a
+  JOIN (SELECT video_id, frame_idx, t - lag(t) OVER (PARTITION BY video_id ORDER BY frame_idx) AS d FROM ev) b ON b.video_id = a.video_id AND b.frame_idx <= a.frame_idx) GROUP BY video_id, frame_idx""")
+def frame_rates(spark, sf_dir):
+    """The live meter's rate after each frame."""
+    return recording.metred(Tables(spark, sf_dir).frames).select("video_id", "frame_idx", r("rate"))
+
+
 @query()
 def export_ego(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -715,20 +754,26 @@ def export_contacts(spark, sf_dir):
     return files.contacts_json(t.totals, t.events)
 
 
+#: Frames of a recording lie days apart here, so live queries keep their state for ten years.
+STRETCHED = 3650 * 86_400_000
+
+
 def stream(spark: SparkSession, rows: DataFrame, order: str) -> DataFrame:
-    """The rows as a stream over files in the session's shared folder: a batch for each quarter of the times, and a closing row of nulls four days
-    after the last, which moves the watermark past all others."""
+    """The rows as a stream over files in the session's shared folder: a batch for each quarter of the times, each written by all tasks, and a closing row of nulls four days
+    after the last, which moves the watermark past all others.  Rows without a time come first."""
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    rows = kept(rows)
+    rows, parts = kept(rows), spark.sparkContext.defaultParallelism
     at, kind = F.col(order).cast("double"), rows.schema[order].dataType
-    low, *inner, high = rows.select(at.alias("at")).agg(F.percentile_approx("at", [0.0, 0.25, 0.5, 0.75, 1.0])).first()[0] or [0.0] * 5
-    for a, b in zip([low, *inner], [*inner, high + 1], strict=True):
-        if a < b:
-            rows.where((at >= a) & (at < b)).coalesce(1).write.mode("append").parquet(path)
+    cuts = rows.select(at.alias("at")).agg(F.percentile_approx("at", [0.25, 0.5, 0.75])).first()[0] or []
+    quarter = F.lit(0)
+    for cut in sorted(set(cuts)):
+        quarter = quarter + F.coalesce((at >= cut).cast("int"), F.lit(0))
+    for i in range(len(set(cuts)) + 1):
+        rows.where(quarter == i).repartition(parts).write.mode("append").parquet(path)
     last = rows.agg(F.coalesce(F.max(order), F.lit(0).cast(kind)).alias(order))
     later = (F.col(order).cast("double") + 4 * 86_400).cast(kind)
     last.select(*(later.alias(f.name) if f.name == order else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema)).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", parts).parquet(path)
 
 
 @query("SELECT video_id, hand, object_id, frame_idx, is_contact FROM con")
@@ -737,7 +782,7 @@ def stream_contacts(spark, sf_dir):
 
     t = Tables(spark, sf_dir)
     near = t.contact.select("video_id", "hand", "object_id", "frame_idx", "distance").join(t.frames.select("video_id", "frame_idx", "t"), ["video_id", "frame_idx"])
-    found = live.live_contacts(live.stamped(stream(spark, near, "t")))
+    found = live.live_contacts(live.stamped(stream(spark, near, "t")), keep=STRETCHED)
     return live.run_to_end(found)
 
 
@@ -747,7 +792,7 @@ def stream_track(spark, sf_dir):
 
     t = Tables(spark, sf_dir)
     rows = t.frames.select("video_id", "frame_idx", "t").join(detections(t).drop("object_id"), ["video_id", "frame_idx"], "left").select("video_id", "frame_idx", "t", "det_idx", "class_name", "conf", *objects.BOX)
-    return live.run_to_end(live.live_tracks(live.stamped(stream(spark, rows, "t"))))
+    return live.run_to_end(live.live_tracks(live.stamped(stream(spark, rows, "t")), keep=STRETCHED))
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -759,6 +804,18 @@ def stream_windows(spark, sf_dir):
     return live.run_to_end(found).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("""SELECT video_id, joint, frame_idx, count(*) OVER b AS num_held, min(frame_idx) OVER b AS oldest, round(sum(conf) OVER b, 4) AS conf FROM pj
+  WINDOW b AS (PARTITION BY video_id, joint ORDER BY frame_idx ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""")
+def stream_pose_history(spark, sf_dir):
+    from taskloom.streaming import live
+
+    t = Tables(spark, sf_dir)
+    rows = t.joints.select("video_id", "joint", "frame_idx", "x", "y", "conf").join(t.frames.select("video_id", "frame_idx", "t"), ["video_id", "frame_idx"])
+    found = live.run_to_end(live.live_poses(live.stamped(stream(spark, rows, "t")), keep=STRETCHED))
+    total = F.aggregate("held", F.lit(0.0), lambda a, x: a + x["conf"])
+    return found.select("video_id", n("joint"), "frame_idx", F.size("held").cast("long").alias("num_held"), F.col("held")[0]["frame_idx"].alias("oldest"), F.round(total, 4).alias("conf"))
+
+
 @query("SELECT video_id, frame_idx, side, object_id, contact, grabs, round(grab_confidence, 6) AS grab_confidence FROM smo")
 def stream_fingertips(spark, sf_dir):
     from taskloom.streaming import live
@@ -766,4 +823,4 @@ def stream_fingertips(spark, sf_dir):
     t = Tables(spark, sf_dir)
     found = t.landmarks.select("video_id", "frame_idx", "side").distinct().join(contacts.fingertip_contacts(t.landmarks, t.tracks).drop("cx", "cy", "touch_x", "touch_y"), ["video_id", "frame_idx", "side"], "left")
     rows = found.join(t.frames.select("video_id", "frame_idx", "t"), ["video_id", "frame_idx"])
-    return live.run_to_end(live.live_fingertips(live.stamped(stream(spark, rows, "t")))).withColumn("grab_confidence", F.round("grab_confidence", 6))
+    return live.run_to_end(live.live_fingertips(live.stamped(stream(spark, rows, "t")), keep=STRETCHED)).withColumn("grab_confidence", F.round("grab_confidence", 6))

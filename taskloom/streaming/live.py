@@ -1,27 +1,32 @@
-"""Live recordings: trackers, contacts and windowed counts as Structured Streaming queries.
+"""Live recordings: trackers, contacts, held poses and windowed counts as Structured Streaming queries.
 
-State is kept for each recording or each (recording, hand, object).  Rows that arrive out of order wait until the watermark has
-passed them and are then taken in order of their frames; rows later than the watermark are dropped by Spark and counted in the query's
-progress as ``numRowsDroppedByWatermark``.  Where the input has a column ``reset``, a row with it set clears the state of its key before its frame, and
-is nothing else.
+State is kept for each recording, hand, (recording, hand, object) or (recording, joint), as typed lists, maps and values of ``transformWithStateInPandas``: rows are appended to a
+list and only what changes is written.  Rows that arrive out of order wait until the watermark has passed them and are then taken in order of their
+frames; rows later than the watermark are dropped by Spark and counted in the query's progress as ``numRowsDroppedByWatermark``.  A key without rows for ``keep`` (a day) of event time
+is forgotten, and its next row is as a first one.  Where the input has a column ``reset``, a row with it set clears the state of its key before its frame, and is nothing else.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from taskloom.functions.lineage import shared_dir
 from taskloom.operators.objects import BOX, Tracker
 
 #: 1 January 2000, in seconds.
 EPOCH = 946_684_800
+#: How long a key without rows is kept, in milliseconds of event time.
+KEEP = 24 * 3_600_000
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stamped(rows: DataFrame, seconds: str = "t", delay: str = "10 seconds") -> DataFrame:
@@ -30,153 +35,244 @@ def stamped(rows: DataFrame, seconds: str = "t", delay: str = "10 seconds") -> D
     return rows.withColumn("ts", F.timestamp_micros(((F.col(seconds) + EPOCH) * 1_000_000).cast("long"))).withWatermark("ts", delay)
 
 
-class Buffer:
-    """Rows of a group that wait for the watermark."""
+def resets(rows: DataFrame) -> list[str]:
+    return ["reset"] if "reset" in rows.columns else []
 
-    def __init__(self, held: str):
-        self.rows = json.loads(held) if held else []
 
-    def add(self, frames: Iterator[pd.DataFrame], columns: list[str]) -> None:
-        for frame in frames:
-            at = (frame["ts"].astype("int64") // 10**6 if frame["ts"].dtype == "datetime64[ns]" else frame["ts"].astype("datetime64[ms]").astype("int64")).tolist()
-            values = frame[columns].astype(object).where(frame[columns].notna(), None).to_numpy().tolist()
-            self.rows += [[t, *v] for t, v in zip(at, values, strict=True)]
+class InOrder(StatefulProcessor):
+    """Takes a key's rows in order of their frames, once the watermark has passed them.  A subclass says what it holds (``opened``), what it gives for a run of
+    frames (``taken``), and how it forgets (``forgotten``)."""
+
+    def __init__(self, columns: list[str], kinds: dict[str, str], names: list[str], keep: int = KEEP):
+        self.columns, self.names, self.keep = columns, names, keep
+        self.whole = [c for c in columns if kinds[c] == "long"]  # beside nulls pandas makes them floats
+        self.schema = "ts long, " + ", ".join(f"{c} {kinds[c]}" for c in columns)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schema)
+        self.last = handle.getValueState("last", "ts long, taken long")
+        self.opened(handle)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        new = []
+        for frame in rows:
+            at = frame["ts"].astype("datetime64[ms]").astype("int64").tolist()
+            held = frame[self.columns].astype(dict.fromkeys(self.whole, "Int64")).astype(object)
+            values = held.where(held.notna(), None).to_numpy().tolist()
+            new += [(t, *v) for t, v in zip(at, values, strict=True)]
+        if new:
+            self.waiting.appendList(new)
+            before = self.last.get()
+            self.last.update((max([t for t, *_ in new] + ([before[0]] if before else [])), before[1] if before else None))
+            self.handle.registerTimer(max(min(t for t, *_ in new), timerValues.getCurrentWatermarkInMs()) + 1)
+        yield pd.DataFrame(columns=self.names)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        mark, out = timerValues.getCurrentWatermarkInMs(), []
+        held = list(self.waiting.get())
+        ready = sorted((r for r in held if r[0] <= mark), key=lambda r: (r[1], r[0]))
+        last = self.last.get()
+        if ready:
+            rest = [tuple(r) for r in held if r[0] > mark]
+            if rest:
+                self.waiting.put(rest)
+                self.handle.registerTimer(min(r[0] for r in rest) + 1)
+            else:
+                self.waiting.clear()
+                self.handle.registerTimer(last[0] + self.keep)
+            taken, rows = last[1], []
+            for r in ready:  # a key is as new after a long silence, whether its timer came first or the next row
+                rows.append(dict(zip(self.columns, r[1:], strict=True), fresh=taken is not None and r[0] - taken > self.keep))
+                taken = max(r[0], taken or r[0])
+            self.last.update((last[0], taken))
+            out = list(self.taken(key, rows))
+        elif not held and last and last[0] + self.keep <= mark:
+            self.forgotten()
+            self.last.clear()
+        yield pd.DataFrame(out, columns=self.names)
 
-    def ready(self, watermark: int) -> list[list]:
-        done = sorted((r for r in self.rows if r[0] <= watermark), key=lambda r: (r[1], r[0]))
-        self.rows = [r for r in self.rows if r[0] > watermark]
-        return done
+    def close(self) -> None:
+        pass
 
+    def by_frame(self, rows: list[dict]) -> Iterator[tuple[int, bool, list[dict]]]:
+        """Frames in order, whether the state is cleared before them, and their rows."""
+        for frame, group in groupby(rows, key=lambda r: r["frame_idx"]):
+            every = list(group)
+            yield int(frame), any(r.get("reset") or r["fresh"] for r in every), [r for r in every if not r.get("reset")]
 
-def resets(rows: DataFrame) -> list[str]:
-    return ["reset"] if "reset" in rows.columns else []
+    def opened(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
 
+    def taken(self, key: Any, rows: list[dict]) -> Iterator[tuple]:
+        raise NotImplementedError
 
-def live_contacts(near: DataFrame, threshold: float = 50.0, on: int = 2, off: int = 3) -> DataFrame:
-    """``video_id, hand, object_id, frame_idx, is_contact`` of a stream of distances with an event time."""
+    def forgotten(self) -> None:
+        raise NotImplementedError
 
-    marks = resets(near)
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, active, close, away = state.get if state.exists else ("", False, 0, 0)
-        buffer, out = Buffer(held), []
-        if not state.hasTimedOut:
-            buffer.add(frames, ["frame_idx", "distance", *marks])
-        for _, frame, distance, *reset in buffer.ready(state.getCurrentWatermarkMs()):
-            if any(reset):
-                active, close, away = False, 0, 0
-                continue
-            close, away = (close + 1, 0) if distance < threshold else (0, away + 1)
-            active = True if close >= on else False if away >= off else active
-            out.append((*key, int(frame), active))
-        state.update((json.dumps(buffer.rows), active, close, away))
-        if buffer.rows:
-            state.setTimeoutTimestamp(max(min(r[0] for r in buffer.rows), state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(out, columns=["video_id", "hand", "object_id", "frame_idx", "is_contact"])
+def lived(rows: DataFrame, keys: list[str], processor: InOrder, schema: str) -> DataFrame:
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
-    return near.groupBy("video_id", "hand", "object_id").applyInPandasWithState(
-        step, "video_id long, hand string, object_id long, frame_idx long, is_contact boolean", "held string, active boolean, close int, away int", "append", GroupStateTimeout.EventTimeTimeout
-    )
 
+class Contacts(InOrder):
+    """Hysteresis of one hand and object."""
 
-def live_tracks(detections: DataFrame, least: float = 0.3, max_age: int = 30, min_hits: int = 2) -> DataFrame:
-    """``video_id, track_id, frame_idx, det_idx`` of a stream of detections with an event time; a frame without detections is a row with
-    a null det_idx."""
+    def __init__(self, marks: list[str], threshold: float, on: int, off: int, keep: int):
+        super().__init__(["frame_idx", "distance", *marks], {"frame_idx": "long", "distance": "double", "reset": "boolean"}, ["video_id", "hand", "object_id", "frame_idx", "is_contact"], keep)
+        self.threshold, self.on, self.off = threshold, on, off
 
-    marks = resets(detections)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, tracks, next_ = state.get if state.exists else ("", "{}", 0)
-        buffer, out, tracker = Buffer(held), [], Tracker(least, max_age, min_hits)
-        tracker.tracks = {int(k): [v[0], tuple(v[1]), v[2], v[3]] for k, v in json.loads(tracks).items()}
-        tracker.next = next_
-        if not state.hasTimedOut:
-            buffer.add(frames, ["frame_idx", "det_idx", "class_name", "conf", *BOX, *marks])
-        by_frame: dict[int, list] = {}
-        cleared = set()
-        for _, frame, det, name, conf, *rest in buffer.ready(state.getCurrentWatermarkMs()):
-            box = rest[: len(BOX)]
-            if any(rest[len(BOX) :]):
-                cleared.add(int(frame))
-                continue
-            by_frame.setdefault(int(frame), []).extend([] if det is None else [(int(det), name, conf, tuple(box))])
-        for frame in sorted(cleared | by_frame.keys()):
-            if frame in cleared:
-                tracker = Tracker(least, max_age, min_hits)
-            if frame not in by_frame:
-                continue
-            found = sorted(by_frame[frame])
-            out += [(key[0], track, frame, found[d][0]) for track, d in tracker.update(frame, [f[1:] for f in found])]
-        state.update((json.dumps(buffer.rows), json.dumps(tracker.tracks), tracker.next))
-        if buffer.rows:
-            state.setTimeoutTimestamp(max(min(r[0] for r in buffer.rows), state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(out, columns=["video_id", "track_id", "frame_idx", "det_idx"])
+    def opened(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "active boolean, close int, away int")
 
-    return detections.groupBy("video_id").applyInPandasWithState(
-        step, "video_id long, track_id long, frame_idx long, det_idx long", "held string, tracks string, next int", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    def forgotten(self) -> None:
+        self.state.clear()
+
+    def taken(self, key: Any, rows: list[dict]) -> Iterator[tuple]:
+        active, close, away = self.state.get() or (False, 0, 0)
+        for frame, cleared, found in self.by_frame(rows):
+            if cleared:
+                active, close, away = False, 0, 0
+            for r in found:
+                close, away = (close + 1, 0) if r["distance"] < self.threshold else (0, away + 1)
+                active = True if close >= self.on else False if away >= self.off else active
+                yield *key, frame, active
+        self.state.update((active, close, away))
 
 
-class Fingers:
+def live_contacts(near: DataFrame, threshold: float = 50.0, on: int = 2, off: int = 3, keep: int = KEEP) -> DataFrame:
+    """``video_id, hand, object_id, frame_idx, is_contact`` of a stream of distances with an event time."""
+    return lived(near, ["video_id", "hand", "object_id"], Contacts(resets(near), threshold, on, off, keep), "video_id long, hand string, object_id long, frame_idx long, is_contact boolean")
+
+
+class Tracks(InOrder):
+    """The tracker of a recording: a map of its tracks."""
+
+    def __init__(self, marks: list[str], least: float, max_age: int, min_hits: int, keep: int):
+        kinds = {"frame_idx": "long", "det_idx": "long", "class_name": "string", "conf": "double", "reset": "boolean"} | dict.fromkeys(BOX, "double")
+        super().__init__(["frame_idx", "det_idx", "class_name", "conf", *BOX, *marks], kinds, ["video_id", "track_id", "frame_idx", "det_idx"], keep)
+        self.settings = (least, max_age, min_hits)
+
+    def opened(self, handle: StatefulProcessorHandle) -> None:
+        self.tracks = handle.getMapState("tracks", "id int", "class_name string, x1 double, y1 double, x2 double, y2 double, seen long, age int")
+        self.next = handle.getValueState("next", "id int")
+
+    def forgotten(self) -> None:
+        self.tracks.clear()
+        self.next.clear()
+
+    def taken(self, key: Any, rows: list[dict]) -> Iterator[tuple]:
+        tracker = Tracker(*self.settings)
+        before = {k[0]: tuple(v) for k, v in self.tracks.iterator()}
+        tracker.tracks = {i: [v[0], tuple(v[1:5]), v[5], v[6]] for i, v in sorted(before.items())}
+        tracker.next = (self.next.get() or (0,))[0]
+        for frame, cleared, found in self.by_frame(rows):
+            if cleared:
+                tracker = Tracker(*self.settings)
+            if found or not cleared:
+                held = sorted((int(r["det_idx"]), r["class_name"], r["conf"], tuple(r[c] for c in BOX)) for r in found if r["det_idx"] is not None)
+                for track, d in tracker.update(frame, [h[1:] for h in held]):
+                    yield key[0], track, frame, held[d][0]
+        after = {i: (name, *map(float, box), int(seen), int(age)) for i, (name, box, seen, age) in tracker.tracks.items()}
+        for i in before.keys() - after.keys():
+            self.tracks.removeKey((i,))
+        for i, v in after.items():
+            if before.get(i) != v:
+                self.tracks.updateValue((i,), v)
+        self.next.update((tracker.next,))
+
+
+def live_tracks(detections: DataFrame, least: float = 0.3, max_age: int = 30, min_hits: int = 2, keep: int = KEEP) -> DataFrame:
+    """``video_id, track_id, frame_idx, det_idx`` of a stream of detections with an event time; a frame without detections is a row with
+    a null det_idx."""
+    return lived(detections, ["video_id"], Tracks(resets(detections), least, max_age, min_hits, keep), "video_id long, track_id long, frame_idx long, det_idx long")
+
+
+class Fingers(InOrder):
     """What one hand touched and whether it grabbed in its last frames.  Of each object once touched, the first frame and the last ones of
     touch are held, as places in the order of the hand's frames."""
 
-    def __init__(self, last: int, held: str = ""):
-        self.last = last
-        self.seen, self.grabs, objects = json.loads(held) if held else (0, [], {})
-        self.objects = {int(k): v for k, v in objects.items()}
-
-    def dump(self) -> str:
-        return json.dumps([self.seen, self.grabs, self.objects])
-
-    def update(self, found: list[tuple[int, bool, bool, float]]) -> tuple[dict[int, bool], bool, float]:
-        """Contact of each object of the frame, whether the hand grabs, and how surely, from (object, contact, grab, confidence)."""
-        self.seen += 1
-        out = {}
-        for thing, touched, _, _ in found:
-            if touched:
-                first, touches = self.objects.get(thing, (self.seen, []))
-                self.objects[thing] = [first, [*touches, self.seen][-self.last :]]
-            first, touches = self.objects.get(thing, (self.seen, []))
-            recent = sum(i > self.seen - self.last for i in touches)
-            out[thing] = touched or recent > 0.4 * min(self.last, self.seen - first + 1)
-        grab = any(g for _, _, g, _ in found)
-        self.grabs = [*self.grabs, grab][-self.last :]
-        holds, sure = sum(self.grabs) > 0.5 * len(self.grabs), max((c for *_, c in found), default=0.0)
-        return out, grab or holds, max(sure, 0.5) if holds else sure
-
-
-def live_fingertips(found: DataFrame, last: int = 5) -> DataFrame:
+    def __init__(self, marks: list[str], last: int, keep: int):
+        kinds = {"frame_idx": "long", "object_id": "long", "is_contact": "boolean", "is_grab": "boolean", "grab_confidence": "double", "reset": "boolean"}
+        super().__init__(["frame_idx", "object_id", "is_contact", "is_grab", "grab_confidence", *marks], kinds, ["video_id", "side", "frame_idx", "object_id", "contact", "grabs", "grab_confidence"], keep)
+        self.span = last
+
+    def opened(self, handle: StatefulProcessorHandle) -> None:
+        self.touched = handle.getMapState("touched", "object_id long", "first long, touches array<long>")
+        self.hand = handle.getValueState("hand", "seen long, grabs array<boolean>")
+
+    def forgotten(self) -> None:
+        self.touched.clear()
+        self.hand.clear()
+
+    def taken(self, key: Any, rows: list[dict]) -> Iterator[tuple]:
+        seen, grabs = self.hand.get() or (0, [])
+        grabs, before = list(grabs), {k[0]: (v[0], list(v[1])) for k, v in self.touched.iterator()}
+        objects = dict(before)
+        for frame, cleared, every in self.by_frame(rows):
+            if cleared:
+                seen, grabs, objects = 0, [], {}
+            if cleared and not every:
+                continue
+            found, seen = [r for r in every if r["object_id"] is not None], seen + 1
+            contact = {}
+            for r in sorted(found, key=lambda r: r["object_id"]):
+                thing = int(r["object_id"])
+                if r["is_contact"]:
+                    first, touches = objects.get(thing, (seen, []))
+                    objects[thing] = (first, [*touches, seen][-self.span :])
+                first, touches = objects.get(thing, (seen, []))
+                recent = sum(i > seen - self.span for i in touches)
+                contact[thing] = bool(r["is_contact"]) or recent > 0.4 * min(self.span, seen - first + 1)
+            grab, sure = any(r["is_grab"] for r in found), max((r["grab_confidence"] for r in found), default=0.0)
+            grabs = [*grabs, grab][-self.span :]
+            holds = sum(grabs) > 0.5 * len(grabs)
+            for thing, touches in contact.items():
+                yield *key, frame, thing, touches, grab or holds, float(max(sure, 0.5) if holds else sure)
+        for thing in before.keys() - objects.keys():
+            self.touched.removeKey((thing,))
+        for thing, held in objects.items():
+            if before.get(thing) != held:
+                self.touched.updateValue((thing,), held)
+        self.hand.update((seen, grabs))
+
+
+def live_fingertips(found: DataFrame, last: int = 5, keep: int = KEEP) -> DataFrame:
     """``video_id, side, frame_idx, object_id, contact, grabs, grab_confidence`` of a stream of what the fingertips touch (as ``contacts.fingertip_contacts``
     gives it) with an event time; a frame in which the hand meets no box is a row with a null object_id."""
-    marks = resets(found)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, held = state.get if state.exists else ("", "")
-        buffer, fingers, out = Buffer(waiting), Fingers(last, held), []
-        if not state.hasTimedOut:
-            buffer.add(frames, ["frame_idx", "object_id", "is_contact", "is_grab", "grab_confidence", *marks])
-        by_frame: dict[int, list] = {}
-        cleared = set()
-        for _, frame, thing, touched, grab, sure, *reset in buffer.ready(state.getCurrentWatermarkMs()):
-            if any(reset):
-                cleared.add(int(frame))
-            else:
-                by_frame.setdefault(int(frame), []).extend([] if thing is None else [(int(thing), bool(touched), bool(grab), float(sure))])
-        for frame in sorted(cleared | by_frame.keys()):
-            if frame in cleared:
-                fingers = Fingers(last)
-            if frame in by_frame:
-                touched, grabs, sure = fingers.update(sorted(by_frame[frame]))
-                out += [(*key, frame, thing, contact, grabs, sure) for thing, contact in touched.items()]
-        state.update((json.dumps(buffer.rows), fingers.dump()))
-        if buffer.rows:
-            state.setTimeoutTimestamp(max(min(r[0] for r in buffer.rows), state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(out, columns=["video_id", "side", "frame_idx", "object_id", "contact", "grabs", "grab_confidence"])
-
-    return found.groupBy("video_id", "side").applyInPandasWithState(
-        step, "video_id long, side string, frame_idx long, object_id long, contact boolean, grabs boolean, grab_confidence double", "waiting string, held string", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return lived(found, ["video_id", "side"], Fingers(resets(found), last, keep), "video_id long, side string, frame_idx long, object_id long, contact boolean, grabs boolean, grab_confidence double")
+
+
+class Poses(InOrder):
+    """The last rows of one joint: a ring."""
+
+    def __init__(self, marks: list[str], last: int, keep: int):
+        kinds = {"frame_idx": "long", "x": "double", "y": "double", "conf": "double", "reset": "boolean"}
+        super().__init__(["frame_idx", "x", "y", "conf", *marks], kinds, ["video_id", "joint", "frame_idx", "held"], keep)
+        self.size = last
+
+    def opened(self, handle: StatefulProcessorHandle) -> None:
+        self.ring = handle.getListState("ring", "frame_idx long, x double, y double, conf double")
+
+    def forgotten(self) -> None:
+        self.ring.clear()
+
+    def taken(self, key: Any, rows: list[dict]) -> Iterator[tuple]:
+        held = [tuple(r) for r in self.ring.get()]
+        for frame, cleared, found in self.by_frame(rows):
+            held = [] if cleared else held
+            for r in found:
+                held = [*held, (frame, r["x"], r["y"], r["conf"])][-self.size :]
+                yield *key, frame, [dict(zip(("frame_idx", "x", "y", "conf"), h, strict=True)) for h in held]
+        if held:
+            self.ring.put(held)
+        else:
+            self.ring.clear()
+
+
+def live_poses(joints: DataFrame, last: int = 30, keep: int = KEEP) -> DataFrame:
+    """``video_id, joint, frame_idx, held`` of a stream of joints with an event time: the last rows up to each, oldest first."""
+    return lived(joints, ["video_id", "joint"], Poses(resets(joints), last, keep), "video_id long, joint long, frame_idx long, held array<struct<frame_idx:long,x:double,y:double,conf:double>>")
 
 
 def windowed_counts(events: DataFrame, size: str = "10 minutes", slide: str | None = None) -> DataFrame:
@@ -190,10 +286,20 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return events.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def run_to_end(stream: DataFrame) -> DataFrame:
+def started(writer: Any, spark: Any) -> Any:
+    """The query, started with the state store that lists, maps and timers need; the session's own setting stays."""
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(STORE, before)
+
+
+def run_to_end(stream: DataFrame, path: str | None = None) -> DataFrame:
     """Everything that a stream over finished files gives, written as Parquet to the shared folder, with the query's checkpoint beside it.  Rows behind
-    the last watermark are not given: end the input with a row that moves it past them."""
-    path = f"{shared_dir(stream.sparkSession)}/live-{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/rows")
-    query.awaitTermination()
+    the last watermark are not given: end the input with a row that moves it past them.  With the ``path`` of an earlier run it goes on where that ended."""
+    path = path or f"{shared_dir(stream.sparkSession)}/live-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/rows").trigger(availableNow=True)
+    started(writer, stream.sparkSession).awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
