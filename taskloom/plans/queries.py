@@ -9,6 +9,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taskloom.functions import codes
 from taskloom.functions.geometry import center
 from taskloom.functions.lineage import kept, shared_dir
 from taskloom.operators import body_view as body_view_
@@ -16,6 +17,7 @@ from taskloom.operators import actions, contacts, ego, graph, objects, pose, rec
 from taskloom.plans import engine
 from taskloom.plans.oracles import sql
 from taskloom.sources import adapter, files
+from taskloom.sources.config import Segments, Settings
 from taskloom.streaming import recording
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -373,7 +375,11 @@ def action_boundaries(spark, sf_dir):
     return b.select("video_id", "frame_idx", "trigger", F.round("confidence", 4).alias("confidence"), F.size("objects").cast("long").alias("num_objects"), F.element_at("objects", 1).alias("first_object"), *(f"evidence.{c}" for c in BOUNDARY))
 
 
-@query()
+@query("""SELECT video_id, kf AS frame_idx, kt AS trigger, kc AS confidence FROM (WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS i, count(*) OVER (PARTITION BY video_id) AS n FROM bnd), w AS (
+  SELECT video_id, i, n, frame_idx AS kf, trigger AS kt, confidence AS kc, CAST(NULL AS BIGINT) AS df, CAST(NULL AS VARCHAR) AS dt, CAST(NULL AS DOUBLE) AS dc FROM o WHERE i = 1
+  UNION ALL SELECT w.video_id, o.i, w.n, CASE WHEN far OR o.confidence > kc THEN o.frame_idx ELSE kf END, CASE WHEN far OR o.confidence > kc THEN o.trigger ELSE kt END, CASE WHEN far OR o.confidence > kc THEN o.confidence ELSE kc END, CASE WHEN far THEN kf END, CASE WHEN far THEN kt END, CASE WHEN far THEN kc END
+  FROM w JOIN o ON o.video_id = w.video_id AND o.i = w.i + 1, LATERAL (SELECT o.frame_idx - kf >= 3 AS far) f)
+  SELECT video_id, kf, kt, kc FROM w WHERE i = n UNION ALL SELECT video_id, df, dt, dc FROM w WHERE df IS NOT NULL)""")
 def boundaries_refined(spark, sf_dir):
     return actions.refined_boundaries(Tables(spark, sf_dir).boundaries)
 
@@ -389,9 +395,13 @@ def segments_refined(spark, sf_dir):
     return Tables(spark, sf_dir).segments.select("video_id", "seg_id", "frame_start", "frame_end", r("t_start"), r("t_end"))
 
 
-@query()
+@query("""SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY a) - 1 AS seg_id, a AS frame_start, b AS frame_end, round(c, 6) AS confidence, 'unknown' AS label, len(list_distinct(o)) AS num_objects FROM (WITH RECURSIVE s AS (SELECT video_id, seg_id AS i, frame_start, frame_end, confidence, objects, count(*) OVER (PARTITION BY video_id) AS n FROM sg), w AS (
+  SELECT video_id, i, n, frame_start AS a, frame_end AS b, confidence AS c, CAST(objects AS BIGINT[]) AS o, frame_end - frame_start + 1 < 8 AS fresh, CAST(NULL AS BIGINT) AS da, CAST(NULL AS BIGINT) AS db, CAST(NULL AS DOUBLE) AS dc, CAST(NULL AS BIGINT[]) AS dd FROM s WHERE i = 0
+  UNION ALL SELECT w.video_id, s.i, w.n, CASE WHEN one THEN a ELSE s.frame_start END, s.frame_end, CASE WHEN one THEN (c + s.confidence) / 2 ELSE s.confidence END, CASE WHEN one THEN list_concat(o, s.objects) ELSE CAST(s.objects AS BIGINT[]) END, false, CASE WHEN NOT one THEN a END, CASE WHEN NOT one THEN b END, CASE WHEN NOT one THEN c END, CASE WHEN NOT one THEN o END
+  FROM w JOIN s ON s.video_id = w.video_id AND s.i = w.i + 1, LATERAL (SELECT fresh OR s.frame_end - s.frame_start + 1 < 8 AS one) f)
+  SELECT video_id, a, b, c, o FROM w WHERE i = n - 1 UNION ALL SELECT video_id, da, db, dc, dd FROM w WHERE da IS NOT NULL)""")
 def segment_merge_short(spark, sf_dir):
-    return actions.merged_short(Tables(spark, sf_dir).raw_segments, 8).select("video_id", "seg_id", "frame_start", "frame_end", r("confidence"), "label", F.size("objects").alias("num_objects"))
+    return actions.merged_short(Tables(spark, sf_dir).raw_segments, 8).select("video_id", "seg_id", "frame_start", "frame_end", r("confidence"), "label", F.size("objects").cast("long").alias("num_objects"))
 
 
 @query()
@@ -663,6 +673,12 @@ def action_dataset(spark, sf_dir):
     return files.action_dataset(t.labelled, hands, seen_objects(t)).select("video_id", "seg_id", "label", "frame_idx", "object_id", r("hand_x"), r("hand_y"), r("hand_z"), r("object_x"), r("object_y"), r("object_z"))
 
 
+@query("SELECT label, count(*) AS rows, row_number() OVER (ORDER BY label) - 1 AS code FROM lab GROUP BY label")
+def action_vocabulary(spark, sf_dir):
+    """Codes of the labels, as a data set of actions has them."""
+    return codes.coded(Tables(spark, sf_dir).labelled, "label")
+
+
 @query("SELECT video_id, frame_idx, side, part, round(ex, 6) AS ex, round(ey, 6) AS ey, round(ez, 6) AS ez FROM ea")
 def ego_arms(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -736,7 +752,8 @@ def series_aligned(spark, sf_dir):
 def engine_tables(spark, sf_dir):
     """Rows of every table that a run over detections and joints gives, by recording."""
     t = Tables(spark, sf_dir)
-    tables = engine.Engine().run(t.frames, t.joints, detections=detections(t), landmarks=marked(t))
+    some = Settings(segments=Segments(min_duration=2))  # segments are short here
+    tables = engine.Engine(some).run(t.frames, t.joints, detections=detections(t), landmarks=marked(t))
     parts = [df.groupBy("video_id").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "video_id", "rows") for name, df in tables.items()]
     return reduce(DataFrame.unionByName, parts)
 

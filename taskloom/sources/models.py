@@ -1,11 +1,13 @@
 """Models that read pixels or lift poses, run inside Spark tasks over batches of frames.
 
-A model is made by a factory once for each task, with the options given (a factory must therefore be importable or picklable), and is
-called with whole batches.  Factories can be registered under a name.
+A model is made by a factory once for each Python worker, which keeps it for all its tasks of a query, with the options given (a factory must therefore be
+importable or picklable), and is called with whole batches.  Factories can be registered under a name.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -21,6 +23,18 @@ PEOPLE = "video_id long, frame_idx long, person long, joint long, x double, y do
 LIFTED = "video_id long, frame_idx long, joint long, x3 double, y3 double, z3 double, conf3 double"
 
 _FACTORIES: dict[tuple[str, str], Factory] = {}
+#: The models of this worker, the last few used: by the name that the driver gave to the use of a factory.
+_LOADED: OrderedDict[str, Any] = OrderedDict()
+MOST = 3
+
+
+def loaded(name: str, factory: Factory, options: dict) -> Any:
+    if name not in _LOADED:
+        _LOADED[name] = factory(**options)
+    _LOADED.move_to_end(name)
+    while len(_LOADED) > MOST:
+        _LOADED.popitem(last=False)
+    return _LOADED[name]
 
 
 def register(kind: str, name: str, factory: Factory) -> None:
@@ -40,11 +54,13 @@ def named(kind: str, name: str) -> Factory:
 def applied(frames: DataFrame, factory: Factory, options: dict, rows_of: Callable[[Any, pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
     columns = [c.split()[0] for c in schema.split(", ")]
 
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = None
+        from taskloom.sources import models  # the worker's own module, and not a copy that travels with this function
+
         for batch in batches:
-            model = model or factory(**options)
-            yield pd.DataFrame(rows_of(model, batch), columns=columns)
+            yield pd.DataFrame(rows_of(models.loaded(name, factory, options), batch), columns=columns)
 
     return frames.mapInPandas(run, schema)
 

@@ -112,3 +112,16 @@ def test_a_causal_cycle_is_an_error(spark):
         graph.chain_counts(table(spark, [(0, 1), (1, 0)]))
     with pytest.raises(ValueError, match="cycle"):
         graph.chains(table(spark, [(0, 1), (1, 2), (2, 1)]))
+
+
+def test_long_tracks_take_time_in_proportion(spark):
+    """Half a million frames of one track, and events of one hand: frames that were read anew for each row would not end."""
+    from taskloom.functions.temporal import gap_filled
+    from taskloom.operators import contacts
+
+    n = 500_000
+    track = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("frame_idx"), F.when(F.col("id") % 10 < 7, F.col("id") * 2.0).alias("x"))
+    got = gap_filled(track, ["k"], ["x"], 5).agg(F.count(F.when(F.col("x") == F.col("frame_idx") * 2, 1)).alias("right"), F.count(F.when(F.col("filled"), 1)).alias("filled")).first()
+    assert (got.right, got.filled) == (n - 3, n * 3 // 10 - 3)
+    events = spark.range(n // 5).select(F.lit(1).alias("video_id"), F.lit("left").alias("hand"), F.lit(0).alias("object_id"), F.lit("touch").alias("label"), (F.col("id") * 20).alias("frame_start"), (F.col("id") * 20 + 3).alias("frame_end"), F.lit(0.5).alias("confidence"))
+    assert contacts.merged(events).count() == n // 5

@@ -152,3 +152,36 @@ def test_the_live_view_of_a_stream_is_that_of_a_table(spark, tmp_path):
     df.write.parquet(f"file://{tmp_path}/in")
     out = live.run_to_end(body_view.seen(spark.readStream.schema(df.schema).parquet(f"file://{tmp_path}/in"), 640, 480), f"file://{tmp_path}/out")
     assert out.orderBy("frame_idx").collect() == got
+
+
+def test_codes_do_not_depend_on_how_rows_lie(spark):
+    from taskloom.functions.codes import coded
+
+    values = [None, "b", "a", "é", "b", None, "c"] * 30 + [f"v{i:03}" for i in range(100)]
+    df = spark.createDataFrame([(v,) for v in values], "label string")
+    want = sorted({v for v in values if v is not None}, key=str.encode)
+    for parts in (1, 7):
+        got = {r.label: (r.code, r.rows) for r in coded(df.repartition(parts), "label").collect()}
+        assert got == {None: (0, 60)} | {v: (i + 1, values.count(v)) for i, v in enumerate(want)}
+
+
+def test_a_worker_loads_a_model_once(spark, tmp_path):
+    import os
+
+    from taskloom.sources import models
+
+    class Falsy:
+        def __init__(self, folder):
+            with open(f"{folder}/loads", "a") as file:
+                file.write(f"{os.getpid()}\n")
+
+        def __bool__(self):
+            return False
+
+        def detect_batch(self, images):
+            return [[("x", 1.0, (0, 0, 1, 1))] for _ in images]
+
+    images = spark.createDataFrame([(1, i, b"x") for i in range(40)], "video_id long, frame_idx long, image binary").repartition(20)
+    assert models.detected(images, Falsy, folder=str(tmp_path)).count() == 40
+    loads = (tmp_path / "loads").read_text().split()
+    assert len(loads) == len(set(loads))
