@@ -5,7 +5,7 @@ window is ``size`` consecutive words of an item; an item of fewer words, but not
 
 1. The frequency of each benchmark term is counted over all documents.
 2. Of each window the ``RAREST`` rarest positions are its *probe*; neighbouring windows mostly share
-   one.  Postings (term, document, position) are stored for the terms of probes.
+   one.  Postings (term, document, position) are read from the texts for the terms of probes; they are not kept, and each pass reads the texts anew.
 3. A probe's lists, each shifted by the term's offset in the item, are intersected: what is left are
    (item, document, shift) triples where all of the probe's terms stand at their places.
 4. For the documents of such triples the postings of all benchmark terms are intersected in the same way,

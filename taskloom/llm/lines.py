@@ -1,4 +1,4 @@
-"""Line deduplication: a suffix array over line identifiers by distributed prefix doubling.
+"""Line deduplication: ranks of line sequences by distributed prefix doubling, as deep as the windows of a suffix array need.
 
 Lines are the parts of a text between newlines; the words of a line are its runs of characters other than ASCII white
 space.  A *repeated run* is a run of lines with at least ``min_words`` words in all that stands earlier as well (at a smaller doc_id,

@@ -14,7 +14,7 @@ Expectation-maximisation over those counts estimates each labeler's reliability
 probability of being personal data.  A logistic classifier is then trained on those probabilities and decides on each candidate span.  It
 sees the votes, their pairs and the kind, and what no labeler saw: the span's length, its shares of digits and of different characters, and whether
 quotes or brackets enclose it.  Base spans always stay; other candidates
-are added if their probability is ``THRESHOLD`` or more and they overlap no base span.
+are added if their probability is ``THRESHOLD`` or more, they overlap no base span, and no surer one.
 
 Cases: null and empty texts have no spans; offsets are code points, end exclusive; an empty table gives an
 empty result and an untrained model, which adds nothing; repeated and null ``doc_id`` as in ``common``; all patterns
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taskloom.llm.common import documents, table, written
@@ -52,16 +52,16 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-#: Candidates beyond the base.
+#: Candidates beyond the base; they have no upper lengths but those of mail addresses.
 _SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]?(?: at |@)[\])]? ?[A-Za-z0-9-]{1,63} ?[\[(]?(?: dot |\.)[\])]? ?[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _NUMBER = re.compile(r"(?<![A-Za-z0-9.+])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![A-Za-z0-9])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9_-])(?:sk|pk|AKIA|ghp|xox[bp])[A-Za-z0-9_-]{14,120}(?![A-Za-z0-9_-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_-])(?:sk|pk|AKIA|ghp|xox[bp])[A-Za-z0-9_-]{14,}+")
 _ASSIGNED = re.compile(
     r"(?i)(?<![a-z0-9])(?:api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|secret|token|password|passwd|pwd|auth|bearer)[\"']?\s{0,3}(?:[:=]|\s)\s{0,3}[\"']?"
-    r"([a-z0-9+/_.~=-]{12,200})(?![a-z0-9])"
+    r"([a-z0-9+/_.~=-]{12,}+)"
 )
-_HEX = re.compile(r"(?<![A-Za-z0-9])(?:[a-f0-9]{32,128}|[A-F0-9]{32,128})(?![A-Za-z0-9])")
-_NAME = re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.? [A-Z]\w{1,30}(?: [A-Z]\w{1,30})?")
+_HEX = re.compile(r"(?<![A-Za-z0-9])(?:[a-f0-9]{32,}+|[A-F0-9]{32,}+)(?![A-Za-z0-9])")
+_NAME = re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.? [A-Z]\w++(?: [A-Z]\w++)?")
 
 PROVIDERS = frozenset({"gmail", "yahoo", "hotmail", "outlook", "icloud", "protonmail", "gmx", "mail", "example"})
 TOP_LEVEL = frozenset({"com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "info", "test"})
@@ -145,6 +145,16 @@ def apart(spans: list[tuple[str, int, int]], taken: list[tuple[str, int, int]])
             yield kind, a, b
 
 
+def chained(spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, str, int, int]]:
+    """The spans with a number that those of a chain of overlapping ones share."""
+    chain, reach = -1, -1
+    for kind, a, b in sorted(spans, key=lambda x: (x[1], x[2], x[0])):
+        if a >= reach:
+            chain, reach = chain + 1, b
+        reach = max(reach, b)
+        yield chain, kind, a, b
+
+
 def votes(kind: str, text: str, start: int, end: int, base: bool) -> str:
     """A character for each labeler: + for, - against, 0 if it has nothing to say."""
     span = text[start:end]
@@ -178,18 +188,18 @@ def shape(text: str, start: int, end: int) -> str:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, kind, start, end, base, votes, shape`` for every candidate; ``docs`` has doc_id and text."""
+    """``doc_id, kind, start, end, base, chain, votes, shape`` for every candidate; ``docs`` has doc_id and text."""
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for doc_id, text in zip(frame.doc_id, frame.text, strict=True):
                 own = base_spans(text)
-                rows += [(doc_id, k, a, b, True, votes(k, text, a, b, True), shape(text, a, b)) for k, a, b in own]
-                rows += [(doc_id, k, a, b, False, votes(k, text, a, b, False), shape(text, a, b)) for k, a, b in apart(more_spans(text), own)]
-            yield pd.DataFrame(rows, columns=["doc_id", "kind", "start", "end", "base", "votes", "shape"])
+                rows += [(doc_id, k, a, b, True, -1, votes(k, text, a, b, True), shape(text, a, b)) for k, a, b in own]
+                rows += [(doc_id, k, a, b, False, n, votes(k, text, a, b, False), shape(text, a, b)) for n, k, a, b in chained(list(apart(more_spans(text), own)))]
+            yield pd.DataFrame(rows, columns=["doc_id", "kind", "start", "end", "base", "chain", "votes", "shape"])
 
-    return docs.mapInPandas(find, "doc_id long, kind string, start int, end int, base boolean, votes string, shape string")
+    return docs.mapInPandas(find, "doc_id long, kind string, start int, end int, base boolean, chain int, votes string, shape string")
 
 
 def reliabilities(counts: list[tuple[str, str, int]], rounds: int = 50) -> dict[tuple[str, str], float]:
@@ -239,13 +249,16 @@ def classifier(counts: list[tuple[str, str, str, int]], steps: int = 400) -> dic
 
 
 def detect(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, kind, start, end, base, probability``: every base span and every added one; added ones don't overlap."""
+    """``doc_id, kind, start, end, base, probability``: every base span and the added ones.  Added ones overlap no base span, and of a chain of overlapping ones that
+    are sure enough the surest stays (then the longest, then the first)."""
     found = written(candidates(documents(docs)), "candidates")
     counts = found.groupBy("kind", "votes", "shape").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 6 x 3^5 x 108 rows
     known = classifier(sorted((r.kind, r.votes, r["shape"], r.n) for r in counts))
     model = docs.sparkSession.createDataFrame([(*k, p) for k, p in known.items()], "kind string, votes string, shape string, probability double")
     kept = found.join(F.broadcast(model), ["kind", "votes", "shape"]).where(F.col("base") | (F.col("probability") >= threshold))
-    return kept.select("doc_id", "kind", "start", "end", "base", "probability")
+    surest = Window.partitionBy("doc_id", "chain").orderBy(F.col("probability").desc(), (F.col("start") - F.col("end")), "start", "kind")
+    added = kept.where("not base").withColumn("r", F.row_number().over(surest)).where("r = 1")
+    return kept.where("base").unionByName(added.drop("r")).select("doc_id", "kind", "start", "end", "base", "probability")
 
 
 def spans_by_document(docs: DataFrame, found: DataFrame) -> DataFrame:
