@@ -73,7 +73,7 @@ STAGES = [
     ("bpe", tokens),
 ]
 
-#: SQL cannot express the learnt scores of the first stage; tests hold each stage against brute force.
+#: SQL cannot express the learnt scores of the first stage; tests hold the other stages against brute force, and the scores against a plain model.
 ORACLE_SQL = None
 
 
