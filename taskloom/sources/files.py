@@ -66,9 +66,13 @@ def graph_json(metadata: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataF
     return documents(metadata, nodes=listed(nodes, "nodes", ["seg_id"]), edges=listed(edges, "edges", ["source", "target"]))
 
 
-def write_json(found: DataFrame, path: str) -> None:
-    """A line for each video, in folders by video."""
-    found.select("video_id", F.col("json").alias("value")).write.mode("overwrite").partitionBy("video_id").text(path)
+def write_json(found: DataFrame, path: str, folders: bool = False) -> None:
+    """A line for each video, many to a file; or a folder with one file for each video, for few videos that other tools read."""
+    rows = found.select("video_id", F.col("json").alias("value"))
+    if folders:
+        rows.repartition("video_id").write.mode("overwrite").partitionBy("video_id").text(path)
+    else:
+        rows.select("value").write.mode("overwrite").text(path)
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -80,7 +84,7 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def graphml(graphs: DataFrame) -> DataFrame:
-    """``video_id, xml`` of graphs as JSON; attributes that are lists or objects are written as JSON."""
+    """``video_id, xml`` of graphs as JSON of any shape; attributes that are lists or objects are written as JSON.  ``graphml_of`` writes tables, with types."""
 
     def one(text: str) -> str:
         import json
@@ -104,22 +108,60 @@ def graphml(graphs: DataFrame) -> DataFrame:
     return graphs.select("video_id", "json").mapInPandas(write, "video_id long, xml string")
 
 
-def from_graphml(files: DataFrame) -> DataFrame:
-    """``video_id, kind, a, b, attributes``: nodes (a) and edges (a to b) of GraphML texts, attributes as strings."""
+#: Types of attributes by those of columns; lists and objects are JSON texts, marked in the key's name.
+TYPES = {"boolean": "boolean", "tinyint": "int", "smallint": "int", "int": "int", "bigint": "long", "float": "float", "double": "double", "string": "string"}
+PARTS = {"node": {"seg_id": "_id"}, "edge": {"source": "_source", "target": "_target"}}
+
+
+def graphml_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``video_id, xml`` of nodes and edges, made by Spark's XML functions.  Each further column is an attribute with a typed key; nulls are left out; lists and objects
+    are JSON texts, with ``.json`` behind the key's id."""
+    keys, out = [], nodes.select("video_id").distinct()
+    for kind, rows in (("node", nodes), ("edge", edges)):
+        data = []
+        for f in rows.schema:
+            if f.name == "video_id" or f.name in PARTS[kind]:
+                continue
+            name = f.dataType.simpleString()
+            key = f"{kind}.{f.name}" + ("" if name in TYPES else ".json")
+            keys.append(F.struct(F.lit(key).alias("_id"), F.lit(kind).alias("_for"), F.lit(f.name).alias("_attr.name"), F.lit(TYPES.get(name, "string")).alias("_attr.type")))
+            text = F.col(f.name).cast("string") if name in TYPES else as_json(F.col(f.name))
+            data.append(F.when(F.col(f.name).isNotNull(), F.struct(F.lit(key).alias("_key"), text.alias("_VALUE"))))
+        given = F.filter(F.array(*data), lambda d: d.isNotNull()) if data else F.array().cast("array<struct<_key:string,_VALUE:string>>")
+        ends = [F.col(c).cast("string").alias(n) for c, n in PARTS[kind].items()]
+        item = F.struct(*(F.col(c).alias(f"o_{c}") for c in PARTS[kind]), F.struct(*ends, given.alias("data")).alias("item"))
+        per = rows.groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"]).alias(kind))
+        out = out.join(per, "video_id", "left")
+    graph = F.struct(F.lit("directed").alias("_edgedefault"), "node", "edge")
+    return out.select("video_id", F.to_xml(F.struct(F.lit(GRAPHML).alias("_xmlns"), F.array(*keys).alias("key"), graph.alias("graph")), {"rowTag": "graphml"}).alias("xml"))
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for video, text in zip(frame.video_id, frame.xml, strict=True):
-                root = ElementTree.fromstring(text)
-                for kind in ("node", "edge"):
-                    for item in root.iter(f"{{{GRAPHML}}}{kind}"):
-                        values = {d.get("key"): d.text or "" for d in item.iter(f"{{{GRAPHML}}}data")}
-                        a, b = (int(item.get("id")), None) if kind == "node" else (int(item.get("source")), int(item.get("target")))
-                        out.append((video, kind, a, b, values))
-            yield pd.DataFrame(out, columns=["video_id", "kind", "a", "b", "attributes"]).astype({"b": "Int64"})
-
-    return files.mapInPandas(read, "video_id long, kind string, a long, b long, attributes map<string,string>")
+
+def from_graphml(files: DataFrame) -> DataFrame:
+    """``video_id, kind, a, b, attributes, types``: nodes (a) and edges (a to b) of GraphML texts, read by Spark's XML functions; attributes as texts by name, and the types of
+    their keys (``json`` for lists and objects), where the file has a table of keys.  ``attribute`` gives a value of a type."""
+    data = "data:array<struct<_VALUE:string,_key:string>>"
+    schema = f"key array<struct<_id:string,`_attr.name`:string,`_attr.type`:string>>, graph struct<node:array<struct<_id:string,{data}>>,edge:array<struct<_source:string,_target:string,{data}>>>"
+    none = F.create_map().cast("map<string,struct<name:string,type:string>>")
+    # a text, which a type of the reader could turn into another, is read as it stands
+    g = files.select("video_id", F.from_xml("xml", schema, {"rowTag": "graphml", "ignoreSurroundingSpaces": "false"}).alias("g"))
+    kind = lambda k: F.when(k["_id"].endswith(".json"), "json").otherwise(k["_attr.type"])
+    known = F.map_from_entries(F.transform("g.key", lambda k: F.struct(k["_id"], F.struct(k["_attr.name"].alias("name"), kind(k).alias("type")))))
+    g = g.withColumn("known", F.coalesce(known, none))
+    one = "array<struct<_VALUE:string,_key:string>>"
+    node = F.transform("g.graph.node", lambda n: F.struct(F.lit("node").alias("kind"), n["_id"].cast("long").alias("a"), F.lit(None).cast("long").alias("b"), n["data"].cast(one).alias("data")))
+    edge = F.transform("g.graph.edge", lambda e: F.struct(F.lit("edge").alias("kind"), e["_source"].cast("long").alias("a"), e["_target"].cast("long").alias("b"), e["data"].cast(one).alias("data")))
+    both = F.concat(F.coalesce(node, F.array().cast(f"array<struct<kind:string,a:long,b:long,data:{one}>>")), F.coalesce(edge, F.array().cast(f"array<struct<kind:string,a:long,b:long,data:{one}>>")))
+    rows = g.select("video_id", "known", F.explode(both).alias("x")).select("video_id", "known", "x.*").withColumn("data", F.coalesce("data", F.array().cast(one)))
+    named = lambda d: F.coalesce(F.try_element_at("known", d["_key"])["name"], d["_key"])
+    texts = F.map_from_entries(F.transform("data", lambda d: F.struct(named(d), F.coalesce(d["_VALUE"], F.lit("")))))
+    kinds = F.map_from_entries(F.transform(F.filter("data", lambda d: F.try_element_at("known", d["_key"]).isNotNull()), lambda d: F.struct(named(d), F.try_element_at("known", d["_key"])["type"])))
+    return rows.select("video_id", "kind", "a", "b", texts.alias("attributes"), kinds.alias("types"))
+
+
+def attribute(name: str, kind: str) -> Column:
+    """An attribute's value as a type, lists and objects included; null where there is none."""
+    text = F.try_element_at("attributes", F.lit(name))
+    return F.from_json(text, kind) if "<" in kind else text.cast(kind)
 
 
 def action_dataset(segments: DataFrame, trajectory: DataFrame, objects: DataFrame) -> DataFrame:

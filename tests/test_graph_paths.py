@@ -125,3 +125,38 @@ def test_long_tracks_take_time_in_proportion(spark):
     assert (got.right, got.filled) == (n - 3, n * 3 // 10 - 3)
     events = spark.range(n // 5).select(F.lit(1).alias("video_id"), F.lit("left").alias("hand"), F.lit(0).alias("object_id"), F.lit("touch").alias("label"), (F.col("id") * 20).alias("frame_start"), (F.col("id") * 20 + 3).alias("frame_end"), F.lit(0.5).alias("confidence"))
     assert contacts.merged(events).count() == n // 5
+
+
+def test_graphml_keeps_types(spark):
+    from taskloom.sources import files
+
+    nodes = spark.createDataFrame([(1, 0, "pick <& \"x\"", 0.25, [3, 5], True), (1, 7, None, -1e-9, [], False), (2, 4, " a ", 2.0, None, None)], "video_id long, seg_id long, label string, confidence double, objects array<long>, sure boolean")
+    edges = spark.createDataFrame([(1, 0, 7, "causal", None, [("a", 1)]), (1, 7, 0, "temporal", 12, None)], "video_id long, source long, target long, edge_type string, gap_frames long, evidence array<struct<name:string,n:int>>")
+    xml = files.graphml_of(nodes, edges)
+    back = files.from_graphml(xml)
+    read = lambda kind, **of: back.where(F.col("kind") == kind).select("video_id", "a", "b", *(files.attribute(n, k).alias(n) for n, k in of.items())).orderBy("video_id", "a").collect()
+    got = [tuple(r) for r in read("node", label="string", confidence="double", objects="array<bigint>", sure="boolean")]
+    assert got == [(1, 0, None, "pick <& \"x\"", 0.25, [3, 5], True), (1, 7, None, None, -1e-9, [], False), (2, 4, None, " a ", 2.0, None, None)]
+    got = read("edge", edge_type="string", gap_frames="bigint", evidence="array<struct<name:string,n:int>>")
+    assert [(r.a, r.b, r.edge_type, r.gap_frames, r.evidence and [tuple(e) for e in r.evidence]) for r in got] == [(0, 7, "causal", None, [("a", 1)]), (7, 0, "temporal", 12, None)]
+    types = back.where("kind = 'node' and a = 0").first().types
+    assert types == {"label": "string", "confidence": "double", "objects": "json", "sure": "boolean"}
+
+
+def test_every_file_of_a_run(spark, tmp_path):
+    import json
+
+    from taskloom.plans import engine
+    from taskloom.plans.queries import Tables, detections, marked
+    from taskloom.sources import files
+    from taskloom.sources.config import Segments, Settings
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    run = engine.Engine(Settings(segments=Segments(min_duration=2)))
+    found = run.files(run.run(t.frames, t.joints, detections=detections(t), landmarks=marked(t)))
+    assert set(found) == {"timeline", "pose", "objects", "contacts", "actions", "task_graph", "bare_graph", "egocentric"}
+    paths = files.write_all(found, f"file://{tmp_path}")
+    videos = {r.video_id for r in t.totals.collect()}
+    for name, path in paths.items():
+        lines = [json.loads(r.value) for r in spark.read.text(path).collect()]
+        assert len(lines) == len(videos) and all(("nodes" in x) if name == "bare_graph" else x["schema_version"] == "1.0" for x in lines), name
