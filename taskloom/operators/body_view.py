@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taskloom.functions.lineage import large
 from taskloom.operators.ego import ARM
 from taskloom.operators.pose import J
 
@@ -24,7 +25,7 @@ def nested(frames: DataFrame, joints: DataFrame, landmarks: DataFrame, tracks: D
     hand = landmarks.groupBy(*KEY, det.alias("det_idx"), "side").agg(F.array_sort(F.collect_list(F.struct("landmark", "x", "y", z.alias("z")))).alias("points"))
     h = hand.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("det_idx", "side", "points"))).alias("hands"))
     box = tracks.where("x1 is not null").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("object_id", "x1", "y1", "x2", "y2"))).alias("objects"))
-    return frames.select(*KEY).join(j, KEY, "left").join(h, KEY, "left").join(box, KEY, "left")
+    return frames.select(*KEY).join(large(j), KEY, "left").join(large(h), KEY, "left").join(large(box), KEY, "left")
 
 
 def named(name: str) -> Column:
