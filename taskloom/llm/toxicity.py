@@ -26,7 +26,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 from taskloom.llm.common import documents, once_each, table, written
 
 BLOCK, NEIGHBOURS = 64, 7
+#: Vectors that are compared together.
+TOGETHER = 64
 #: Blocks that are visited before the others are tested.
 FIRST = 3
 #: How much more a term that speaks for toxicity weighs.
@@ -88,7 +91,7 @@ class Terms:
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
         """Terms of a text and how often each occurs, and how many of its words are none."""
         found = word_counts(text)
-        ids, n = np.fromiter((self.ids.get(w, -1) for w in found), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+        ids, n = np.fromiter(map(self.ids.get, found, repeat(-1)), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
         return ids[ids >= 0], n[ids >= 0], int(n[ids < 0].sum())
 
 
@@ -103,7 +106,7 @@ def texts_with(rows: DataFrame, terms: Broadcast, by: str) -> np.ndarray:
         ids, seen = terms.value.ids, np.zeros((2, len(terms.value.ids)), np.int64)
         for frame in frames:
             for text, side in zip(frame.text, frame[by], strict=True):
-                seen[int(side), [ids[w] for w in words_in(text) if w in ids]] += 1
+                seen[int(side), [ids[w] for w in words_in(text) & ids.keys()]] += 1
         for side in (0, 1):
             some = np.flatnonzero(seen[side])
             for at in range(0, len(some), 50_000):
@@ -151,36 +154,50 @@ class Index:
         self.highest = self.dense.max(1) if self.blocks else np.zeros((0, self.dense.shape[2]))
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and similarities of the k nearest examples with a similarity above zero."""
+        return self.nearest_of([(ids, weights)], k)[0]
+
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each vector (terms, weights), rows and similarities of the k nearest examples with a similarity above zero.  Vectors that visit a block do so together."""
+        if not self.blocks:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
         if self.dense is None:
             self._by_block()
-        if not self.blocks or not len(ids):
-            return np.zeros(0, np.int64), np.zeros(0)
+        return [found for at in range(0, len(vectors), TOGETHER) for found in self._nearest(vectors[at : at + TOGETHER], k)]
+
+    def _nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n, width = len(vectors), self.blocks * BLOCK
+        who, ids, weights = np.repeat(np.arange(n), [len(i) for i, _ in vectors]), np.concatenate([i for i, _ in vectors]), np.concatenate([w for _, w in vectors])
         column = self.column[ids]
-        query = np.zeros(self.dense.shape[2])
-        query[column[column >= 0]] = weights[column >= 0]
-        rare, own = ids[column < 0], weights[column < 0]
-        n = self.first[rare + 1] - self.first[rare]
-        at = np.repeat(self.first[rare] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        partial = np.bincount(self.rows[at], np.repeat(own, n) * self.weights[at], self.blocks * BLOCK).reshape(self.blocks, BLOCK)
-        bound = partial.max(1) + self.highest @ query
-        order = np.argsort(-bound, kind="stable")
-        rows, sims = np.zeros(0, np.int64), np.zeros(0)
-        for part in (order[:FIRST], order[FIRST:]):  # the best blocks give a k-th similarity, which rules most others out
-            visit = part[(bound[part] > 0) & (bound[part] >= (sims[-1] - 1e-12 if len(sims) == k else 0))]
-            if not len(visit):
-                break
-            found = np.round(np.concatenate([partial[b] + self.dense[b] @ query for b in visit]), 12)
-            high = np.flatnonzero(found >= max(np.partition(found, -k)[-k] if len(found) > k else 0, 1e-300))
-            rows, sims = np.r_[rows, visit[high // BLOCK] * BLOCK + high % BLOCK], np.r_[sims, found[high]]
-            best = np.lexsort((rows, -sims))[:k]
-            rows, sims = rows[best], sims[best]
-        return rows, sims
+        held = column >= 0
+        query = np.zeros((n, self.dense.shape[2]))
+        query[who[held], column[held]] = weights[held]
+        rare, own, mine = ids[~held], weights[~held], who[~held] * width
+        m = self.first[rare + 1] - self.first[rare]
+        at = np.repeat(self.first[rare] - np.cumsum(m) + m, m) + np.arange(m.sum())
+        partial = np.bincount(self.rows[at] + np.repeat(mine, m), np.repeat(own, m) * self.weights[at], n * width).reshape(n, self.blocks, BLOCK)
+        bound = partial.max(2) + query @ self.highest.T
+        best = np.zeros(bound.shape, bool)
+        np.put_along_axis(best, np.argsort(-bound, 1, kind="stable")[:, :FIRST], True, 1)
+        sims, least = np.zeros(partial.shape), np.zeros((n, 1))
+        for visit in (best, ~best):  # the best blocks give a k-th similarity, which rules most others out
+            visit &= (bound > 0) & (bound >= least)
+            for b in np.flatnonzero(visit.any(0)):
+                by = np.flatnonzero(visit[:, b])
+                sims[by, b] = np.round(partial[by, b] + query[by] @ self.dense[b].T, 12)
+            flat = sims.reshape(n, width)
+            kth = np.partition(flat, width - k, 1)[:, width - k] if width > k else np.zeros(n)
+            least = np.where(kth > 0, kth - 1e-12, 0.0)[:, None]
+        for row, low in zip(flat, kth, strict=True):
+            rows = np.flatnonzero(row >= max(low, 1e-300))
+            rows = rows[np.argsort(-row[rows], kind="stable")[:k]]
+            yield rows, row[rows]
 
     def share(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[float, np.ndarray, np.ndarray]:
+        return self.shares([(ids, weights)], k)[0]
+
+    def shares(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[float, np.ndarray, np.ndarray]]:
         """The share of the votes for toxicity, each as heavy as its similarity; -1 without a neighbour."""
-        rows, sims = self.nearest(ids, weights, k)
-        return (float(sims @ self.labels[rows] / sims.sum()) if len(rows) else -1.0), rows, sims
+        return [((float(sims @ self.labels[rows] / sims.sum()) if len(rows) else -1.0), rows, sims) for rows, sims in self.nearest_of(vectors, k)]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,12 +234,16 @@ class Model:
         known = known[known.share >= 0]
         self.at, self.means = isotonic(*(known[c].to_numpy(float) for c in ("share", "toxic", "weight")))
 
-    def score(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
-        share, rows, sims = self.index.share(*self.vector(text), NEIGHBOURS)
-        if share < 0 or not len(self.at):
-            return self.prior, rows, sims
-        step = self.means[max(0, int(np.searchsorted(self.at, share, "right")) - 1)]
-        return float(min(1.0, max(0.0, step * 0.999 + share * 0.001))), rows, sims
+    def votes(self, texts: Sequence[str]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        return self.index.shares([self.vector(text) for text in texts], NEIGHBOURS)
+
+    def scores(self, texts: Sequence[str]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        for share, rows, sims in self.votes(texts):
+            if share < 0 or not len(self.at):
+                yield self.prior, rows, sims
+                continue
+            step = self.means[max(0, int(np.searchsorted(self.at, share, "right")) - 1)]
+            yield float(min(1.0, max(0.0, step * 0.999 + share * 0.001))), rows, sims
 
 
 def trained(docs: DataFrame, labelled: DataFrame) -> Model:
@@ -242,8 +263,7 @@ def trained(docs: DataFrame, labelled: DataFrame) -> Model:
 
     def shares(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            m = ready.value
-            yield pd.DataFrame({"share": [m.index.share(*m.vector(t), NEIGHBOURS)[0] for t in frame.text], "toxic": frame.toxic, "weight": frame.weight})
+            yield pd.DataFrame({"share": [v[0] for v in ready.value.votes(frame.text)], "toxic": frame.toxic, "weight": frame.weight})
 
     apart = rows.where("in_calibration").select("text", "toxic", "weight")
     model.calibrate(apart.mapInPandas(shares, "share double, toxic int, weight double").toPandas())  # bounded
@@ -262,8 +282,7 @@ def scored(docs: DataFrame, labelled: DataFrame) -> DataFrame:
         m = model.value
         for frame in frames:
             scores, evidence = [], []
-            for text in frame.text:
-                s, rows, sims = m.score(text)
+            for s, rows, sims in m.scores(frame.text):
                 scores.append(s)
                 evidence.append([{"doc_id": int(m.index.doc_ids[r]), "similarity": float(x), "label": int(m.index.labels[r])} for r, x in zip(rows[:3], sims[:3], strict=True)])
             yield pd.DataFrame({"doc_id": frame.doc_id, "score": scores, "evidence": evidence})
