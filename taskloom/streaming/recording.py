@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessorHandle, StreamingQueryListener
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from taskloom.functions.temporal import over
@@ -20,19 +20,15 @@ NAMES = [c.split()[0] for c in FOUND.split(", ")]
 class Recorder(InOrder):
     """Which frames of a recording are taken, and the actions annotated meanwhile."""
 
+    held = "running boolean, take long, n long, action string, object_id long, since long"
+
     def __init__(self, on: bool, keep: int):
         kinds = {"t": "double", "seq": "long", "command": "string", "action": "string", "object_id": "long"}
         super().__init__(list(kinds), kinds, NAMES, keep)
         self.on = on
 
-    def opened(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "running boolean, take long, n long, action string, object_id long, since long")
-
-    def forgotten(self) -> None:
-        self.state.clear()
-
-    def taken(self, key: Any, rows: list[dict]) -> Iterator[tuple]:
-        running, take, n, action, thing, since = self.state.get() or (self.on, 0, 0, None, None, None)
+    def taken(self, key: tuple, rows: list[dict], held: list[tuple]) -> Generator[tuple, None, list[tuple]]:
+        running, take, n, action, thing, since = held[0] if held else (self.on, 0, 0, None, None, None)
 
         def closed() -> Iterator[tuple]:
             if since is not None:
@@ -54,14 +50,14 @@ class Recorder(InOrder):
                 action, thing, since = (r["action"], r["object_id"], n) if command == "start" else (None, None, None)
                 if command == "clear":
                     take, n = take + 1, 0
-        self.state.update((running, take, n, action, thing, since))
+        return [(running, take, n, action, thing, since)]
 
 
 def live_recorder(rows: DataFrame, on: bool = True, keep: int = KEEP) -> DataFrame:
     """What is recorded of a stream of frames and commands (video_id, t, seq, command, action, object_id; a frame has a null command and its number as seq) with an event time: rows of
     kind ``frame`` (take, position, frame_idx) and of kind ``action`` (take, action, object_id, frame_start, frame_end), the latter when the action ends by a ``start``,
     ``end``, ``save`` or ``clear``.  As ``recorder.recorded`` and ``recorder.annotated``, but that an action still going on at the end of the input isn't given."""
-    return lived(rows, ["video_id"], Recorder(on, keep), FOUND)
+    return lived(rows, Recorder(on, keep), FOUND)
 
 
 def takes_sink(path: str) -> Callable[[DataFrame, int], None]:
